@@ -131,7 +131,8 @@ def _bars(df: DataFrame, columns, stats: dict, buckets: int) -> DataFrame:
             marks = [low + (s * (high - low)) / buckets for s in range(buckets)] + [high]
             edges += [(i, p, a, b) for p, (a, b) in enumerate(zip(marks, marks[1:]))]
             share = (value.cast("double") - F.lit(low)) / F.lit(high - low)
-            key = F.least(F.floor(share * F.lit(buckets)), F.lit(buckets - 1)).cast("string")
+            bucket = F.least(F.floor(share * F.lit(buckets)), F.lit(buckets - 1))
+            key = F.when(value.isNotNull(), bucket).cast("string")
         else:
             listed.append(i)
             key = value.cast("string")

@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame
 from millrace.sources.readers import jdbc_properties
 
 
+# Text formats keep microseconds; Spark's own default cuts them to milliseconds.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
+          "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
+
 def write_parquet(df: DataFrame, path: str, mode: str) -> None:
     df.write.mode(mode).parquet(path)
 
@@ -16,7 +21,7 @@ def write_orc(df: DataFrame, path: str, mode: str) -> None:
 
 
 def write_json(df: DataFrame, path: str, mode: str) -> None:
-    df.write.mode(mode).json(path)
+    df.write.mode(mode).options(**_TIMES).json(path)
 
 
 def write_text(df: DataFrame, path: str, mode: str) -> None:
@@ -25,7 +30,7 @@ def write_text(df: DataFrame, path: str, mode: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str, sep: str = ",", header: bool = False) -> None:
-    df.write.mode(mode).option("sep", sep).option("header", header).csv(path)
+    df.write.mode(mode).options(**_TIMES).option("sep", sep).option("header", header).csv(path)
 
 
 def write_table(df: DataFrame, table: str, mode: str, partition_by=(),
