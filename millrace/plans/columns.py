@@ -67,11 +67,11 @@ def with_lit(spark, folder):
 
 @query("expr_column", """
 select l_orderkey, l_linenumber, l_partkey,
-  round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) as charge
+  round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) as charge
 from lineitem""")
 def expr_column(spark, folder):
     charged = ops.with_expr(table(spark, folder, "lineitem"), "charge",
-                            "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4)")
+                            "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6)")
     return charged.select("l_orderkey", "l_linenumber", "l_partkey", "charge")
 
 

@@ -104,17 +104,25 @@ def freq_items_exact(spark, folder):
 
 
 @query("freq_items", """
-select o_custkey from orders group by 1
-having false and count(*) >= 0.01 * (select count(*) from orders)""")
+select 'l_linenumber' as "column", l_linenumber::varchar as item, true as found from lineitem
+group by 2 having count(*) >= 0.1 * (select count(*) from lineitem)
+union all select 'l_quantity', l_quantity::varchar, true from lineitem
+group by 2 having count(*) >= 0.015 * (select count(*) from lineitem)""")
 def freq_items(spark, folder):
-    """Frequent customers that the sketch misses: there must be none."""
-    orders = table(spark, folder, "orders").select("o_custkey")
-    sketch = stats.freq_items(orders, ["o_custkey"], 0.01)
-    exact = stats.freq_items(orders, ["o_custkey"], 0.01, exact=True)
-    both = (sketch.select(F.col("o_custkey_freqItems").alias("found"), F.lit(1).alias("one"))
-            .join(exact.withColumn("one", F.lit(1)), "one"))
-    return both.select(F.explode(F.array_except("o_custkey_freqItems", "found"))
-                       .alias("o_custkey"))
+    """Every item that is frequent by exact count is in the sketch."""
+    lines = table(spark, folder, "lineitem").select("l_linenumber", "l_quantity")
+    parts = []
+    for column, support in (("l_linenumber", 0.1), ("l_quantity", 0.015)):
+        sketch = stats.freq_items(lines, [column], support)
+        exact = stats.freq_items(lines, [column], support, exact=True)
+        name = f"{column}_freqItems"
+        both = (sketch.select(F.col(name).alias("found"), F.lit(1).alias("one"))
+                .join(exact.withColumn("one", F.lit(1)), "one"))
+        parts.append(both.select(F.lit(column).alias("column"), "found",
+                                 F.explode(name).alias("item"))
+                     .select("column", F.col("item").cast("string").alias("item"),
+                             F.array_contains("found", F.col("item")).alias("found")))
+    return parts[0].union(parts[1])
 
 
 PROFILED = """

@@ -23,7 +23,7 @@ def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "NaN"
-        return f"{value:.6g}" if value else "0"
+        return value + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(_cell(v) for v in value)
     return value
