@@ -41,27 +41,41 @@ def dot(a, b, null_value: float | None = None) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(null_value).cast("double")).otherwise(product)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def csv_dot(a, b) -> Column:
     """Dot product of two comma-separated lists; -1.0 if the lengths differ."""
-    a, b = (F.transform(F.split(_column(c), ","), lambda x: F.trim(x).cast("double"))
-            for c in (a, b))
-    return (F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-            .when(F.size(a) == F.size(b), _sum_of_products(a, b)).otherwise(F.lit(-1.0)))
+    lists = [F.split(_column(c), ",").alias(name) for c, name in ((a, "a"), (b, "b"))]
+
+    def product(parts):
+        numbers = F.zip_with(parts["a"], parts["b"],
+                             lambda x, y: F.trim(x).cast("double") * F.trim(y).cast("double"))
+        total = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
+        return (F.when(parts["a"].isNull() | parts["b"].isNull(), F.lit(None).cast("double"))
+                .when(F.size(parts["a"]) == F.size(parts["b"]), total).otherwise(F.lit(-1.0)))
+    return _once(F.struct(*lists), product)
 
 
 def similarity_bucket(a, b) -> Column:
     """Bucket 1 … 45 of the dot product of two comma-separated lists; NULL for NULL."""
     cuts = F.array(*[F.lit(c) for c in SIMILARITY_CUTS])
-    similarity = csv_dot(a, b)
-    reached = F.size(F.filter(cuts, lambda cut: cut <= similarity))
-    return F.when(similarity.isNotNull(), (reached + 1).cast("bigint"))
+
+    def bucket(similarity):
+        reached = F.size(F.filter(cuts, lambda cut: cut <= similarity))
+        return F.when(similarity.isNotNull(), (reached + 1).cast("bigint"))
+    return _once(csv_dot(a, b), bucket)
 
 
 def normalized(vector) -> Column:
     """An array scaled to length 1; a zero vector stays as it is."""
-    vector = _column(vector)
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
-    return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
+    def scaled(v):
+        length = F.sqrt(F.aggregate(v["v"], F.lit(0.0), lambda total, x: total + x * x))
+        return _once(F.struct(v["v"].alias("v"), length.alias("n")), lambda w: F.when(
+            w["n"] > 0, F.transform(w["v"], lambda x: x / w["n"])).otherwise(w["v"]))
+    return _once(F.struct(_column(vector).alias("v")), scaled)
 
 
 def sum_normalize(vectors) -> Column:

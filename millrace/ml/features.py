@@ -230,8 +230,31 @@ def hashing_tf(df: DataFrame, column: str, out: str, **params) -> DataFrame:
 
 
 def count_vectorize(df: DataFrame, column: str, out: str, **params) -> DataFrame:
-    """Term counts over the most frequent words (``vocabSize``, ``minDF`` …)."""
-    return apply(df, configure(mlf.CountVectorizer(inputCol=column, outputCol=out), **params))
+    """Term counts over the most frequent words (``vocabSize``, ``minDF``, ``maxDF``,
+    ``minTF``, ``binary``).
+
+    Words are counted by one grouped aggregation, which merges frequent words on
+    the map side; ties in frequency go by the alphabet. At most ``vocabSize``
+    words reach the driver.
+    """
+    stage = configure(mlf.CountVectorizer(inputCol=column, outputCol=out), **params)
+    words = col(column)
+    one, none = F.lit(1).alias("df"), F.lit(0).alias("df")
+    tokens = F.concat(
+        F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("tf"), none)),
+        F.transform(F.array_distinct(words),
+                    lambda w: F.struct(w.alias("word"), F.lit(0).alias("tf"), one)))
+    counts = df.select(F.inline(tokens)).groupBy("word").agg(
+        F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    least, most = stage.getMinDF(), stage.getMaxDF()
+    documents = df.count() if min(least, most) < 1.0 else 1
+    bounds = [b * documents if b < 1.0 else b for b in (least, most)]
+    kept = counts.where(F.col("df").between(*bounds)).orderBy(F.desc("tf"), "word").limit(
+        stage.getVocabSize())
+    vocabulary = [row["word"] for row in kept.select("word").collect()]
+    require(bool(vocabulary), "the vocabulary is empty; lower minDF")
+    model = mlf.CountVectorizerModel.from_vocabulary(vocabulary, inputCol=column, outputCol=out)
+    return model.setMinTF(stage.getMinTF()).setBinary(stage.getBinary()).transform(df)
 
 
 def word2vec(df: DataFrame, column: str, out: str, **params) -> DataFrame:

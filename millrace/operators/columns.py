@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,15 @@ def filter_all(df: DataFrame, conditions) -> DataFrame:
     return df
 
 
+# What text must look like to have a chance of being read as the type. Testing
+# it first is much cheaper than a failed conversion of every row.
+_LOOKS_LIKE = [
+    (T.IntegralType, r"^\s*[+-]?\d+(\.\d*)?\s*$"),
+    (T.NumericType, r"\d|(?i:nan|inf)"),
+    (T.DatetimeType, r"\d"),
+]
+
+
 def cast(df: DataFrame, types, strict: bool = False) -> DataFrame:
     """Cast columns to Spark types; a value that does not fit becomes NULL.
 
@@ -48,15 +57,22 @@ def cast(df: DataFrame, types, strict: bool = False) -> DataFrame:
         elif strict:
             out.append(source.cast(target).alias(field.name))
         else:
-            if isinstance(field.dataType, T.StringType) and _is_integral(target):
-                source = F.regexp_replace(source, r"^([+-]?\d+)\.\d*$", "$1")
+            if isinstance(field.dataType, T.StringType):
+                source = _readable(source, target)
             out.append(source.try_cast(target).alias(field.name))
     return df.select(out)
 
 
-def _is_integral(target) -> bool:
+def _readable(text: Column, target) -> Column:
+    """The text, or NULL where it cannot be of the target type."""
     kind = T.DataType.fromDDL(target) if isinstance(target, str) else target
-    return isinstance(kind, T.IntegralType)
+    for family, pattern in _LOOKS_LIKE:
+        if isinstance(kind, family):
+            if family is T.IntegralType:
+                whole = F.when(text.contains("."), F.substring_index(text, ".", 1)).otherwise(text)
+                return F.when(text.rlike(pattern), whole)
+            return F.when(text.rlike(pattern), text)
+    return text
 
 
 def with_id(df: DataFrame, name: str) -> DataFrame:

@@ -137,13 +137,20 @@ def _fields(data):
     """(number, wire type, value) of each field."""
     at, end = 0, len(data)
     while at < end:
-        key, at = _read_varint(data, at)
+        key = data[at]
+        at += 1
+        if key >= 0x80:
+            key, at = _read_varint(data, at - 1)
         wire = key & 7
-        if wire == 0:
+        if wire == 2:
+            size = data[at]
+            at += 1
+            if size >= 0x80:
+                size, at = _read_varint(data, at - 1)
+            value = data[at:at + size]
+            at += size
+        elif wire == 0:
             value, at = _read_varint(data, at)
-        elif wire == 2:
-            size, at = _read_varint(data, at)
-            value, at = data[at:at + size], at + size
         elif wire in (1, 5):
             size = 8 if wire == 1 else 4
             value, at = data[at:at + size], at + size
@@ -168,17 +175,21 @@ def encode_feature(values: list, kind: T.DataType) -> bytes:
 def decode_feature(data) -> list:
     out = []
     for kind, _, content in _fields(data):
+        if kind == 1:
+            out += [value for _, _, value in _fields(content)]
+            continue
         for _, wire, value in _fields(content):
-            if kind == 1:
-                out.append(bytes(value))
-            elif kind == 2:
-                out.extend(struct.unpack(f"<{len(value) // 4}f", value))
+            if kind == 2:
+                out += struct.unpack(f"<{len(value) // 4}f", value)
             elif wire == 0:
                 out.append(_signed(value))
             else:
-                at = 0
-                while at < len(value):
-                    number, at = _read_varint(value, at)
+                at, end = 0, len(value)
+                while at < end:
+                    number = value[at]
+                    at += 1
+                    if number >= 0x80:
+                        number, at = _read_varint(value, at - 1)
                     out.append(_signed(number))
     return out
 
@@ -186,8 +197,13 @@ def decode_feature(data) -> list:
 def _entries(data):
     """(key, value) of a map message."""
     for _, _, entry in _fields(data):
-        parts = {number: value for number, _, value in _fields(entry)}
-        yield bytes(parts.get(1, b"")).decode(), parts.get(2, b"")
+        key = value = b""
+        for number, _, part in _fields(entry):
+            if number == 1:
+                key = part
+            else:
+                value = part
+        yield key, value
 
 
 def _leaf(kind: T.DataType) -> T.DataType:
@@ -229,26 +245,30 @@ def encode_batch(batch: pa.RecordBatch, schema: T.StructType, record_type: str)
     return [_field(1, head) + _field(2, tail) for head, tail in zip(heads, tails)]
 
 
-def decode_record(data: bytes, schema: T.StructType) -> dict:
-    found = {}
-    for number, _, content in _fields(memoryview(data)):
-        for name, value in _entries(content):
-            if number == 1:
-                found[name] = decode_feature(value)
-            else:
-                found[name] = [decode_feature(v) for _, _, v in _fields(value)]
-    return {f.name: _shaped(found.get(f.name), f.dataType) for f in schema}
+def decode_batch(records: list[bytes], schema: T.StructType) -> list[list]:
+    """The columns of the given records, in schema order."""
+    columns = {f.name.encode(): (f.dataType, [None] * len(records)) for f in schema}
+    for i, record in enumerate(records):
+        for number, _, content in _fields(record):
+            for name, value in _entries(content):
+                if name not in columns:
+                    continue
+                kind, column = columns[name]
+                found = (decode_feature(value) if number == 1
+                         else [decode_feature(v) for _, _, v in _fields(value)])
+                column[i] = _shaped(found, kind)
+    return [column for _, column in columns.values()]
 
 
 def _shaped(values, kind: T.DataType):
-    if values is None:
-        return None
     if isinstance(kind, T.ArrayType):
-        return [_shaped(v if isinstance(v, list) else [v], kind.elementType) for v in values]
+        inner = kind.elementType
+        if isinstance(inner, T.ArrayType):
+            return [_shaped(v, inner) for v in values]
+        return [v.decode() for v in values] if isinstance(inner, T.StringType) else values
     if not values:
         return None
-    value = values[0]
-    return value.decode() if isinstance(kind, T.StringType) else value
+    return values[0].decode() if isinstance(kind, T.StringType) else values[0]
 
 
 # --- The data source --------------------------------------------------------
@@ -300,8 +320,9 @@ class _Reader(DataSourceReader):
         system, _ = _filesystem(self.path)
         with system.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
             for bodies in unframe(stream):
-                rows = [decode_record(b, self.schema) for b in bodies]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                columns = decode_batch(bodies, self.schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
 
 class _Writer(DataSourceArrowWriter):
