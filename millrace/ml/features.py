@@ -38,7 +38,8 @@ def string_index(df: DataFrame, columns, handle_invalid: str = "error",
     """Add ``{column}_IDX``: the rank of the value by frequency, from 0.
 
     Ties go by the alphabet. NULL raises, is skipped or gets the next free index
-    (``handle_invalid`` is error, skip or keep).
+    (``handle_invalid`` is error, skip or keep). A column with more than about
+    ``max_labels`` values is indexed by a join; its labels stay distributed.
     """
     columns = names(columns)
     check_columns(df, columns)

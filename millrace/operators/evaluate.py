@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.ordering import prefix_sums
@@ -72,14 +72,15 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
                        {"tp": "pos", "fp": "neg", "rank": "one"}, totals=True).drop("one")
 
 
-def _thinned(counts: DataFrame, bins: int | None) -> DataFrame:
-    """Every k-th score and the last one: at most about ``bins`` exact points."""
-    if bins is None:
-        return counts
+def _chosen(bins: int) -> Column:
+    """Every k-th score and the last one: at most about ``bins`` of the exact points."""
     require(bins > 0, "the number of bins must be positive")
     step = F.greatest(F.ceil(F.col("rank_total") / F.lit(bins)), F.lit(1))
-    return counts.where((F.pmod(F.col("rank"), step) == 0)
-                        | (F.col("rank") == F.col("rank_total")))
+    return (F.pmod(F.col("rank"), step) == 0) | (F.col("rank") == F.col("rank_total"))
+
+
+def _thinned(counts: DataFrame, bins: int | None) -> DataFrame:
+    return counts if bins is None else counts.where(_chosen(bins))
 
 
 def _rates() -> dict[str, Column]:
@@ -117,12 +118,14 @@ def pr_curve(df: DataFrame, score: str, label: str, bins: int | None = None) ->
 
 def _pr(counts: DataFrame, bins: int | None) -> DataFrame:
     rates = _rates()
-    points = _thinned(counts, bins).select("threshold", rates["recall"].alias("recall"),
-                                           rates["precision"].alias("precision"))
-    start = counts.where(F.col("rank") == 1).select(
-        F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("recall"),
-        rates["precision"].alias("precision"))
-    return points.unionByName(start)
+    point = F.struct(F.col("threshold"), rates["recall"].alias("recall"),
+                     rates["precision"].alias("precision"))
+    start = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("recall"),
+                     rates["precision"].alias("precision"))
+    chosen = F.lit(True) if bins is None else _chosen(bins)
+    points = F.filter(F.array(F.when(F.col("rank") == 1, start), F.when(chosen, point)),
+                      lambda p: p.isNotNull())
+    return counts.select(F.inline(points))
 
 
 def threshold_curve(df: DataFrame, score: str, label: str, bins: int | None = None) -> DataFrame:
@@ -132,8 +135,8 @@ def threshold_curve(df: DataFrame, score: str, label: str, bins: int | None = No
         "threshold", *[rates[n].alias(n) for n in ("precision", "recall", "f1")])
 
 
-def _areas(counts: DataFrame) -> DataFrame:
-    """Trapezoids between each score and the one above it, added up in one pass."""
+def _areas() -> dict[str, Column]:
+    """Aggregates that add up the trapezoids between each score and the one above it."""
     before_tp, before_fp = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     before = F.when(F.col("rank") == 1, precision).otherwise(
@@ -141,23 +144,22 @@ def _areas(counts: DataFrame) -> DataFrame:
     width_pr = F.try_divide(F.col("pos"), F.col("tp_total"))
     width_roc = F.try_divide(F.col("neg"), F.col("fp_total"))
     height_roc = F.try_divide(before_tp + F.col("tp"), F.lit(2.0) * F.col("tp_total"))
-    return counts.agg(
-        F.coalesce(F.sum(width_pr * (precision + before) / 2), F.lit(0.0)).alias("areaUnderPR"),
-        F.coalesce(F.sum(width_roc * height_roc), F.lit(0.0)).alias("areaUnderROC"))
+    return {"areaUnderPR": F.coalesce(F.sum(width_pr * (precision + before) / 2), F.lit(0.0)),
+            "areaUnderROC": F.coalesce(F.sum(width_roc * height_roc), F.lit(0.0))}
 
 
 def eval_binary(df: DataFrame, score: str, label: str, bins: int = 100) -> DataFrame:
     """Exact areas under the ROC and PR curves, and all curves as JSON.
 
     The JSON charts are thinned to about ``bins`` points each; the areas use
-    every score.
+    every score. Both come from one aggregation over the scores.
     """
-    counts = written(score_counts(df, score, label), "scores")
-    curves = _thinned(counts, bins)
     rates = _rates()
-    charts = curves.agg(F.sort_array(F.collect_list(F.struct(
-        F.col("rank").alias("k"), F.col("threshold").alias("t"),
-        *[rates[n].alias(n) for n in ("fpr", "tpr", "recall", "precision", "f1")]))).alias("c"))
+    point = F.struct(F.col("rank").alias("k"), F.col("threshold").alias("t"),
+                     *[rates[n].alias(n) for n in ("fpr", "tpr", "recall", "precision", "f1")])
+    measured = score_counts(df, score, label).agg(
+        *[area.alias(name) for name, area in _areas().items()],
+        F.sort_array(F.collect_list(F.when(_chosen(bins), point))).alias("c"))
 
     def chart(title, x_name, y_name, x, y, first=None, last=None):
         xs, ys = F.col(f"c.{x}"), F.col(f"c.{y}")
@@ -180,11 +182,13 @@ def eval_binary(df: DataFrame, score: str, label: str, bins: int = 100) -> DataF
         chart("F1 Score by Threshold", "Threshold", "F1 Score", "t", "f1"),
         chart("Precision by Threshold", "Threshold", "Precision", "t", "precision"),
         chart("Recall by Threshold", "Threshold", "Recall", "t", "recall"))
-    # Both sides are one row each.
-    joined = _areas(counts).withColumn("_one", F.lit(1)).join(
-        charts.select(F.lit(1).alias("_one"), drawn.alias("charts")), "_one")
-    return joined.select(*BINARY_METRICS, _result(BINARY_METRICS, charts=F.col("charts"))
-                         .alias("evaluate_result"))
+    return measured.withColumn("charts", drawn).select(
+        *BINARY_METRICS, _result(BINARY_METRICS, charts=F.col("charts")).alias("evaluate_result"))
+
+
+# Above this number of classes the report leaves the matrix out; ``confusion_matrix``
+# gives it as a table of any size.
+MAX_MATRIX_CLASSES = 1000
 
 
 def confusion_matrix(df: DataFrame, prediction: str, label: str) -> DataFrame:
@@ -206,10 +210,8 @@ def eval_multiclass(df: DataFrame, prediction: str, label: str) -> DataFrame:
     actual = cells.groupBy("label").agg(F.sum(n).alias("size"),
                                         F.sum(F.when(hit, n).otherwise(0)).alias("tp"))
     guessed = cells.groupBy(F.col("prediction").alias("label")).agg(F.sum(n).alias("guesses"))
-    everything = Window.partitionBy(F.lit(1))  # over one row per class
-    classes = (actual.join(guessed, "label", "left")
-               .withColumn("guesses", F.coalesce("guesses", F.lit(0)))
-               .withColumn("total", F.sum("size").over(everything)))
+    classes = actual.join(guessed, "label", "left").withColumns({
+        "guesses": F.coalesce("guesses", F.lit(0)), "total": cells.agg(F.sum(n)).scalar()})
     recall = F.col("tp") / F.col("size")
     precision = F.when(F.col("guesses") > 0, F.col("tp") / F.col("guesses")).otherwise(0.0)
     both = precision + recall
@@ -223,16 +225,26 @@ def eval_multiclass(df: DataFrame, prediction: str, label: str) -> DataFrame:
         F.sum(share * recall).alias("weightedTruePositiveRate"),
         F.sum(share * f1).alias("weightedFMeasure"),
         F.sum(share * precision).alias("weightedPrecision"),
-        F.sum(share * recall).alias("weightedRecall"),
-        F.sort_array(F.collect_list("label")).alias("labels"))
-    # One entry per pair of classes.
-    table = cells.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.struct("label", "prediction"), n.cast("double")))).alias("cells"))
-    joined = measured.withColumn("_one", F.lit(1)).join(table.withColumn("_one", F.lit(1)), "_one")
-    dense = F.transform(F.col("labels"), lambda a: F.transform(F.col("labels"), lambda b: F.coalesce(
-        F.try_element_at(F.col("cells"), F.struct(a.alias("label"), b.alias("prediction"))),
-        F.lit(0.0))))
-    matrix = F.struct(dense.alias("data"),
-                      F.col("labels").cast("array<string>").alias("classNames"))
-    return joined.select(*MULTICLASS_METRICS, _result(
+        F.sum(share * recall).alias("weightedRecall"))
+    matrix = F.lit(None).cast("struct<data:array<array<double>>,classNames:array<string>>")
+    if actual.count() <= MAX_MATRIX_CLASSES:
+        inside = cells.join(actual.select(F.col("label").alias("prediction")), "prediction", "semi")
+        table = inside.agg(F.map_from_entries(F.collect_list(F.struct(
+            F.struct("label", "prediction"), n.cast("double")))).alias("cells"))
+        labels = actual.agg(F.sort_array(F.collect_list("label")).alias("labels"))
+        measured = measured.withColumns({"cells": table.scalar(), "labels": labels.scalar()})
+        dense = F.transform("labels", lambda a: F.transform("labels", lambda b: F.coalesce(
+            F.try_element_at("cells", F.struct(a.alias("label"), b.alias("prediction"))),
+            F.lit(0.0))))
+        matrix = F.struct(dense.alias("data"),
+                          F.col("labels").cast("array<string>").alias("classNames"))
+    return measured.select(*MULTICLASS_METRICS, _result(
         MULTICLASS_METRICS, confusionMatrix=matrix, charts=_no_charts()).alias("evaluate_result"))
+
+
+def evaluate(df: DataFrame, kind: str, prediction: str, label: str) -> DataFrame:
+    """The report of the given kind: regression, binary or multiclass."""
+    reports = {"regression": eval_regression, "binary": eval_binary,
+               "multiclass": eval_multiclass}
+    require(kind in reports, f"unknown kind of evaluation: {kind}")
+    return reports[kind](df, prediction, label)

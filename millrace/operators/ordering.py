@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.relational import join, sort_columns
+from millrace.operators.relational import join, sort_columns, sort_names
 from millrace.util import check_columns, col, pairs, require, row_hash, written
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
@@ -88,11 +88,12 @@ def zip_columns(left: DataFrame, right: DataFrame, left_order, right_order,
 
     The shorter frame is filled up with NULLs.
     """
-    index = "_zip_row"
-    sides = []
+    index, sides = "_zip_row", []
     for df, order, columns in ((left, left_order, left_cols), (right, right_order, right_cols)):
         new_names = {c: c for c in df.columns} if columns is None else dict(pairs(columns))
         mapped = [(c, new_names[c]) for c in df.columns if c in new_names]
-        sides.append((row_index(df, order, index), mapped))
-    (a, a_cols), (b, b_cols) = sides
+        needed = {c for c, _ in mapped} | set(sort_names(order))
+        kept = df.select([col(c) for c in df.columns if c in needed])
+        sides += [row_index(kept, order, index), mapped]
+    a, a_cols, b, b_cols = sides
     return join(a, b, [(index, index)], "full", a_cols, b_cols)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -118,7 +119,7 @@ def profile_histogram(df: DataFrame, columns, buckets: int = 10, exact: bool = F
 def _bars(df: DataFrame, columns, stats: dict, buckets: int) -> DataFrame:
     """``stats`` holds one row per column, so it is small on the driver."""
     spark = df.sparkSession
-    entries, edges, listed = [], [], []
+    entries, edges = [], []
     for i, name in enumerate(columns):
         row = stats.get(name)
         if row is None:
@@ -134,31 +135,27 @@ def _bars(df: DataFrame, columns, stats: dict, buckets: int) -> DataFrame:
             bucket = F.least(F.floor(share * F.lit(buckets)), F.lit(buckets - 1))
             key = F.when(value.isNotNull(), bucket).cast("string")
         else:
-            listed.append(i)
             key = value.cast("string")
         entries.append(F.struct(F.lit(i).alias("_c"), key.alias("_k")))
-    label = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_c") + 1).alias("column")
     schema = "column string, position int, x string, y bigint"
     if not entries:
         return spark.createDataFrame([], schema)
     counts = (df.select(F.inline(F.array(*entries))).where(F.col("_k").isNotNull())
-              .groupBy("_c", "_k").agg(F.count(F.lit(1)).alias("y")))
-
-    order = Window.partitionBy("_c").orderBy(F.desc("y"), F.asc("_k"))
-    top = (counts.where(F.col("_c").isin(listed))
-           .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= buckets)
-           .select(label, (F.col("_r") - 1).alias("position"), F.col("_k").alias("x"), "y"))
-    if not edges:
-        return top
-    # At most columns x buckets rows; empty buckets must appear as well.
-    frame = spark.createDataFrame(edges, "_c int, position int, low double, high double")
-    ranges = (frame.join(counts.where(~F.col("_c").isin(listed))
-                         .select("_c", F.col("_k").cast("int").alias("position"), "y"),
-                         ["_c", "position"], "left")
-              .select(label, "position",
-                      F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string"))
-                      .alias("x"), F.coalesce("y", F.lit(0)).alias("y")))
-    return ranges.unionByName(top)
+              .groupBy("_c", "_k").agg(F.count(F.lit(1)).alias("_y")))
+    # Only the largest counts of each column are shuffled; a column of ranges has no
+    # more than that. What remains is columns x buckets rows.
+    order = Window.partitionBy("_c").orderBy(F.desc("_y"), F.asc("_k"))
+    top = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= buckets)
+    # Empty buckets must appear as well.
+    ranges = spark.createDataFrame(edges, "_c int, _p int, _low double, _high double").withColumn(
+        "_k", F.col("_p").cast("string"))
+    labels = F.array(*[F.lit(c) for c in columns])
+    span = F.concat_ws("-", F.col("_low").cast("string"), F.col("_high").cast("string"))
+    return ranges.join(top, ["_c", "_k"], "full").select(
+        F.element_at(labels, F.col("_c") + 1).alias("column"),
+        F.coalesce(F.col("_p"), F.col("_r") - 1).alias("position"),
+        F.when(F.col("_p").isNull(), F.col("_k")).otherwise(span).alias("x"),
+        F.coalesce("_y", F.lit(0)).alias("y"))
 
 
 def profile(df: DataFrame, columns, buckets: int = 10, exact: bool = False) -> DataFrame:
@@ -230,6 +227,13 @@ def page_count(df: DataFrame, rows: int, within: int = 100) -> int:
     return math.ceil(df.limit(within).count() / rows)
 
 
+def schema_json(df: DataFrame) -> str:
+    """The schema as JSON ``{"fields": [{"name", "type", "nullable"}]}``; no job runs."""
+    fields = [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable}
+              for f in df.schema]
+    return json.dumps({"fields": fields})
+
+
 def observe_counts(df: DataFrame, name: str = "counts") -> tuple[DataFrame, Observation]:
     """The same frame, counting its rows and NULLs while a job runs over it.
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.columns import select_as
@@ -20,6 +21,10 @@ JOIN_TYPES = {
     "anti": "left_anti", "leftanti": "left_anti", "left_anti": "left_anti",
 }
 
+# Strategies that hold for sides of any size. Broadcasting is left to Spark, which
+# compares the side with spark.sql.autoBroadcastJoinThreshold, before and at run time.
+JOIN_HINTS = ("merge", "shuffle_hash")
+
 
 def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner",
          left_cols=None, right_cols=None, hint: str | None = None,
@@ -28,19 +33,20 @@ def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner",
 
     ``left_cols`` and ``right_cols`` are ordered pairs (name, new name); they
     name the output columns, left ones first, and default to all columns.
-    ``on`` holds pairs of new names; a column that is not renamed may be used
-    as well. NULL keys never match.
-
-    Spark chooses the strategy, and its adaptive skew handling splits hot
-    partitions. ``hint`` is passed on for the right side. ``salts`` spreads the
-    rows of the preserved side (the left one for inner joins) over that many
-    buckets per key and copies the other side once per bucket; use it where
-    the adaptive split does not apply, for example below a grouping on the
-    join key.
+    ``on`` holds pairs of new names, or text ``"a == b"``; a column that is not
+    renamed may be used as well. NULL keys never match.
+
+    Spark chooses the strategy: it broadcasts a side whose size it has checked,
+    and its adaptive skew handling splits hot partitions. ``hint`` asks for one
+    of the strategies that work at any size. ``salts`` spreads the rows of the
+    preserved side (the left one for inner joins) over that many buckets per
+    key and copies the other side once per bucket; use it where the adaptive
+    split does not apply, as in full joins or below a grouping on the join key.
     """
+    require(hint is None or hint in JOIN_HINTS, f"{hint} is not one of {', '.join(JOIN_HINTS)}")
     require(how.lower() in JOIN_TYPES, f"unknown join type: {how}")
     how = JOIN_TYPES[how.lower()]
-    on = pairs(on)
+    on = [_key_pair(item) for item in ([on] if isinstance(on, str) else on)]
     require(bool(on) or how == "cross", "a join needs at least one pair of keys")
     left, left_out, left_keys = _side(left, left_cols, [a for a, _ in on], "l")
     right, right_out, right_keys = _side(right, right_cols, [b for _, b in on], "r")
@@ -55,6 +61,12 @@ def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner",
     return joined.select([F.col(inner).alias(outer) for inner, outer in output])
 
 
+def _key_pair(item) -> tuple[str, str]:
+    parts = [p.strip() for p in item.split("==")] if isinstance(item, str) else list(item)
+    require(len(parts) == 2 and all(parts), f"{item} is not a pair of join columns")
+    return parts[0], parts[1]
+
+
 def _side(df: DataFrame, columns, keys: list[str], tag: str):
     """Give one side private names and keep only what the join needs."""
     columns = [(c, c) for c in df.columns] if columns is None else pairs(columns)
@@ -173,16 +185,25 @@ def pivot_agg(df: DataFrame, keys, pivot: str, values, column: str, fn: str) ->
     return grouped.pivot(quoted(pivot), list(values)).agg(aggregate(fn, column))
 
 
+def _sort_items(columns) -> list[tuple[str, str]]:
+    if isinstance(columns, str):
+        columns = [columns]
+    items = columns.items() if isinstance(columns, Mapping) else columns
+    return [(item, "asc") if isinstance(item, str) else tuple(item) for item in items]
+
+
+def sort_names(columns) -> list[str]:
+    """The column names of a sort order."""
+    return [name for name, _ in _sort_items(columns)]
+
+
 def sort_columns(df: DataFrame, columns) -> list[Column]:
     """Sort expressions from names or (name, rule) pairs.
 
     A rule is asc or desc, optionally followed by _nulls_first or _nulls_last.
     """
-    items = [columns] if isinstance(columns, str) else list(columns.items()
-             if hasattr(columns, "items") else columns)
     out = []
-    for item in items:
-        name, rule = (item, "asc") if isinstance(item, str) else item
+    for name, rule in _sort_items(columns):
         check_columns(df, [name])
         require(re.fullmatch(r"(asc|desc)(_nulls_(first|last))?", rule) is not None,
                 f"{rule} is not a sorting rule for column {name}")
@@ -198,10 +219,15 @@ def order_by(df: DataFrame, columns, limit: int | None = None) -> DataFrame:
 
 
 def sql_query(sql: str, *dfs: DataFrame) -> DataFrame:
-    """Run Spark SQL in which ``{0}``, ``{1}`` … stand for the given frames."""
+    """Run Spark SQL in which ``{0}``, ``{1}`` … stand for the given frames.
+
+    Other braces, as in patterns or JSON text, are left alone.
+    """
     require(bool(dfs), "at least one frame is needed")
-    spark: SparkSession = dfs[0].sparkSession
-    used = sorted({int(i) for i in re.findall(r"\{(\d+)\}", sql)})
-    require(all(i < len(dfs) for i in used), "the statement names more inputs than were given")
-    named = re.sub(r"\{(\d+)\}", r"{in\1}", sql)
-    return spark.sql(named, **{f"in{i}": dfs[i] for i in used})
+    used = {f"in{i}": df for i, df in enumerate(dfs) if "{" + str(i) + "}" in sql}
+    if not used:
+        return dfs[0].sparkSession.sql(sql)
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for name in used:
+        text = text.replace("{{" + name.removeprefix("in") + "}}", "{" + name + "}")
+    return dfs[0].sparkSession.sql(text, **used)

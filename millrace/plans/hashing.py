@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing
+from millrace.functions.sqlfunctions import register_sql_functions
 from millrace.plans.registry import query, table
 
 TWO64 = "18446744073709551616::uhugeint"
@@ -112,13 +113,13 @@ def hash_encode_pair(spark, folder):
 
 @query("hash_encode2", murmur_sql(EVENTS, "event_id", [(77, "big")], "code"))
 def hash_encode2(spark, folder):
-    hashing.register_sql_functions(spark)
+    register_sql_functions(spark)
     return _events(spark, folder).select("event_id", F.expr("encode2(77, big)").alias("code"))
 
 
 @query("hash_encode4", murmur_sql(EVENTS, "event_id", [(3, "big"), (4, "shifted")], "code"))
 def hash_encode4(spark, folder):
-    hashing.register_sql_functions(spark)
+    register_sql_functions(spark)
     return _events(spark, folder).select("event_id",
                                          F.expr("encode4(3, big, 4, shifted)").alias("code"))
 
@@ -140,5 +141,6 @@ def hash_encode3(spark, folder):
 
 @query("hash_encode5", murmur_sql(EVENTS, "event_id", [(5, JOINED), (6, "shifted")], "code"))
 def hash_encode5(spark, folder):
+    register_sql_functions(spark)
     return _events(spark, folder).select(
-        "event_id", hashing.encode_concat(5, "user_id", "big", (6, "shifted")).alias("code"))
+        "event_id", F.expr("encode5(5, user_id, big, 6, shifted)").alias("code"))

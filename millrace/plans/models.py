@@ -43,7 +43,7 @@ def _classified(data, label, name, probabilities=True, **params):
     scored = score(train(estimator, data), data)
     known = data.select(F.col(label).alias("known")).distinct()
     sizes = data.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    majority = sizes.agg((F.max("size") / F.sum("size")).alias("majority"))
+    majority = sizes.agg(F.max("size") / F.sum("size")).scalar()
     total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda s, x: s + x) \
         if probabilities else F.lit(1.0)
     checked = scored.join(known, F.col("prediction") == F.col("known"), "left")
@@ -51,10 +51,8 @@ def _classified(data, label, name, probabilities=True, **params):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("known").isNull()).alias("n_bad_labels"),
         F.count_if(F.abs(total - 1.0) > 1e-6).alias("n_bad_probabilities"),
         F.avg((F.col("prediction") == F.col(label)).cast("int")).alias("accuracy"))
-    # Both sides are one row.
-    return facts.withColumn("one", F.lit(1)).join(majority.withColumn("one", F.lit(1)), "one").select(
-        "n", "n_bad_labels", "n_bad_probabilities",
-        (F.col("accuracy") >= F.col("majority")).alias("beats_majority"))
+    return facts.select("n", "n_bad_labels", "n_bad_probabilities",
+                        (F.col("accuracy") >= majority).alias("beats_majority"))
 
 
 @query("logreg", BINARY)

@@ -217,14 +217,13 @@ select true as in_band, 0::bigint as n_foreign, true as unique_rows""")
 def sample(spark, folder):
     orders = table(spark, folder, "orders").repartition(6, "o_orderkey")
     part = sampling.sample(orders, 0.25, seed=11).select("o_orderkey", "o_custkey")
-    total = orders.agg(F.count(F.lit(1)).alias("total")).withColumn("one", F.lit(1))
     known = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
     seen = part.join(known, (F.col("o_orderkey") == F.col("k"))
                      & (F.col("o_custkey") == F.col("c")), "left")
     facts = seen.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("d"),
                      F.count_if(F.col("k").isNull()).alias("n_foreign"))
-    share = F.col("n") / F.col("total")
-    return facts.withColumn("one", F.lit(1)).join(total, "one").select(
+    share = F.col("n") / orders.agg(F.count(F.lit(1))).scalar()
+    return facts.select(
         share.between(0.22, 0.28).alias("in_band"), "n_foreign",
         (F.col("n") == F.col("d")).alias("unique_rows"))
 

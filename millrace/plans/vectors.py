@@ -4,6 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors
+from millrace.functions.sqlfunctions import register_sql_functions
 from millrace.functions.vectors import SIMILARITY_CUTS
 from millrace.operators.relational import join
 from millrace.plans.registry import query, table
@@ -104,7 +105,17 @@ select vec_id, round(list_sum(list_transform(list_zip(u, v),
   lambda p: p[1]::double * p[2]::double)), 6) as similarity
 from ({NEIGHBOURS}) where v is not null""")
 def sql_dot(spark, folder):
-    from millrace.functions.hashing import register_sql_functions
     register_sql_functions(spark)
     pairs = _neighbours(spark, folder).where("v is not null")
-    return pairs.select("vec_id", F.expr("round(dot(u, v), 6)").alias("similarity"))
+    vectors_of = pairs.select("vec_id", *[
+        array_to_vector(F.col(c).cast("array<double>")).alias(c) for c in ("u", "v")])
+    return vectors_of.select("vec_id", F.expr("round(dot(u, v), 6)").alias("similarity"))
+
+
+@query("sql_similarity", f"""
+select vec_id, round(d, 6) as similarity, case when d is not null then 1 + len(list_filter(
+  {SIMILARITY_CUTS}::double[], lambda c: c <= d)) end as bucket from ({DOT})""")
+def sql_similarity(spark, folder):
+    register_sql_functions(spark)
+    return _texts(spark, folder).selectExpr("vec_id", "round(csv_dot(s, t), 6) as similarity",
+                                            "similarity_bucket(s, t) as bucket")

@@ -74,7 +74,7 @@ def same_type(df: DataFrame, columns: list[str]) -> list[Column]:
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash over all hashable columns of a row."""
     usable = [f.name for f in df.schema if not _contains_unhashable(f.dataType)]
-    return F.xxhash64(*[col(c) for c in usable])
+    return F.xxhash64(*[col(c) for c in usable]) if usable else F.lit(0).cast("bigint")
 
 
 def _contains_unhashable(kind: T.DataType) -> bool:

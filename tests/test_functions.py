@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions import hashing, vectors
+from millrace.functions import hashing, sqlfunctions, vectors
 
 MASK = (1 << 64) - 1
 
@@ -75,7 +75,7 @@ def test_words_against_bytes(pairs):
 
 
 def test_sql_functions_and_null(spark):
-    hashing.register_sql_functions(spark)
+    sqlfunctions.register_sql_functions(spark)
     spark.createDataFrame([(1, 42, 7), (2, -1, 3), (1, None, 7)],
                           "p int, a bigint, b bigint").createOrReplaceTempView("hash_input")
     got = spark.sql("""select encode2(p, a) as e2, encode3(p, 4, 2) as e3,
@@ -151,3 +151,22 @@ def test_sum_normalize(spark):
     got = [r[0] for r in row.select(vectors.sum_normalize("v")).collect()]
     assert got[0] == pytest.approx([3 / 5, 4 / 5]) and got[1] == [0.0]
     assert math.isclose(sum(x * x for x in got[0]), 1.0)
+
+
+def test_dot_in_sql(spark):
+    from pyspark.ml.linalg import Vectors
+    sqlfunctions.register_sql_functions(spark)
+    sparse, dense = Vectors.sparse(4, [1, 3], [2.0, 5.0]), Vectors.dense(1, 2, 3, 4)
+    df = spark.createDataFrame(
+        [(0, dense, dense), (1, sparse, dense), (2, dense, sparse), (3, sparse, sparse),
+         (4, None, dense), (5, dense, None), (6, Vectors.sparse(4, [], []), dense)],
+        ["i", "a", "b"]).coalesce(1)
+    df.createOrReplaceTempView("dot_input")
+    got = [r[0] for r in spark.sql("select dot(a, b) from dot_input order by i").collect()]
+    assert got == [30.0, 24.0, 24.0, 29.0, None, None, 0.0]
+    assert spark.sql("select dot(array(1D, 2D), array(3D, 4D))").first()[0] == 11.0
+    spark.createDataFrame([(dense, Vectors.dense(1, 2))], ["a", "b"]).createOrReplaceTempView(
+        "dot_input")
+    with pytest.raises(Exception, match="length"):
+        spark.sql("select dot(a, b) from dot_input").collect()
+    spark.catalog.dropTempView("dot_input")

@@ -65,14 +65,19 @@ def test_join_errors(left3, right5):
         rel.join(left3, right5, [("k", "k")], "sideways")
     with pytest.raises(ValueError, match="pair of keys"):
         rel.join(left3, right5)
+    with pytest.raises(ValueError, match="pair of join columns"):
+        rel.join(left3, right5, ["k < k"])
+    assert rel.join(left3, right5, ["k == k"], left_cols={"k": "k"}, right_cols={"n": "n"}).count() == 4
     with pytest.raises(ValueError, match="no such join column"):
         rel.join(left3, right5, [("k", "k")], left_cols=[("k", "key")])
 
 
 def test_join_cross_and_hint(left3, right5):
     assert rel.join(left3, right5, how="cross").count() == 20
-    plan = rel.join(left3, right5, [("k", "k")], hint="broadcast")
-    assert "BroadcastHashJoin" in plan._jdf.queryExecution().toString()
+    plan = rel.join(left3, right5, [("k", "k")], hint="shuffle_hash")
+    assert "ShuffledHashJoin" in plan._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        rel.join(left3, right5, [("k", "k")], hint="broadcast")
 
 
 def test_salted_join_spreads_a_hot_key_and_copies(spark):
@@ -167,8 +172,11 @@ def test_sql(spark, left3, right5):
     views = {t.name for t in spark.catalog.listTables()}
     rel.sql_query("select 1 as one from {0}", left3).collect()
     assert {t.name for t in spark.catalog.listTables()} == views
+    braces = rel.sql_query(r"select max(regexp_extract('ab12345', '[0-9]{5}', 0)) as r, "
+                           "'{\"k\": {1}}' as j from {0}", left3)
+    assert tuple(braces.first()) == ("12345", '{"k": {1}}')
     with pytest.raises(ValueError):
-        rel.sql_query("select * from {1}", left3)
+        rel.sql_query("select 1")
 
 
 def test_row_index_with_ties(spark):

@@ -124,6 +124,12 @@ def test_preview(spark):
                    ("2", "null", "null", "null", "null", "null")]
 
 
+def test_schema_as_json(spark):
+    df = spark.createDataFrame([(1, ["a"])], "i int, `a.b` array<string>")
+    assert json.loads(prof.schema_json(df))["fields"][1] == {
+        "name": "a.b", "type": "array<string>", "nullable": True}
+
+
 def test_pages(spark):
     df = spark.range(250)
     pages = [[r["id"] for r in prof.page(df, [("id", "desc")], n, 30).collect()]
@@ -232,5 +238,17 @@ def test_regression_matches_spark(spark):
                          ("r2", "r2")]:
         assert row[name] == pytest.approx(RegressionEvaluator(metricName=metric).evaluate(df))
     assert json.loads(row["evaluate_result"])["metrics"][4]["name"] == "r2"
+    assert ev.evaluate(df, "regression", "prediction", "label").first() == row
     with pytest.raises(ValueError):
         ev.eval_regression(df, "nothing", "label")
+    with pytest.raises(ValueError):
+        ev.evaluate(df, "ranking", "prediction", "label")
+
+
+def test_matrix_of_many_classes_is_left_out(spark, monkeypatch):
+    df = spark.range(9).select(F.col("id").cast("double").alias("label"),
+                               (F.col("id") % 4).cast("double").alias("prediction"))
+    monkeypatch.setattr(ev, "MAX_MATRIX_CLASSES", 8)
+    row = ev.eval_multiclass(df, "prediction", "label").first()
+    assert row["accuracy"] == pytest.approx(4 / 9)
+    assert "confusionMatrix" not in json.loads(row["evaluate_result"])
