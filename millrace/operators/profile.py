@@ -133,28 +133,28 @@ def _bars(df: DataFrame, columns, stats: dict, buckets: int) -> DataFrame:
             edges += [(i, p, a, b) for p, (a, b) in enumerate(zip(marks, marks[1:]))]
             share = (value.cast("double") - F.lit(low)) / F.lit(high - low)
             bucket = F.least(F.floor(share * F.lit(buckets)), F.lit(buckets - 1))
-            key = F.when(value.isNotNull(), bucket).cast("string")
+            place, key = F.when(value.isNotNull(), bucket).cast("int"), F.lit(None).cast("string")
         else:
-            key = value.cast("string")
-        entries.append(F.struct(F.lit(i).alias("_c"), key.alias("_k")))
+            place, key = F.lit(None).cast("int"), value.cast("string")
+        entries.append(F.struct(F.lit(i).alias("_c"), place.alias("_p"), key.alias("_k")))
     schema = "column string, position int, x string, y bigint"
     if not entries:
         return spark.createDataFrame([], schema)
-    counts = (df.select(F.inline(F.array(*entries))).where(F.col("_k").isNotNull())
-              .groupBy("_c", "_k").agg(F.count(F.lit(1)).alias("_y")))
+    counts = (df.select(F.inline(F.array(*entries)))
+              .where(F.col("_p").isNotNull() | F.col("_k").isNotNull())
+              .groupBy("_c", "_p", "_k").agg(F.count(F.lit(1)).alias("_y")))
     # Only the largest counts of each column are shuffled; a column of ranges has no
     # more than that. What remains is columns x buckets rows.
-    order = Window.partitionBy("_c").orderBy(F.desc("_y"), F.asc("_k"))
+    order = Window.partitionBy("_c").orderBy(F.desc("_y"), F.asc("_k"), F.asc("_p"))
     top = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= buckets)
     # Empty buckets must appear as well.
-    ranges = spark.createDataFrame(edges, "_c int, _p int, _low double, _high double").withColumn(
-        "_k", F.col("_p").cast("string"))
+    ranges = spark.createDataFrame(edges, "_c int, _p int, _low double, _high double")
     labels = F.array(*[F.lit(c) for c in columns])
     span = F.concat_ws("-", F.col("_low").cast("string"), F.col("_high").cast("string"))
-    return ranges.join(top, ["_c", "_k"], "full").select(
+    return ranges.join(top, ["_c", "_p"], "full").select(
         F.element_at(labels, F.col("_c") + 1).alias("column"),
         F.coalesce(F.col("_p"), F.col("_r") - 1).alias("position"),
-        F.when(F.col("_p").isNull(), F.col("_k")).otherwise(span).alias("x"),
+        F.coalesce(F.col("_k"), span).alias("x"),
         F.coalesce("_y", F.lit(0)).alias("y"))
 
 

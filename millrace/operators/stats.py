@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -60,8 +61,8 @@ def quantiles(df: DataFrame, columns, probabilities, error: float = 0.0) -> Data
 
     NULL and NaN are left out. With an error above 0 a sketch of that relative
     error is used, one aggregation for all columns. With 0 the result is exact:
-    values are counted first and the counts summed up in value order, so that
-    no task sees a whole column.
+    a sketch narrows each quantile down to a few values, and only these are
+    counted and ordered; no task sees a whole column.
     """
     columns = names(columns)
     check_columns(df, columns)
@@ -88,29 +89,80 @@ def _sketched(numbers, columns, probabilities, error) -> DataFrame:
     return one_row.select(F.inline(rows))
 
 
+# The sketch that narrows exact quantiles down, and how far around a quantile
+# its values are kept: twice the error of the sketch.
+_SKETCH_ACCURACY = 10_000
+_MARGIN = 2.0 / _SKETCH_ACCURACY
+
+
 def _exact(numbers, columns, probabilities) -> DataFrame:
-    counts = (unpivot(numbers, numbers.columns, "_value", name_col="_column")
-              .where(F.col("_value").isNotNull())
-              .groupBy("_column", "_value").agg(F.count(F.lit(1)).alias("_n")))
-    summed = prefix_sums(counts, ["_column", "_value"], {"_upto": "_n"})
+    found = _ranked(numbers, probabilities, _bands(numbers, probabilities))
+    if any(cell["gap"] for row in found.values() for cell in row):
+        # The sketch was further off than it should be: order all values.
+        found = _ranked(numbers, probabilities, {})
+    none = [{"v": None}] * len(probabilities)
+    rows = [(p, *[found.get(x, none)[i]["v"] for x in numbers.columns])
+            for i, p in enumerate(probabilities)]
+    schema = "quantiles double" + "".join(f", {x} double" for x in numbers.columns)
+    return numbers.sparkSession.createDataFrame(rows, schema).toDF("quantiles", *columns)
+
+
+def _bands(numbers, probabilities) -> dict[str, list[tuple[float, float]]]:
+    """Per column, disjoint rising ranges of values that should hold the quantiles."""
+    lows = [max(p - _MARGIN, 0.0) for p in probabilities]
+    highs = [min(p + _MARGIN, 1.0) for p in probabilities]
+    edges = F.array(*[F.lit(e) for e in lows + highs])
+    sketch = numbers.agg(*[F.percentile_approx(c, edges, F.lit(_SKETCH_ACCURACY)).alias(c)
+                           for c in numbers.columns]).first()
+    bands = {}
+    for column, values in sketch.asDict().items():
+        if values is None:
+            continue
+        open_low = [v if e > 0.0 else -math.inf for v, e in zip(values, lows)]
+        open_high = [v if e < 1.0 else math.inf for v, e in zip(values[len(lows):], highs)]
+        merged: list[tuple[float, float]] = []
+        for low, high in sorted(zip(open_low, open_high)):
+            if merged and low <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+            else:
+                merged.append((low, high))
+        bands[column] = merged
+    return bands
+
+
+def _ranked(numbers, probabilities, bands) -> dict[str, list]:
+    """Per column, the value at each quantile's rank, and whether it is a gap.
+
+    A value outside the bands is counted under the end of the band below it, as
+    a gap, so that one aggregation has all ranks and few distinct values.
+    """
+    def place(x):
+        def entry(value, gap):
+            return F.struct(value.alias("v"), F.lit(gap).alias("gap"))
+        value, out, below = F.col(x), None, -math.inf
+        for low, high in bands.get(x, [(-math.inf, math.inf)]):
+            step = F.when if out is None else out.when
+            out = step(value < low, entry(F.lit(below), True)).when(
+                value <= high, entry(value, False))
+            below = high
+        return out.when(value.isNotNull(), entry(F.lit(below), True))
+
+    placed = unpivot(numbers.select([place(x).alias(x) for x in numbers.columns]),
+                     numbers.columns, "_value", name_col="_column")
+    counts = (placed.where(F.col("_value").isNotNull())
+              .groupBy("_column", "_value.v", "_value.gap").agg(F.count(F.lit(1)).alias("_n")))
+    summed = prefix_sums(counts, ["_column", "v", "gap"], {"_upto": "_n"})
     # One row per profiled column.
     spans = summed.groupBy("_column").agg(
         F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.max("_upto").alias("_end"))
-    ranked = summed.join(F.broadcast(spans), "_column").select(
-        "_column", "_value", (F.col("_upto") - F.col("_start")).alias("_rank"),
-        (F.col("_end") - F.col("_start")).alias("_size"))
-    size = F.col("_size")
-    cells = ranked.groupBy("_column").agg(*[
-        F.min(F.when(F.col("_rank") >= F.greatest(
-            size - F.floor(size - size * F.lit(p)), F.lit(1)), F.col("_value"))).alias(f"_p{i}")
-        for i, p in enumerate(probabilities)])
-    rows = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(p).alias("quantiles"),
-                              F.col(f"_p{i}").alias("_value"))
-                     for i, p in enumerate(probabilities)])
-    long = cells.select("_column", F.inline(rows))
-    wide = (long.groupBy("_i", "quantiles").pivot("_column", numbers.columns)
-            .agg(F.first("_value")))
-    return wide.select("quantiles", *[F.col(x).alias(c) for x, c in zip(numbers.columns, columns)])
+    rank, size = F.col("_upto") - F.col("_start"), F.col("_end") - F.col("_start")
+
+    def cell(p):
+        target = F.greatest(size - F.floor(size - size * F.lit(p)), F.lit(1))
+        return F.min(F.when(rank >= target, F.struct("v", "gap")))
+    result = (summed.join(F.broadcast(spans), "_column").groupBy("_column")
+              .agg(F.array(*[cell(p) for p in probabilities]).alias("cells")))
+    return {row["_column"]: row["cells"] for row in result.collect()}
 
 
 def freq_items(df: DataFrame, columns, support: float, exact: bool = False) -> DataFrame:

@@ -53,6 +53,16 @@ def test_exact_quantiles(spark, values, probabilities):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_exact_quantiles_when_the_sketch_is_off(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).cast("double").alias("x"))
+    want = [(0.1, 99.0), (0.5, 499.0), (1.0, 999.0)]
+    probabilities = [p for p, _ in want]
+    assert [tuple(r) for r in stats.quantiles(df, "x", probabilities).collect()] == want
+    for bands in ([(0.0, 10.0), (500.0, 600.0)], [(120.0, 130.0)], [(99.0, 99.0), (600.0, 999.0)]):
+        monkeypatch.setattr(stats, "_bands", lambda *_: {"_x0": bands})
+        assert [tuple(r) for r in stats.quantiles(df, "x", probabilities).collect()] == want
+
+
 def test_quantiles_leave_out_missing_values(spark):
     df = spark.createDataFrame([(1.0, 1), (float("nan"), None), (None, None), (3.0, 5)],
                                "x double, i int")
