@@ -239,6 +239,10 @@ def observe_counts(df: DataFrame, name: str = "counts") -> tuple[DataFrame, Obse
 
     After the job ``observation.get`` has ``rows`` and ``{column}_nulls``. The
     plan stays open to pushdown and pruning of what follows.
+
+    Spark 4.1 cannot score some classifiers in a session that has observed a
+    frame, as their training summaries drag the session along. Where a job
+    does both, read the observed frame through ``spark.newSession()``.
     """
     observation = Observation(name)
     metrics = [F.count(F.lit(1)).alias("rows")]

@@ -227,7 +227,8 @@ def preview(spark, folder):
 select count(*) as rows, count(*) filter (l_returnflag = 'N') as flag_nulls,
   0::bigint as quantity_nulls, sum(l_quantity) as total from lineitem""")
 def observe_counts(spark, folder):
-    lines = table(spark, folder, "lineitem").select(
+    # A session of its own; see observe_counts.
+    lines = table(spark.newSession(), folder, "lineitem").select(
         F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.col("l_quantity").alias("quantity"))
     watched, observation = prof.observe_counts(lines)
     total = watched.agg(F.sum("quantity").alias("total")).first()["total"]

@@ -84,7 +84,7 @@ def test_hash_stays_in_one_batch_step(spark):
 
 
 def test_observing_keeps_the_plan_open(spark):
-    watched, _ = prof.observe_counts(lines(spark).select("l_orderkey", "l_tax"))
+    watched, _ = prof.observe_counts(lines(spark.newSession()).select("l_orderkey", "l_tax"))
     schema = re.search(r"ReadSchema: struct<(.*?)>", physical(watched.where(F.col("l_tax") > 0)))
     assert "l_comment" not in schema.group(1) and schema.group(1).count(":") == 2
 
@@ -110,3 +110,8 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         util.scratch(Session, "x")
     assert util.scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_models_score_after_a_frame_was_observed(spark):
+    QUERIES["observe_counts"](spark, FOLDER).collect()
+    assert QUERIES["logreg"](spark, FOLDER).first()["n_bad_labels"] == 0

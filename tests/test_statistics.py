@@ -150,7 +150,8 @@ def test_pages(spark):
 
 
 def test_observed_counts(spark):
-    df = spark.createDataFrame([(1, None), (2, "x"), (None, None)], "a int, s string")
+    df = spark.newSession().createDataFrame([(1, None), (2, "x"), (None, None)],
+                                            "a int, s string")
     watched, seen = prof.observe_counts(df)
     watched.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 3, "a_nulls": 1, "s_nulls": 2}
