@@ -11,7 +11,7 @@ from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.ml.stages import configure
+from millrace.ml.stages import configure, record
 from millrace.operators.ordering import row_index
 from millrace.util import check_columns, col, names, pairs, require
 
@@ -22,8 +22,8 @@ def fit(df: DataFrame, stage):
 
 
 def apply(df: DataFrame, stage) -> DataFrame:
-    """Fit the stage if it must be fitted, then transform."""
-    return fit(df, stage).transform(df)
+    """Fit the stage if it must be fitted, note it for saving, and transform."""
+    return record(fit(df, stage)).transform(df)
 
 
 # --- Categories -------------------------------------------------------------
@@ -39,7 +39,8 @@ def string_index(df: DataFrame, columns, handle_invalid: str = "error",
 
     Ties go by the alphabet. NULL raises, is skipped or gets the next free index
     (``handle_invalid`` is error, skip or keep). A column with more than about
-    ``max_labels`` values is indexed by a join; its labels stay distributed.
+    ``max_labels`` values is indexed by a join; its labels stay distributed and
+    there is no stage to save.
     """
     columns = names(columns)
     check_columns(df, columns)
@@ -80,7 +81,7 @@ def index_to_string(df: DataFrame, column: str, out: str, model) -> DataFrame:
     """Map indices back to the labels of a fitted string indexer."""
     require(isinstance(model, StringIndexerModel), "a fitted StringIndexer is needed, not "
             f"{type(model).__name__}")
-    return mlf.IndexToString(inputCol=column, outputCol=out, labels=model.labels).transform(df)
+    return apply(df, mlf.IndexToString(inputCol=column, outputCol=out, labels=model.labels))
 
 
 def one_hot(df: DataFrame, columns, drop_last: bool = True,
@@ -213,7 +214,7 @@ def bucketize(df: DataFrame, columns, splits, handle_invalid: str = "error") ->
 def tokenize(df: DataFrame, columns) -> DataFrame:
     """Add ``{column}__output``: lower-case words, split at white space."""
     for column in names(columns):
-        df = mlf.Tokenizer(inputCol=column, outputCol=f"{column}__output").transform(df)
+        df = apply(df, mlf.Tokenizer(inputCol=column, outputCol=f"{column}__output"))
     return df
 
 
@@ -230,6 +231,10 @@ def hashing_tf(df: DataFrame, column: str, out: str, **params) -> DataFrame:
     return apply(df, configure(mlf.HashingTF(inputCol=column, outputCol=out), **params))
 
 
+# Fixed value: Spark's default for maxDF, which stands for no limit.
+MAX_DOCUMENTS = float(2**63 - 1)
+
+
 def count_vectorize(df: DataFrame, column: str, out: str, **params) -> DataFrame:
     """Term counts over the most frequent words (``vocabSize``, ``minDF``, ``maxDF``,
     ``minTF``, ``binary``).
@@ -239,23 +244,25 @@ def count_vectorize(df: DataFrame, column: str, out: str, **params) -> DataFrame
     words reach the driver.
     """
     stage = configure(mlf.CountVectorizer(inputCol=column, outputCol=out), **params)
+    least, most = stage.getMinDF(), stage.getMaxDF()
     words = col(column)
-    one, none = F.lit(1).alias("df"), F.lit(0).alias("df")
-    tokens = F.concat(
-        F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("tf"), none)),
-        F.transform(F.array_distinct(words),
-                    lambda w: F.struct(w.alias("word"), F.lit(0).alias("tf"), one)))
+    tokens = F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("tf"),
+                                                   F.lit(0).alias("df")))
+    if least != 1.0 or most < MAX_DOCUMENTS:
+        tokens = F.concat(tokens, F.transform(F.array_distinct(words), lambda w: F.struct(
+            w.alias("word"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
+        documents = df.count() if min(least, most) < 1.0 else 1
+        bounds = [b * documents if b < 1.0 else b for b in (least, most)]
+    else:
+        bounds = [0, 0]  # every word that occurs will do
     counts = df.select(F.inline(tokens)).groupBy("word").agg(
         F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    least, most = stage.getMinDF(), stage.getMaxDF()
-    documents = df.count() if min(least, most) < 1.0 else 1
-    bounds = [b * documents if b < 1.0 else b for b in (least, most)]
     kept = counts.where(F.col("df").between(*bounds)).orderBy(F.desc("tf"), "word").limit(
         stage.getVocabSize())
     vocabulary = [row["word"] for row in kept.select("word").collect()]
     require(bool(vocabulary), "the vocabulary is empty; lower minDF")
     model = mlf.CountVectorizerModel.from_vocabulary(vocabulary, inputCol=column, outputCol=out)
-    return model.setMinTF(stage.getMinTF()).setBinary(stage.getBinary()).transform(df)
+    return apply(df, model.setMinTF(stage.getMinTF()).setBinary(stage.getBinary()))
 
 
 def word2vec(df: DataFrame, column: str, out: str, **params) -> DataFrame:

@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.ml.param import Params
 
 from millrace.util import require
 
+_recorder: ContextVar[list | None] = ContextVar("recorder", default=None)
+
+
+@contextmanager
+def recording():
+    """Collect the fitted stages of the operators used inside, in order.
+
+    ``with recording() as stages:`` gives a list that, together with a trained
+    model, can be saved as one pipeline.
+    """
+    stages: list = []
+    token = _recorder.set(stages)
+    try:
+        yield stages
+    finally:
+        _recorder.reset(token)
+
+
+def record(stage):
+    """Note a fitted stage if someone is collecting them."""
+    stages = _recorder.get()
+    if stages is not None:
+        stages.append(stage)
+    return stage
+
 
 def configure(stage: Params, **params) -> Params:
     """Set parameters by name; None leaves the default.

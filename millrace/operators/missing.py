@@ -6,13 +6,14 @@ from decimal import Decimal
 
 from pyspark import keyword_only
 from pyspark.ml import Transformer
-from pyspark.ml.feature import Imputer
+from pyspark.ml.feature import Imputer, SQLTransformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.ml.stages import record
 from millrace.util import check_columns, col, names, pairs, quoted, require
 
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -39,7 +40,10 @@ def fillna(df: DataFrame, values) -> DataFrame:
 
     Names that the input lacks are ignored.
     """
-    wanted = dict(pairs(values))
+    return record(FillNa(values=values)).transform(df)
+
+
+def _filled(df: DataFrame, wanted: dict) -> DataFrame:
     out = []
     for field in df.schema:
         source = col(field.name)
@@ -70,7 +74,7 @@ class FillNa(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return self.getOrDefault(self.values)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return fillna(dataset, self.getValues())
+        return _filled(dataset, self.getValues())
 
 
 def dropna(df: DataFrame, columns, how="any") -> DataFrame:
@@ -99,9 +103,12 @@ def impute(df: DataFrame, columns, strategy: str = "mean") -> DataFrame:
     columns = names(columns)
     check_columns(df, columns)
     require(strategy in ("mean", "median"), f"unknown strategy: {strategy}")
-    inputs = [f"_impute{i}" for i in range(len(columns))]
-    widened = df.select("*", *[
-        col(c).alias(i) if isinstance(df.schema[c].dataType, _FLOATING)
-        else col(c).cast("double").alias(i) for c, i in zip(columns, inputs)])
-    imputer = Imputer(strategy=strategy, inputCols=inputs, outputCols=[f"{c}_I" for c in columns])
-    return imputer.fit(widened).transform(widened).drop(*inputs)
+    whole = {c: f"_impute{i}" for i, c in enumerate(columns)
+             if not isinstance(df.schema[c].dataType, _FLOATING)}
+    widened = df
+    if whole:
+        casts = ", ".join(f"CAST({quoted(c)} AS DOUBLE) AS {name}" for c, name in whole.items())
+        widened = record(SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__")).transform(df)
+    imputer = Imputer(strategy=strategy, inputCols=[whole.get(c, c) for c in columns],
+                      outputCols=[f"{c}_I" for c in columns])
+    return record(imputer.fit(widened)).transform(widened).drop(*whole.values())

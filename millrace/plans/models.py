@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.ml import features as fe
 from millrace.ml.models import make_estimator, score, train, tune
 from millrace.ml.persist import fitted_stages, load_fitted, save_fitted
+from millrace.ml.stages import recording
 from millrace.operators import missing
 from millrace.operators.relational import group_agg, join
 from millrace.plans.registry import query, table
@@ -439,3 +440,25 @@ def fitted_stages_query(spark, folder):
     _, model = _fitted(spark, folder)
     return fitted_stages(spark, model).select("position", "name",
                                               F.array_join("inputs", ",").alias("inputs"))
+
+
+@query("recorded_stages", """
+select count(*) as n, 0::bigint as n_changed, 4 as n_stages from lineitem""")
+def recorded_stages(spark, folder):
+    """The stages of feature operators, saved with the model they lead to."""
+    lines = table(spark, folder, "lineitem").withColumns({
+        "quantity": F.when(F.col("l_linenumber") > 1, F.col("l_quantity")),
+        "label": F.col("l_extendedprice")})
+    with recording() as stages:
+        prepared = fe.string_index(missing.fillna(lines, {"quantity": 10.0}), "l_returnflag")
+        prepared = fe.assemble(prepared, ["quantity", "l_returnflag_IDX"], "features")
+    model = train(make_estimator("linear_regression", solver="normal"), prepared)
+    path = scratch(spark, "model")
+    save_fitted([*stages, model], path)
+    loaded = load_fitted(path)
+    once = score(model, prepared).withColumnRenamed("prediction", "before").drop(
+        "features", "l_returnflag_IDX")
+    return score(loaded, once).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.col("before").eqNullSafe(F.col("prediction"))).alias("n_changed"),
+        F.lit(len(loaded.stages)).alias("n_stages"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +89,14 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None)
             reader.option("numFeatures", num_features)).load(path)
 
 
+def day_segment(choice: str, today: datetime.date | None = None) -> str:
+    """The day part of a path: yesterday for ``current``, ``history``, or ``*`` for ``all``."""
+    require(choice in ("current", "history", "all"), f"unknown choice of days: {choice}")
+    if choice == "current":
+        return f"{(today or datetime.date.today()) - datetime.timedelta(days=1):%Y%m%d}"
+    return "*" if choice == "all" else choice
+
+
 def read_keyed_binary(spark: SparkSession, path: str, key_pattern: str = "([^_]+)_(.+)",
                       key_names=("spu_id", "goods_no"), path_pattern: str | None = None,
                       path_names=(), values=None, layout: str = "sequence") -> DataFrame:
@@ -94,7 +104,7 @@ def read_keyed_binary(spark: SparkSession, path: str, key_pattern: str = "([^_]+
 
     ``layout`` is ``sequence`` for sequence files of (text, bytes), or ``files``
     for one value per file, whose name is the key. ``values`` fills the
-    ``{name}`` places of the path; a place may hold ``*``. The groups of
+    ``{name}`` places of the path; a place may hold ``*`` or a ``day_segment``. The groups of
     ``key_pattern`` and ``path_pattern`` become the columns ``key_names`` and
     ``path_names``.
     """

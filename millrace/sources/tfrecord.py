@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage)
@@ -271,6 +272,31 @@ def _shaped(values, kind: T.DataType):
     return values[0].decode() if isinstance(kind, T.StringType) else values[0]
 
 
+# What inference asks of the reader: one row per feature and shape that occurs.
+SHAPES = T.StructType([
+    T.StructField("feature", T.StringType()), T.StructField("kind", T.IntegerType()),
+    T.StructField("depth", T.IntegerType())])
+
+# The kinds of feature in the record format.
+KINDS = {1: T.StringType(), 2: T.FloatType(), 3: T.LongType()}
+
+
+def shapes(records: list[bytes]) -> list[tuple]:
+    """(feature, kind, depth) that occur; depth 0 is one value, 1 a list, 2 a list of lists."""
+    seen = set()
+    for record in records:
+        for number, _, content in _fields(record):
+            for name, value in _entries(content):
+                if number == 1:
+                    for kind, _, _ in _fields(value):
+                        seen.add((name, kind, int(len(decode_feature(value)) != 1)))
+                else:
+                    for _, _, feature in _fields(value):
+                        for kind, _, _ in _fields(feature):
+                            seen.add((name, kind, 2))
+    return [(name.decode(), kind, depth) for name, kind, depth in seen]
+
+
 # --- The data source --------------------------------------------------------
 
 def _filesystem(path: str):
@@ -308,8 +334,8 @@ class _Written(WriterCommitMessage):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType):
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, schema: T.StructType, describe: bool):
+        self.path, self.schema, self.describe = path, schema, describe
 
     def partitions(self):
         return [_File(f) for f in _files(self.path)]
@@ -320,7 +346,10 @@ class _Reader(DataSourceReader):
         system, _ = _filesystem(self.path)
         with system.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
             for bodies in unframe(stream):
-                columns = decode_batch(bodies, self.schema)
+                if self.describe:
+                    columns = list(zip(*shapes(bodies))) or [[]] * len(SHAPES)
+                else:
+                    columns = decode_batch(bodies, self.schema)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -367,7 +396,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class TfRecordSource(DataSource):
-    """Options: ``path`` and ``recordType``."""
+    """Options: ``path``, ``recordType`` and ``describe`` (shapes instead of records)."""
 
     @classmethod
     def name(cls):
@@ -383,7 +412,8 @@ class TfRecordSource(DataSource):
 
     def reader(self, schema):
         self._record_type()
-        return _Reader(self.options["path"], schema)
+        describe = self.options.get("describe", "false") == "true"
+        return _Reader(self.options["path"], schema, describe)
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], schema, self._record_type(), overwrite)
@@ -398,8 +428,33 @@ def _check(kind: T.DataType, depth_left: int) -> None:
                 f"{kind.simpleString()} is not supported in TFRecord; cast it first")
 
 
-def read_tfrecord(spark: SparkSession, path: str, schema, record_type: str = "Example"):
-    """Records with the given schema of text, float, int and long values and lists."""
+def infer_schema(spark: SparkSession, path: str, record_type: str = "Example") -> T.StructType:
+    """The schema of the records, in the order of the feature names, from one pass over all.
+
+    A feature with one value in every record is a plain column, else a list.
+    """
+    spark.dataSource.register(TfRecordSource)
+    found = (spark.read.format("tfrecords").schema(SHAPES).option("recordType", record_type)
+             .option("describe", "true").load(path)
+             .groupBy("feature").agg(F.max("depth").alias("depth"),
+                                     F.collect_set("kind").alias("kinds")))
+    schema = T.StructType()
+    for row in sorted(found.collect()):  # one row per feature
+        require(len(row["kinds"]) == 1, f"feature {row['feature']} has values of several kinds")
+        kind = KINDS[row["kinds"][0]]
+        for _ in range(row["depth"]):
+            kind = T.ArrayType(kind)
+        schema.add(row["feature"], kind)
+    return schema
+
+
+def read_tfrecord(spark: SparkSession, path: str, schema=None, record_type: str = "Example"):
+    """Records of text, float, int and long values and lists.
+
+    Without a schema an extra pass over the records finds it.
+    """
+    if schema is None:
+        schema = infer_schema(spark, path, record_type)
     spark.dataSource.register(TfRecordSource)
     return (spark.read.format("tfrecords").schema(schema)
             .option("recordType", record_type).load(path))

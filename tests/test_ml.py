@@ -149,3 +149,18 @@ def test_saved_stages(spark, wide, tmp_path):
         save_fitted(model, path, True, uids=["x"])
     with pytest.raises(ValueError, match="at least one"):
         save_fitted([], path, True)
+
+
+def test_recorded_stages(spark, wide):
+    from millrace.ml.stages import recording
+    from millrace.operators.missing import fillna, impute
+    words = spark.createDataFrame([("a b a", 1), ("b c", None)], "t string, i int")
+    with recording() as stages:
+        df = impute(fillna(words, {"t": ""}), ["i"])
+        df = fe.count_vectorize(fe.tokenize(df, "t"), "t__output", "v")
+    assert [type(s).__name__ for s in stages] == [
+        "FillNa", "SQLTransformer", "ImputerModel", "Tokenizer", "CountVectorizerModel"]
+    again = PipelineModel(stages).transform(words).select(df.columns)
+    assert again.collect() == df.collect()
+    fe.tokenize(words, "t")
+    assert len(stages) == 5

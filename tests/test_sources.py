@@ -184,3 +184,27 @@ def test_tfrecord_sequences_and_types(spark, tmp_path):
         tfrecord.write_tfrecord(spark.range(1).select(F.lit(1.5).alias("d")), path, "overwrite")
     with pytest.raises(ValueError, match="record type"):
         tfrecord.write_tfrecord(df, path, "overwrite", "Other")
+
+
+def test_tfrecord_schema_is_found(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(1, "x", 0.5, [1, 2], [["a"], ["b", "c"]]), (2, None, 1.5, [3], [[]])],
+        "i bigint, s string, f float, v array<bigint>, w array<array<string>>").repartition(2)
+    path = str(tmp_path / "q")
+    tfrecord.write_tfrecord(df, path, "error", "SequenceExample")
+    back = tfrecord.read_tfrecord(spark, path, record_type="SequenceExample")
+    assert back.columns == ["f", "i", "s", "v", "w"]
+    assert dict(back.dtypes) == dict(df.dtypes)
+    assert rows(back.select(df.columns)) == rows(df)
+    mixed = spark.createDataFrame([("text",)], "i string")
+    tfrecord.write_tfrecord(mixed, path, "append", "SequenceExample")
+    with pytest.raises(ValueError, match="several kinds"):
+        tfrecord.read_tfrecord(spark, path, record_type="SequenceExample")
+
+
+def test_day_segment():
+    import datetime
+    assert readers.day_segment("current", datetime.date(2024, 3, 1)) == "20240229"
+    assert (readers.day_segment("history"), readers.day_segment("all")) == ("history", "*")
+    with pytest.raises(ValueError):
+        readers.day_segment("tomorrow")
