@@ -143,21 +143,21 @@ def io_tfrecord(spark, folder):
 
 
 @query("io_tfrecord_sequence", """
-select conv_id, list(turn order by turn)[1] as first_turn, count(*)::int as turns,
-  sum(len(string_split(text, ' ')))::bigint as words
-from conversations group by conv_id""")
+select doc_id, lang, len(lines)::int as lines,
+  list_sum(list_transform(lines, lambda l: len(string_split(l, ' '))))::bigint as words,
+  md5(array_to_string(lines, chr(10))) as digest
+from (select doc_id, lang, string_split(text, chr(10)) as lines from documents)""")
 def io_tfrecord_sequence(spark, folder):
     path = scratch(spark, "tfrecord")
-    # A conversation is the natural unit here and holds a handful of turns.
-    talks = (table(spark, folder, "conversations").groupBy("conv_id")
-             .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-             .select("conv_id", F.col("t.turn").alias("turns"),
-                     F.transform("t.text", lambda x: F.split(x, " ")).alias("words")))
-    tfrecord.write_tfrecord(talks, path, "overwrite", "SequenceExample")
-    back = tfrecord.read_tfrecord(spark, path, talks.schema, "SequenceExample")
+    lines = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    documents = table(spark, folder, "documents").select("doc_id", "lang", lines.alias("words"))
+    tfrecord.write_tfrecord(documents, path, "overwrite", "SequenceExample")
+    back = tfrecord.read_tfrecord(spark, path, record_type="SequenceExample")
+    text = F.array_join(F.transform("words", lambda line: F.array_join(line, " ")), "\n")
     return back.select(
-        "conv_id", F.get("turns", F.lit(0)).alias("first_turn"), F.size("turns").alias("turns"),
-        F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + F.size(w)).alias("words"))
+        "doc_id", "lang", F.size("words").alias("lines"),
+        F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + F.size(w)).alias("words"),
+        F.md5(text.cast("binary")).alias("digest"))
 
 
 @query("io_binary_keyed", """

@@ -361,16 +361,15 @@ def fp_rules(spark, folder):
 
 @query("als", """
 select count(*) as n, 0::bigint as n_missing, true as beats_mean
-from (select o_custkey, l_partkey % 500 as item from orders join lineitem on l_orderkey = o_orderkey
+from (select o_custkey, l_partkey from orders join lineitem on l_orderkey = o_orderkey
       group by 1, 2)""")
 def als(spark, folder):
     bought = join(table(spark, folder, "orders"), table(spark, folder, "lineitem"),
                   [("o_orderkey", "l_orderkey")],
                   left_cols=[("o_orderkey", "o_orderkey"), ("o_custkey", "customer")],
-                  right_cols=[("l_orderkey", "l_orderkey"), ("l_partkey", "l_partkey"),
+                  right_cols=[("l_orderkey", "l_orderkey"), ("l_partkey", "item"),
                               ("l_quantity", "l_quantity")])
-    ratings = group_agg(bought.withColumn("item", F.col("l_partkey") % 500), ["customer", "item"],
-                        [("l_quantity", "avg", "rating")]).select(
+    ratings = group_agg(bought, ["customer", "item"], [("l_quantity", "avg", "rating")]).select(
         F.col("customer").cast("int").alias("customer"), F.col("item").cast("int").alias("item"),
         "rating")
     model = train(make_estimator("als", userCol="customer", itemCol="item", ratingCol="rating",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import relational as rel
 from millrace.operators import reshape, sampling
-from millrace.operators.columns import filter_all
+from millrace.operators.columns import filter_all, with_expr
 from millrace.operators.ordering import row_index, zip_columns
 from millrace.plans.registry import query, table
 
@@ -46,28 +46,29 @@ def revenue_by_nation(spark, folder):
 
 ORDER_COLS = [("o_orderkey", "order_key"), ("o_custkey", "buyer"), ("o_totalprice", "price")]
 CUSTOMER_COLS = [("c_custkey", "customer"), ("c_mktsegment", "segment")]
-ON_CUSTOMER = [("buyer", "customer")]
+# Large orders meet only customers with a high balance, so both sides have unmatched rows.
+ON_CUSTOMER = ["buyer == customer", "large == rich"]
 
 
-def _urgent(spark, folder):
-    return table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'")
+def _orders(spark, folder):
+    return with_expr(table(spark, folder, "orders"), "large", "o_totalprice > 450000")
 
 
-def _builders(spark, folder):
-    return table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'")
+def _customers(spark, folder):
+    return with_expr(table(spark, folder, "customer"), "rich", "c_acctbal > 4500")
 
 
 def _join_sql(kind: str, columns="order_key, buyer, price, customer, segment") -> str:
     return f"""
-with l as (select o_orderkey as order_key, o_custkey as buyer, o_totalprice as price from orders
-           where o_orderpriority = '1-URGENT'),
-  r as (select c_custkey as customer, c_mktsegment as segment from customer
-        where c_mktsegment = 'BUILDING')
-select {columns} from l {kind} join r on buyer = customer"""
+with l as (select o_orderkey as order_key, o_custkey as buyer, o_totalprice as price,
+             o_totalprice > 450000 as large from orders),
+  r as (select c_custkey as customer, c_mktsegment as segment, c_acctbal > 4500 as rich
+        from customer)
+select {columns} from l {kind} join r on buyer = customer and large = rich"""
 
 
 def _joined(spark, folder, how, **options):
-    return rel.join(_urgent(spark, folder), _builders(spark, folder), ON_CUSTOMER, how,
+    return rel.join(_orders(spark, folder), _customers(spark, folder), ON_CUSTOMER, how,
                     ORDER_COLS, CUSTOMER_COLS, **options)
 
 

@@ -34,18 +34,18 @@ def vector_dot(spark, folder):
 
 
 @query("vector_sum_normalize", """
-with s as (select vec_id % 50 as bucket, slot, sum(x) as x
-  from (select vec_id, unnest(embedding)::double as x,
+with s as (select label, slot, sum(x) as x
+  from (select label, unnest(embedding)::double as x,
           unnest(generate_series(0, len(embedding) - 1))::int as slot from embeddings)
   group by 1, 2),
-n as (select bucket, sqrt(sum(x * x)) as length from s group by bucket)
-select bucket, slot, round(x / length, 6) as x from s join n using (bucket)""")
+n as (select label, sqrt(sum(x * x)) as length from s group by label)
+select label, slot, round(x / length, 6) as x from s join n using (label)""")
 def vector_sum_normalize(spark, folder):
     keyed = table(spark, folder, "embeddings").select(
-        (F.col("vec_id") % 50).alias("bucket"),
+        "label",
         array_to_vector(F.col("embedding").cast("array<double>")).alias("embedding"))
-    sums = vectors.normalized_sums(keyed, "bucket", "embedding", "direction")
-    return sums.select("bucket", F.posexplode("direction").alias("slot", "x")).withColumn(
+    sums = vectors.normalized_sums(keyed, "label", "embedding", "direction")
+    return sums.select("label", F.posexplode("direction").alias("slot", "x")).withColumn(
         "x", F.round("x", 6))
 
 
