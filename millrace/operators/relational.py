@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.columns import select_as
 from millrace.util import check_columns, col, fresh, names, pairs, quoted, require, salt
@@ -120,14 +121,22 @@ def union_rows(left: DataFrame, right: DataFrame, left_cols=None, right_cols=Non
     """Stack two frames by position, keeping duplicates.
 
     The frame with more columns comes first and gives the names; the other one
-    is filled up on its right with NULLs.
+    is filled up on its right with NULLs. Where text meets another type, both
+    become text.
     """
     left = left if left_cols is None else select_as(left, left_cols)
     right = right if right_cols is None else select_as(right, right_cols)
     wide, narrow = (left, right) if len(left.columns) >= len(right.columns) else (right, left)
     missing = wide.schema.fields[len(narrow.columns):]
-    padded = narrow.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
-    return wide.union(padded)
+    mixed = [isinstance(a.dataType, T.StringType) != isinstance(b.dataType, T.StringType)
+             for a, b in zip(wide.schema, narrow.schema)]
+
+    def aligned(df):
+        flags = mixed + [False] * len(df.columns)
+        return [col(c).cast("string").alias(c) if flag else col(c)
+                for c, flag in zip(df.columns, flags)]
+    padding = [F.lit(None).cast(f.dataType).alias(f.name) for f in missing]
+    return wide.select(aligned(wide)).union(narrow.select(aligned(narrow) + padding))
 
 
 def distinct(df: DataFrame, columns, order_by=None) -> DataFrame:

@@ -97,6 +97,12 @@ def test_union_pads_by_position(left3, right5):
     assert rel.union_rows(left3, left3).count() == 10
 
 
+def test_union_of_text_and_numbers(spark):
+    a = spark.createDataFrame([(1, "x")], "i int, s string")
+    b = spark.createDataFrame([("y", 2.5, True)], "t string, d double, f boolean")
+    assert rows(rel.union_rows(a, b)) == [("1", "x", None), ("y", "2.5", True)]
+
+
 def test_distinct(spark):
     df = spark.createDataFrame([(1, 5, "x"), (1, 3, "y"), (2, 9, "z"), (1, 5, "w")],
                                "k int, v int, s string")
@@ -187,6 +193,16 @@ def test_row_index_with_ties(spark):
         sorted(got, key=lambda r: r["index"]))))
 
 
+def test_row_index_with_vectors_and_maps(spark):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(i % 2, Vectors.dense(i), {"a": i}) for i in range(20)],
+                               ["k", "v", "m"])
+    got = row_index(df, [("k", "desc_nulls_last")]).collect()
+    assert sorted(r["index"] for r in got) == list(range(20))
+    assert {r["v"][0] for r in got} == {float(i) for i in range(20)}
+    assert all((r["k"] == 1) == (r["index"] < 10) and r["m"]["a"] == r["v"][0] for r in got)
+
+
 def test_prefix_sums(spark):
     df = spark.range(500, numPartitions=5).select((F.col("id") * 37 % 500).alias("k"),
                                                   (F.col("id") % 7).alias("v"))
