@@ -177,27 +177,38 @@ def standard_scale(spark, folder):
     return scaled.select(*LINE, _element("s", 0).alias("a"), _element("s", 1).alias("b"))
 
 
-@query("pca", """
-select count(*) as n, 3 as k, true as ordered, true as independent from embeddings""")
+# All components together are a rotation: the total variance stays what it was.
+@query("pca", f"""
+select (select count(*) from embeddings) as n, max(slot) + 1 as k, true as ordered,
+  true as independent, round(sum(v), 6) as total
+from (select slot, var_samp(x) as v from ({SLOTS}) group by slot)""")
 def pca(spark, folder):
-    projected = fe.pca(_embeddings(spark, folder), "features", 3, "pc")
-    parts = projected.select(F.size(vector_to_array("pc")).alias("k"),
-                             *[F.get(vector_to_array("pc"), F.lit(i)).alias(f"c{i}")
-                               for i in range(3)])
-    facts = parts.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"),
-                      *[F.var_samp(f"c{i}").alias(f"v{i}") for i in range(3)],
-                      F.corr("c0", "c1").alias("r"))
-    return facts.select("n", "k", ((F.col("v0") >= F.col("v1")) & (F.col("v1") >= F.col("v2")))
-                        .alias("ordered"), (F.abs("r") < 1e-6).alias("independent"))
+    projected = fe.pca(_embeddings(spark, folder), "features", 64, "pc")
+    return _rotation(projected, "pc", 64, 6)
 
 
 @query("pca_cols", """
-select count(*) as n, round(stddev_samp(l_quantity) * 0 + 2, 1) as k from lineitem""")
+select count(*) as n, 3 as k, true as ordered, true as independent,
+  round(var_samp(l_quantity) + var_samp(l_extendedprice / 1000) + var_samp(l_tax), 4) as total
+from lineitem""")
 def pca_cols(spark, folder):
-    projected = fe.pca(table(spark, folder, "lineitem"),
-                       ["l_quantity", "l_discount", "l_tax"], 2)
-    return projected.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_to_array(
-        "l_quantity_l_discount_l_tax_P"))).cast("double").alias("k"))
+    lines = table(spark, folder, "lineitem").withColumn("price", F.col("l_extendedprice") / 1000)
+    projected = fe.pca(lines, ["l_quantity", "price", "l_tax"], 3)
+    return _rotation(projected, "l_quantity_price_l_tax_P", 3, 4)
+
+
+def _rotation(projected, vector, k, digits):
+    values = vector_to_array(vector)
+    parts = projected.select(F.size(values).alias("k"),
+                             *[F.get(values, F.lit(i)).alias(f"c{i}") for i in range(k)])
+    facts = parts.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"),
+                      F.array(*[F.var_samp(f"c{i}") for i in range(k)]).alias("v"),
+                      F.covar_samp("c0", "c1").alias("c"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return facts.select(
+        "n", "k", (F.reverse(F.array_sort(F.transform("v", lambda x: F.round(x, 9))))
+                   == F.transform("v", lambda x: F.round(x, 9))).alias("ordered"),
+        (F.abs("c") < 1e-6 * total).alias("independent"), F.round(total, digits).alias("total"))
 
 
 @query("vector_index", f"""

@@ -282,8 +282,8 @@ def kmeans(spark, folder):
                         F.count_if(own > F.array_min("d") + 1e-9).alias("n_not_nearest"))
 
 
-@query("bisecting_kmeans", CLUSTERS)
-def bisecting_kmeans(spark, folder):
+@query("bisecting", CLUSTERS)
+def bisecting(spark, folder):
     return _clustered(_embeddings(spark, folder), "bisecting_kmeans", 4, seed=1, maxIter=5)
 
 
