@@ -12,13 +12,13 @@ import posixpath
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.text import partitions, rank_among
-from millrace.util import col, require
+from millrace.util import col
 
-MANIFEST = "shard int, part int, temporary string, name string, records long, bytes long"
+MANIFEST = "shard int, part int, temporary string, name string, records long, units long, bytes long"
 _FIELDS = [c.split() for c in MANIFEST.split(", ")]
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 MANIFEST_ARROW = pa.schema([(n, _ARROW[t]) for n, t in _FIELDS])
@@ -75,14 +75,15 @@ class ShardFiles:
     def open(self, shard: int, part: int):
         self.row = {"shard": shard, "part": part,
                     "temporary": f"_temporary/{shard:06d}-{part:05d}-{self.attempt}{self.suffix}",
-                    "name": f"shard-{shard:06d}-{part:05d}{self.suffix}", "records": 0, "bytes": 0}
+                    "name": f"shard-{shard:06d}-{part:05d}{self.suffix}", "records": 0, "units": 0, "bytes": 0}
         self.stream = self.system.open_output_stream(
             posixpath.join(self.root, self.row["temporary"]))
 
-    def write(self, data: bytes, records: int = 1) -> int:
-        """Append, and return the size of the file so far."""
+    def write(self, data: bytes, records: int = 1, units: int = 0) -> int:
+        """Append, and return the size of the file so far. Units are what the format counts."""
         self.stream.write(data)
         self.row["records"] += records
+        self.row["units"] += units
         self.row["bytes"] += len(data)
         return self.row["bytes"]
 
@@ -129,9 +130,22 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str, reader: Callable, schema: str) -> DataFrame:
-    """Read the files that the manifest lists, each by one task."""
+    """Read the files that the manifest lists, each by one task.
+
+    The reader gets shard, part, name and the number of units in earlier files. The sums run over
+    files: first within a shard, then over one row per shard, of which there are as many as
+    partitions.
+    """
     root = qualified(spark, root)
     listed = manifest(spark, root)
-    require(set(listed.columns) == {n for n, _ in _FIELDS}, "no manifest")
-    return (listed.select("shard", "part", "name")
-            .repartition(partitions(spark), "shard", "part").mapInArrow(reader(root), schema))
+    before = (Window.unboundedPreceding, -1)
+    shards = listed.groupBy("shard").agg(F.sum("units").alias("of_shard")).select(
+        "shard", F.coalesce(F.sum("of_shard").over(Window.orderBy("shard").rowsBetween(*before)),
+                            F.lit(0)).alias("shards_before"))
+    inside = Window.partitionBy("shard").orderBy("part").rowsBetween(*before)
+    placed = (listed.withColumn("parts_before", F.coalesce(F.sum("units").over(inside), F.lit(0)))
+              .join(shards, "shard")
+              .select("shard", "part", "name",
+                      (F.col("shards_before") + F.col("parts_before")).alias("before")))
+    return (placed.repartition(partitions(spark), "shard", "part")
+            .mapInArrow(reader(root), schema))
