@@ -1,9 +1,11 @@
 """N-gram Jaccard join with prefix filters under several global orders of the shingles.
 
 If two sets have a Jaccard similarity of at least t, then under any order of all shingles they share
-one of the first n - ceil(t * n) + 1 shingles of each. Candidates are found by the first order: rare
-shingles before frequent ones, then by hash. They must also share prefix shingles under every other
-order (hash orders with seeds of their own) before their texts are compared in full.
+one of the first n - ceil(t * n) + 1 shingles of each. More exactly: a pair of sizes n and m needs an
+overlap of a = ceil(t / (1 + t) * (n + m)), so its first common shingle is among the first n - a + 1
+of the one and m - a + 1 of the other. Candidates are found by the first order: rare shingles before
+frequent ones, then by hash. They must also pass this test under every other order (hash orders with
+seeds of their own) before their texts are compared in full.
 
 No group is expanded into all its pairs:
 * documents with the same words are one node from the start;
@@ -52,15 +54,14 @@ def similar(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def _order(tokens: np.ndarray, seed: int) -> np.ndarray:
-    return shingles.mix(tokens ^ np.uint64(seed))
+def least_overlap(a: int, b: int, percent: int) -> int:
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def _first(tokens: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    """The n tokens with the smallest keys."""
-    if n >= len(tokens):
-        return tokens
-    return tokens[np.argpartition(keys, n - 1)[:n]]
+def prefix_under(tokens: np.ndarray, seed: int, n: int) -> np.ndarray:
+    """The n smallest keys of the tokens under another order, ascending."""
+    keys = shingles.mix(tokens ^ np.uint64(seed))
+    return np.sort(keys if n >= len(keys) else np.partition(keys, n - 1)[:n])
 
 
 def rare_first(tokens: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
@@ -145,27 +146,29 @@ def _profile_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _shared_buckets(rows: DataFrame) -> DataFrame:
-    """(token, node, n_shingles, pivot, n_pivot) of the buckets with two nodes or more.
+    """(token, node, n_shingles, place, pivot, n_pivot) of the buckets with two nodes or more.
+
+    ``place`` is the token's place in the node's order.
 
     The rows come sorted by token, so a task holds one row of a bucket at a time; the pivot is the
     bucket's smallest node.
     """
-    names = ["token", "node", "n_shingles", "pivot", "n_pivot"]
+    names = ["token", "node", "n_shingles", "place", "pivot", "n_pivot"]
 
     def run(batches):
         last, first, alone = None, None, True  # the token before, and its first row
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in names[:3])):
+            for row in zip(*(batch.column(c).to_pylist() for c in names[:4])):
                 if row[0] != last:
                     last, first, alone = row[0], row, True
                 elif row[1] != first[1]:
                     if alone:
-                        out.append((*first, *first[1:]))
+                        out.append((*first, *first[1:3]))
                         alone = False
-                    out.append((*row, *first[1:]))
+                    out.append((*row, *first[1:3]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=names)
+                [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 6)], names=names)
 
     placed = rows.repartition(partitions(rows.sparkSession), "token")
     return placed.sortWithinPartitions("token", "node").mapInArrow(
@@ -174,7 +177,7 @@ def _shared_buckets(rows: DataFrame) -> DataFrame:
 
 def _between_components(buckets: DataFrame, component: DataFrame, number: int) -> DataFrame:
     """The buckets that hold more than one component, with another pivot."""
-    placed = (buckets.select("token", "node", "n_shingles").join(component, "node", "left")
+    placed = (buckets.select("token", "node", "n_shingles", "place").join(component, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     row = F.struct("node", "n_shingles", "component")
     several = (placed.groupBy("token").agg(
@@ -194,6 +197,26 @@ def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _across(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes from different components that pass the first order's test in some bucket.
+
+    The smaller set's place must be among its first n - 2tn / (1 + t) + 1, whatever the other is.
+    """
+    def least(total):
+        return F.ceil(F.lit(percent) * total / F.lit(100 + percent))
+
+    rows = live.select("token", "node", "n_shingles", "place", "component")
+    small = (rows.where(F.col("place") <= F.col("n_shingles") - least(2 * F.col("n_shingles")))
+             .toDF("token", "a", "n", "place_a", "component_a"))
+    large = rows.toDF("token", "b", "m", "place_b", "component_b")
+    overlap = least(F.col("n") + F.col("m"))
+    return small.join(large, "token").where(
+        (F.struct("n", "a") < F.struct(F.col("m").alias("n"), F.col("b").alias("a")))
+        & (F.col("component_a") != F.col("component_b"))
+        & (F.col("place_a") <= F.col("n") - overlap) & (F.col("place_b") <= F.col("m") - overlap)
+    ).select(*_pair("a", "b"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the other orders' filters and then the comparison in full."""
     # The last join sorts by a: pairs with one pivot lie together, and its set is made once.
@@ -209,12 +232,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     known.clear()
                 tokens = shingles.shingle_set(shingles.split_words(text), k)
                 n = prefix_size(len(tokens), percent)
-                known[text] = tokens, [_first(tokens, _order(tokens, s), n) for s in _SEEDS]
+                known[text] = tokens, [prefix_under(tokens, s, n) for s in _SEEDS]
             return known[text]
 
         def passes(left: str, right: str) -> bool:
             (x, x_first), (y, y_first) = prepared(left), prepared(right)
-            if not all(len(np.intersect1d(p, q, assume_unique=True))
+            least = least_overlap(len(x), len(y), percent)
+            a, b = len(x) - least + 1, len(y) - least + 1
+            if not all(len(np.intersect1d(p[:a], q[:b], assume_unique=True))
                        for p, q in zip(x_first, y_first)):
                 return False
             common = len(np.intersect1d(x, y, assume_unique=True))
@@ -247,7 +272,9 @@ def jaccard_components(df: DataFrame, identifier: str = "doc_id", text: str = "t
     # Rows with the same words are one node, named by the smallest id.
     nodes = profiles.groupBy(*words).agg(F.min("id").alias("node"))
     chosen = profiles.join(nodes.withColumnRenamed("node", "id"), [*words, "id"], "left_semi")
-    rows = chosen.select(F.col("id").alias("node"), "n_shingles", F.explode("prefix").alias("token"))
+    rows = (chosen.select(F.col("id").alias("node"), "n_shingles", F.posexplode("prefix"))
+            .select("node", "n_shingles", F.col("pos").cast("bigint").alias("place"),
+                    F.col("col").alias("token")))
     buckets = written(_shared_buckets(rows), "buckets")
     wanted = buckets.select(F.col("node").alias("id")).distinct()
     texts = written(docs.join(wanted, "id", "left_semi").distinct()
@@ -262,13 +289,7 @@ def jaccard_components(df: DataFrame, identifier: str = "doc_id", text: str = "t
                 pairs = pairs.where(F.col("component") != F.col("pivot_component"))
             pairs = pairs.select(*_pair("node", "pivot"))
         else:
-            one = live.select("token", "node", "n_shingles", "component")
-            other = one.toDF("token", "node_b", "n_b", "component_b")
-            pairs = (one.join(other, "token")
-                     .where((F.col("node") < F.col("node_b"))
-                            & (F.col("component") != F.col("component_b"))
-                            & _sizes_fit("n_shingles", "n_b", percent))
-                     .select(*_pair("node", "node_b")))
+            pairs = _across(live, percent)
         pairs = pairs.distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
