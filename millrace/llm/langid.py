@@ -163,7 +163,8 @@ def sample_windows(df: DataFrame, text: str, label: str, identifier: str, per_la
     known = df.where(col(label).isNotNull() & col(text).isNotNull()).select(
         col(label).alias("label"), col(text).alias("text"), share.alias("share"))
     counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    near = known.join(counts, "label").where(F.col("share") < 1.3 * per_label / F.col("n"))
+    # One row per language, as many as the network has outputs.
+    near = known.join(F.broadcast(counts), "label").where(F.col("share") < 1.3 * per_label / F.col("n"))
     ranked = near.withColumn("rank", F.row_number().over(
         Window.partitionBy("label").orderBy("share", F.xxhash64("text"))))
     few = ranked.where(F.col("rank") <= per_label).select("label", "text")
