@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles
@@ -257,15 +257,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return together.mapInArrow(run, "a long, b long")
 
 
+def row_key(identifier: str = "doc_id", text: str = "text") -> Column:
+    """What names a row while documents are compared: its id, or else a hash of its text."""
+    return F.coalesce(col(identifier).cast("bigint"), F.lit(_NAMELESS).cast("bigint")
+                      + F.shiftrightunsigned(F.xxhash64(col(text)), 2))
+
+
+def one_of_each(df: DataFrame, identifier: str = "doc_id", text: str = "text", **options
+                ) -> DataFrame:
+    """One row of each component: that with the smallest id. Rows without words all stay, and so
+    does one row of those that repeat an id and text."""
+    found = jaccard_components(df, identifier, text, **options)
+    stays = (found.where(F.col("key") == F.col("component_key")).select(F.col("key").alias("_key"))
+             .distinct())
+    keyed = df.withColumns({"_key": row_key(identifier, text), "_text": F.xxhash64(col(text))})
+    return (keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key", "_text"])
+            .drop("_key", "_text"))
+
+
 def jaccard_components(df: DataFrame, identifier: str = "doc_id", text: str = "text", k: int = 4,
                        percent: int = 85, frequent_least: int = 50,
                        frequent_most: int = 1_000_000, star_rounds: int = 2) -> DataFrame:
-    """(id, n_shingles, component_id, node) for every row: components of documents linked by at
-    least ``percent`` similarity. ``node`` names the copies, rows with the same words."""
+    """(id, n_shingles, component_id, key, component_key) for every row: components of documents
+    linked by at least ``percent`` similarity. The keys are ids, but never null (``row_key``)."""
     require(0 < percent <= 100 and k > 0 and star_rounds > 0, "percent is 1 to 100, k at least 1")
-    key = F.coalesce(col(identifier).cast("bigint"), F.lit(_NAMELESS).cast("bigint")
-                     + F.shiftrightunsigned(F.xxhash64(col(text)), 2))
-    docs = df.select(key.alias("id"), col(text).alias("text"))
+    docs = df.select(row_key(identifier, text).alias("id"), col(text).alias("text"))
     frequent = frequent_shingles(docs, k, frequent_least, frequent_most)
     profiles = written(_profiles(docs, k, percent, frequent), "profiles")
     words = ["check_a", "check_b"]
@@ -309,4 +325,5 @@ def jaccard_components(df: DataFrame, identifier: str = "doc_id", text: str = "t
     def real(c):
         return F.when(c < _NAMELESS, c)
     return named.select(real(F.col("id")).alias("id"), "n_shingles",
-                        real(own).alias("component_id"), "node")
+                        real(own).alias("component_id"), F.col("id").alias("key"),
+                        own.alias("component_key"))
