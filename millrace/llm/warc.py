@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.files import ShardFiles, file_system, in_shards, range_shards, read_files, write_files
-from millrace.llm.text import partitions
+from millrace.llm.text import partitions, rank_among
 from millrace.util import col
 
 RECORDS = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, "
@@ -89,14 +89,14 @@ def _writer(file_bytes: int, least_bytes: int, date: str, level: int) -> Callabl
     def at(root: str):
         def write(batches):
             files = ShardFiles(root, ".warc.gz")
-            shard, part, last_id, marks, written = None, 0, None, {}, set()
+            shard, part, page, marks, written = None, 0, None, {}, set()
             for batch in batches:
                 columns = [batch.column(n) for n in ("_shard", "id", "url", "payload", "refers",
                                                      "mark")]
                 for i in range(batch.num_rows):
                     s, page_id, url, payload, refers, mark = (c[i].as_py() for c in columns)
-                    if page_id != last_id or s != shard:
-                        last_id, marks, written = page_id, {}, set()
+                    if (s, page_id) != page:
+                        page, marks, written = (s, page_id), {}, set()
                     if mark is not None:
                         marks[mark] = refers
                         continue
@@ -145,7 +145,6 @@ def write_warc(pages: DataFrame, root: str, identifier: str = "page_id", url: st
                            col(payload).alias("payload"), F.lit(None).cast("bigint").alias("refers"),
                            F.lit(None).cast("string").alias("mark"))
     _, limits = range_shards(pages, identifier, shards)
-    from millrace.llm.text import rank_among
     points = F.lit(limits).cast("array<bigint>") if limits else F.array().cast("array<bigint>")
     placed = records.unionByName(marks).withColumn("_shard", F.coalesce(
         rank_among(points, F.col("id"), len(limits)), F.lit(0)).cast("int"))
