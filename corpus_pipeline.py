@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import langid, linededup, mixing, ngramjoin, pieces
 from millrace.llm.text import words
-from millrace.util import written
+from millrace.util import col, fresh, written
 
 LEAST_SCORE = 0.5  # what a text's language must be predicted with
 VOCABULARY = "piece_bpe_32k.model"
@@ -25,10 +25,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The network learns from the text and language of documents that are not held out.
     """
-    marked = docs.withColumn("_held_out", langid.is_held_out(F.col("doc_id")))
-    net = langid.fit(marked.where(~F.col("_held_out")))
-    judged = langid.predict(docs, net, language="_lang", score="_score")
-    known = (F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)
+    net = langid.fit(docs.where(~langid.is_held_out(F.col("doc_id"))))
+    language, score = fresh(docs, "_lang"), fresh(docs, "_score")
+    judged = langid.predict(docs, net, language=language, score=score)
+    known = (F.col(language) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)
     return judged.where(known).select(*docs.columns)
 
 
@@ -49,26 +49,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The document at a source's cut is there with its first words only, so that the budget is met
     exactly.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    sized = keyed.select("_key", "source", F.size(words(F.col("text"))).alias("size"))
-    taken = (mixing.mix(sized, "_key", "source", "size").groupBy(F.col("id").alias("_key"))
-             .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-             .where(F.col("_taken") > 0))
+    key, got, size = (fresh(docs, c) for c in ("_key", "_taken", "_size"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
+    sized = keyed.select(key, "source", F.size(words(F.col("text"))).alias("size"))
+    taken = (mixing.mix(sized, key, "source", "size").groupBy(F.col("id").alias(key))
+             .agg(F.sum("taken").alias(got), F.max("size").alias(size)).where(F.col(got) > 0))
     # Rows that repeat are one row here, with the words that all of them give.
-    chosen = keyed.dropDuplicates(["_key"]).join(taken, "_key")
-    whole = F.floor(F.col("_taken") / F.col("_size"))
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
+    chosen = keyed.dropDuplicates([key]).join(taken, key)
+    whole = F.floor(F.col(got) / F.col(size))
+    rest = (F.col(got) % F.col(size)).cast("int")
     head = F.array_join(F.slice(words(F.col("text")), F.lit(1), rest), " ")
     texts = F.concat(F.array_repeat(F.col("text"), whole.cast("int")),
                      F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
-    out = chosen.withColumn("_copy", F.explode(texts)).withColumn("text", F.col("_copy"))
+    others = [col(c) for c in docs.columns if c not in ("text", "n_chars")]
+    out = chosen.select(*others, F.explode(texts).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each text, and whether they decode to it again."""
     path = public_tokenizers.path(VOCABULARY)
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), path), path)
+    coded = pieces.encode(docs.select("doc_id", "source", "text"), path, decoded="decoded")
     return coded.select(
         "doc_id", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

@@ -50,7 +50,7 @@ _WORD = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 class Vocabulary:
     """The pieces of a model file and the best segmentations over them."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         from sentencepiece import SentencePieceProcessor
         self.model = SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
@@ -75,8 +75,10 @@ class Vocabulary:
                         for i in range(n)]
         self.by_words = not any(BLANK in p.lstrip(BLANK) or ("\n" in p and len(p) > 1)
                                 for p in self.ids)
+        # Two generations of words: when the younger is full, the older is forgotten.
         self.most_words = most_words
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalize(self, text: str) -> str:
         return self.model.normalize(text) if text else ""
@@ -138,11 +140,14 @@ class Vocabulary:
         if not self.by_words:
             return self._segment(normal)
         if len(self.words) > self.most_words:
-            self.words = {}
-        known, parts = self.words, _WORD.findall(normal)
+            self.words, self.older = {}, self.words
+        known, older, parts = self.words, self.older, _WORD.findall(normal)
         for word in parts:
             if word not in known:
-                known[word] = b"".join(map(self._unit, self._units(word)))
+                found = older.get(word)
+                if found is None:
+                    found = b"".join(map(self._unit, self._units(word)))
+                known[word] = found
         return b"".join(map(known.__getitem__, parts))
 
     def _units(self, word: str) -> list[str]:
@@ -156,9 +161,10 @@ class Vocabulary:
         return out
 
     def _unit(self, text: str) -> bytes:
-        if text not in self.words:
-            self.words[text] = self._segment(text)
-        return self.words[text]
+        found = self.words.get(text) or self.older.get(text)
+        if found is None:
+            found = self.words[text] = self._segment(text)
+        return found
 
     def _segment(self, text: str) -> bytes:
         """``forward`` from the first place, without what only chunks need."""
@@ -275,18 +281,21 @@ def _batches(frame: DataFrame, function, schema: T.StructType) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def _add(frame: DataFrame, source: str, into: str, kind: T.DataType, function) -> DataFrame:
-    """Add a column that ``function`` makes from each value of ``source``."""
-    schema = T.StructType([*frame.schema.fields, T.StructField(into, kind)])
-    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
+def _add(frame: DataFrame, source: str, *made: tuple) -> DataFrame:
+    """Add columns (name, type, function), the first made from ``source``, each other from the one
+    before it."""
+    schema = T.StructType([*frame.schema.fields, *[T.StructField(n, t) for n, t, _ in made]])
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                made = pa.array(map(function, batch.column(source).to_pylist()), arrow,
-                                size=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=schema.names)
+                columns, values = list(batch.columns), batch.column(source).to_pylist()
+                for _, kind, function in made:
+                    values = [function(v) for v in values]
+                    columns.append(pa.array(values, pa.binary() if isinstance(kind, T.BinaryType)
+                                            else pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
     return frame.mapInArrow(run, schema)
 
 
@@ -295,25 +304,32 @@ def _schema(text: str) -> T.StructType:
 
 
 def encode(df: DataFrame, model_path: str, text: str = "text", into: str = "ids",
-           giant: int = 65_536, chunk: int = 16_384, block: int = 64) -> DataFrame:
-    """Add the ids of each text as a binary column of little-endian 32-bit numbers."""
+           decoded: str | None = None, giant: int = 65_536, chunk: int = 16_384,
+           block: int = 64) -> DataFrame:
+    """Add the ids of each text as a binary column of little-endian 32-bit numbers.
+
+    With ``decoded``, also add the text that the ids decode to, in the same pass.
+    """
     require(chunk > 0 and block > 0 and giant >= chunk, "chunks are smaller than giants")
-    kept = df.drop(into) if into in df.columns else df
+    added = [into] + ([decoded] if decoded else [])
+    kept = df.drop(*[c for c in added if c in df.columns])
     size = F.coalesce(F.length(col(text)), F.lit(0))
 
     def whole(value: str | None) -> bytes:
         v = vocabulary(model_path)
         return v.encode(v.normalize(value or ""))
 
-    small = _add(kept.where(size <= giant), text, into, T.BinaryType(), whole)
+    made = [(into, T.BinaryType(), whole)] + ([_decoding(model_path, decoded)] if decoded else [])
+    small = _add(kept.where(size <= giant), text, *made)
     place = fresh(kept, "_place")
     giants = kept.where(size > giant).withColumn(place, F.monotonically_increasing_id())
     giants = written(giants, "giants")  # the place is fixed from here on
     ids = _encode_giants(giants.select(col(place).alias("place"), col(text).alias("text")),
                          model_path, chunk, block)
-    found = giants.join(ids.withColumnRenamed("place", place), place).select(
-        *[col(c) for c in kept.columns], F.col("_ids").alias(into))
-    return small.unionByName(found)
+    held = fresh(kept, "_ids")
+    found = giants.join(ids.toDF(place, held), place).select(
+        *[col(c) for c in kept.columns], F.col(held).alias(into))
+    return small.unionByName(decode(found, model_path, into, decoded) if decoded else found)
 
 
 def _encode_giants(giants: DataFrame, path: str, chunk: int, block: int) -> DataFrame:
@@ -422,5 +438,8 @@ def _encode_giants(giants: DataFrame, path: str, chunk: int, block: int) -> Data
 def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the text of each row's ids; null ids give an empty text."""
     kept = df.drop(into) if into in df.columns else df
-    return _add(kept, ids, into, T.StringType(),
-                lambda data: vocabulary(model_path).decode(data or b""))
+    return _add(kept, ids, _decoding(model_path, into))
+
+
+def _decoding(model_path: str, into: str) -> tuple:
+    return into, T.StringType(), lambda ids: vocabulary(model_path).decode(ids or b"")

@@ -13,8 +13,7 @@ MODEL = "piece_bpe_32k.model"
 def op9_sentencepiece(spark, folder):
     path = public_tokenizers.path(MODEL)
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    decoded = pieces.decode(pieces.encode(documents, path), path)
-    return decoded.select(
+    return pieces.encode(documents, path, decoded="decoded").select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
