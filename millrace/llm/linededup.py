@@ -14,7 +14,7 @@ Defined results: a null or empty text is one empty line; keys are lines without
 ends and with A-Z in lower case; a key shorter than ``least`` code points is never dropped. A text
 that loses every line becomes an empty text. Rows that repeat are documents of their own when
 documents are counted, and all lose the same lines. Empty tables give empty stores and results.
-Other columns of the documents are kept as they are.
+Other columns of the documents are kept as they are; n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -129,21 +129,24 @@ def drop_lines(df: DataFrame, keys: DataFrame, text: str = "text", least: int =
     """
     row = [F.xxhash64(col(identifier), col(text)).alias("_row"),
            F.xxhash64(F.lit("row"), col(text), col(identifier)).alias("_row_check")]
-    marked = df.withColumns({"_row": row[0], "_row_check": row[1]})
-    lines = (marked.select("_row", "_row_check", F.posexplode(split_lines(col(text))))
+    kept = [c for c in df.columns if c not in (text, "n_lines", "n_dropped")]
+    # The other columns travel in a struct, so their names cannot meet those used here.
+    marked = df.select(F.struct(*[col(c) for c in kept], F.lit(0).alias("_")).alias("_input"),
+                       col(text).alias("_text"), *row)
+    lines = (marked.select("_row", "_row_check", F.posexplode(split_lines(F.col("_text"))))
              .select("_row", "_row_check", F.col("pos"), line_key(F.col("col")).alias("_key"))
              .where(F.length("_key") >= least)
              .select("_row", "_row_check", "pos", *_hashes(F.col("_key"))))
     lost = (lines.join(keys, list(HASH), "left_semi").groupBy("_row", "_row_check")
             .agg(F.collect_set("pos").alias("_lost")))
     joined = (marked.join(lost, ["_row", "_row_check"], "left")
-              .withColumn("_all_lines", split_lines(col(text))))
+              .withColumn("_all_lines", split_lines(F.col("_text"))))
     all_lines = F.col("_all_lines")
-    kept = F.when(F.col("_lost").isNull(), F.coalesce(col(text), F.lit(""))).otherwise(
+    kept = F.when(F.col("_lost").isNull(), F.coalesce("_text", F.lit(""))).otherwise(
         F.array_join(F.transform(
             F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_lost")),
             lambda i: F.get(F.col("_all_lines"), i)), "\n"))
-    others = [col(c) for c in df.columns if c not in (text, "n_lines", "n_dropped")]
+    others = [F.col("_input").getField(c).alias(c) for c in kept]
     return joined.select(
         *others, kept.alias(text), F.size(all_lines).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint").alias("n_dropped"))
@@ -157,7 +160,8 @@ def dedup_lines(df: DataFrame, text: str = "text", least_docs: int = 10, least:
     """
     spark = df.sparkSession
     batch = F.pmod(F.xxhash64(col(identifier), F.lit("batch")), F.lit(batches)).alias("_batch")
-    arriving = (document_lines(df.withColumn("_batch", batch), text, least, "_batch")
+    slim = df.select(col(text).alias("text"), batch)
+    arriving = (document_lines(slim, "text", least, "_batch")
                 .groupBy("_batch", *HASH).agg(F.count(F.lit(1)).alias("n_docs")))
     path = scratch(spark, "line-batches")
     arriving.write.partitionBy("_batch").parquet(path)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from millrace.llm import shingles
 from millrace.llm.components import connected_components
 from millrace.llm.text import partitions
-from millrace.util import col, require, written
+from millrace.util import col, fresh, require, written
 
 _SEEDS = (0x51ED270B, 0x2545F491)  # one for each further order
 _COUNT_AT = 1_500_000  # shingles that a task counts together
@@ -268,11 +268,11 @@ def one_of_each(df: DataFrame, identifier: str = "doc_id", text: str = "text", *
     """One row of each component: that with the smallest id. Rows without words all stay, and so
     does one row of those that repeat an id and text."""
     found = jaccard_components(df, identifier, text, **options)
-    stays = (found.where(F.col("key") == F.col("component_key")).select(F.col("key").alias("_key"))
+    key, same = fresh(df, "_key"), fresh(df, "_same")
+    stays = (found.where(F.col("key") == F.col("component_key")).select(F.col("key").alias(key))
              .distinct())
-    keyed = df.withColumns({"_key": row_key(identifier, text), "_text": F.xxhash64(col(text))})
-    return (keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key", "_text"])
-            .drop("_key", "_text"))
+    keyed = df.withColumns({key: row_key(identifier, text), same: F.xxhash64(col(text))})
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key, same]).drop(key, same)
 
 
 def jaccard_components(df: DataFrame, identifier: str = "doc_id", text: str = "text", k: int = 4,

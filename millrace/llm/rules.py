@@ -7,7 +7,7 @@ expression, so that a text is read once, without shuffles and without user funct
 Defined results: a null text counts as empty; a text without words has zero for every measure,
 fails the base rules and is not kept. Ratios over zero words or lines are zero. Rows are judged one
 by one, so repeated rows and ties all get the same verdict. Columns of the input with the names of
-measures are replaced.
+measures or verdicts are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -113,10 +113,22 @@ def repeated_windows(df: DataFrame, words_column: str, into: str, window: int =
     return df.withColumn(into, covered).drop(*[named[c] for c in "hgpu"])
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words",
+            "n_exclamations", "n_filled_lines", "n_bullet_lines", "n_ellipsis_lines",
+            "mean_word_length", "symbols_per_word", "exclamations_per_word",
+            "repeat_word_percent", "bullet_line_ratio", "ellipsis_line_ratio", "dup_line_ratio")
+
+
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measures that rules can name, as one chain of projections over ``text``."""
-    t = F.coalesce(col(text), F.lit(""))
-    df = df.withColumn("_flat", flat(col(text)))
+    """Add the measures that rules can name, as one chain of projections over ``text``.
+
+    The input's own columns travel in a struct, so their names cannot meet those used here.
+    """
+    kept = [c for c in df.columns if c not in MEASURES]
+    df = df.select(F.struct(*[col(c) for c in kept], F.lit(0).alias("_")).alias("_input"),
+                   F.coalesce(col(text), F.lit("")).alias("_text"))
+    t = F.col("_text")
+    df = df.withColumn("_flat", flat(t))
     df = df.withColumns({"_words": flat_words(F.col("_flat")), "_lines": F.split(t, "\n")})
     filled = F.filter("_lines", lambda x: F.length(F.trim(x, F.lit(ALL_SPACES))) > 0)
     df = df.withColumn("_lines", filled)
@@ -138,7 +150,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             "_lines", lambda x: x.endswith("...") | x.endswith("…"))).cast("bigint"),
     })
     n = F.col("n_words")
-    return df.withColumns({
+    df = df.withColumns({
         "mean_word_length": _ratio(F.col("word_chars"), n),
         "symbols_per_word": _ratio(F.col("n_symbols"), n),
         "exclamations_per_word": _ratio(F.col("n_exclamations"), n),
@@ -146,7 +158,9 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         "bullet_line_ratio": _ratio(F.col("n_bullet_lines"), F.col("n_filled_lines")),
         "ellipsis_line_ratio": _ratio(F.col("n_ellipsis_lines"), F.col("n_filled_lines")),
         "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_filled_lines")),
-    }).drop("_flat", "_words", "_lines")
+    })
+    return df.select(*[F.col("_input").getField(c).alias(c) for c in kept],
+                     *[F.col(m) for m in MEASURES])
 
 
 def passes(rules) -> Column:
