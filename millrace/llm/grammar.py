@@ -16,6 +16,8 @@ Other columns are not written. An empty table gives no files and no rows. A docu
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,50 +37,76 @@ _BIN_BITS = 18
 
 # --- Tokens -----------------------------------------------------------------
 
+_MARKS = string.punctuation  # ASCII marks; none of them is a letter or number
+
+
+class _Words(dict):
+    """word -> its ids as bytes, made when they are first asked for."""
+
+    def __init__(self, owner: Tokenizer, older: dict):
+        super().__init__()
+        self.owner, self.older = owner, older
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.owner.ids_of(word)
+        self[word] = found
+        return found
+
+
 class Tokenizer:
-    """The tokenizers library behind a cache of words.
+    """The tokenizers library behind a memory of words.
 
-    The vocabularies drop white space before merging, so a text's ids are those of its words one
+    The vocabulary drops white space before merging, so a text's ids are those of its words one
     after the other. Words are cut at blanks and line feeds only; the library sees to any other
-    white space inside a word. The cache is emptied when it is full.
+    white space inside a word. Words of letters only go straight to the library's merges, with each
+    character as the library normalizes it; marks after such a word are a token run of their own.
+    Of the words, two generations are kept: when the younger is full, the older is forgotten.
     """
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         from tokenizers import Tokenizer as Library
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Library.from_file(path)
         self.most_words = most_words
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _learn(self, unknown: list[str]) -> None:
-        # A word with a comma or full stop at its end is the word's ids and the mark's.
-        stems = {}
-        for word in unknown:
-            stem = word[:-1]
-            if word[-1] in ".," and stem.isalpha() and stem.lower().isalpha():
-                stems[word] = stem
-        asked = list(dict.fromkeys(
-            [w for w in unknown if w not in stems]
-            + [s for s in stems.values() if s not in self.words]
-            + [m for m in ".," if stems and m not in self.words]))
-        for word, found in zip(asked, self.library.encode_batch_fast(
-                asked, add_special_tokens=False)):
-            self.words[word] = np.array(found.ids, dtype="<u4").tobytes()
-        for word, stem in stems.items():
-            self.words[word] = self.words[stem] + self.words[word[-1]]
+        self.words = _Words(self, {})
+        self.characters: dict[str, str | None] = {}
+
+    def _character(self, c: str) -> str | None:
+        """What the merges see for a letter; None if it does not stay one run of letters."""
+        if c not in self.characters:
+            normal = self.library.normalizer.normalize_str(c)
+            parts = self.library.pre_tokenizer.pre_tokenize_str(normal)
+            alone = normal.isalpha() and len(parts) == 1 and unicodedata.is_normalized("NFC", c)
+            self.characters[c] = parts[0][0] if alone else None
+        return self.characters[c]
+
+    def _letters(self, word: str) -> str | None:
+        if not word.isalpha() or not unicodedata.is_normalized("NFC", word):
+            return None
+        seen = [self._character(c) for c in word]
+        return None if None in seen else "".join(seen)
+
+    def ids_of(self, word: str) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if stem:
+            letters = self._letters(stem)
+            if letters is not None and len(stem) < len(word):
+                return self.words[stem] + self.words[word[len(stem):]]
+            if letters is not None:
+                ids = [t.id for t in self.library.model.tokenize(letters)]
+                return np.array(ids, dtype="<u4").tobytes()
+        ids = self.library.encode(word, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         if len(self.words) > self.most_words:
-            self.words = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = set()
-        for words in split:
-            unknown.update(words)
-        unknown.difference_update(self.words)
-        self._learn(sorted(unknown))
+            self.words.older = {}
+            self.words = _Words(self, self.words)
         known, last = self.words.__getitem__, np.array([end], dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known, words), last]), dtype="<u4")
-                for words in split]
+        return [np.frombuffer(b"".join([*map(known, t.replace("\n", " ").split(" ")), last]),
+                              dtype="<u4") for t in texts]
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
