@@ -67,13 +67,15 @@ class LineRuns:
         self.buckets = buckets or partitions(spark)
         self.levels: list[list[str]] = [[]]
         self.known: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, counted: DataFrame) -> str:
         """A run: bucketed and sorted by hash. The path is shared and survives a lost executor."""
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch(self.spark, "line-run")
         (counted.select(*HASH, "n_docs").repartition(self.buckets, *HASH)
          .write.bucketBy(self.buckets, *HASH).sortBy(*HASH)
-         .option("path", scratch(self.spark, "line-run")).saveAsTable(name))
+         .option("path", self.paths[name]).saveAsTable(name))
         return name
 
     def _drop(self, names: list[str]) -> None:
@@ -81,9 +83,10 @@ class LineRuns:
             self.spark.sql(f"drop table {name}")
 
     def _sum(self, names: list[str]) -> DataFrame:
-        together = self.spark.table(names[0])
-        for name in names[1:]:
-            together = together.unionByName(self.spark.table(name))
+        # Read by path, not as tables: Spark 4.1 takes a union of bucketed scans for partitioned
+        # and then reads them without their buckets, so equal keys of two runs would not be summed.
+        together = self.spark.read.schema(f"{HASH[0]} long, {HASH[1]} int, n_docs long").parquet(
+            *[self.paths[n] for n in names])
         return together.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"))
 
     def unknown(self, counted: DataFrame) -> DataFrame:
@@ -142,13 +145,13 @@ def drop_lines(df: DataFrame, keys: DataFrame, text: str = "text", least: int =
     joined = (marked.join(lost, ["_row", "_row_check"], "left")
               .withColumn("_all_lines", split_lines(F.col("_text"))))
     all_lines = F.col("_all_lines")
-    kept = F.when(F.col("_lost").isNull(), F.coalesce("_text", F.lit(""))).otherwise(
+    remaining = F.when(F.col("_lost").isNull(), F.coalesce("_text", F.lit(""))).otherwise(
         F.array_join(F.transform(
             F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_lost")),
             lambda i: F.get(F.col("_all_lines"), i)), "\n"))
     others = [F.col("_input").getField(c).alias(c) for c in kept]
     return joined.select(
-        *others, kept.alias(text), F.size(all_lines).cast("bigint").alias("n_lines"),
+        *others, remaining.alias(text), F.size(all_lines).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint").alias("n_dropped"))
 
 
