@@ -11,9 +11,9 @@ from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.ml.labels import fit_label_table
 from millrace.ml.stages import configure, record
-from millrace.operators.ordering import row_index
-from millrace.util import check_columns, col, names, pairs, require
+from millrace.util import check_columns, col, names, pairs, require, written
 
 
 def fit(df: DataFrame, stage):
@@ -28,53 +28,26 @@ def apply(df: DataFrame, stage) -> DataFrame:
 
 # --- Categories -------------------------------------------------------------
 
-# StringIndexer brings all labels to the driver and to every task. Above this
-# number of distinct values an index table that stays distributed is joined.
-MAX_DRIVER_LABELS = 1_000_000
-
-
 def string_index(df: DataFrame, columns, handle_invalid: str = "error",
-                 max_labels: int = MAX_DRIVER_LABELS) -> DataFrame:
+                 distributed: bool = False) -> DataFrame:
     """Add ``{column}_IDX``: the rank of the value by frequency, from 0.
 
-    Ties go by the alphabet. NULL raises, is skipped or gets the next free index
-    (``handle_invalid`` is error, skip or keep). A column with more than about
-    ``max_labels`` values is indexed by a join; its labels stay distributed and
-    there is no stage to save.
+    Ties go by the alphabet. NULL, and at scoring an unknown value, raises, is
+    skipped or gets the next free index (``handle_invalid`` is error, skip or
+    keep). A plain stage holds all labels on the driver and in every task; with
+    ``distributed`` they stay a table, joined to the rows, for columns with very
+    many values. Both are stages that can be saved.
     """
     columns = names(columns)
     check_columns(df, columns)
     require(handle_invalid in ("error", "skip", "keep"), f"unknown choice: {handle_invalid}")
-    sizes = df.agg(*[F.approx_count_distinct(col(c)).alias(f"_d{i}")
-                     for i, c in enumerate(columns)]).first()
-    few = [c for c, size in zip(columns, sizes) if size <= max_labels]
-    order = list(df.columns)
-    if few:
-        df = apply(df, mlf.StringIndexer(inputCols=few, outputCols=[f"{c}_IDX" for c in few],
-                                         handleInvalid=handle_invalid))
+    if not distributed:
+        return apply(df, mlf.StringIndexer(
+            inputCols=columns, outputCols=[f"{c}_IDX" for c in columns],
+            handleInvalid=handle_invalid))
     for column in columns:
-        if column not in few:
-            df = _index_by_join(df, column, handle_invalid)
-    return df.select(*[col(c) for c in order], *[col(f"{c}_IDX") for c in columns])
-
-
-def _index_by_join(df: DataFrame, column: str, handle_invalid: str) -> DataFrame:
-    value = col(column).cast("string")
-    counts = (df.where(value.isNotNull()).groupBy(value.alias("_label"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    labels = row_index(counts, [("_n", "desc"), "_label"], "_idx").select("_label", "_idx")
-    joined = df.join(labels, value == F.col("_label"), "left")
-    if handle_invalid == "skip":
-        index = F.col("_idx")
-        joined = joined.where(index.isNotNull())
-    elif handle_invalid == "keep":
-        # A single number: how many labels there are.
-        free = labels.count()
-        index = F.coalesce("_idx", F.lit(free))
-    else:
-        index = F.coalesce("_idx", F.raise_error(F.lit(f"{column} has a NULL label"))
-                           .cast("bigint"))
-    return joined.withColumn(f"{column}_IDX", index.cast("double")).drop("_label", "_idx")
+        df = record(fit_label_table(df, column, f"{column}_IDX", handle_invalid)).transform(df)
+    return df
 
 
 def index_to_string(df: DataFrame, column: str, out: str, model) -> DataFrame:
@@ -175,11 +148,19 @@ def vector_slice(df: DataFrame, column: str, out: str, indices=(), slots=()) ->
                                       names=list(slots)))
 
 
-def chisq_select(df: DataFrame, features: str, label: str, out: str, top: int = 50) -> DataFrame:
-    """Keep the categorical features that depend most on a categorical label."""
+# Ways to select: how many features, what share of them, or the highest p-value, as it is or
+# corrected for the number of features in two ways.
+SELECTION_MODES = {"top": "numTopFeatures", "percentile": "percentile", "fpr": "fpr", "fdr": "fdr",
+                   "fwe": "fwe"}
+
+
+def chisq_select(df: DataFrame, features: str, label: str, out: str, mode: str = "top",
+                 threshold: float = 50) -> DataFrame:
+    """Keep the categorical features that depend on a categorical label, by ``SELECTION_MODES``."""
+    require(mode in SELECTION_MODES, f"unknown way to select: {mode}")
     stage = mlf.UnivariateFeatureSelector(featuresCol=features, labelCol=label, outputCol=out,
-                                          selectionMode="numTopFeatures")
-    stage.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(top)
+                                          selectionMode=SELECTION_MODES[mode])
+    stage.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(threshold)
     return apply(df, stage)
 
 
@@ -235,30 +216,40 @@ def hashing_tf(df: DataFrame, column: str, out: str, **params) -> DataFrame:
 MAX_DOCUMENTS = float(2**63 - 1)
 
 
-def count_vectorize(df: DataFrame, column: str, out: str, **params) -> DataFrame:
-    """Term counts over the most frequent words (``vocabSize``, ``minDF``, ``maxDF``,
+def count_vectorize(df: DataFrame, column: str, out: str, vocab_size: int, **params) -> DataFrame:
+    """Term counts over the ``vocab_size`` most frequent words (``minDF``, ``maxDF``,
     ``minTF``, ``binary``).
 
-    Words are counted by one grouped aggregation, which merges frequent words on
-    the map side; ties in frequency go by the alphabet. At most ``vocabSize``
-    words reach the driver.
+    The texts are read once to count: words and documents in one aggregation,
+    which merges frequent words on the map side and is written as a table of one
+    row per word. Ties in frequency go by the alphabet. The vocabulary is what
+    the model holds, so the caller says how many words may reach the driver.
     """
-    stage = configure(mlf.CountVectorizer(inputCol=column, outputCol=out), **params)
+    stage = configure(mlf.CountVectorizer(inputCol=column, outputCol=out, vocabSize=vocab_size),
+                      **params)
     least, most = stage.getMinDF(), stage.getMaxDF()
-    words = col(column)
-    tokens = F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("tf"),
-                                                   F.lit(0).alias("df")))
-    if least != 1.0 or most < MAX_DOCUMENTS:
-        tokens = F.concat(tokens, F.transform(F.array_distinct(words), lambda w: F.struct(
-            w.alias("word"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-        documents = df.count() if min(least, most) < 1.0 else 1
-        bounds = [b * documents if b < 1.0 else b for b in (least, most)]
+    bounded = least != 1.0 or most < MAX_DOCUMENTS
+    tokens = F.col("_w")
+    if bounded:
+        # A word's first occurrence in a document is sorted before its others; one more entry
+        # without a word counts the document itself.
+        tokens = F.transform(F.col("_s"), lambda w, i: F.struct(
+            w.alias("word"), F.when(F.get(F.col("_s"), i - 1) == w, 0).otherwise(1).alias("df")))
+        tokens = F.array_append(tokens, F.struct(F.lit(None).cast("string").alias("word"),
+                                                 F.lit(1).alias("df")))
+        listed = df.select(F.sort_array(F.array_compact(col(column))).alias("_s"))
+        counts = listed.select(F.inline(tokens))
     else:
-        bounds = [0, 0]  # every word that occurs will do
-    counts = df.select(F.inline(tokens)).groupBy("word").agg(
-        F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    kept = counts.where(F.col("df").between(*bounds)).orderBy(F.desc("tf"), "word").limit(
-        stage.getVocabSize())
+        listed = df.select(F.explode(col(column)).alias("word"))
+        counts = listed.where(F.col("word").isNotNull()).withColumn("df", F.lit(1))
+    counts = counts.groupBy("word").agg(F.count(F.lit(1)).alias("tf"), F.sum("df").alias("df"))
+    if bounded:
+        counts = written(counts, "words")
+        documents = counts.where(F.col("word").isNull()).first()
+        documents = documents["df"] if documents is not None else 0
+        bounds = [b * documents if b < 1.0 else b for b in (least, most)]
+        counts = counts.where(F.col("word").isNotNull() & F.col("df").between(*bounds))
+    kept = counts.orderBy(F.desc("tf"), "word").limit(vocab_size)
     vocabulary = [row["word"] for row in kept.select("word").collect()]
     require(bool(vocabulary), "the vocabulary is empty; lower minDF")
     model = mlf.CountVectorizerModel.from_vocabulary(vocabulary, inputCol=column, outputCol=out)

@@ -148,11 +148,12 @@ def _areas() -> dict[str, Column]:
             "areaUnderROC": F.coalesce(F.sum(width_roc * height_roc), F.lit(0.0))}
 
 
-def eval_binary(df: DataFrame, score: str, label: str, bins: int = 100) -> DataFrame:
+def eval_binary(df: DataFrame, score: str, label: str, bins: int) -> DataFrame:
     """Exact areas under the ROC and PR curves, and all curves as JSON.
 
-    The JSON charts are thinned to about ``bins`` points each; the areas use
-    every score. Both come from one aggregation over the scores.
+    The JSON charts are thinned to about ``bins`` points each, which the caller
+    chooses; the areas use every score (``roc_curve`` has all points). Both come
+    from one aggregation over the scores.
     """
     rates = _rates()
     point = F.struct(F.col("rank").alias("k"), F.col("threshold").alias("t"),
@@ -186,11 +187,6 @@ def eval_binary(df: DataFrame, score: str, label: str, bins: int = 100) -> DataF
         *BINARY_METRICS, _result(BINARY_METRICS, charts=F.col("charts")).alias("evaluate_result"))
 
 
-# Above this number of classes the report leaves the matrix out; ``confusion_matrix``
-# gives it as a table of any size.
-MAX_MATRIX_CLASSES = 1000
-
-
 def confusion_matrix(df: DataFrame, prediction: str, label: str) -> DataFrame:
     """Rows per (``label``, ``prediction``) that occur, with real label values."""
     check_columns(df, [prediction, label])
@@ -199,10 +195,12 @@ def confusion_matrix(df: DataFrame, prediction: str, label: str) -> DataFrame:
             .groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("count")))
 
 
-def eval_multiclass(df: DataFrame, prediction: str, label: str) -> DataFrame:
-    """One row of class-weighted measures and the confusion matrix as JSON.
+def eval_multiclass(df: DataFrame, prediction: str, label: str, matrix: bool = True) -> DataFrame:
+    """One row of class-weighted measures and, with ``matrix``, the confusion matrix as JSON.
 
-    The data is read once and reduced to one row per pair of classes.
+    The data is read once and reduced to one row per pair of classes. The JSON
+    has a cell for every two classes; ``confusion_matrix`` is the table of those
+    that occur.
     """
     cells = written(confusion_matrix(df, prediction, label), "confusion")
     n = F.col("count")
@@ -226,25 +224,28 @@ def eval_multiclass(df: DataFrame, prediction: str, label: str) -> DataFrame:
         F.sum(share * f1).alias("weightedFMeasure"),
         F.sum(share * precision).alias("weightedPrecision"),
         F.sum(share * recall).alias("weightedRecall"))
-    matrix = F.lit(None).cast("struct<data:array<array<double>>,classNames:array<string>>")
-    if actual.count() <= MAX_MATRIX_CLASSES:
+    drawn = F.lit(None).cast("struct<data:array<array<double>>,classNames:array<string>>")
+    if matrix:
+        # A row of the matrix only looks through its own cells.
         inside = cells.join(actual.select(F.col("label").alias("prediction")), "prediction", "semi")
-        table = inside.agg(F.map_from_entries(F.collect_list(F.struct(
-            F.struct("label", "prediction"), n.cast("double")))).alias("cells"))
-        labels = actual.agg(F.sort_array(F.collect_list("label")).alias("labels"))
-        measured = measured.withColumns({"cells": table.scalar(), "labels": labels.scalar()})
-        dense = F.transform("labels", lambda a: F.transform("labels", lambda b: F.coalesce(
-            F.try_element_at("cells", F.struct(a.alias("label"), b.alias("prediction"))),
-            F.lit(0.0))))
-        matrix = F.struct(dense.alias("data"),
-                          F.col("labels").cast("array<string>").alias("classNames"))
+        lines = actual.select("label").join(
+            inside.groupBy("label").agg(F.map_from_entries(F.collect_list(
+                F.struct("prediction", n.cast("double")))).alias("cells")), "label", "left")
+        table = lines.agg(F.sort_array(F.collect_list(F.struct("label", F.map_entries(F.coalesce(
+            "cells", F.map_from_entries(F.array().cast("array<struct<a:double,b:double>>"))))
+            .alias("cells")))).alias("lines"))
+        measured = measured.withColumn("lines", table.scalar())
+        labels = F.col("lines.label")
+        dense = F.transform("lines", lambda line: F.transform(labels, lambda b: F.coalesce(
+            F.try_element_at(F.map_from_entries(line["cells"]), b), F.lit(0.0))))
+        drawn = F.struct(dense.alias("data"), labels.cast("array<string>").alias("classNames"))
     return measured.select(*MULTICLASS_METRICS, _result(
-        MULTICLASS_METRICS, confusionMatrix=matrix, charts=_no_charts()).alias("evaluate_result"))
+        MULTICLASS_METRICS, confusionMatrix=drawn, charts=_no_charts()).alias("evaluate_result"))
 
 
-def evaluate(df: DataFrame, kind: str, prediction: str, label: str) -> DataFrame:
-    """The report of the given kind: regression, binary or multiclass."""
+def evaluate(df: DataFrame, kind: str, prediction: str, label: str, **options) -> DataFrame:
+    """The report of the given kind: regression, binary (needs ``bins``) or multiclass."""
     reports = {"regression": eval_regression, "binary": eval_binary,
                "multiclass": eval_multiclass}
     require(kind in reports, f"unknown kind of evaluation: {kind}")
-    return reports[kind](df, prediction, label)
+    return reports[kind](df, prediction, label, **options)

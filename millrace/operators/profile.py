@@ -103,21 +103,25 @@ def profile_stats(df: DataFrame, columns, exact: bool = False) -> DataFrame:
     return inputs.agg(*cells).select(F.inline(F.array(*typed)))
 
 
-def profile_histogram(df: DataFrame, columns, buckets: int = 10, exact: bool = False) -> DataFrame:
+def profile_histogram(df: DataFrame, columns, buckets: int = 10, exact: bool = False,
+                      numbers: str = "by_count") -> DataFrame:
     """Bars per column: ``column``, ``position``, ``x`` (label) and ``y`` (count).
 
-    A numeric column with more than ``buckets`` distinct values gets that many
-    buckets of even width, the last one closed; any other column gets its most
-    frequent values. One job reads the ranges, one counts all columns.
+    ``ranges`` are that many buckets of even width, the last one closed; ``values``
+    are the most frequent values. Text gets values. For ``numbers`` the caller
+    chooses ranges, values, or ``by_count``: ranges if there are more distinct
+    values than buckets. Ranges over infinite values are an error. One job reads
+    the ranges, one counts all columns.
     """
     columns = names(columns)
     require(buckets > 0, "the number of buckets must be positive")
     stats = {row["column"]: row for row in profile_stats(df, columns, exact).collect()}
-    return _bars(df, columns, stats, buckets)
+    return _bars(df, columns, stats, buckets, numbers)
 
 
-def _bars(df: DataFrame, columns, stats: dict, buckets: int) -> DataFrame:
+def _bars(df: DataFrame, columns, stats: dict, buckets: int, numbers: str) -> DataFrame:
     """``stats`` holds one row per column, so it is small on the driver."""
+    require(numbers in ("by_count", "ranges", "values"), f"unknown kind of chart: {numbers}")
     spark = df.sparkSession
     entries, edges = [], []
     for i, name in enumerate(columns):
@@ -125,13 +129,14 @@ def _bars(df: DataFrame, columns, stats: dict, buckets: int) -> DataFrame:
         if row is None:
             continue
         value = _present(df, name)
-        if row["kind"] == "numeric" and row["countdistinct"] > buckets:
+        wide = numbers == "ranges" or numbers == "by_count" and row["countdistinct"] > buckets
+        if row["kind"] == "numeric" and wide and row["min"] is not None:
             low, high = row["min"], row["max"]
-            if math.isinf(low) or math.isinf(high):
-                continue
+            require(math.isfinite(low) and math.isfinite(high),
+                    f"column {name} has infinite values, which no range holds")
             marks = [low + (s * (high - low)) / buckets for s in range(buckets)] + [high]
             edges += [(i, p, a, b) for p, (a, b) in enumerate(zip(marks, marks[1:]))]
-            share = (value.cast("double") - F.lit(low)) / F.lit(high - low)
+            share = (value.cast("double") - F.lit(low)) / F.lit((high - low) or 1.0)
             bucket = F.least(F.floor(share * F.lit(buckets)), F.lit(buckets - 1))
             place, key = F.when(value.isNotNull(), bucket).cast("int"), F.lit(None).cast("string")
         else:
@@ -158,11 +163,12 @@ def _bars(df: DataFrame, columns, stats: dict, buckets: int) -> DataFrame:
         F.coalesce("_y", F.lit(0)).alias("y"))
 
 
-def profile(df: DataFrame, columns, buckets: int = 10, exact: bool = False) -> DataFrame:
+def profile(df: DataFrame, columns, buckets: int = 10, exact: bool = False,
+            numbers: str = "by_count") -> DataFrame:
     """One row per column: ``column`` and its report ``vis`` as JSON.
 
-    The report has ``name``, ``statistics`` and ``histogram``; it is empty for
-    nested and binary columns.
+    The report has ``name``, ``statistics`` and ``histogram`` (see
+    ``profile_histogram``); it is empty for nested and binary columns.
     """
     columns = names(columns)
     stats = profile_stats(df, columns, exact).collect()
@@ -172,7 +178,7 @@ def profile(df: DataFrame, columns, buckets: int = 10, exact: bool = False) -> D
         [(i, c, _report(by_column.get(c))) for i, c in enumerate(columns)],
         "_i int, column string, statistics array<struct<name:string,displayName:string,"
         "value:string,description:string>>")
-    bars = (_bars(df, columns, by_column, buckets).groupBy("column")
+    bars = (_bars(df, columns, by_column, buckets, numbers).groupBy("column")
             .agg(F.sort_array(F.collect_list(F.struct("position", "x", "y"))).alias("_bars")))
     empty = F.array().cast("array<struct<position:int,x:string,y:bigint>>")
     joined = reports.join(bars, "column", "left").withColumn(
@@ -212,19 +218,19 @@ def preview(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
     return first.limit(n).select([_as_text(f) for f in df.schema])
 
 
-def page(df: DataFrame, order_by, number: int, rows: int, within: int = 100) -> DataFrame:
-    """Page ``number`` (from 1) of the preview of ``within`` rows."""
+def page(df: DataFrame, order_by, number: int, rows: int, within: int | None = None) -> DataFrame:
+    """Page ``number`` (from 1) of all rows, or of the first ``within``."""
     require(number >= 1 and rows >= 1, "pages and rows are counted from 1")
     start = (number - 1) * rows
-    keep = max(0, min(rows, within - start))
+    keep = rows if within is None else max(0, min(rows, within - start))
     ordered = df.orderBy(*sort_columns(df, order_by))
-    return ordered.limit(within).offset(start).limit(keep).select([_as_text(f) for f in df.schema])
+    return ordered.offset(start).limit(keep).select([_as_text(f) for f in df.schema])
 
 
-def page_count(df: DataFrame, rows: int, within: int = 100) -> int:
-    """The number of pages of the preview."""
+def page_count(df: DataFrame, rows: int, within: int | None = None) -> int:
+    """The number of pages of all rows, or of the first ``within``."""
     require(rows >= 1, "a page has at least one row")
-    return math.ceil(df.limit(within).count() / rows)
+    return math.ceil((df if within is None else df.limit(within)).count() / rows)
 
 
 def schema_json(df: DataFrame) -> str:

@@ -2,7 +2,8 @@
 
 Draws by ``rand`` depend on how the input is partitioned. Where a ``key`` is
 given, a row is chosen by a hash of its key instead: the choice is then the
-same for any partitioning and on every attempt of a task.
+same for any partitioning and on every attempt of a task. Each operator draws
+its own numbers, so that operators in a row with one seed stay independent.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from millrace.util import check_columns, col, names, pairs, require
 _STEPS = 1 << 52
 
 
-def _draw(key, seed: int) -> Column:
-    """A number in [0, 1): random, or fixed by the key."""
+def _draw(key, seed: int, operator: str) -> Column:
+    """A number in [0, 1): random, or fixed by the key for this operator."""
     if key is None:
         return F.rand(seed)
-    hashed = F.xxhash64(*[col(c) for c in names(key)], F.lit(seed))
+    hashed = F.xxhash64(F.lit(operator), *[col(c) for c in names(key)], F.lit(seed))
     return F.pmod(hashed, F.lit(_STEPS)) / F.lit(float(_STEPS))
 
 
@@ -30,7 +31,7 @@ def sample(df: DataFrame, fraction: float, seed: int, with_replacement: bool = F
         return df.sample(with_replacement, fraction, seed)
     require(not with_replacement, "a keyed sample is without replacement")
     require(0.0 <= fraction <= 1.0, "the fraction must be between 0 and 1")
-    return df.where(_draw(key, seed) < F.lit(float(fraction)))
+    return df.where(_draw(key, seed, "sample") < F.lit(float(fraction)))
 
 
 def sample_by(df: DataFrame, column: str, fractions, seed: int, key=None) -> DataFrame:
@@ -43,7 +44,7 @@ def sample_by(df: DataFrame, column: str, fractions, seed: int, key=None) -> Dat
     require(bool(listed), "at least one stratum is needed")
     table = F.create_map(*[F.lit(x) for item in listed for x in item])
     share = F.coalesce(F.try_element_at(table, col(column).cast("string")), F.lit(0.0))
-    return df.where(_draw(key, seed) < share)
+    return df.where(_draw(key, seed, "sample_by") < share)
 
 
 def random_split(df: DataFrame, weights, seed: int, key=None) -> tuple[DataFrame, ...]:
@@ -58,7 +59,7 @@ def random_split(df: DataFrame, weights, seed: int, key=None) -> tuple[DataFrame
     require(all(w >= 0 for w in weights) and sum(weights) > 0, "weights must be positive")
     if key is None:
         return tuple(df.randomSplit(weights, seed))
-    draw = _draw(key, seed)
+    draw = _draw(key, seed, "random_split")
     edges = [sum(weights[:i]) / sum(weights) for i in range(len(weights))] + [1.0]
     return tuple(df.where((draw >= F.lit(low)) & (draw < F.lit(high)))
                  for low, high in zip(edges, edges[1:]))

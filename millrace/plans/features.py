@@ -56,7 +56,7 @@ join (select v, (row_number() over (order by n desc, v) - 1)::double as i
 def string_index_distributed(spark, folder):
     """The way taken when there are too many labels for the driver."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return fe.string_index(orders, "o_custkey", max_labels=10).select("o_orderkey", "o_custkey_IDX")
+    return fe.string_index(orders, "o_custkey", distributed=True).select("o_orderkey", "o_custkey_IDX")
 
 
 @query("string_index_keep", """
@@ -269,10 +269,29 @@ def chisq_stat(spark, folder):
 select doc_id, x::double as x from d
 where slot = (select slot from chi order by statistic desc limit 1)""")
 def chisq_select(spark, folder):
-    kept = fe.chisq_select(_flags(spark, folder), "f", "quality", "best", top=1)
+    kept = fe.chisq_select(_flags(spark, folder), "f", "quality", "best", threshold=1)
     return kept.select("doc_id", _element("best", 0).alias("x"))
 
 
+@query("chisq_select_percentile", f"""{CHI}
+select doc_id, (select floor(0.7 * count(*))::bigint from chi) as n_kept from d where slot = 0""")
+def chisq_select_percentile(spark, folder):
+    kept = fe.chisq_select(_flags(spark, folder), "f", "quality", "best", "percentile", 0.7)
+    return kept.select("doc_id", F.size(vector_to_array("best")).cast("bigint").alias("n_kept"))
+
+
+# Fixed value: a statistic with one degree of freedom above this has a p-value below 0.05.
+CHI_5_PERCENT = 3.841458820694124
+
+
+@query("chisq_select_fpr", f"""{CHI}
+select doc_id, (select count(*) from chi where statistic > {CHI_5_PERCENT}) as n_kept
+from d where slot = 0""")
+def chisq_select_fpr(spark, folder):
+    kept = fe.chisq_select(_flags(spark, folder), "f", "quality", "best", "fpr", 0.05)
+    return kept.select("doc_id", F.size(vector_to_array("best")).cast("bigint").alias("n_kept"))
+
+
 # --- Numbers ----------------------------------------------------------------
 
 @query("binarize", f"""
@@ -336,7 +355,7 @@ vocabulary as (select x from d group by x
 select doc_id, count(vocabulary.x)::double as total
 from documents left join d using (doc_id) left join vocabulary using (x) group by doc_id""")
 def count_vectorize(spark, folder):
-    counted = fe.count_vectorize(_words(spark, folder), "text__output", "tf", minDF=0.2)
+    counted = fe.count_vectorize(_words(spark, folder), "text__output", "tf", 1 << 18, minDF=0.2)
     return counted.select("doc_id", F.aggregate(vector_to_array("tf"), F.lit(0.0),
                                                 lambda s, x: s + x).alias("total"))
 

@@ -296,7 +296,7 @@ def gmm(spark, folder):
 @query("lda", "select count(*) as n, 0::bigint as n_bad from documents")
 def lda(spark, folder):
     words = fe.tokenize(table(spark, folder, "documents").select("doc_id", "text"), ["text"])
-    counts = fe.count_vectorize(words, "text__output", "features", vocabSize=200)
+    counts = fe.count_vectorize(words, "text__output", "features", vocab_size=1 << 18)
     model = train(make_estimator("lda", k=4, maxIter=3, seed=1), counts.select("doc_id", "features"))
     topics = vector_to_array("topicDistribution")
     total = F.aggregate(topics, F.lit(0.0), lambda s, x: s + x)
@@ -441,6 +441,26 @@ def fitted_stages_query(spark, folder):
                                               F.array_join("inputs", ",").alias("inputs"))
 
 
+@query("recorded_stages_distributed", """
+select count(*) as n, 0::bigint as n_changed, 2 as n_stages from orders""")
+def recorded_stages_distributed(spark, folder):
+    """An index whose labels are a table, saved with the model it leads to."""
+    orders = table(spark, folder, "orders").withColumn("label", F.col("o_totalprice"))
+    with recording() as stages:
+        prepared = fe.string_index(orders, "o_orderpriority", distributed=True)
+    prepared = fe.assemble(prepared, ["o_orderpriority_IDX"], "features")
+    model = train(make_estimator("linear_regression", solver="normal"), prepared)
+    path = scratch(spark, "model")
+    save_fitted([*stages, model], path)
+    loaded = load_fitted(path)
+    once = score(model, prepared).withColumnRenamed("prediction", "before").drop(
+        "o_orderpriority_IDX")
+    return score(loaded, once).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.col("before").eqNullSafe(F.col("prediction"))).alias("n_changed"),
+        F.lit(len(loaded.stages)).alias("n_stages"))
+
+
 @query("recorded_stages", """
 select count(*) as n, 0::bigint as n_changed, 4 as n_stages from lineitem""")
 def recorded_stages(spark, folder):

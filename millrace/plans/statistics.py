@@ -213,6 +213,15 @@ def preview_page(spark, folder):
     return prof.page(orders, [("o_totalprice", "desc"), "o_orderkey"], number=2, rows=20)
 
 
+@query("preview_page_deep", """
+select o_orderkey::varchar as o_orderkey, o_orderstatus from orders
+order by o_totalprice desc, o_orderkey limit 20 offset 220""")
+def preview_page_deep(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return prof.page(orders, [("o_totalprice", "desc"), "o_orderkey"], number=12, rows=20).drop(
+        "o_totalprice")
+
+
 @query("preview", """
 select c_custkey::varchar as c_custkey, c_name, coalesce(nullif(c_mktsegment, 'BUILDING'), 'null')
   as c_mktsegment from customer order by c_acctbal desc, customer.c_custkey limit 100""")

@@ -275,6 +275,26 @@ def random_split_keyed(spark, folder):
                                                       key="o_orderkey"))
 
 
+@query("sample_then_split", """
+select true as sample_in_band, true as first_in_band, 0::bigint as n_not_once""")
+def sample_then_split(spark, folder):
+    """Two keyed draws with one seed: the second splits what the first kept by its own shares."""
+    orders = table(spark, folder, "orders")
+    kept = sampling.sample(orders, 0.25, seed=7, key="o_orderkey")
+    first, second = sampling.random_split(kept, 0.7, seed=7, key="o_orderkey")
+    marked = (kept.select("o_orderkey", F.lit(0).alias("part"))
+              .unionByName(first.select("o_orderkey", F.lit(1).alias("part")))
+              .unionByName(second.select("o_orderkey", F.lit(2).alias("part"))))
+    counts = marked.groupBy("o_orderkey").agg(
+        F.count_if(F.col("part") == 1).alias("in_first"),
+        F.count_if(F.col("part") > 0).alias("parts"))
+    share = F.sum("in_first") / F.count(F.lit(1))
+    return counts.crossJoin(orders.agg(F.count(F.lit(1)).alias("all"))).agg(
+        (F.count(F.lit(1)) / F.max("all")).between(0.2, 0.3).alias("sample_in_band"),
+        share.between(0.62, 0.78).alias("first_in_band"),
+        F.count_if(F.col("parts") != 1).alias("n_not_once"))
+
+
 @query("split_by", """
 select o_orderkey, o_orderstatus, case o_orderstatus when 'F' then 0 else 1 end as part
 from orders where o_orderstatus in ('F', 'P')""")

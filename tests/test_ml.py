@@ -29,7 +29,7 @@ def test_missing_values_in_vectors(spark):
         fe.assemble(df, ["a", "b"], "v").collect()
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 1])
+@pytest.mark.parametrize("limit", [False, True])
 def test_string_index_both_ways(spark, limit):
     data = [(v,) for v in ["b", "a", "b", "c", "a", "d", None, "b"]]
     df = spark.createDataFrame(data, "s string").repartition(3)
@@ -87,7 +87,9 @@ def test_vocabulary_matches_spark(spark):
                                "id int, w array<string>").repartition(3)
     for params in ({"minDF": 2.0}, {"minDF": 0.5}, {"maxDF": 2.0}, {"maxDF": 0.4}, {"binary": True},
                    {"minTF": 2.0}, {"vocabSize": 3}):
-        ours = fe.count_vectorize(df, "w", "v", **params)
+        sized = {"vocab_size": params.get("vocabSize", 1 << 18)}
+        ours = fe.count_vectorize(df, "w", "v", **sized, **{
+            k: v for k, v in params.items() if k != "vocabSize"})
         model = CountVectorizer(inputCol="w", outputCol="v", **params).fit(df)
         # Equally frequent words may be ordered differently: compare the counts as bags.
         def bags(scored):
@@ -95,7 +97,7 @@ def test_vocabulary_matches_spark(spark):
                 "id", vector_to_array("v").alias("a")).collect())
         assert bags(ours) == bags(model.transform(df)), params
     with pytest.raises(ValueError, match="empty"):
-        fe.count_vectorize(df, "w", "v", minDF=50.0)
+        fe.count_vectorize(df, "w", "v", 1 << 18, minDF=50.0)
 
 
 def test_parameters_by_name():
@@ -157,10 +159,24 @@ def test_recorded_stages(spark, wide):
     words = spark.createDataFrame([("a b a", 1), ("b c", None)], "t string, i int")
     with recording() as stages:
         df = impute(fillna(words, {"t": ""}), ["i"])
-        df = fe.count_vectorize(fe.tokenize(df, "t"), "t__output", "v")
+        df = fe.count_vectorize(fe.tokenize(df, "t"), "t__output", "v", 1 << 18)
     assert [type(s).__name__ for s in stages] == [
         "FillNa", "SQLTransformer", "ImputerModel", "Tokenizer", "CountVectorizerModel"]
     again = PipelineModel(stages).transform(words).select(df.columns)
     assert again.collect() == df.collect()
     fe.tokenize(words, "t")
     assert len(stages) == 5
+
+
+def test_distributed_index_is_saved(spark, tmp_path):
+    from millrace.ml.stages import recording
+    df = spark.createDataFrame([(v,) for v in "abacab"], "s string")
+    with recording() as stages:
+        indexed = fe.string_index(df, "s", "keep", distributed=True)
+    assert [type(s).__name__ for s in stages] == ["LabelTable"]
+    save_fitted(stages, str(tmp_path / "stages"))
+    loaded = load_fitted(str(tmp_path / "stages"))
+    more = spark.createDataFrame([(v,) for v in "abcx"], "s string")
+    assert sorted(map(tuple, loaded.transform(more).collect())) == [
+        ("a", 0.0), ("b", 1.0), ("c", 2.0), ("x", 3.0)]
+    assert sorted(map(tuple, loaded.transform(df).collect())) == sorted(map(tuple, indexed.collect()))

@@ -142,11 +142,11 @@ def test_schema_as_json(spark):
 
 def test_pages(spark):
     df = spark.range(250)
-    pages = [[r["id"] for r in prof.page(df, [("id", "desc")], n, 30).collect()]
+    pages = [[r["id"] for r in prof.page(df, [("id", "desc")], n, 30, within=100).collect()]
              for n in range(1, 6)]
     assert pages[0][0] == "249" and [len(p) for p in pages] == [30, 30, 30, 10, 0]
     assert sum(pages, []) == [str(i) for i in range(249, 149, -1)]
-    assert prof.page_count(df, 30) == 4
+    assert prof.page_count(df, 30, within=100) == 4
 
 
 def test_observed_counts(spark):
@@ -166,7 +166,7 @@ def scored(spark, data):
 
 def test_binary_measures_by_brute_force(spark):
     df = scored(spark, SCORES)
-    row = ev.eval_binary(df, "score", "label").first()
+    row = ev.eval_binary(df, "score", "label", bins=100).first()
     pos = [s for s, y in SCORES if y]
     neg = [s for s, y in SCORES if not y]
     wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
@@ -191,7 +191,7 @@ def test_areas_match_spark(spark):
     df = spark.range(3000).select(((F.col("id") * 7919) % 613 / 613.0).alias("score"),
                                   ((F.col("id") * 31) % 5 < (F.col("id") * 7919) % 613 / 150)
                                   .cast("double").alias("label"))
-    row = ev.eval_binary(df, "score", "label").first()
+    row = ev.eval_binary(df, "score", "label", bins=100).first()
     for metric in ev.BINARY_METRICS:
         theirs = BinaryClassificationEvaluator(rawPredictionCol="score", metricName=metric,
                                                numBins=0).evaluate(df)
@@ -199,7 +199,7 @@ def test_areas_match_spark(spark):
 
 
 def test_one_sided_labels(spark):
-    only = ev.eval_binary(scored(spark, [(0.3, 1), (0.7, 1)]), "score", "label").first()
+    only = ev.eval_binary(scored(spark, [(0.3, 1), (0.7, 1)]), "score", "label", bins=9).first()
     assert only["areaUnderPR"] == 1.0 and only["areaUnderROC"] == 0.0
     none = ev.threshold_curve(scored(spark, [(0.3, 0)]), "score", "label").first()
     assert tuple(none) == (0.3, 0.0, 0.0, 0.0)
@@ -217,8 +217,8 @@ def test_vector_scores(spark):
     from pyspark.ml.linalg import Vectors
     df = spark.createDataFrame([(Vectors.dense(1 - s, s), int(y)) for s, y in SCORES],
                                ["probability", "label"])
-    assert ev.eval_binary(df, "probability", "label").first()["areaUnderROC"] == pytest.approx(
-        ev.eval_binary(scored(spark, SCORES), "score", "label").first()["areaUnderROC"])
+    assert ev.eval_binary(df, "probability", "label", bins=9).first()["areaUnderROC"] == pytest.approx(
+        ev.eval_binary(scored(spark, SCORES), "score", "label", bins=9).first()["areaUnderROC"])
 
 
 def test_multiclass_matches_spark(spark):
@@ -256,10 +256,27 @@ def test_regression_matches_spark(spark):
         ev.evaluate(df, "ranking", "prediction", "label")
 
 
-def test_matrix_of_many_classes_is_left_out(spark, monkeypatch):
-    df = spark.range(9).select(F.col("id").cast("double").alias("label"),
-                               (F.col("id") % 4).cast("double").alias("prediction"))
-    monkeypatch.setattr(ev, "MAX_MATRIX_CLASSES", 8)
+def test_matrix_of_many_classes(spark):
+    df = spark.range(1200).select(F.col("id").cast("double").alias("label"),
+                                  (F.col("id") % 4).cast("double").alias("prediction"))
     row = ev.eval_multiclass(df, "prediction", "label").first()
-    assert row["accuracy"] == pytest.approx(4 / 9)
-    assert "confusionMatrix" not in json.loads(row["evaluate_result"])
+    assert row["accuracy"] == pytest.approx(4 / 1200)
+    matrix = json.loads(row["evaluate_result"])["confusionMatrix"]["data"]
+    assert len(matrix) == 1200 and all(line[i % 4] == sum(line) == 1 for i, line in enumerate(matrix))
+    without = ev.eval_multiclass(df, "prediction", "label", matrix=False).first()
+    assert "confusionMatrix" not in json.loads(without["evaluate_result"])
+
+
+def test_infinite_values_have_no_ranges(spark):
+    df = spark.range(100).select(F.when(F.col("id") == 3, float("inf"))
+                                 .otherwise(F.col("id")).alias("x"))
+    with pytest.raises(ValueError):
+        prof.profile_histogram(df, "x")
+    assert prof.profile_histogram(df, "x", numbers="values").count() == 10
+    assert prof.profile_histogram(df.where("x < 5"), "x", numbers="ranges").count() == 10
+
+
+def test_deep_pages(spark):
+    df = spark.range(1000)
+    assert [int(r["id"]) for r in prof.page(df, ["id"], 90, 11).collect()] == list(range(979, 990))
+    assert prof.page_count(df, 11) == 91
