@@ -7,6 +7,10 @@ of the one and m - a + 1 of the other. Candidates are found by the first order:
 frequent ones, then by hash. They must also pass this test under every other order (hash orders with
 seeds of their own) before their texts are compared in full.
 
+Before that, a bitmap of 512 bits is compared: a shingle toggles one bit, so the bits in which two
+sets differ are at most as many as the shingles in which they differ, and these are at most
+n + m - 2a for a link.
+
 No group is expanded into all its pairs:
 * documents with the same words are one node from the start;
 * in every bucket of documents that share a prefix shingle, all are compared with one, the pivot;
@@ -111,7 +115,29 @@ def frequent_shingles(docs: DataFrame, k: int, least: int, most: int) -> np.ndar
 
 
 _NAMELESS = 1 << 62
-_PROFILE = "id long, check_a long, check_b long, n_shingles long, prefix array<long>"
+_BITS = 512
+_BITMAP = [f"bits_{i}" for i in range(_BITS // 64)]
+_PROFILE = ("id long, check_a long, check_b long, n_shingles long, prefix array<long>, "
+            + ", ".join(f"{b} long" for b in _BITMAP))
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the number of tokens in each of 512 classes, as 64-bit numbers."""
+    classes = (tokens >> np.uint64(17)) % np.uint64(_BITS)
+    parity = np.bincount(classes.astype(np.int64), minlength=_BITS).astype(np.uint8) & 1
+    return np.packbits(parity).view(np.int64)
+
+
+def _bits_fit(a: str, b: str, n: str, m: str, percent: int) -> Column:
+    """Whether the bitmaps (columns named by prefix) differ in no more bits than a link allows."""
+    differ = sum((F.bit_count(F.col(a + x).bitwiseXOR(F.col(b + x))) for x in _BITMAP[1:]),
+                 F.bit_count(F.col(a + _BITMAP[0]).bitwiseXOR(F.col(b + _BITMAP[0]))))
+    return differ <= F.col(n) + F.col(m) - 2 * _least(F.col(n) + F.col(m), percent)
+
+
+def _least(total: Column, percent: int) -> Column:
+    """``least_overlap`` of two sizes with this sum."""
+    return F.ceil(F.lit(percent) * total / F.lit(100 + percent))
 
 
 def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -126,7 +152,7 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
             whole = xxhash.xxh3_128_intdigest(b" ".join(words))
             first = rare_first(tokens, shared.value, prefix_size(len(tokens), percent))
             rows.append((identifier, whole >> 64, whole & (1 << 64) - 1, len(tokens),
-                         _signed(first)))
+                         _signed(first), bitmap(tokens)))
             if len(rows) == 1024:
                 yield _profile_batch(rows)
                 rows = []
@@ -135,14 +161,16 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
 
 
 def _profile_batch(rows: list[tuple]) -> pa.RecordBatch:
-    ids, high, low, sizes, firsts = zip(*rows) if rows else ([], [], [], [], [])
+    ids, high, low, sizes, firsts, bits = zip(*rows) if rows else ([], [], [], [], [], [])
+    maps = np.stack(bits) if rows else np.zeros((0, len(_BITMAP)), np.int64)
     offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
     flat = np.concatenate(firsts) if rows else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(_signed(np.array(high, dtype=np.uint64))),
          pa.array(_signed(np.array(low, dtype=np.uint64))), pa.array(sizes, pa.int64()),
-         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-        names=["id", "check_a", "check_b", "n_shingles", "prefix"])
+         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+         *[pa.array(np.ascontiguousarray(maps[:, i])) for i in range(len(_BITMAP))]],
+        names=["id", "check_a", "check_b", "n_shingles", "prefix", *_BITMAP])
 
 
 def _shared_buckets(rows: DataFrame) -> DataFrame:
@@ -197,26 +225,35 @@ def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _across(live: DataFrame, percent: int) -> DataFrame:
+def _across(live: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes from different components that pass the first order's test in some bucket.
 
     The smaller set's place must be among its first n - 2tn / (1 + t) + 1, whatever the other is.
     """
-    def least(total):
-        return F.ceil(F.lit(percent) * total / F.lit(100 + percent))
-
-    rows = live.select("token", "node", "n_shingles", "place", "component")
-    small = (rows.where(F.col("place") <= F.col("n_shingles") - least(2 * F.col("n_shingles")))
-             .toDF("token", "a", "n", "place_a", "component_a"))
-    large = rows.toDF("token", "b", "m", "place_b", "component_b")
-    overlap = least(F.col("n") + F.col("m"))
+    rows = (live.select("token", "node", "n_shingles", "place", "component")
+            .join(bitmaps.drop("n_shingles"), "node")
+            .select("token", "node", "n_shingles", "place", "component", *_BITMAP))
+    first = F.col("n_shingles") - _least(2 * F.col("n_shingles"), percent)
+    small = rows.where(F.col("place") <= first).toDF(
+        "token", "a", "n", "place_a", "component_a", *[f"a_{x}" for x in _BITMAP])
+    large = rows.toDF("token", "b", "m", "place_b", "component_b", *[f"b_{x}" for x in _BITMAP])
+    overlap = _least(F.col("n") + F.col("m"), percent)
     return small.join(large, "token").where(
         (F.struct("n", "a") < F.struct(F.col("m").alias("n"), F.col("b").alias("a")))
         & (F.col("component_a") != F.col("component_b"))
         & (F.col("place_a") <= F.col("n") - overlap) & (F.col("place_b") <= F.col("m") - overlap)
+        & _bits_fit("a_", "b_", "n", "m", percent)
     ).select(*_pair("a", "b"))
 
 
+def _possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
+    def side(name, size):
+        return bitmaps.toDF(name, size, *[f"{name}_{x}" for x in _BITMAP])
+    return (pairs.join(side("a", "n"), "a").join(side("b", "m"), "b")
+            .where(_bits_fit("a_", "b_", "n", "m", percent)).select("a", "b"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the other orders' filters and then the comparison in full."""
     # The last join sorts by a: pairs with one pivot lie together, and its set is made once.
@@ -296,6 +333,9 @@ def jaccard_components(df: DataFrame, identifier: str = "doc_id", text: str = "t
     texts = written(docs.join(wanted, "id", "left_semi").distinct()
                     .withColumnRenamed("id", "node"), "candidates")
 
+    bitmaps = written(profiles.join(wanted, "id", "left_semi").select(
+        F.col("id").alias("node"), "n_shingles", *_BITMAP).dropDuplicates(["node"]), "bitmaps")
+
     live, links, compared = buckets, None, None
     for number in range(star_rounds + 1):
         if number < star_rounds:
@@ -303,10 +343,9 @@ def jaccard_components(df: DataFrame, identifier: str = "doc_id", text: str = "t
                                & _sizes_fit("n_shingles", "n_pivot", percent))
             if number:
                 pairs = pairs.where(F.col("component") != F.col("pivot_component"))
-            pairs = pairs.select(*_pair("node", "pivot"))
+            pairs = _possible(pairs.select(*_pair("node", "pivot")).distinct(), bitmaps, percent)
         else:
-            pairs = _across(live, percent)
-        pairs = pairs.distinct()
+            pairs = _across(live, bitmaps, percent).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -318,7 +357,7 @@ def jaccard_components(df: DataFrame, identifier: str = "doc_id", text: str = "t
             live = written(_between_components(buckets, component, number), "live")
             if live.isEmpty():
                 break
-    named = (profiles.drop("prefix").join(nodes, words).join(component, "node", "left")
+    named = (profiles.drop("prefix", *_BITMAP).join(nodes, words).join(component, "node", "left")
              .withColumn("component_id", F.coalesce("component", "node")))
     own = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
 

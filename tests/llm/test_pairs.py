@@ -99,6 +99,9 @@ def test_filters_never_lose_a_link(a, b, seed):
     least = ngramjoin.least_overlap(len(x), len(y), 85)
     orders = [[ngramjoin.rare_first(t, frequent, len(t)) for t in (x, y)],
               [ngramjoin.prefix_under(t, seed, len(t)) for t in (x, y)]]
+    differ = (np.unpackbits(ngramjoin.bitmap(x).view(np.uint8))
+              != np.unpackbits(ngramjoin.bitmap(y).view(np.uint8))).sum()
+    assert differ <= len(a ^ b) <= len(x) + len(y) - 2 * least
     for p, q in orders:
         assert set(p[:len(x) - least + 1].tolist()) & set(q[:len(y) - least + 1].tolist())
         assert len(x) - least + 1 <= ngramjoin.prefix_size(len(x), 85)
