@@ -100,7 +100,9 @@ def io_table(spark, folder):
     orders = _orders(spark, folder).select("o_orderkey", "o_custkey", "o_totalprice",
                                            "o_orderstatus")
     writers.write_table(orders, name, "overwrite", partition_by=["o_orderstatus"], path=path)
-    return readers.read_table(spark, name, "o_orderstatus = 'F' and o_totalprice > 1000")
+    found = readers.read_table(spark, name, "o_orderstatus = 'F' and o_totalprice > 1000")
+    spark.sql(f"drop table {name}")  # its files stay where ``path`` says
+    return found
 
 
 @query("sql_source", """
@@ -178,3 +180,13 @@ def io_binary_keyed(spark, folder):
         values={"first": "*"})
     return back.select("key", "spu_id", "goods_no", F.md5("value").alias("digest"),
                        "first_category", "second_category", "third_category")
+
+
+@query("io_tfrecord_partitioned", "select o_orderkey, o_orderstatus from orders")
+def io_tfrecord_partitioned(spark, folder):
+    """Records in folders of two depths, read by the folder above them."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    path = scratch(spark, "records")
+    tfrecord.write_tfrecord(orders.where("o_orderkey % 2 = 0"), f"{path}/even=1", "append")
+    tfrecord.write_tfrecord(orders.where("o_orderkey % 2 = 1"), f"{path}/even=0/deep=1", "append")
+    return tfrecord.read_tfrecord(spark, path, orders.schema)

@@ -9,7 +9,9 @@ when the whole job has succeeded.
 
 from __future__ import annotations
 
+import functools
 import posixpath
+import re
 import struct
 import uuid
 from dataclasses import dataclass
@@ -31,6 +33,8 @@ CRC32C_POLYNOMIAL = 0x82F63B78
 CRC_MASK_DELTA = 0xA282EAD8
 
 _BATCH = 4096
+_BATCH_BYTES = 8 << 20  # a batch ends after so many bytes, however few records they are
+_BLOCK = 4096  # bytes of a message that one step of the checksum passes over
 _BYTE = [bytes([i]) for i in range(256)]
 
 
@@ -41,32 +45,69 @@ def _crc_table():
     return table.astype(np.uint32)
 
 
-def masked_crcs(messages: list[bytes]):
-    """The masked CRC-32C of every message, one byte position at a time for all.
+def _registers(data, starts, sizes, first: int):
+    """The CRC register after each stretch of ``data``, one byte position at a time for all.
 
-    Messages are visited longest first, so that position i touches exactly the
-    messages that have an i-th byte.
+    Stretches are visited longest first, so that position i touches exactly those that have an
+    i-th byte.
     """
     table = _crc_table()
-    lengths = np.array([len(m) for m in messages], dtype=np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1][order]
-    data = np.frombuffer(b"".join(messages), dtype=np.uint8)
-    crc = np.full(len(messages), 0xFFFFFFFF, dtype=np.uint32)
-    sizes = lengths[order]
-    alive = len(messages)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    crc = np.full(len(starts), first, dtype=np.uint32)
+    alive = len(starts)
     for position in range(int(sizes[0]) if alive else 0):
         while sizes[alive - 1] <= position:
             alive -= 1
         byte = data[starts[:alive] + position]
         crc[:alive] = table[(crc[:alive] ^ byte) & 0xFF] ^ (crc[:alive] >> 8)
-    crc = ~crc
-    masked = ((crc >> 15) | (crc << 17)) + np.uint32(CRC_MASK_DELTA)
-    out = np.empty_like(masked)
-    out[order] = masked
+    out = np.empty_like(crc)
+    out[order] = crc
     return out
 
 
+@functools.cache
+def _shift_tables():
+    """What a whole block of zeros makes of a register, for each value of each of its four bytes."""
+    images = (np.uint32(1) << np.arange(32, dtype=np.uint32)).astype(np.uint32)
+    table = _crc_table()
+    for _ in range(_BLOCK):
+        images = table[images & 0xFF] ^ (images >> 8)
+    values = np.arange(256, dtype=np.uint32)
+    tables = np.zeros((4, 256), dtype=np.uint32)
+    for byte in range(4):
+        for bit in range(8):
+            tables[byte] ^= np.where(values >> bit & 1, images[8 * byte + bit], 0).astype(np.uint32)
+    return tables
+
+
+def masked_crcs(messages: list[bytes]):
+    """The masked CRC-32C of every message.
+
+    Long messages are cut into blocks of equal length that are processed side by side. The register
+    is linear, so a block's own register, begun at zero, is added to what the block's length makes
+    of the register before it.
+    """
+    lengths = np.array([len(m) for m in messages], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
+    data = np.frombuffer(b"".join(messages), dtype=np.uint8)
+    heads, blocks = lengths % _BLOCK, lengths // _BLOCK
+    crc = _registers(data, starts, heads, 0xFFFFFFFF)
+    if blocks.any():
+        before = np.concatenate([[0], np.cumsum(blocks)])[:-1]
+        number = np.arange(int(blocks.sum())) - np.repeat(before, blocks)
+        block_starts = np.repeat(starts + heads, blocks) + number * _BLOCK
+        own = _registers(data, block_starts, np.full(len(number), _BLOCK), 0)
+        shift = _shift_tables()
+        for i in range(int(blocks.max())):
+            at = np.flatnonzero(blocks > i)
+            old = crc[at]
+            crc[at] = (shift[0][old & 0xFF] ^ shift[1][old >> 8 & 0xFF] ^ shift[2][old >> 16 & 0xFF]
+                       ^ shift[3][old >> 24] ^ own[before[at] + i])
+    crc = ~crc
+    return ((crc >> 15) | (crc << 17)) + np.uint32(CRC_MASK_DELTA)
+
+
 def frame(messages: list[bytes]) -> bytes:
     """Records ready to be written."""
     if not messages:
@@ -81,7 +122,7 @@ def frame(messages: list[bytes]) -> bytes:
 
 def unframe(stream, batch: int = _BATCH):
     """Lists of record bytes, checked against their checksums."""
-    lengths, bodies, sums = [], [], []
+    lengths, bodies, sums, held = [], [], [], 0
     while True:
         head = stream.read(12)
         if head:
@@ -94,13 +135,14 @@ def unframe(stream, batch: int = _BATCH):
             lengths.append(head[:8])
             bodies.append(body)
             sums.append(struct.unpack("<II", head[8:] + tail))
-        if bodies and (not head or len(bodies) == batch):
+            held += size
+        if bodies and (not head or len(bodies) == batch or held >= _BATCH_BYTES):
             expected = np.array(sums, dtype=np.uint32)
             if ((masked_crcs(lengths) != expected[:, 0]).any()
                     or (masked_crcs(bodies) != expected[:, 1]).any()):
                 raise ValueError("a record does not match its checksum")
             yield bodies
-            lengths, bodies, sums = [], [], []
+            lengths, bodies, sums, held = [], [], [], 0
         if not head:
             return
 
@@ -302,21 +344,80 @@ def shapes(records: list[bytes]) -> list[tuple]:
 def _filesystem(path: str):
     from pyarrow import fs
     if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
+        try:
+            return fs.FileSystem.from_uri(path)
+        except pa.ArrowInvalid as unknown:
+            raise ValueError(f"TFRecord files cannot be reached at {path}: {unknown}") from None
     return fs.LocalFileSystem(), path
 
 
+_COMMA = re.compile(r",(?![^{]*\})")  # not inside braces
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The paths of a comma list with their file systems, as the session resolves them."""
+    out = []
+    for one in (p.strip() for p in _COMMA.split(path) if p.strip()):
+        place = spark._jvm.org.apache.hadoop.fs.Path(one)
+        full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+        out.append("file://" + full[len("file:"):] if re.match("file:/[^/]", full) else full)
+    require(bool(out), "no path is given")
+    return ",".join(out)
+
+
+_GLOB = re.compile(r"[*?\[{]")
+
+
+def _pattern(path: str) -> re.Pattern:
+    """A glob with * ? [a-b] [^a] and {a,b} as a pattern of whole paths; none but / is special."""
+    out = ""
+    for part in re.findall(r"\*|\?|\[\^?[^\]]*\]|\{[^}]*\}|[^*?\[{]+|.", path):
+        if part == "*":
+            out += "[^/]*"
+        elif part == "?":
+            out += "[^/]"
+        elif part[0] == "[" and part[-1] == "]":
+            out += part
+        elif part[0] == "{" and part[-1] == "}":
+            out += "(?:" + "|".join(map(re.escape, part[1:-1].split(","))) + ")"
+        else:
+            out += re.escape(part)
+    return re.compile(out)
+
+
+def _shown(path: str, root: str) -> bool:
+    """Whether no part of the path below ``root`` is hidden."""
+    below = posixpath.relpath(path, root) if path != root else ""
+    return not any(p.startswith(("_", ".")) and p not in ("", ".") for p in below.split("/"))
+
+
 def _files(path: str) -> list[str]:
+    """All files of the paths of a comma list: folders with the folders below them, and globs."""
     from pyarrow import fs
-    system, root = _filesystem(path)
-    info = system.get_file_info(root)
-    if info.type == fs.FileType.File:
-        return [root]
-    if info.type == fs.FileType.NotFound:
-        raise ValueError(f"no such path: {path}")
-    listed = system.get_file_info(fs.FileSelector(root))
-    return sorted(f.path for f in listed if f.type == fs.FileType.File and f.size
-                  and not posixpath.basename(f.path).startswith(("_", ".")))
+    found = []
+    for one in _COMMA.split(path):
+        if _GLOB.search(one):
+            # An address with a glob is no address: only its beginning is looked up.
+            fixed = one[:_GLOB.search(one).start()].rpartition("/")[0] + "/"
+            system, root = _filesystem(fixed)
+            root = root.rstrip("/") or "/"
+            wanted = _pattern(root.rstrip("/") + "/" + one[len(fixed):].strip("/"))
+            listed = [f for f in system.get_file_info(
+                fs.FileSelector(root, allow_not_found=True, recursive=True))
+                if _shown(f.path, root)]
+            roots = [f for f in listed if wanted.fullmatch(f.path)]
+        else:
+            system, root = _filesystem(one)
+            roots = [system.get_file_info(root)]
+        if not roots or roots[0].type == fs.FileType.NotFound:
+            raise ValueError(f"no such path: {one}")
+        for info in roots:
+            if info.type == fs.FileType.File:
+                found.append(info)
+            else:
+                found += [f for f in system.get_file_info(fs.FileSelector(info.path, recursive=True))
+                          if f.type == fs.FileType.File and _shown(f.path, info.path)]
+    return sorted({f.path for f in found if f.size})
 
 
 @dataclass
@@ -338,12 +439,15 @@ class _Reader(DataSourceReader):
         self.path, self.schema, self.describe = path, schema, describe
 
     def partitions(self):
-        return [_File(f) for f in _files(self.path)]
+        # Without a file there is still a partition: one without records.
+        return [_File(f) for f in _files(self.path)] or [_File("")]
 
     def read(self, partition):
+        if not partition.path:
+            return
         from pyspark.sql.pandas.types import to_arrow_schema
         arrow = to_arrow_schema(self.schema)
-        system, _ = _filesystem(self.path)
+        system, _ = _filesystem(_GLOB.split(_COMMA.split(self.path)[0])[0])
         with system.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
             for bodies in unframe(stream):
                 if self.describe:
@@ -435,7 +539,7 @@ def infer_schema(spark: SparkSession, path: str, record_type: str = "Example") -
     """
     spark.dataSource.register(TfRecordSource)
     found = (spark.read.format("tfrecords").schema(SHAPES).option("recordType", record_type)
-             .option("describe", "true").load(path)
+             .option("describe", "true").load(_qualified(spark, path))
              .groupBy("feature").agg(F.max("depth").alias("depth"),
                                      F.collect_set("kind").alias("kinds")))
     schema = T.StructType()
@@ -451,13 +555,14 @@ def infer_schema(spark: SparkSession, path: str, record_type: str = "Example") -
 def read_tfrecord(spark: SparkSession, path: str, schema=None, record_type: str = "Example"):
     """Records of text, float, int and long values and lists.
 
-    Without a schema an extra pass over the records finds it.
+    ``path`` is a file, a folder (with all folders below), a glob, or several of these with commas
+    between; without a scheme it is on the session's file system. Without a schema an extra pass over the records finds it.
     """
     if schema is None:
         schema = infer_schema(spark, path, record_type)
     spark.dataSource.register(TfRecordSource)
     return (spark.read.format("tfrecords").schema(schema)
-            .option("recordType", record_type).load(path))
+            .option("recordType", record_type).load(_qualified(spark, path)))
 
 
 def write_tfrecord(df: DataFrame, path: str, mode: str, record_type: str = "Example") -> None:
@@ -467,6 +572,8 @@ def write_tfrecord(df: DataFrame, path: str, mode: str, record_type: str = "Exam
         _check(field.dataType, 2 if record_type == "SequenceExample" else 1)
     require(mode in ("append", "overwrite", "ignore", "error", "errorifexists"),
             f"unknown mode: {mode}")
+    path = _qualified(df.sparkSession, path)
+    require("," not in path and not _GLOB.search(path), "write to one path")
     if mode in ("ignore", "error", "errorifexists") and _exists(path):
         require(mode == "ignore", f"path exists already: {path}")
         return

@@ -208,3 +208,51 @@ def test_day_segment():
     assert (readers.day_segment("history"), readers.day_segment("all")) == ("history", "*")
     with pytest.raises(ValueError):
         readers.day_segment("tomorrow")
+
+
+def _record_folder(spark, tmp_path):
+    from millrace.sources.tfrecord import read_tfrecord, write_tfrecord
+    frame = spark.range(10).withColumn("t", F.lit("x"))
+    root = str(tmp_path / "records")
+    for part in (root, f"{root}/dt=1", f"{root}/dt=2/deep"):
+        write_tfrecord(frame, part, "append")
+    return root, lambda path: read_tfrecord(spark, path, "id long, t string").count()
+
+
+def test_records_of_nested_folders_and_globs(spark, tmp_path):
+    root, count = _record_folder(spark, tmp_path)
+    assert count(root) == 30 and count(f"file://{root}") == 30
+    assert count(f"{root}/dt=*") == 20 and count(f"{root}/dt=[12]") == 20
+    assert count(f"{root}/dt={{1,9}}") == 10 and count(f"{root}/dt=1,{root}/dt=2") == 20
+    assert count(f"{root}/*/*.tfrecord") == 10
+    with pytest.raises(Exception, match="no such path"):
+        count(f"{root}/dt=7*")
+    with pytest.raises(Exception):
+        count("nowhere://a/b")
+
+
+def test_records_of_an_empty_folder(spark, tmp_path):
+    _, count = _record_folder(spark, tmp_path)
+    (tmp_path / "empty" / "inside").mkdir(parents=True)
+    assert count(str(tmp_path / "empty")) == 0
+
+
+def test_checksums_of_long_messages():
+    import time
+
+    import numpy as np
+
+    from millrace.sources import tfrecord as tf
+
+    def plain(message):
+        table, crc = [int(x) for x in tf._crc_table()], 0xFFFFFFFF
+        for byte in message:
+            crc = table[(crc ^ byte) & 0xFF] ^ crc >> 8
+        crc ^= 0xFFFFFFFF
+        return ((crc >> 15 | crc << 17) + tf.CRC_MASK_DELTA) & 0xFFFFFFFF
+    sizes = [0, 1, 12, 4095, 4096, 4097, 8192, 20_000, 50_001]
+    messages = [bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)) for n in sizes]
+    assert tf.masked_crcs(messages).tolist() == [plain(m) for m in messages]
+    start = time.perf_counter()
+    tf.masked_crcs([b"x" * (1 << 20)])
+    assert time.perf_counter() - start < 2
