@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans.registry import query, table
 from millrace.sources import readers, tfrecord, writers
-from millrace.util import scratch
+from millrace.util import scratch, written
 
 ALL_ORDERS = """
 select * replace (strftime(o_orderdate, '%Y-%m-%d') as o_orderdate) from orders"""
@@ -100,8 +100,9 @@ def io_table(spark, folder):
     orders = _orders(spark, folder).select("o_orderkey", "o_custkey", "o_totalprice",
                                            "o_orderstatus")
     writers.write_table(orders, name, "overwrite", partition_by=["o_orderstatus"], path=path)
-    found = readers.read_table(spark, name, "o_orderstatus = 'F' and o_totalprice > 1000")
-    spark.sql(f"drop table {name}")  # its files stay where ``path`` says
+    found = written(readers.read_table(
+        spark, name, "o_orderstatus = 'F' and o_totalprice > 1000"), "read-table")
+    spark.sql(f"drop table {name}")
     return found
 
 
