@@ -117,7 +117,7 @@ class LineRuns:
         return self._sum(names).where(F.col("n_docs") >= self.least_docs).select(*HASH)
 
     def forget(self) -> None:
-        """Take the runs out of the catalog. Frames made from them can still be read."""
+        """Take the runs out of the catalog; write what was read from them before."""
         self._drop([name for level in self.levels for name in level] + self.known)
         self.levels, self.known = [[]], []
 
