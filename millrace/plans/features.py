@@ -362,7 +362,7 @@ def count_vectorize(spark, folder):
 
 @query("word2vec", "select doc_id, 8 as size, true as finite from documents")
 def word2vec(spark, folder):
-    vectors = fe.word2vec(_words(spark, folder), "text__output", "v", vectorSize=8, minCount=20,
+    vectors = fe.word2vec(_words(spark, folder), "text__output", "v", vectorSize=8, minCount=0,
                           maxIter=1, seed=7, numPartitions=8)
     values = vector_to_array("v")
     return vectors.select("doc_id", F.size(values).alias("size"),
