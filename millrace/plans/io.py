@@ -165,16 +165,14 @@ def io_tfrecord_sequence(spark, folder):
 
 @query("io_binary_keyed", """
 select source || '_' || doc_id as key, source as spu_id, doc_id::varchar as goods_no,
-  md5(text) as digest, case lang when 'en' then '1' when 'fr' then '2' when 'de' then '3'
-  else '4' end as first_category, '20' as second_category, '30' as third_category
+  md5(text) as digest, '10' as first_category, '20' as second_category, '30' as third_category
 from documents""")
 def io_binary_keyed(spark, folder):
     base = scratch(spark, "keyed")
-    documents = table(spark, folder, "documents")
-    for number, lang in enumerate(["en", "fr", "de", "es"], start=1):
-        keyed = documents.where(F.col("lang") == lang).select(
-            F.concat_ws("_", "source", "doc_id"), F.encode("text", "UTF-8"))
-        keyed.rdd.map(tuple).saveAsSequenceFile(f"{base}/{number}/20/30")
+    # Sequence files can only be written pair by pair: rows pass through Python workers here.
+    keyed = table(spark, folder, "documents").select(
+        F.concat_ws("_", "source", "doc_id"), F.encode("text", "UTF-8"))
+    keyed.rdd.map(tuple).saveAsSequenceFile(f"{base}/10/20/30")
     back = readers.read_keyed_binary(
         spark, base + "/{first}/*/*", path_pattern=r"/(\d+)/(\d+)/(\d+)/[^/]+$",
         path_names=("first_category", "second_category", "third_category"),

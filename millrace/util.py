@@ -97,20 +97,25 @@ def salt(df: DataFrame, buckets: int) -> Column:
     return F.pmod(F.xxhash64(row_hash(df), F.spark_partition_id()), F.lit(buckets)).cast("int")
 
 
+_TEMPORARY: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share.
 
     It is the cluster's ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder.
+    back to a temporary folder, one for each application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        require(spark.sparkContext.master.startswith("local"),
+        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
+        require(master == "local" or master.startswith("local["),
                 "set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if application not in _TEMPORARY:
+            _TEMPORARY[application] = tempfile.mkdtemp(prefix="millrace-")
+        base = _TEMPORARY[application]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
