@@ -41,15 +41,16 @@ def range_shards(df: DataFrame, order: str, shards: int | None = None, per_shard
                  ) -> tuple[DataFrame, list]:
     """Add ``_shard``, the number of the row's range of ``order``; return the limits too.
 
-    The limits come from the rows with the smallest hashes of ``order``: ``per_shard`` values for
-    each shard, whatever the size of the table, and the same ones on every run. They only balance
-    the shards. Rows without a value are in the first shard.
+    The limits come from the values with small hashes: about ``per_shard`` for each shard, whatever
+    the size of the table, and the same ones on every run. They only balance the shards. Rows without
+    a value are in the first shard.
     """
     shards = shards or partitions(df.sparkSession)
     value = col(order)
-    lowest = (df.where(value.isNotNull()).select(value.alias("v"))
-              .orderBy(F.xxhash64("v"), "v").limit(shards * per_shard))
-    values = sorted(r["v"] for r in lowest.collect())
+    share = min(1.0, shards * per_shard / max(1, df.count()))
+    small = F.pmod(F.xxhash64(value), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))
+    chosen = df.where(value.isNotNull() & small).select(value.alias("v")).distinct()
+    values = sorted(r["v"] for r in chosen.collect())
     limits = sorted({values[len(values) * i // shards] for i in range(1, shards)}) if values else []
     points = F.lit(limits).cast("array<bigint>") if limits else F.array().cast("array<bigint>")
     return df.withColumn("_shard", F.coalesce(rank_among(points, value, len(limits)), F.lit(0))
