@@ -29,6 +29,7 @@ are kept; a column with the name of the result is replaced. Empty tables give em
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ _WORD = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 class Vocabulary:
     """The pieces of a model file and the best segmentations over them."""
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 250_000):
         from sentencepiece import SentencePieceProcessor
         self.model = SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
@@ -152,6 +153,8 @@ class Vocabulary:
 
     def _units(self, word: str) -> list[str]:
         """The word cut where no piece has these two characters side by side."""
+        if word.lstrip(BLANK).isalnum():
+            return [word]  # cuts only save time, and few are found inside letters
         out, at = [], 0
         for i in range(1, len(word)):
             if word[i - 1:i + 1] not in self.neighbours:
@@ -183,7 +186,15 @@ class Vocabulary:
                         best[end], back[end] = so_far + score, start
             if not single and (best[start + 1] is None or so_far + unknown > best[start + 1]):
                 best[start + 1], back[start + 1] = so_far + unknown, start
-        return np.array(self.spell(text, self.trace(back, n)), "<u4").tobytes()
+        found, end = [], n
+        while end:
+            piece = self.ids.get(text[back[end]:end])
+            if piece is None:
+                found = self.spell(text, self.trace(back, n))[::-1]
+                break
+            found.append(piece)
+            end = back[end]
+        return struct.pack(f"<{len(found)}I", *found[::-1])
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))

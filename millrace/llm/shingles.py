@@ -13,7 +13,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 class _WordHashes(dict):
     """word -> 64-bit hash; emptied when it is full."""
 
-    MOST = 1_000_000
+    MOST = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
