@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import string
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -55,6 +56,10 @@ class _Words(dict):
         return found
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Tokenizer:
     """The tokenizers library behind a memory of words.
 
@@ -72,6 +77,7 @@ class Tokenizer:
         self.most_words = most_words
         self.words = _Words(self, {})
         self.characters: dict[str, str | None] = {}
+        self.plain_ascii = all(self._character(c) == c.lower() for c in string.ascii_letters)
 
     def _character(self, c: str) -> str | None:
         """What the merges see for a letter; None if it does not stay one run of letters."""
@@ -83,6 +89,8 @@ class Tokenizer:
         return self.characters[c]
 
     def _letters(self, word: str) -> str | None:
+        if word.isascii():
+            return word.lower() if word.isalpha() and self.plain_ascii else None
         if not word.isalpha() or not unicodedata.is_normalized("NFC", word):
             return None
         seen = [self._character(c) for c in word]
@@ -95,10 +103,8 @@ class Tokenizer:
             if letters is not None and len(stem) < len(word):
                 return self.words[stem] + self.words[word[len(stem):]]
             if letters is not None:
-                ids = [t.id for t in self.library.model.tokenize(letters)]
-                return np.array(ids, dtype="<u4").tobytes()
-        ids = self.library.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+                return _packed([t.id for t in self.library.model.tokenize(letters)])
+        return _packed(self.library.encode(word, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         if len(self.words) > self.most_words:
@@ -164,12 +170,15 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int, rounds: i
         pairs, at = _frequent_pairs(symbols, bins, crossing, least, pairs_per_round)
         if not len(pairs):
             break
-        marked = np.zeros(1 << _BIN_BITS, dtype=bool)
-        marked[_bins((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = True
-        at = at[marked[bins[at]]]
-        keys = _pair_keys(symbols, at)
-        rule = np.searchsorted(pairs, keys)
-        hit = pairs[np.minimum(rule, len(pairs) - 1)] == keys
+        # A bin names one pair; another pair of the same bin waits for the next round.
+        own = _bins((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+        _, one = np.unique(own, return_index=True)
+        pairs, own = pairs[np.sort(one)], own[np.sort(one)]
+        rule_of = np.full(1 << _BIN_BITS, -1, dtype=np.int32)
+        rule_of[own] = np.arange(len(pairs))
+        rule = rule_of[bins[at]]
+        at, rule = at[rule >= 0], rule[rule >= 0]
+        hit = pairs[rule] == _pair_keys(symbols, at)
         at, rule = at[hit], rule[hit]
         # Overlapping occurrences stand next to each other: of each run take every second one.
         order = np.arange(len(at))
@@ -210,18 +219,37 @@ def _ready(symbols: np.ndarray, known: np.ndarray, terminals: int) -> np.ndarray
     return (rules < 0) | known[np.maximum(rules, 0)]
 
 
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids that symbols stand for: all nonterminals are opened once per pass."""
-    while True:
-        rules = symbols.astype(np.int64) - terminals
-        is_rule = rules >= 0
-        if not is_rule.any():
-            return symbols
-        at = np.arange(len(symbols)) + np.concatenate([[0], np.cumsum(is_rule)[:-1]])
-        opened = np.repeat(symbols, 1 + is_rule)
-        opened[at[is_rule]] = left[rules[is_rule]]
-        opened[at[is_rule] + 1] = right[rules[is_rule]]
-        symbols = opened
+def expansions(left: np.ndarray, right: np.ndarray, lengths: np.ndarray, terminals: int
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, starts): what every rule stands for, one after the other."""
+    starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    ids = np.zeros(int(starts[-1]), dtype=np.uint32)
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        at = int(starts[i])
+        for symbol in (a, b):
+            rule = symbol - terminals
+            n = int(lengths[rule]) if rule >= 0 else 1
+            ids[at:at + n] = ids[starts[rule]:starts[rule] + n] if rule >= 0 else symbol
+            at += n
+    return ids, starts
+
+
+def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray], terminals: int) -> np.ndarray:
+    """The ids that symbols stand for; ``table`` is that of ``expansions``."""
+    ids, starts = table
+    rules = symbols.astype(np.int64) - terminals
+    is_rule = rules >= 0
+    if not is_rule.any():
+        return symbols
+    sizes = np.ones(len(symbols), dtype=np.int64)
+    sizes[is_rule] = np.diff(starts)[rules[is_rule]]
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype=np.uint32)
+    out[at[~is_rule]] = symbols[~is_rule]
+    n, first = sizes[is_rule], starts[rules[is_rule]]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(at[is_rule], n) + inside] = ids[np.repeat(first, n) + inside]
+    return out
 
 
 # --- The file format --------------------------------------------------------
@@ -265,6 +293,7 @@ class GrammarFile:
             return found
         self.left, self.right = take("<u4", n_rules), take("<u4", n_rules)
         self.lengths = take("<u8", n_rules).astype(np.int64)
+        self.table = expansions(self.left, self.right, self.lengths, self.terminals)
         numbers, known = take("<i8", n_docs), take("u1", n_docs)
         self.doc_ids = [int(d) if k else None for d, k in zip(numbers, known)]
         self.starts = take("<u8", n_docs + 1).astype(np.int64)
@@ -278,8 +307,7 @@ class GrammarFile:
         return wide.reshape(-1).view("<u4")
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.symbols(self.places[i], self.places[i + 1]), self.left, self.right,
-                      self.terminals)
+        return expand(self.symbols(self.places[i], self.places[i + 1]), self.table, self.terminals)
 
     def ids(self, i: int, first: int, last: int) -> np.ndarray:
         """Ids ``first`` to ``last`` of document i: only the symbols over that range are opened."""
@@ -291,8 +319,7 @@ class GrammarFile:
         a = int(np.searchsorted(ends, first, side="right"))
         b = int(np.searchsorted(ends, last, side="left")) + 1
         skipped = int(ends[a - 1]) if a else 0
-        return expand(symbols[a:b], self.left, self.right, self.terminals)[
-            first - skipped:last - skipped]
+        return expand(symbols[a:b], self.table, self.terminals)[first - skipped:last - skipped]
 
     def documents(self, block: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
         """All documents in order, decoded in blocks of about ``block`` symbols."""
@@ -300,8 +327,7 @@ class GrammarFile:
         while i < n:
             j = max(i + 1, int(np.searchsorted(self.places, self.places[i] + block)) - 1)
             j = min(j, n)
-            ids = expand(self.symbols(self.places[i], self.places[j]), self.left, self.right,
-                         self.terminals)
+            ids = expand(self.symbols(self.places[i], self.places[j]), self.table, self.terminals)
             cuts = self.starts[i:j + 1] - self.starts[i]
             for d in range(i, j):
                 yield d, ids[cuts[d - i]:cuts[d - i + 1]]
