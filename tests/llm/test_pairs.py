@@ -205,3 +205,43 @@ def test_frequent_passage_makes_one_row_each(spark):
     passage = " ".join(f"p{i}" for i in range(70))
     rows = [(i, f"{passage} tail{i}") for i in range(300)]
     assert len(_passages(spark, rows)) == 299
+
+
+def _spans(rows):
+    return {(r.id, r.start_word, r.end_word, r.other_id, r.other_start, r.other_end) for r in rows}
+
+
+def _different(n, name):
+    return [f"{name}{i}" for i in range(n)]
+
+
+def test_extension_keeps_the_core(spark):
+    """Words that agree beyond a gap, after or before it, do not lose the passage itself."""
+    core, line, phrase = (_different(n, c) for n, c in ((55, "p"), (15, "l"), (3, "f")))
+    ends = [(core[:50] + _different(20, n) + line, line + _different(20, n) + core[:50],
+             core + _different(20, n) + phrase) for n in ("a", "b")]
+    for kind, (s, e) in enumerate(((0, 50), (35, 85), (0, 55))):
+        got = _passages(spark, [(i, " ".join(w[kind])) for i, w in enumerate(ends)])
+        assert _spans(got) == {(1, s, e, 0, s, e)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(0, 12), st.integers(0, 12)), min_size=1,
+                max_size=12))
+def test_longest_extents(steps):
+    runs, i, j = [], 0, 0
+    for n, skip_a, skip_b in steps:
+        runs.append((i, j, n))
+        i, j = i + n + skip_a, j + n + skip_b
+    good = []
+    for p in range(len(runs)):
+        for q in range(p, len(runs)):
+            long = [runs[q][s] + runs[q][2] - runs[p][s] for s in (0, 1)]
+            agreed = sum(n for _, _, n in runs[p:q + 1])
+            if min(long) >= 40 and agreed / max(long) >= 0.8:
+                good.append(min(long))
+    found = chaining.best_extents(runs, 40, 0.8)
+    assert max((min(e - s, u - t) for s, e, t, u, _ in found), default=0) == max(good, default=0)
+    for s, e, t, u, agreed in found:
+        assert min(e - s, u - t) >= 40 and agreed >= 0.8 * max(e - s, u - t)
+    assert all(x[1] <= y[0] and x[3] <= y[2] for x, y in zip(found, found[1:]))
