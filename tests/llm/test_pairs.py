@@ -225,6 +225,21 @@ def test_extension_keeps_the_core(spark):
         assert _spans(got) == {(1, s, e, 0, s, e)}
 
 
+def test_every_passage_of_a_chain(spark):
+    """A gap or an insertion inside a chain does not end what is found of it."""
+    first, second, third = (_different(n, c) for n, c in ((100, "p"), (100, "q"), (90, "r")))
+    rows = [(1, first + _different(40, "a") + second), (2, first + _different(40, "b") + second),
+            (3, third), (4, third[:45] + _different(60, "i") + third[45:]),
+            (5, _different(60, "s") + _different(30, "c") + _different(55, "t")),
+            (6, _different(60, "s") + _different(30, "d") + _different(55, "t"))]
+    got = _passages(spark, [(i, " ".join(w)) for i, w in rows], least_words=45)
+    for i, other, starts in ((2, 1, ((0, 100), (140, 240))), (4, 3, ((0, 45), (105, 150))),
+                             (6, 5, ((0, 60), (90, 145)))):
+        for s, e in starts:
+            assert any(r.id == i and r.other_id == other and r.start_word <= s and r.end_word >= e
+                       for r in got), (i, s, e)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 30), st.integers(0, 12), st.integers(0, 12)), min_size=1,
                 max_size=12))
