@@ -240,6 +240,43 @@ def test_every_passage_of_a_chain(spark):
                        for r in got), (i, s, e)
 
 
+def test_passage_of_which_smaller_documents_hold_halves(spark):
+    passage, fuzzy = _different(80, "p"), _different(80, "q")
+    other = fuzzy[:]
+    other[20] = other[60] = "x"
+    rows = [(1, passage[:40] + _different(20, "a")), (2, passage[40:] + _different(20, "b")),
+            (3, _different(9, "c") + passage), (4, passage[:45] + _different(9, "d") + passage),
+            (5, passage[:40]), (6, passage[40:]), (7, passage + _different(9, "e")),
+            (11, fuzzy[:40] + _different(20, "f")), (12, fuzzy[40:] + _different(20, "g")),
+            (13, fuzzy), (14, other)]
+    got = _passages(spark, [(i, " ".join(w)) for i, w in rows])
+    for i, s in ((4, 54), (7, 0), (14, 0)):
+        assert any(r.id == i and r.start_word <= s and r.end_word >= s + 80 for r in got), i
+    assert not {r.id for r in got} & {1, 2, 3, 5, 6, 11, 12, 13}
+
+
+def test_links_go_on_over_batches(spark):
+    r = random.Random(3)
+    rows = sorted({(r.randint(0, 9), r.randint(0, 12), r.randint(0, 99)) for _ in range(400)})
+    want = set()
+    for s, group in itertools.groupby(rows, key=lambda x: x[0]):
+        places = defaultdict(list)
+        for _, d, p in group:
+            places[d].append(p)
+        docs = sorted(places)
+        for before, d in zip(docs, docs[1:]):
+            for o in (docs[0], before):
+                want |= {(s, d, o, x, y) for x in places[d] for y in places[o]}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "7")
+    try:
+        got = chaining.match_seeds(spark.createDataFrame(rows, "seed long, doc long, place int"))
+        got = [(r.doc, r.other, r.x, r.y) for r in got.collect()]
+    finally:
+        spark.conf.unset(name)
+    assert len(got) == len(want) and set(got) == {w[1:] for w in want}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 30), st.integers(0, 12), st.integers(0, 12)), min_size=1,
                 max_size=12))
