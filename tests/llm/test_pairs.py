@@ -240,6 +240,22 @@ def test_every_passage_of_a_chain(spark):
                        for r in got), (i, s, e)
 
 
+@pytest.mark.parametrize("words", [50, 60, 100])
+def test_recall_of_fuzzy_passages(spark, words):
+    """Every fifth to tenth word replaced, and replaced at random: all passages are found."""
+    r, rows, wanted = random.Random(words), [], set()
+    for n in range(40):
+        passage = _different(words, f"p{n}-")
+        fuzzy = passage[:]
+        for at in (range(2, words, 5 + n % 6) if n < 20 else r.sample(range(3, words - 3), words // 5)):
+            fuzzy[at] = "x"
+        rows += [(2 * n, _different(20, f"a{n}-") + passage + _different(20, f"b{n}-")),
+                 (2 * n + 1, _different(30, f"c{n}-") + fuzzy + _different(9, f"d{n}-"))]
+        wanted.add((2 * n + 1, 2 * n))
+    got = _passages(spark, [(i, " ".join(w)) for i, w in rows])
+    assert wanted <= {(r.id, r.other_id) for r in got if r.end_word - r.start_word >= 50}
+
+
 def test_passage_of_which_smaller_documents_hold_halves(spark):
     passage, fuzzy = _different(80, "p"), _different(80, "q")
     other = fuzzy[:]
