@@ -15,6 +15,7 @@ Other columns are not written. An empty table gives no files and no rows. A docu
 
 from __future__ import annotations
 
+import itertools
 import os
 import string
 import struct
@@ -139,30 +140,34 @@ def _frequent_pairs(symbols: np.ndarray, bins: np.ndarray, crossing: np.ndarray,
     """The frequent pairs, ascending, and the positions of pairs that share their bins.
 
     Frequent is what occurs as often as the ``most``-th fullest bin, and ``least`` times anyway.
-    The counts of bins bound those of their pairs, so only pairs in the fullest bins are sorted.
+    The counts of bins bound those of their pairs, so only pairs in the fullest bins are sorted. If
+    full bins are made of rare pairs only, every pair that occurs ``least`` times is frequent.
     """
     in_bin = np.bincount(bins, minlength=1 << _BIN_BITS)
     in_bin -= np.bincount(bins[crossing], minlength=1 << _BIN_BITS)
-    least = max(least, int(np.partition(in_bin, -most)[-most]))
-    full = in_bin >= least
-    inside = full[bins]
-    inside[crossing] = False
-    at = np.flatnonzero(inside)
-    pairs, counts = np.unique(_pair_keys(symbols, at), return_counts=True)
-    return pairs[counts >= least], at
+    for bar in (max(least, int(np.partition(in_bin, -most)[-most])), least):
+        inside = (in_bin >= bar)[bins]
+        inside[crossing] = False
+        at = np.flatnonzero(inside)
+        pairs, counts = np.unique(_pair_keys(symbols, at), return_counts=True)
+        pairs = pairs[counts >= bar]
+        if len(pairs) or bar == least:
+            break
+    return pairs, at
 
 
 def _pair_keys(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
 
 
-def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int, rounds: int = 8,
-                  pairs_per_round: int = 4096, least: int = 16):
+def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
+                  rounds: int | None = None, pairs_per_round: int = 4096, least: int = 16):
     """(symbols, starts, left, right): the compressed symbols, where each document starts in them,
-    and the two symbols of each rule. Rule i is symbol ``terminals`` + i."""
+    and the two symbols of each rule. Rule i is symbol ``terminals`` + i. Without ``rounds`` it ends
+    when no pair occurs ``least`` times."""
     symbols, starts = ids.astype(np.uint32), starts.astype(np.int64)
     left, right = [], []
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(symbols) < 2:
             break
         crossing = starts[(starts > 0) & (starts < len(symbols))] - 1

@@ -120,6 +120,17 @@ def test_grammar_makes_repetition_small():
     assert len(symbols) < 500 and len(left) > 10
 
 
+def test_grammar_goes_on_until_pairs_are_rare():
+    text = np.random.default_rng(1).integers(0, 5000, 3000).astype(np.uint32)
+    ids, starts = np.tile(text, 64), np.arange(0, 64 * 3000 + 1, 3000)
+    symbols, at, left, right = grammar.build_grammar(ids, starts, 5000)
+    assert len(symbols) == 64 and at.tolist() == list(range(65))
+    lengths = grammar.expansion_lengths(left, right, 5000)
+    flat, begin = grammar.expansions(left, right, lengths, 5000)
+    rule = int(symbols[0]) - 5000
+    assert (flat[begin[rule]:begin[rule + 1]] == text).all()
+
+
 def test_shards_do_not_depend_on_the_layout(spark):
     df = spark.range(5000).withColumn("x", F.col("id") % 900)
     limits = [files.range_shards(d, "x", 7)[1] for d in (df, df.repartition(11))]
