@@ -29,13 +29,19 @@ def awkward(spark, tmp_path_factory):
                     "text as html", "lang", "id", "payload_x as payload"
                     if "payload_x" in docs.columns else "size as payload").write.parquet(
         f"{folder}/pages.parquet")
+    labels(spark, [(1, 1, 0), (6, 1, 1), (6, 0, None), (9, None, 1), (None, 1, 1), (99, 1, 1)], folder)
     return folder
 
 
+def labels(spark, rows, folder):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(
+        f"{folder}/labels.parquet")
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_awkward_rows(spark, awkward, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "labels"):
         con.execute(f"create view {table} as select * from "
                     f"read_parquet('{awkward}/{table}.parquet/*.parquet')")
     assert oracle.compare(spark, con, awkward, QUERIES[name], ORACLES[name]) is None
@@ -46,4 +52,5 @@ def test_empty_tables(spark, tmp_path, name):
     odd.documents(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(
         f"{tmp_path}/pages.parquet")
+    labels(spark, [], str(tmp_path))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
