@@ -48,6 +48,7 @@ _BLOCK = 1 << 18  # pre-tokens that are looked up at a time
 _LONGEST = 64     # characters of a pre-token that the table may hold
 _SUMMARY = "words array<string>, counts array<bigint>"
 _SLICE = 4096     # words of one row of a summary
+_FAN_IN = 16      # summaries that a task merges
 
 
 class PreTokens:
@@ -149,15 +150,15 @@ class Summary:
         low = int(np.partition(values, len(values) - self.most - 1)[len(values) - self.most - 1])
         self.counts = Counter({w: n - low for w, n in self.counts.items() if n > low})
 
-    def batches(self, **more) -> Iterator[pa.RecordBatch]:
+    def batches(self, place: int) -> Iterator[pa.RecordBatch]:
         self.shrink()
         words = list(self.counts)
         for at in range(0, len(words), _SLICE):
             some = words[at:at + _SLICE]
-            arrays = {"words": pa.array([some], pa.list_(pa.string())),
-                      "counts": pa.array([[self.counts[w] for w in some]], pa.list_(pa.int64()))}
-            arrays |= {k: pa.array([v], pa.int32()) for k, v in more.items()}
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([place], pa.int32()), pa.array([some], pa.list_(pa.string())),
+                 pa.array([[self.counts[w] for w in some]], pa.list_(pa.int64()))],
+                names=["place", "words", "counts"])
 
 
 def _texts(batch: pa.RecordBatch, name: str, rows: int = 256) -> Iterator[list[str]]:
@@ -171,6 +172,7 @@ def frequent_lengths(df: DataFrame, path: str, text: str = "text", frequent: int
     """The most frequent pre-tokens of all texts, ``frequent`` at most, with their lengths."""
     _checked(path)
     places = partitions(df.sparkSession)
+    schema = f"place int, {_SUMMARY}"
 
     def count(batches):
         from pyspark import TaskContext
@@ -184,18 +186,27 @@ def frequent_lengths(df: DataFrame, path: str, text: str = "text", frequent: int
                             for piece in pieces(part):
                                 seen.add(cut.find(piece))
         seen.counts = Counter({w: n for w, n in seen.counts.items() if len(w) <= _LONGEST})
-        yield from seen.batches(place=TaskContext.get().partitionId() % places)
-
-    def merge(batches):
-        seen = Summary(frequent)
-        for batch in batches:
-            for row in batch.select(["words", "counts"]).to_pylist():
-                seen.add(row["words"], row["counts"])
-        yield from seen.batches()
-
-    summaries = df.select(col(text).alias("text")).mapInArrow(count, f"{_SUMMARY}, place int")
-    merged = summaries.repartition(places, "place").mapInArrow(merge, _SUMMARY)
-    rows = merged.repartition(1).mapInArrow(merge, _SUMMARY).collect()
+        yield from seen.batches(TaskContext.get().partitionId() % places)
+
+    def merge(after: int):
+        def run(batches):
+            from pyspark import TaskContext
+            seen = Summary(frequent)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    seen.add(row["words"], row["counts"])
+            yield from seen.batches(TaskContext.get().partitionId() % after)
+        return run
+
+    summaries = df.select(col(text).alias("text")).mapInArrow(count, schema)
+    while True:  # a task merges those of so many others, until one is left
+        after = -(-places // _FAN_IN)
+        summaries = summaries.repartitionById(places, F.col("place")).mapInArrow(
+            merge(after), schema)
+        if places == 1:
+            break
+        places = after
+    rows = summaries.collect()
     words = sorted({w for row in rows for w in row["words"]})
     return list(zip(words, PreTokens(path).lengths(words))) if words else []
 
