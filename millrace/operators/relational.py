@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.columns import select_as
+from millrace.operators.hotjoin import hot_join
 from millrace.util import check_columns, col, fresh, names, pairs, quoted, require, salt
 
 JOIN_TYPES = {
@@ -29,7 +30,7 @@ JOIN_HINTS = ("merge", "shuffle_hash")
 
 def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner",
          left_cols=None, right_cols=None, hint: str | None = None,
-         salts: int | None = None) -> DataFrame:
+         salts: int | None = None, spread_hot: bool = False) -> DataFrame:
     """Equi-join two frames.
 
     ``left_cols`` and ``right_cols`` are ordered pairs (name, new name); they
@@ -43,7 +44,10 @@ def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner",
     preserved side (the left one for inner joins) over that many buckets per
     key and copies the other side once per bucket; use it where the adaptive
     split does not apply, as in full joins or below a grouping on the join key.
+    ``spread_hot`` finds the hot keys of both sides by itself, in any kind of join, and
+    moves only their rows more than once (``operators.hotjoin``).
     """
+    require(not (salts and spread_hot), "choose salts or spread_hot")
     require(hint is None or hint in JOIN_HINTS, f"{hint} is not one of {', '.join(JOIN_HINTS)}")
     require(how.lower() in JOIN_TYPES, f"unknown join type: {how}")
     how = JOIN_TYPES[how.lower()]
@@ -53,7 +57,9 @@ def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner",
     right, right_out, right_keys = _side(right, right_cols, [b for _, b in on], "r")
     output = left_out if how in ("left_semi", "left_anti") else left_out + right_out
 
-    if salts and how == "full":
+    if spread_hot and how != "cross":
+        joined = hot_join(left, right, left_keys, right_keys, how, hint)
+    elif salts and how == "full":
         joined = _salted_full(left, right, left_keys, right_keys, salts, hint)
     elif salts and how != "cross":
         joined = _salted(left, right, left_keys, right_keys, how, salts, hint)

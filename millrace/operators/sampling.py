@@ -8,10 +8,12 @@ its own numbers, so that operators in a row with one seed stay independent.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.util import check_columns, col, names, pairs, require
+from millrace.util import check_columns, col, fresh, names, pairs, require
 
 _STEPS = 1 << 52
 
@@ -26,14 +28,43 @@ def _draw(key, seed: int, operator: str) -> Column:
 
 def sample(df: DataFrame, fraction: float, seed: int, with_replacement: bool = False,
            key=None) -> DataFrame:
-    """A random fraction of the rows."""
+    """A random fraction of the rows; with replacement, so many copies of each on average."""
     if key is None:
         return df.sample(with_replacement, fraction, seed)
-    require(not with_replacement, "a keyed sample is without replacement")
+    if with_replacement:
+        return _drawn_often(df, fraction, seed, key)
     require(0.0 <= fraction <= 1.0, "the fraction must be between 0 and 1")
     return df.where(_draw(key, seed, "sample") < F.lit(float(fraction)))
 
 
+_MOST_COPIES = 500.0  # beyond, the chance of no copy is too small for a number
+
+
+def poisson_steps(mean: float) -> list[float]:
+    """The chances of at most 0, 1, 2 … copies, as far as draws can tell them from certainty."""
+    chance = total = math.exp(-mean)
+    steps = []
+    while total < 1.0 - 1.0 / _STEPS and len(steps) < 4 * mean + 60:
+        steps.append(total)
+        chance *= mean / len(steps)
+        total += chance
+    return steps
+
+
+def _drawn_often(df: DataFrame, fraction: float, seed: int, key) -> DataFrame:
+    """Each row as often as its key's draw says: a Poisson number with the given mean.
+
+    The draw is looked up in the distribution, so a row has the same copies for any partitioning.
+    """
+    require(0.0 <= fraction <= _MOST_COPIES, f"copies are at most {_MOST_COPIES:.0f} on average")
+    name = fresh(df, "_copies")
+    draw = _draw(key, seed, "sample_with_replacement")
+    # The steps ascend, so those passed by the draw come first.
+    passed = F.size(F.filter(F.lit(poisson_steps(fraction)), lambda step: step <= draw))
+    drawn = df.withColumn(name, passed).where(F.col(name) > 0)
+    return drawn.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))).drop(name)
+
+
 def sample_by(df: DataFrame, column: str, fractions, seed: int, key=None) -> DataFrame:
     """A fraction per stratum, listed by the text form of the value.
 

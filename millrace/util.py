@@ -110,9 +110,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
+        master = spark.sparkContext.master
         require(master == "local" or master.startswith("local["),
                 "set spark.checkpoint.dir to a folder that all executors share")
+        application = spark.sparkContext.applicationId
         if application not in _TEMPORARY:
             _TEMPORARY[application] = tempfile.mkdtemp(prefix="millrace-")
         base = _TEMPORARY[application]

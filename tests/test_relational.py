@@ -1,3 +1,4 @@
+import random
 from itertools import product
 
 import pytest
@@ -32,8 +33,9 @@ def right5(spark):
 KINDS = ["inner", "left", "right", "full", "left_semi", "left_anti"]
 
 
-@pytest.mark.parametrize("how,salts", list(product(KINDS, [None, 4])))
-def test_join_against_brute_force(left3, right5, how, salts):
+@pytest.mark.parametrize("how,options", list(product(KINDS, [{}, {"salts": 4},
+                                                             {"spread_hot": True}])))
+def test_join_against_brute_force(left3, right5, how, options):
     a = [tuple(r)[:2] for r in left3.collect()]
     b = [(r["k"], r["n"]) for r in right5.collect()]
     matched = [(x, y) for x in a for y in b if x[0] is not None and x[0] == y[0]]
@@ -46,10 +48,70 @@ def test_join_against_brute_force(left3, right5, how, salts):
             "left_semi": [x for x in a if x in seen_a],
             "left_anti": [x for x in a if x not in seen_a]}[how]
     got = rel.join(left3, right5, [("lk", "rk")], how, [("k", "lk"), ("s", "s")],
-                   [("k", "rk"), ("n", "n")], salts=salts)
+                   [("k", "rk"), ("n", "n")], **options)
     assert rows(got) == sorted(want, key=repr)
 
 
+@pytest.fixture(scope="module")
+def hot_sides(spark):
+    """Keys that are hot on the left, on the right, on both, on one side only, and NULL."""
+    nan, r = float("nan"), random.Random(3)
+    a = [1.0] * 200 + [2.0] * 150 + [3.0] + [4.0] * 90 + [None] * 100 + [nan] * 40 + [-0.0] * 40
+    b = [1.0] * 60 + [2.0] + [3.0] * 150 + [5.0] * 90 + [None] * 100 + [nan] * 3 + [0.0] * 3
+    a += [float(r.randrange(10, 300)) for _ in range(200)]
+    b += [float(r.randrange(10, 300)) for _ in range(200)]
+    left = spark.createDataFrame([(k, n // 5) for n, k in enumerate(a)], "k double, s int")
+    right = spark.createDataFrame([(k, n // 5) for n, k in enumerate(b)], "k double, t int")
+    return left.repartition(4), right.repartition(4)
+
+
+@pytest.mark.parametrize("how", KINDS)
+def test_hot_keys_on_any_side(hot_sides, how):
+    left, right = hot_sides
+    names = {"left_cols": [("k", "a"), ("s", "s")], "right_cols": [("k", "b"), ("t", "t")]}
+    got = rel.join(left, right, [("a", "b")], how, **names, spread_hot=True)
+    want = rel.join(left, right, [("a", "b")], how, **names)
+    assert list(map(repr, rows(got))) == list(map(repr, rows(want)))  # NaN is no NaN's equal
+
+
+def test_hot_join_of_two_keys_and_types(spark):
+    left = spark.createDataFrame([(1, bytearray(b"x"), n) for n in range(300)], "i int, k binary, v int")
+    right = spark.createDataFrame([(1, bytearray(b"x"), n) for n in range(7)], "j long, m binary, w int")
+    got = rel.join(left, right, [("i", "j"), ("k", "m")], spread_hot=True)
+    assert got.count() == 2100 and got.select("v", "w").distinct().count() == 2100
+    with pytest.raises(ValueError, match="cannot be spread"):
+        rel.join(left, right, [("k", "j")], spread_hot=True)
+    assert rel.join(left.limit(0), right, [("i", "j")], "right", spread_hot=True).count() == 7
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_a_third_of_the_right_side_in_one_key(spark, how):
+    right = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("b"), F.col("id").alias("v"))
+    left = spark.range(60_000).select(F.col("id").alias("a"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = rel.join(left, right, [("a", "b")], how, spread_hot=True)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+
+
+def test_grid_is_bounded():
+    from millrace.operators.hotjoin import grid
+    assert grid(10**9, 1, 3 * 10**9, 10**9, 200) == (534, 1)
+    assert grid(1, 10**9, 10**9, 3 * 10**9, 200) == (1, 534)
+    a, b = grid(10**9, 10**9, 2 * 10**9, 2 * 10**9, 2000)
+    assert 1 < a * b <= 64 * 2000
+    assert grid(0, 5, 0, 5, 4) == (1, 5)
+
+
 def test_join_names_order_and_self_join(left3, right5):
     wide = rel.join(left3, right5, [("key", "other")],
                     left_cols=[("x", "x"), ("k", "key"), ("s", "s")],
@@ -264,3 +326,21 @@ def test_samples_with_replacement_and_ratio(spark):
     assert a.count() + b.count() == 1000 and a.count() < b.count()
     x, y = sampling.split_by(df.withColumn("m", F.col("id") % 4), "m", [1, 3])
     assert x.count() == y.count() == 250
+
+
+def test_keyed_draws_with_replacement(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    for mean in (0.0, 0.3, 4.0):
+        drawn = sampling.sample(df, mean, seed=9, with_replacement=True, key="k")
+        counts = {r["k"]: r["count"] for r in drawn.groupBy("k").count().collect()}
+        values = [counts.get(k, 0) for k in range(20_000)]
+        average = sum(values) / len(values)
+        spread = sum((v - average) ** 2 for v in values) / len(values)
+        assert abs(average - mean) < 0.05 and abs(spread - mean) < 0.15
+    again = sampling.sample(df.repartition(5), 4.0, seed=9, with_replacement=True, key="k")
+    assert {r["k"]: r["count"] for r in again.groupBy("k").count().collect()} == counts
+    assert drawn.columns == ["k"]
+    with pytest.raises(ValueError, match="copies"):
+        sampling.sample(df, 1e4, seed=9, with_replacement=True, key="k")
+    steps = sampling.poisson_steps(500.0)
+    assert steps == sorted(steps) and steps[-1] > 1 - 1e-9
