@@ -163,20 +163,45 @@ def io_tfrecord_sequence(spark, folder):
         F.md5(text.cast("binary")).alias("digest"))
 
 
-@query("io_binary_keyed", """
+# One of twelve folders, by the language and the number of a document.
+FOLDERS = """
+select *, case lang when 'en' then 10 when 'de' then 20 when 'fr' then 30 else 40 end as a,
+  100 + doc_id % 3 as b from documents"""
+
+
+@query("io_binary_keyed", f"""
 select source || '_' || doc_id as key, source as spu_id, doc_id::varchar as goods_no,
-  md5(text) as digest, '10' as first_category, '20' as second_category, '30' as third_category
-from documents""")
+  md5(text) as digest, a::varchar as first_category, b::varchar as second_category,
+  (a + b)::varchar as third_category
+from ({FOLDERS})""")
 def io_binary_keyed(spark, folder):
-    base = scratch(spark, "keyed")
-    # Sequence files can only be written pair by pair: rows pass through Python workers here.
+    """Documents in twelve folders of sequence files, written in one pass and read as one."""
+    base, tasks = scratch(spark, "keyed"), 4
+    lang, languages = F.col("lang"), {"en": 10, "de": 20, "fr": 30}
+    first = F.lit(40)
+    for name, number in languages.items():
+        first = F.when(lang == name, number).otherwise(first)
+    places = [(a, 100 + b) for a in (10, 20, 30, 40) for b in range(3)]
+    place = (first / 10 - 1) * 3 + F.col("doc_id") % 3
+    # Sequence files can only be written pair by pair: rows pass through Python workers here. The
+    # part of the output follows from the folder, so that one pass writes all folders.
+    part = place * tasks + F.pmod(F.xxhash64("doc_id"), F.lit(tasks))
     keyed = table(spark, folder, "documents").select(
-        F.concat_ws("_", "source", "doc_id"), F.encode("text", "UTF-8"))
-    keyed.rdd.map(tuple).saveAsSequenceFile(f"{base}/10/20/30")
+        part.cast("int"), F.struct(F.concat_ws("_", "source", "doc_id"), F.encode("text", "UTF-8")))
+    (keyed.rdd.map(tuple).partitionBy(len(places) * tasks, lambda p: p).map(lambda r: tuple(r[1]))
+     .saveAsSequenceFile(f"{base}/all"))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, (a, b) in enumerate(places):
+        target = hadoop.Path(f"{base}/{a}/{b}/{a + b}")
+        system.mkdirs(target)
+        for n in range(i * tasks, (i + 1) * tasks):
+            system.rename(hadoop.Path(f"{base}/all/part-{n:05d}"), target)
     back = readers.read_keyed_binary(
-        spark, base + "/{first}/*/*", path_pattern=r"/(\d+)/(\d+)/(\d+)/[^/]+$",
+        spark, base + "/{first}/1*/*", "([^_]+)_(.+)", ("spu_id", "goods_no"),
+        path_pattern=r"/(\d+)/(\d+)/(\d+)/[^/]+$",
         path_names=("first_category", "second_category", "third_category"),
-        values={"first": "*"})
+        values={"first": "*0"})
     return back.select("key", "spu_id", "goods_no", F.md5("value").alias("digest"),
                        "first_category", "second_category", "third_category")
 
@@ -189,3 +214,17 @@ def io_tfrecord_partitioned(spark, folder):
     tfrecord.write_tfrecord(orders.where("o_orderkey % 2 = 0"), f"{path}/even=1", "append")
     tfrecord.write_tfrecord(orders.where("o_orderkey % 2 = 1"), f"{path}/even=0/deep=1", "append")
     return tfrecord.read_tfrecord(spark, path, orders.schema)
+
+
+@query("io_tfrecord_split", """
+select o_orderkey, o_orderstatus, floor(o_totalprice)::int as price, true as many_tasks from orders""")
+def io_tfrecord_split(spark, folder):
+    """All orders in one file, which many tasks read."""
+    path = scratch(spark, "records")
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderstatus", F.floor("o_totalprice").cast("int").alias("price"))
+    tfrecord.write_tfrecord(orders.coalesce(1), path, "error")
+    back = tfrecord.read_tfrecord(spark, path, orders.schema, split=8 << 10)
+    read = back.withColumn("task", F.spark_partition_id())
+    tasks = read.agg(F.count_distinct("task").alias("n")).scalar()
+    return read.withColumn("many_tasks", tasks >= 8).drop("task")

@@ -97,9 +97,9 @@ def day_segment(choice: str, today: datetime.date | None = None) -> str:
     return "*" if choice == "all" else choice
 
 
-def read_keyed_binary(spark: SparkSession, path: str, key_pattern: str = "([^_]+)_(.+)",
-                      key_names=("spu_id", "goods_no"), path_pattern: str | None = None,
-                      path_names=(), values=None, layout: str = "sequence") -> DataFrame:
+def read_keyed_binary(spark: SparkSession, path: str, key_pattern: str, key_names,
+                      path_pattern: str | None = None, path_names=(), values=None,
+                      layout: str = "sequence") -> DataFrame:
     """Binary values with a text key: ``key``, ``value``, ``path`` and derived columns.
 
     ``layout`` is ``sequence`` for sequence files of (text, bytes), or ``files``

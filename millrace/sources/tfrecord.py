@@ -1,10 +1,13 @@
-"""TFRecord files as a Spark data source named ``tfrecords``.
+"""TFRecord files: reading, writing, and finding their schema.
 
-A record is framed as length, checksum, bytes, checksum. The bytes are an
-``Example`` (a map of features) or a ``SequenceExample`` (a map of features
-and a map of feature lists). A feature is a list of bytes, floats or whole
-numbers. Reading is one task per file; writing is one file per task, published
-when the whole job has succeeded.
+A record is framed as length, checksum, bytes, checksum. The bytes are an ``Example`` (a map of
+features) or a ``SequenceExample`` (a map of features and a map of feature lists). A feature is a list
+of bytes, floats or whole numbers. Blocks of records are coded as columns (``sources.wire``).
+
+Files cannot be split where one likes, so large ones are indexed first: a task walks from one length to
+the next and notes where stretches of whole records begin. The index is a table; each of its stretches
+is read by a task of its own. Files are written below a temporary name, listed in a manifest by the
+tasks that succeeded, and given their names by a second job.
 """
 
 from __future__ import annotations
@@ -14,17 +17,16 @@ import posixpath
 import re
 import struct
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage)
 
-from millrace.util import require
+from millrace.sources import wire
+from millrace.util import require, written
 
 RECORD_TYPES = ("Example", "SequenceExample")
 
@@ -32,10 +34,10 @@ RECORD_TYPES = ("Example", "SequenceExample")
 CRC32C_POLYNOMIAL = 0x82F63B78
 CRC_MASK_DELTA = 0xA282EAD8
 
-_BATCH = 4096
-_BATCH_BYTES = 8 << 20  # a batch ends after so many bytes, however few records they are
+_BLOCK_BYTES = 8 << 20  # about what a task reads at a time
+_SPLIT_BYTES = 64 << 20  # the size of a stretch of a large file
 _BLOCK = 4096  # bytes of a message that one step of the checksum passes over
-_BYTE = [bytes([i]) for i in range(256)]
+_HEAD, _TAIL = 12, 4  # length and checksum before a message, checksum behind it
 
 
 def _crc_table():
@@ -81,16 +83,13 @@ def _shift_tables():
     return tables
 
 
-def masked_crcs(messages: list[bytes]):
-    """The masked CRC-32C of every message.
+def masked_crcs_at(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The masked CRC-32C of every stretch of the data.
 
     Long messages are cut into blocks of equal length that are processed side by side. The register
     is linear, so a block's own register, begun at zero, is added to what the block's length makes
     of the register before it.
     """
-    lengths = np.array([len(m) for m in messages], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
-    data = np.frombuffer(b"".join(messages), dtype=np.uint8)
     heads, blocks = lengths % _BLOCK, lengths // _BLOCK
     crc = _registers(data, starts, heads, 0xFFFFFFFF)
     if blocks.any():
@@ -108,238 +107,106 @@ def masked_crcs(messages: list[bytes]):
     return ((crc >> 15) | (crc << 17)) + np.uint32(CRC_MASK_DELTA)
 
 
-def frame(messages: list[bytes]) -> bytes:
-    """Records ready to be written."""
-    if not messages:
-        return b""
-    lengths = [struct.pack("<Q", len(m)) for m in messages]
-    parts = []
-    for length, head, body, tail in zip(lengths, masked_crcs(lengths), messages,
-                                        masked_crcs(messages)):
-        parts += [length, struct.pack("<I", head), body, struct.pack("<I", tail)]
-    return b"".join(parts)
-
-
-def unframe(stream, batch: int = _BATCH):
-    """Lists of record bytes, checked against their checksums."""
-    lengths, bodies, sums, held = [], [], [], 0
-    while True:
-        head = stream.read(12)
-        if head:
-            if len(head) < 12:
-                raise ValueError("the file ends inside a record")
-            size = struct.unpack("<Q", head[:8])[0]
-            body, tail = stream.read(size), stream.read(4)
-            if len(body) < size or len(tail) < 4:
-                raise ValueError("the file ends inside a record")
-            lengths.append(head[:8])
-            bodies.append(body)
-            sums.append(struct.unpack("<II", head[8:] + tail))
-            held += size
-        if bodies and (not head or len(bodies) == batch or held >= _BATCH_BYTES):
-            expected = np.array(sums, dtype=np.uint32)
-            if ((masked_crcs(lengths) != expected[:, 0]).any()
-                    or (masked_crcs(bodies) != expected[:, 1]).any()):
-                raise ValueError("a record does not match its checksum")
-            yield bodies
-            lengths, bodies, sums, held = [], [], [], 0
-        if not head:
-            return
-
-
-# --- The few parts of the protocol buffer wire format that records use ------
-
-def _varint(number: int) -> bytes:
-    if 0 <= number < 0x80:
-        return _BYTE[number]
-    number &= (1 << 64) - 1
-    out = bytearray()
-    while number > 0x7F:
-        out.append(number & 0x7F | 0x80)
-        number >>= 7
-    out.append(number)
-    return bytes(out)
-
-
-def _read_varint(data, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        byte = data[at]
-        at += 1
-        value |= (byte & 0x7F) << shift
-        if byte < 0x80:
-            return value, at
-        shift += 7
-
-
-def _field(number: int, payload: bytes) -> bytes:
-    return _varint(number << 3 | 2) + _varint(len(payload)) + payload
-
-
-def _fields(data):
-    """(number, wire type, value) of each field."""
-    at, end = 0, len(data)
-    while at < end:
-        key = data[at]
-        at += 1
-        if key >= 0x80:
-            key, at = _read_varint(data, at - 1)
-        wire = key & 7
-        if wire == 2:
-            size = data[at]
-            at += 1
-            if size >= 0x80:
-                size, at = _read_varint(data, at - 1)
-            value = data[at:at + size]
-            at += size
-        elif wire == 0:
-            value, at = _read_varint(data, at)
-        elif wire in (1, 5):
-            size = 8 if wire == 1 else 4
-            value, at = data[at:at + size], at + size
-        else:
-            raise ValueError(f"unexpected wire type {wire}")
-        yield key >> 3, wire, value
-
-
-def _signed(number: int) -> int:
-    return number - (1 << 64) if number >> 63 else number
-
-
-def encode_feature(values: list, kind: T.DataType) -> bytes:
-    """A feature: field 1 is a list of bytes, 2 of floats, 3 of whole numbers."""
-    if isinstance(kind, T.StringType):
-        return _field(1, b"".join([_field(1, v.encode()) for v in values]))
-    if isinstance(kind, T.FloatType):
-        return _field(2, _field(1, struct.pack(f"<{len(values)}f", *values)))
-    return _field(3, _field(1, b"".join([_varint(v) for v in values])))
-
-
-def decode_feature(data) -> list:
-    out = []
-    for kind, _, content in _fields(data):
-        if kind == 1:
-            out += [value for _, _, value in _fields(content)]
-            continue
-        for _, wire, value in _fields(content):
-            if kind == 2:
-                out += struct.unpack(f"<{len(value) // 4}f", value)
-            elif wire == 0:
-                out.append(_signed(value))
-            else:
-                at, end = 0, len(value)
-                while at < end:
-                    number = value[at]
-                    at += 1
-                    if number >= 0x80:
-                        number, at = _read_varint(value, at - 1)
-                    out.append(_signed(number))
+def masked_crcs(messages: list[bytes]) -> np.ndarray:
+    """The masked CRC-32C of every message."""
+    lengths = np.array([len(m) for m in messages], dtype=np.int64)
+    starts = (np.cumsum(lengths) - lengths).astype(np.int64)
+    return masked_crcs_at(np.frombuffer(b"".join(messages), dtype=np.uint8), starts, lengths)
+
+
+def frame(bodies: wire.Piece) -> np.ndarray:
+    """Records ready to be written, in one buffer."""
+    n, size = len(bodies.size), bodies.size
+    at = wire.sums(size + _HEAD + _TAIL)
+    out = np.zeros(int(at[-1]), dtype=np.uint8)
+    starts = at[:-1]
+
+    def put(places, values: np.ndarray) -> None:
+        width = values.dtype.itemsize
+        out[places[:, None] + np.arange(width)] = values.view(np.uint8).reshape(n, width)
+    if n:
+        put(starts, size.astype("<u8"))
+        bodies.fill(out, starts + _HEAD)
+        put(starts + 8, masked_crcs_at(out, starts, np.full(n, 8)).astype("<u4"))
+        put(starts + _HEAD + size, masked_crcs_at(out, starts + _HEAD, size).astype("<u4"))
     return out
 
 
-def _entries(data):
-    """(key, value) of a map message."""
-    for _, _, entry in _fields(data):
-        key = value = b""
-        for number, _, part in _fields(entry):
-            if number == 1:
-                key = part
-            else:
-                value = part
-        yield key, value
-
-
-def _leaf(kind: T.DataType) -> T.DataType:
-    return _leaf(kind.elementType) if isinstance(kind, T.ArrayType) else kind
-
+def walk(data) -> list[int]:
+    """Where the records begin whose lengths the data holds, and where the last of them ends, which
+    may be behind the data."""
+    places, at, end = [0], 0, len(data)
+    while end - at >= _HEAD:
+        at += struct.unpack_from("<Q", data, at)[0] + _HEAD + _TAIL
+        places.append(at)
+    return places
 
-def _depth(kind: T.DataType) -> int:
-    return 1 + _depth(kind.elementType) if isinstance(kind, T.ArrayType) else 0
 
+def _numbers(data: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return data[at[:, None] + np.arange(width)].reshape(-1).view(kind)
 
-def encode_column(values: list, field: T.StructField) -> list[bytes]:
-    """The map entry of one column for each row of a batch; empty for NULL."""
-    name, leaf = _field(1, field.name.encode()), _leaf(field.dataType)
-    depth = _depth(field.dataType)
-    out = []
-    for value in values:
-        if value is None:
-            out.append(b"")
-        elif depth < 2:
-            feature = encode_feature(value if depth else (value,), leaf)
-            out.append(_field(1, name + _field(2, feature)))
-        else:
-            inner = b"".join([_field(1, encode_feature(v, leaf)) for v in value])
-            out.append(_field(1, name + _field(2, inner)))
-    return out
-
-
-def encode_batch(batch: pa.RecordBatch, schema: T.StructType, record_type: str) -> list[bytes]:
-    """The rows of a batch as records. Lists of lists go to the feature lists."""
-    single, lists = [], []
-    for i, field in enumerate(schema):
-        entries = encode_column(batch.column(i).to_pylist(), field)
-        (single if _depth(field.dataType) < 2 else lists).append(entries)
-    none = [b""] * batch.num_rows
-    heads = map(b"".join, zip(*single)) if single else none
-    if record_type == "Example":
-        return [_field(1, head) for head in heads]
-    tails = map(b"".join, zip(*lists)) if lists else none
-    return [_field(1, head) + _field(2, tail) for head, tail in zip(heads, tails)]
-
-
-def decode_batch(records: list[bytes], schema: T.StructType) -> list[list]:
-    """The columns of the given records, in schema order."""
-    columns = {f.name.encode(): (f.dataType, [None] * len(records)) for f in schema}
-    for i, record in enumerate(records):
-        for number, _, content in _fields(record):
-            for name, value in _entries(content):
-                if name not in columns:
-                    continue
-                kind, column = columns[name]
-                found = (decode_feature(value) if number == 1
-                         else [decode_feature(v) for _, _, v in _fields(value)])
-                column[i] = _shaped(found, kind)
-    return [column for _, column in columns.values()]
-
-
-def _shaped(values, kind: T.DataType):
-    if isinstance(kind, T.ArrayType):
-        inner = kind.elementType
-        if isinstance(inner, T.ArrayType):
-            return [_shaped(v, inner) for v in values]
-        return [v.decode() for v in values] if isinstance(inner, T.StringType) else values
-    if not values:
-        return None
-    return values[0].decode() if isinstance(kind, T.StringType) else values[0]
 
+def _check_crcs(data: np.ndarray, starts, lengths, stored) -> None:
+    if (masked_crcs_at(data, starts, lengths) != _numbers(data, stored, "<u4")).any():
+        raise ValueError("a record does not match its checksum")
 
-# What inference asks of the reader: one row per feature and shape that occurs.
-SHAPES = T.StructType([
-    T.StructField("feature", T.StringType()), T.StructField("kind", T.IntegerType()),
-    T.StructField("depth", T.IntegerType())])
 
-# The kinds of feature in the record format.
-KINDS = {1: T.StringType(), 2: T.FloatType(), 3: T.LongType()}
+def _heads(at: np.ndarray) -> tuple:
+    """The lengths that begin at these places, and their checksums."""
+    return at, np.full(len(at), 8), at + 8
 
 
-def shapes(records: list[bytes]) -> list[tuple]:
-    """(feature, kind, depth) that occur; depth 0 is one value, 1 a list, 2 a list of lists."""
-    seen = set()
-    for record in records:
-        for number, _, content in _fields(record):
-            for name, value in _entries(content):
-                if number == 1:
-                    for kind, _, _ in _fields(value):
-                        seen.add((name, kind, int(len(decode_feature(value)) != 1)))
-                else:
-                    for _, _, feature in _fields(value):
-                        for kind, _, _ in _fields(feature):
-                            seen.add((name, kind, 2))
-    return [(name.decode(), kind, depth) for name, kind, depth in seen]
+def blocks(stream, start: int, end: int, size: int = _BLOCK_BYTES
+           ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The records of a stretch of a file: blocks of data, and where each message begins and ends.
 
+    ``stream`` can be read at any place. Checksums are compared.
+    """
+    while start < end:
+        raw = stream.read_at(min(size, end - start), start)
+        places = walk(raw)
+        if len(places) == 2 and places[1] > len(raw):  # longer than a block
+            _check_crcs(np.frombuffer(raw, dtype=np.uint8), *_heads(np.zeros(1, np.int64)))
+            raw = stream.read_at(min(places[1], end - start), start)
+        while places[-1] > len(raw):
+            places.pop()
+        if len(places) < 2:
+            raise ValueError("the file ends inside a record")
+        data = np.frombuffer(raw[:places[-1]] + bytes(wire.PADDING), dtype=np.uint8)
+        at = np.array(places, dtype=np.int64)
+        heads, starts, ends = at[:-1], at[:-1] + _HEAD, at[1:] - _TAIL
+        _check_crcs(data, *_heads(heads))
+        _check_crcs(data, starts, ends - starts, ends)
+        yield data, starts, ends
+        start += places[-1]
+
+
+def index_file(stream, size: int, split: int, window: int = 1 << 20) -> list[tuple[int, int, int]]:
+    """(start, end, records) of stretches of at least ``split`` bytes, from the lengths alone.
+
+    Records that are longer than a window are stepped over without being read.
+    """
+    out, first, records, at = [], 0, 0, 0
+    while at < size:
+        raw = stream.read_at(min(window, size - at), at)
+        places = np.array(walk(raw), dtype=np.int64)
+        if len(places) < 2 or at + places[-1] > size:
+            raise ValueError("the file ends inside a record")
+        _check_crcs(np.frombuffer(raw, dtype=np.uint8), *_heads(places[:-1]))
+        ends, done = at + places[1:], 0
+        at = int(ends[-1])
+        while True:
+            cut = int(np.searchsorted(ends, first + split))
+            if cut == len(ends):
+                break
+            out.append((first, int(ends[cut]), records + cut + 1 - done))
+            first, records, done = int(ends[cut]), 0, cut + 1
+        records += len(ends) - done
+    if first < size:
+        out.append((first, size, records))
+    return out
 
-# --- The data source --------------------------------------------------------
 
 def _filesystem(path: str):
     from pyarrow import fs
@@ -391,8 +258,8 @@ def _shown(path: str, root: str) -> bool:
     return not any(p.startswith(("_", ".")) and p not in ("", ".") for p in below.split("/"))
 
 
-def _files(path: str) -> list[str]:
-    """All files of the paths of a comma list: folders with the folders below them, and globs."""
+def _files(path: str) -> list[tuple[str, int]]:
+    """Path and size of all files of the paths of a comma list: folders with the folders below them, and globs."""
     from pyarrow import fs
     found = []
     for one in _COMMA.split(path):
@@ -417,129 +284,76 @@ def _files(path: str) -> list[str]:
             else:
                 found += [f for f in system.get_file_info(fs.FileSelector(info.path, recursive=True))
                           if f.type == fs.FileType.File and _shown(f.path, info.path)]
-    return sorted({f.path for f in found if f.size})
-
+    return sorted({(f.path, f.size) for f in found if f.size})
 
-@dataclass
-class _File(InputPartition):
-    path: str
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+def _system(path: str):
+    return _filesystem(_GLOB.split(_COMMA.split(path)[0])[0])[0]
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    name: str
+_STRETCHES = "path string, start long, end long"
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, describe: bool):
-        self.path, self.schema, self.describe = path, schema, describe
+def index_records(spark: SparkSession, path: str, split: int = _SPLIT_BYTES) -> DataFrame:
+    """The stretches of all files: ``path``, ``start``, ``end``.
 
-    def partitions(self):
-        # Without a file there is still a partition: one without records.
-        return [_File(f) for f in _files(self.path)] or [_File("")]
-
-    def read(self, partition):
-        if not partition.path:
-            return
-        from pyspark.sql.pandas.types import to_arrow_schema
-        arrow = to_arrow_schema(self.schema)
-        system, _ = _filesystem(_GLOB.split(_COMMA.split(self.path)[0])[0])
-        with system.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
-            for bodies in unframe(stream):
-                if self.describe:
-                    columns = list(zip(*shapes(bodies))) or [[]] * len(SHAPES)
-                else:
-                    columns = decode_batch(bodies, self.schema)
+    A file that is no larger than ``split`` is one stretch. Larger ones are walked through, each by
+    one task that reads lengths only, and the result is kept as a table.
+    """
+    require(split > 0, "stretches need a size")
+    files = _files(_qualified(spark, path))
+    small = spark.createDataFrame([(f, 0, size) for f, size in files if size <= split], _STRETCHES)
+    large = [(f, size) for f, size in files if size > split]
+    if not large:
+        return small
+    base = _qualified(spark, path)
+
+    def walked(batches):
+        system = _system(base)
+        for batch in batches:
+            for file, size in zip(*(c.to_pylist() for c in batch.columns)):
+                with system.open_input_file(file) as stream:
+                    found = index_file(stream, size, split)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-
-class _Writer(DataSourceArrowWriter):
-    """Tasks write below ``_pending``; the driver publishes what was committed."""
-
-    def __init__(self, path: str, schema: T.StructType, record_type: str, overwrite: bool):
-        self.path, self.schema, self.record_type = path, schema, record_type
-        self.overwrite = overwrite
-        self.job = f"_pending-{uuid.uuid4().hex}"
-
-    def write(self, iterator):
-        from pyspark import TaskContext
-        system, root = _filesystem(self.path)
-        pending = posixpath.join(root, self.job)
-        system.create_dir(pending, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.tfrecord"
-        with system.open_output_stream(posixpath.join(pending, name)) as out:
-            for batch in iterator:
-                out.write(frame(encode_batch(batch, self.schema, self.record_type)))
-        return _Written(name)
-
-    def commit(self, messages):
-        system, root = _filesystem(self.path)
-        system.create_dir(root, recursive=True)
-        old = _files(self.path) if self.overwrite else []
-        for message in messages:
-            if message is not None:
-                system.move(posixpath.join(root, self.job, message.name),
-                            posixpath.join(root, message.name))
-        for path in old:
-            system.delete_file(path)
-        self._forget()
-
-    def abort(self, messages):
-        self._forget()
-
-    def _forget(self):
-        system, root = _filesystem(self.path)
-        pending = posixpath.join(root, self.job)
-        system.create_dir(pending, recursive=True)
-        system.delete_dir(pending)
-
-
-class TfRecordSource(DataSource):
-    """Options: ``path``, ``recordType`` and ``describe`` (shapes instead of records)."""
-
-    @classmethod
-    def name(cls):
-        return "tfrecords"
-
-    def schema(self):
-        raise ValueError("give the schema of the records")
-
-    def _record_type(self):
-        record_type = self.options.get("recordType", "Example")
-        require(record_type in RECORD_TYPES, f"unknown record type: {record_type}")
-        return record_type
-
-    def reader(self, schema):
-        self._record_type()
-        describe = self.options.get("describe", "false") == "true"
-        return _Reader(self.options["path"], schema, describe)
-
-    def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], schema, self._record_type(), overwrite)
-
-
-def _check(kind: T.DataType, depth_left: int) -> None:
-    if isinstance(kind, T.ArrayType):
-        require(depth_left > 0, "lists of lists need the record type SequenceExample")
-        _check(kind.elementType, depth_left - 1)
-    else:
-        require(isinstance(kind, (T.StringType, T.FloatType, T.IntegerType, T.LongType)),
-                f"{kind.simpleString()} is not supported in TFRecord; cast it first")
-
-
-def infer_schema(spark: SparkSession, path: str, record_type: str = "Example") -> T.StructType:
+                    [pa.array([file] * len(found)), *[pa.array(c, pa.int64())
+                                                      for c in list(zip(*found))[:2]]],
+                    names=["path", "start", "end"])
+    listed = spark.createDataFrame(large, "path string, size long").repartition(len(large))
+    return small.unionByName(written(listed.mapInArrow(walked, _STRETCHES), "record-index"))
+
+
+def _read(spark: SparkSession, path: str, split: int, schema: T.StructType, coded: Callable
+          ) -> DataFrame:
+    """One task for each stretch; ``coded`` turns a block of records into columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    base, arrow = _qualified(spark, path), to_arrow_schema(schema)
+    stretches = index_records(spark, path, split)
+    tasks = max(1, stretches.count())
+    numbered = stretches.coalesce(1).withColumn("_task", F.monotonically_increasing_id().cast("int"))
+    placed = numbered.repartitionById(tasks, F.col("_task")).drop("_task")
+
+    def run(batches):
+        system = _system(base)
+        for batch in batches:
+            for file, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+                with system.open_input_file(file) as stream:
+                    for block in blocks(stream, start, end):
+                        yield pa.RecordBatch.from_arrays(coded(*block), schema=arrow)
+    return placed.mapInArrow(run, schema)
+
+
+def infer_schema(spark: SparkSession, path: str, record_type: str = "Example",
+                 split: int = _SPLIT_BYTES) -> T.StructType:
     """The schema of the records, in the order of the feature names, from one pass over all.
 
     A feature with one value in every record is a plain column, else a list.
     """
-    spark.dataSource.register(TfRecordSource)
-    found = (spark.read.format("tfrecords").schema(SHAPES).option("recordType", record_type)
-             .option("describe", "true").load(_qualified(spark, path))
+    _check_type(record_type)
+
+    def described(data, starts, ends):
+        found = list(zip(*wire.shapes(data, starts, ends))) or [[], [], []]
+        return [pa.array(c, k) for c, k in zip(found, (pa.string(), pa.int32(), pa.int32()))]
+    found = (_read(spark, path, split, SHAPES, described)
              .groupBy("feature").agg(F.max("depth").alias("depth"),
                                      F.collect_set("kind").alias("kinds")))
     schema = T.StructType()
@@ -552,35 +366,135 @@ def infer_schema(spark: SparkSession, path: str, record_type: str = "Example") -
     return schema
 
 
-def read_tfrecord(spark: SparkSession, path: str, schema=None, record_type: str = "Example"):
+def read_tfrecord(spark: SparkSession, path: str, schema=None, record_type: str = "Example",
+                  split: int = _SPLIT_BYTES) -> DataFrame:
     """Records of text, float, int and long values and lists.
 
     ``path`` is a file, a folder (with all folders below), a glob, or several of these with commas
-    between; without a scheme it is on the session's file system. Without a schema an extra pass over the records finds it.
+    between; without a scheme it is on the session's file system. Without a schema an extra pass
+    over the records finds it. Files of more than ``split`` bytes are read by several tasks.
     """
+    _check_type(record_type)
     if schema is None:
-        schema = infer_schema(spark, path, record_type)
-    spark.dataSource.register(TfRecordSource)
-    return (spark.read.format("tfrecords").schema(schema)
-            .option("recordType", record_type).load(_qualified(spark, path)))
+        schema = infer_schema(spark, path, record_type, split)
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    for field in schema:
+        _check(field.dataType, 2)
+    return _read(spark, path, split, schema,
+                 lambda data, starts, ends: wire.columns(data, starts, ends, schema))
 
 
-def write_tfrecord(df: DataFrame, path: str, mode: str, record_type: str = "Example") -> None:
-    """Write one file per task; ``mode`` is append, overwrite, ignore or error."""
+def _check_type(record_type: str) -> None:
     require(record_type in RECORD_TYPES, f"unknown record type: {record_type}")
+
+
+def _check(kind: T.DataType, depth_left: int) -> None:
+    if isinstance(kind, T.ArrayType):
+        require(depth_left > 0, "lists of lists need the record type SequenceExample")
+        _check(kind.elementType, depth_left - 1)
+    else:
+        require(isinstance(kind, (T.StringType, T.FloatType, T.IntegerType, T.LongType)),
+                f"{kind.simpleString()} is not supported in TFRecord; cast it first")
+
+
+# What inference asks of the reader: one row per feature and shape that occurs.
+SHAPES = T.StructType([
+    T.StructField("feature", T.StringType()), T.StructField("kind", T.IntegerType()),
+    T.StructField("depth", T.IntegerType())])
+
+# The kinds of feature in the record format.
+KINDS = {wire.BYTES: T.StringType(), wire.FLOATS: T.FloatType(), wire.INTS: T.LongType()}
+
+
+def write_tfrecord(df: DataFrame, path: str, mode: str, record_type: str = "Example") -> None:
+    """Write one file per task; ``mode`` is append, overwrite, ignore or error.
+
+    Tasks write below a temporary folder and report their files. The report of the attempts that
+    succeeded is the manifest; a second job gives its files their names, and only then do
+    overwritten files go. A job that fails leaves nothing.
+    """
+    _check_type(record_type)
     for field in df.schema:
         _check(field.dataType, 2 if record_type == "SequenceExample" else 1)
     require(mode in ("append", "overwrite", "ignore", "error", "errorifexists"),
             f"unknown mode: {mode}")
-    path = _qualified(df.sparkSession, path)
+    spark = df.sparkSession
+    path = _qualified(spark, path)
     require("," not in path and not _GLOB.search(path), "write to one path")
     if mode in ("ignore", "error", "errorifexists") and _exists(path):
         require(mode == "ignore", f"path exists already: {path}")
         return
-    df.sparkSession.dataSource.register(TfRecordSource)
-    # The path was checked above; a data source of this kind knows append and overwrite.
-    (df.write.format("tfrecords").option("recordType", record_type)
-     .mode("overwrite" if mode == "overwrite" else "append").save(path))
+    system, root = _filesystem(path)
+    old = _files(path) if mode == "overwrite" and _exists(path) else []
+    pending = f"_pending-{uuid.uuid4().hex}"
+    system.create_dir(posixpath.join(root, pending), recursive=True)
+    schema = df.schema
+    try:
+        df.mapInArrow(_writer(path, pending, schema, record_type), "name string").write.parquet(
+            f"{path}/{pending}/_manifest")
+        listed = spark.read.schema("name string").parquet(f"{path}/{pending}/_manifest")
+        _each(listed, _published(path, pending))
+        if old:
+            _each(spark.createDataFrame([(f,) for f, _ in old], "name string"), _deleted(path))
+    finally:
+        system.delete_dir(posixpath.join(root, pending))
+
+
+def _writer(path: str, pending: str, schema: T.StructType, record_type: str) -> Callable:
+    def run(batches):
+        from pyspark import TaskContext
+        system, root = _filesystem(path)
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.tfrecord"
+        out = None
+        for batch in batches:
+            for part in _parts(batch):
+                if out is None:
+                    out = system.open_output_stream(posixpath.join(root, pending, name))
+                out.write(memoryview(frame(wire.messages(part, schema, record_type))))
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+    return run
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about the size of a block."""
+    rows = max(1, batch.num_rows * _BLOCK_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _each(names: DataFrame, action: Callable) -> None:
+    """Run ``action`` for every name, in parallel; it may be run again for the same name."""
+    def run(batches):
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                action(name)
+            yield batch
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names.repartition(tasks).mapInArrow(run, "name string").write.format("noop").mode(
+        "overwrite").save()
+
+
+def _published(path: str, pending: str) -> Callable:
+    def move(name: str) -> None:
+        from pyarrow import fs
+        system, root = _filesystem(path)
+        old, new = posixpath.join(root, pending, name), posixpath.join(root, name)
+        if system.get_file_info(old).type != fs.FileType.NotFound:
+            system.move(old, new)
+        elif system.get_file_info(new).type == fs.FileType.NotFound:  # else an earlier attempt did it
+            raise FileNotFoundError(new)
+    return move
+
+
+def _deleted(path: str) -> Callable:
+    def delete(name: str) -> None:
+        from pyarrow import fs
+        system, _ = _filesystem(path)
+        if system.get_file_info(name).type != fs.FileType.NotFound:
+            system.delete_file(name)
+    return delete
 
 
 def _exists(path: str) -> bool:

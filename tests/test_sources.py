@@ -1,11 +1,14 @@
-import io
 import os
+import struct
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.sources import readers, tfrecord, writers
+from millrace.sources import readers, tfrecord, wire, writers
 
 
 @pytest.fixture(scope="module")
@@ -106,13 +109,13 @@ def test_keyed_files(spark, tmp_path):
     (folder / "s1_g1").write_bytes(b"\x00\x01")
     (folder / "plain").write_bytes(b"z")
     got = readers.read_keyed_binary(
-        spark, str(tmp_path) + "/{first}/*/*/{dt}", layout="files",
+        spark, str(tmp_path) + "/{first}/*/*/{dt}", "([^_]+)_(.+)", ("a1", "a2"), layout="files",
         path_pattern=r"/(\d+)/(\d+)/(\d+)/[^/]+/[^/]+$", path_names=("a", "b", "c"),
         values={"first": "1", "dt": "history"})
     assert rows(got.drop("path")) == [
         ("plain", b"z", "", "", "1", "2", "3"), ("s1_g1", b"\x00\x01", "s1", "g1", "1", "2", "3")]
     with pytest.raises(ValueError):
-        readers.read_keyed_binary(spark, "x", layout="zip")
+        readers.read_keyed_binary(spark, "x", "(.)", ("a",), layout="zip")
 
 
 def crc32c(data: bytes) -> int:
@@ -132,13 +135,61 @@ def test_checksums():
     assert list(tfrecord.masked_crcs([])) == []
 
 
-def test_frames_are_checked():
-    framed = tfrecord.frame([b"one", b"", b"three"])
-    assert list(tfrecord.unframe(io.BytesIO(framed), batch=2)) == [[b"one", b""], [b"three"]]
+def _records(data: bytes, size: int = 1 << 20) -> list[bytes]:
+    import pyarrow as pa
+    return [bytes(block[a:b]) for block, starts, ends in
+            tfrecord.blocks(pa.BufferReader(data), 0, len(data), size)
+            for a, b in zip(starts, ends)]
+
+
+def _framed(*bodies: bytes) -> bytes:
+    """Records made one by one."""
+    out = b""
+    for body in bodies:
+        size = struct.pack("<Q", len(body))
+        out += size + struct.pack("<I", crc32c(size)) + body + struct.pack("<I", crc32c(body))
+    return out
+
+
+@pytest.mark.parametrize("size", [13, 20, 40, 1000])
+def test_frames_are_checked(size):
+    bodies = [b"one", b"", b"three", b"x" * 300]
+    framed = _framed(*bodies)
+    whole = wire.Bytes(np.frombuffer(b"".join(bodies), dtype=np.uint8), np.array([0, 3, 3, 8]),
+                       np.array([3, 0, 5, 300]))
+    assert tfrecord.frame(whole).tobytes() == framed
+    assert _records(framed, size) == bodies
+    with pytest.raises(ValueError, match="checksum"):
+        _records(framed.replace(b"one", b"two"), size)
     with pytest.raises(ValueError, match="checksum"):
-        list(tfrecord.unframe(io.BytesIO(framed.replace(b"one", b"two"))))
+        _records(b"\x04" + framed[1:], size)
     with pytest.raises(ValueError, match="ends inside"):
-        list(tfrecord.unframe(io.BytesIO(framed[:-2])))
+        _records(framed[:-2], size)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=60), max_size=30), st.integers(1, 200), st.integers(90, 300))
+def test_index_of_stretches(bodies, split, window):
+    import pyarrow as pa
+    data = _framed(*bodies)
+    found = tfrecord.index_file(pa.BufferReader(data), len(data), split, window)
+    assert [a for a, _, _ in found] == [0, *[b for _, b, _ in found]][:len(found)]
+    assert sum(n for _, _, n in found) == len(bodies) and (not found or found[-1][1] == len(data))
+    assert all(b - a >= split for a, b, _ in found[:-1])
+    assert [r for a, b, _ in found for r in _records(data[a:b])] == bodies
+
+
+def _bodies(piece) -> list[bytes]:
+    out = np.zeros(int(piece.size.sum()), dtype=np.uint8)
+    at = wire.sums(piece.size)
+    piece.fill(out, at[:-1])
+    return [out[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+
+def _columns(records: list[bytes], schema) -> list[list]:
+    at = wire.sums(np.array([len(r) for r in records]))
+    data = np.frombuffer(b"".join(records) + bytes(wire.PADDING), dtype=np.uint8)
+    return [c.to_pylist() for c in wire.columns(data, at[:-1], at[1:], schema)]
 
 
 def test_known_example_bytes():
@@ -147,10 +198,70 @@ def test_known_example_bytes():
     import pyarrow as pa
     batch = pa.RecordBatch.from_pylist([{"a": [1, 300]}])
     want = bytes.fromhex("0a0e0a0c0a01611207" + "1a050a0301ac02")
-    assert tfrecord.encode_batch(batch, schema, "Example") == [want]
+    assert _bodies(wire.messages(batch, schema, "Example")) == [want]
     # Readers also accept numbers that are not packed.
     loose = bytes.fromhex("0a0e0a0c0a01611207" + "1a05" + "0801" + "08ac02")
-    assert tfrecord.decode_batch([want, loose], schema) == [[[1, 300], [1, 300]]]
+    for times in (1, 40):  # one by one, and in step
+        assert _columns([want, loose] * times, schema) == [[[1, 300], [1, 300]] * times]
+    with pytest.raises(ValueError, match="another kind"):
+        _columns([want], T.StructType().add("a", T.StringType()))
+    with pytest.raises(ValueError):
+        _columns([want[:-1]], schema)
+
+
+CELLS = {
+    "i": (T.LongType(), st.integers(-2**63, 2**63 - 1)),
+    "n": (T.IntegerType(), st.integers(-2**31, 2**31 - 1)),
+    "f": (T.FloatType(), st.floats(width=32, allow_nan=False)),
+    "s": (T.StringType(), st.text(st.characters(exclude_categories=["Cs"]), max_size=200)),
+}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_columns_round_trip(data):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    schema, cells = T.StructType(), {}
+    for name, (kind, values) in CELLS.items():
+        for level in range(3):
+            schema.add(f"{name}{level}", kind)
+            cells[f"{name}{level}"] = st.none() | values
+            kind, values = T.ArrayType(kind), st.lists(values, max_size=4)
+    rows_ = data.draw(st.lists(st.fixed_dictionaries(cells), min_size=1, max_size=3))
+    rows_ *= data.draw(st.sampled_from([1, 30]))
+    batch = pa.RecordBatch.from_pylist(rows_, schema=to_arrow_schema(schema))
+    records = _bodies(wire.messages(batch, schema, "SequenceExample"))
+    assert _columns(records, schema) == [[r[c] for r in rows_] for c in schema.names]
+    assert _columns(records, T.StructType().add("other", T.LongType())) == [[None] * len(rows_)]
+
+
+def test_one_file_feeds_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "r")
+    df = spark.range(5000, numPartitions=1).withColumn("t", F.repeat(F.lit("x"), 50))
+    tfrecord.write_tfrecord(df, path, "error")
+    assert len([n for n in os.listdir(path) if n.endswith(".tfrecord")]) == 1
+    back = tfrecord.read_tfrecord(spark, path, df.schema, split=20_000)
+    read = back.withColumn("p", F.spark_partition_id())
+    assert read.select("p").distinct().count() >= 8
+    assert rows(back) == rows(df)
+    assert dict(tfrecord.read_tfrecord(spark, path, split=20_000).dtypes) == dict(df.dtypes)
+
+
+def test_a_lost_write_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "r")
+    df = spark.range(10)
+    tfrecord.write_tfrecord(df, path, "error")
+    before = sorted(os.listdir(path))
+    with pytest.raises(Exception):
+        tfrecord.write_tfrecord(df.select(F.raise_error(F.lit("lost")).cast("string").alias("id")),
+                                path, "overwrite")
+    assert sorted(os.listdir(path)) == before
+    # A second attempt at a move or a deletion finds it done.
+    tfrecord._published(path, "_gone")(before[-1])
+    tfrecord._deleted(path)(f"{path}/never")
+    with pytest.raises(FileNotFoundError):
+        tfrecord._published(path, "_gone")("never")
 
 
 def test_tfrecord_round_trip(spark, goods, tmp_path):
