@@ -195,12 +195,12 @@ def confusion_matrix(df: DataFrame, prediction: str, label: str) -> DataFrame:
             .groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("count")))
 
 
-def eval_multiclass(df: DataFrame, prediction: str, label: str, matrix: bool = True) -> DataFrame:
+def eval_multiclass(df: DataFrame, prediction: str, label: str, *, matrix: bool) -> DataFrame:
     """One row of class-weighted measures and, with ``matrix``, the confusion matrix as JSON.
 
     The data is read once and reduced to one row per pair of classes. The JSON
-    has a cell for every two classes; ``confusion_matrix`` is the table of those
-    that occur.
+    has a cell for every two classes, all in one row, so the caller says whether it
+    is wanted; ``confusion_matrix`` is the table of those that occur.
     """
     cells = written(confusion_matrix(df, prediction, label), "confusion")
     n = F.col("count")
@@ -244,7 +244,8 @@ def eval_multiclass(df: DataFrame, prediction: str, label: str, matrix: bool = T
 
 
 def evaluate(df: DataFrame, kind: str, prediction: str, label: str, **options) -> DataFrame:
-    """The report of the given kind: regression, binary (needs ``bins``) or multiclass."""
+    """The report of the given kind: regression, binary (needs ``bins``) or
+    multiclass (needs ``matrix``)."""
     reports = {"regression": eval_regression, "binary": eval_binary,
                "multiclass": eval_multiclass}
     require(kind in reports, f"unknown kind of evaluation: {kind}")

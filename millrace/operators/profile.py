@@ -46,7 +46,7 @@ TEXT_REPORT = [
 KIND_TITLES = {"numeric": "Numeric Feature", "string": "String Feature"}
 
 
-def _kind(kind: T.DataType) -> str | None:
+def kind_of(kind: T.DataType) -> str | None:
     if isinstance(kind, T.NumericType):
         return "numeric"
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)):
@@ -54,7 +54,7 @@ def _kind(kind: T.DataType) -> str | None:
     return "string" if isinstance(kind, T.AtomicType) else None
 
 
-def _present(df: DataFrame, name: str) -> Column:
+def present(df: DataFrame, name: str) -> Column:
     """The value, or NULL where it is missing: NULL, NaN or empty text."""
     kind = df.schema[name].dataType
     if isinstance(kind, _FLOATING):
@@ -73,26 +73,26 @@ def profile_stats(df: DataFrame, columns, exact: bool = False) -> DataFrame:
     """
     columns = names(columns)
     check_columns(df, columns)
-    profiled = [(i, c) for i, c in enumerate(columns) if _kind(df.schema[c].dataType)]
+    profiled = [(i, c) for i, c in enumerate(columns) if kind_of(df.schema[c].dataType)]
     # Empty text is missing, yet a value of its own where distinct values are counted.
-    inputs = df.select([_present(df, c).alias(f"_x{i}") for i, c in profiled]
+    inputs = df.select([present(df, c).alias(f"_x{i}") for i, c in profiled]
                        + [(col(c) if isinstance(df.schema[c].dataType, T.StringType)
-                           else _present(df, c)).alias(f"_v{i}") for i, c in profiled])
+                           else present(df, c)).alias(f"_v{i}") for i, c in profiled])
     count_distinct = F.count_distinct if exact else F.approx_count_distinct
     cells, rows = [F.count(F.lit(1)).alias("_rows")], []
     none = F.lit(None).cast("double")
     for i, name in profiled:
-        kind = _kind(df.schema[name].dataType)
+        kind = kind_of(df.schema[name].dataType)
         value = F.col(f"_x{i}")
         cells += [F.count(value).alias(f"_n{i}"), count_distinct(F.col(f"_v{i}")).alias(f"_d{i}")]
-        present, missing = F.col(f"_n{i}"), F.col("_rows") - F.col(f"_n{i}")
+        filled, missing = F.col(f"_n{i}"), F.col("_rows") - F.col(f"_n{i}")
         if kind == "numeric":
             number = value.cast("double")
             for tag, fn in (("min", F.min), ("max", F.max), ("mean", F.avg),
                             ("sd", F.stddev_pop), ("var", F.var_pop)):
                 cells.append(fn(number).alias(f"_{tag}{i}"))
             spread = [F.col(f"_{tag}{i}") for tag in ("min", "max", "mean", "sd", "var")]
-            rows.append(F.struct(F.lit(name), F.lit(kind), present, *spread,
+            rows.append(F.struct(F.lit(name), F.lit(kind), filled, *spread,
                                  F.col(f"_d{i}"), missing))
         else:
             rows.append(F.struct(F.lit(name), F.lit(kind), F.col("_rows"), *[none] * 5,
@@ -104,13 +104,14 @@ def profile_stats(df: DataFrame, columns, exact: bool = False) -> DataFrame:
 
 
 def profile_histogram(df: DataFrame, columns, buckets: int = 10, exact: bool = False,
-                      numbers: str = "by_count") -> DataFrame:
+                      *, numbers: str) -> DataFrame:
     """Bars per column: ``column``, ``position``, ``x`` (label) and ``y`` (count).
 
     ``ranges`` are that many buckets of even width, the last one closed; ``values``
     are the most frequent values. Text gets values. For ``numbers`` the caller
     chooses ranges, values, or ``by_count``: ranges if there are more distinct
-    values than buckets. Ranges over infinite values are an error. One job reads
+    values than buckets, as counted (a sketch decides unless ``exact``). Ranges over infinite
+    values are an error. One job reads
     the ranges, one counts all columns.
     """
     columns = names(columns)
@@ -128,7 +129,7 @@ def _bars(df: DataFrame, columns, stats: dict, buckets: int, numbers: str) -> Da
         row = stats.get(name)
         if row is None:
             continue
-        value = _present(df, name)
+        value = present(df, name)
         wide = numbers == "ranges" or numbers == "by_count" and row["countdistinct"] > buckets
         if row["kind"] == "numeric" and wide and row["min"] is not None:
             low, high = row["min"], row["max"]
@@ -164,7 +165,7 @@ def _bars(df: DataFrame, columns, stats: dict, buckets: int, numbers: str) -> Da
 
 
 def profile(df: DataFrame, columns, buckets: int = 10, exact: bool = False,
-            numbers: str = "by_count") -> DataFrame:
+            *, numbers: str) -> DataFrame:
     """One row per column: ``column`` and its report ``vis`` as JSON.
 
     The report has ``name``, ``statistics`` and ``histogram`` (see
@@ -197,7 +198,7 @@ def _report(row) -> list[tuple]:
     return [*lines, ("columntype", "Feature Type", KIND_TITLES[row["kind"]], "")]
 
 
-def _as_text(field: T.StructField) -> Column:
+def as_text(field: T.StructField) -> Column:
     """A cell as text: structs and maps as JSON, arrays in brackets."""
     value, kind = col(field.name), field.dataType
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.AtomicType):
@@ -215,16 +216,20 @@ def _as_text(field: T.StructField) -> Column:
 def preview(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
     """The first rows, every cell as text."""
     first = df.orderBy(*sort_columns(df, order_by)) if order_by else df
-    return first.limit(n).select([_as_text(f) for f in df.schema])
+    return first.limit(n).select([as_text(f) for f in df.schema])
 
 
 def page(df: DataFrame, order_by, number: int, rows: int, within: int | None = None) -> DataFrame:
-    """Page ``number`` (from 1) of all rows, or of the first ``within``."""
+    """Page ``number`` (from 1) of all rows, or of the first ``within``.
+
+    Spark keeps all rows up to the page's last in one task: right for the first pages. For any
+    depth, and for many pages, build a ``PageDirectory``.
+    """
     require(number >= 1 and rows >= 1, "pages and rows are counted from 1")
     start = (number - 1) * rows
     keep = rows if within is None else max(0, min(rows, within - start))
     ordered = df.orderBy(*sort_columns(df, order_by))
-    return ordered.offset(start).limit(keep).select([_as_text(f) for f in df.schema])
+    return ordered.offset(start).limit(keep).select([as_text(f) for f in df.schema])
 
 
 def page_count(df: DataFrame, rows: int, within: int | None = None) -> int:

@@ -8,11 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.gram import PARTS, gram
 from millrace.operators.ordering import prefix_sums
 from millrace.operators.reshape import unpivot
 from millrace.util import check_columns, col, names, require
 
 
+# From so many columns on, one aggregate for each pair makes a plan that takes long to build.
+_WIDE = 33
+
+
 def _pair_matrix(df: DataFrame, columns, pair: Callable[[Column, Column], Column],
                  diagonal: Callable[[Column], Column], null_as_zero: bool) -> DataFrame:
     """All pairs in one aggregation, laid out as a symmetric matrix."""
@@ -34,17 +39,47 @@ def _pair_matrix(df: DataFrame, columns, pair: Callable[[Column, Column], Column
     return one_row.select(F.inline(rows))
 
 
+def _wide_matrix(df: DataFrame, columns, cell: Callable[[Column, Column], Column],
+                 diagonal: float | None, null_as_zero: bool) -> DataFrame:
+    """All pairs from one pass and one small plan, whatever the width; laid out as a matrix.
+
+    ``cell`` makes a value of the state of a pair (see ``gram``), given the numbers of its columns.
+    """
+    columns = names(columns)
+    states = gram(df, columns, null_as_zero)
+    joined = F.arrays_zip(*PARTS)
+    cells = states.select("i", F.transform(joined, lambda state, j: cell(state, F.col("i") == j))
+                          .alias("cells"))
+    # A frame without rows has no states, but a matrix all the same, with the given diagonal.
+    listed = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, Columns string")
+    return listed.join(cells, "i", "left").select("Columns", *[
+        F.coalesce(F.get("cells", F.lit(j)), F.when(F.col("i") == j, F.lit(diagonal)).cast("double"))
+        .alias(c) for j, c in enumerate(columns)])
+
+
 def corr_matrix(df: DataFrame, columns, null_as_zero: bool = False) -> DataFrame:
     """Pearson correlations: ``Columns`` and one column per input.
 
-    Pairs with a NULL are skipped, or read as 0 with ``null_as_zero``.
+    Pairs with a NULL are skipped, or read as 0 with ``null_as_zero``. Few columns are pairs of
+    built-in aggregates; many are sums of products in blocks (``operators.gram``). Both read the
+    input once.
     """
-    return _pair_matrix(df, columns, F.corr, lambda c: F.lit(1.0), null_as_zero)
+    if len(names(columns)) < _WIDE:
+        return _pair_matrix(df, columns, F.corr, lambda c: F.lit(1.0), null_as_zero)
+
+    def cell(state, same):
+        spread = F.sqrt(state["square_i"] * state["square_j"])
+        found = F.when(state["n"] > 1, F.try_divide(state["product"], spread))
+        return F.when(same, F.lit(1.0)).otherwise(found)
+    return _wide_matrix(df, columns, cell, 1.0, null_as_zero)
 
 
 def cov_matrix(df: DataFrame, columns, null_as_zero: bool = False) -> DataFrame:
-    """Sample covariances, with the variances on the diagonal."""
-    return _pair_matrix(df, columns, F.covar_samp, lambda c: F.covar_samp(c, c), null_as_zero)
+    """Sample covariances, with the variances on the diagonal; see ``corr_matrix``."""
+    if len(names(columns)) < _WIDE:
+        return _pair_matrix(df, columns, F.covar_samp, lambda c: F.covar_samp(c, c), null_as_zero)
+    return _wide_matrix(df, columns, lambda state, same: F.when(
+        state["n"] > 1, state["product"] / (state["n"] - 1)), None, null_as_zero)
 
 
 def describe(df: DataFrame, columns) -> DataFrame:

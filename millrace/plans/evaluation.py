@@ -120,8 +120,8 @@ def confusion_matrix(spark, folder):
     return ev.confusion_matrix(_classes(spark, folder), "prediction", "label")
 
 
-@query("eval_multiclass", f"""
-with d as ({CLASSES}), n as (select count(*)::double as n from d),
+MEASURES = """
+with d as ({classes}), n as (select count(*)::double as n from d),
 a as (select label, count(*)::double as size, count(*) filter (label = prediction) as tp
       from d group by label),
 g as (select prediction as label, count(*) as guesses from d group by 1),
@@ -133,12 +133,29 @@ select round(sum(hit), 9) as accuracy,
   round(sum(share * r), 9) as "weightedTruePositiveRate",
   round(sum(share * case when p + r > 0 then 2 * p * r / (p + r) else 0 end), 9)
     as "weightedFMeasure",
-  round(sum(share * p), 9) as "weightedPrecision", round(sum(share * r), 9) as "weightedRecall",
-  '1.0,3.0,7.0' as classes
-from k""")
+  round(sum(share * p), 9) as "weightedPrecision", round(sum(share * r), 9) as "weightedRecall"{more}
+from k"""
+
+
+@query("eval_multiclass", MEASURES.format(classes=CLASSES, more=", '1.0,3.0,7.0' as classes"))
 def eval_multiclass(spark, folder):
-    result = ev.eval_multiclass(_classes(spark, folder), "prediction", "label")
+    result = ev.eval_multiclass(_classes(spark, folder), "prediction", "label", matrix=True)
     shape = "confusionMatrix struct<classNames:array<string>>"
     classes = F.from_json("evaluate_result", shape)["confusionMatrix"]["classNames"]
     return result.select(*[F.round(m, 9).alias(m) for m in ev.MULTICLASS_METRICS],
                          F.array_join(classes, ",").alias("classes"))
+
+
+@query("eval_multiclass_many", MEASURES.format(
+    classes="select o_custkey as label, case when o_orderkey % 3 = 0 then o_custkey + 1 "
+            "else o_custkey end as prediction from orders",
+    more=", (select count(distinct label) from d) as classes"))
+def eval_multiclass_many(spark, folder):
+    """A class for every customer: the cells that occur are counted, no square is drawn."""
+    buyers = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("label"),
+        (F.col("o_custkey") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0))
+        .alias("prediction"))
+    result = ev.eval_multiclass(buyers, "prediction", "label", matrix=False)
+    return result.select(*[F.round(m, 9).alias(m) for m in ev.MULTICLASS_METRICS],
+                         buyers.agg(F.count_distinct("label")).scalar().alias("classes"))

@@ -1,10 +1,14 @@
 """Column statistics, profiles and previews."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import profile as prof
 from millrace.operators import stats
+from millrace.operators import sketches
+from millrace.operators.pages import PageDirectory
 from millrace.plans.registry import query, table
+from millrace.util import written
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -32,6 +36,32 @@ def cov_matrix(spark, folder):
     return _rounded(stats.cov_matrix(table(spark, folder, "lineitem"), NUMBERS), NUMBERS, 6)
 
 
+SLOTS = 64
+
+
+@query("corr_matrix_wide", f"""
+with d as (select vec_id, unnest(embedding)::double as x, unnest(range({SLOTS}))::int as slot
+  from embeddings),
+w as (select vec_id, slot, case when (vec_id + slot) % 7 = 0 then null else x end as x from d)
+select a.slot as i, b.slot as j,
+  case when a.slot = b.slot then 1.0 else round(corr(a.x, b.x), 9) end::double as corr,
+  round(covar_samp(a.x, b.x), 9) as cov
+from w a join w b on a.vec_id = b.vec_id group by 1, 2""")
+def corr_matrix_wide(spark, folder):
+    """All pairs of the slots of the vectors, each slot missing in a seventh of the rows."""
+    vectors = table(spark, folder, "embeddings")
+    wide = vectors.select([
+        F.when((F.col("vec_id") + i) % 7 != 0, F.get("embedding", F.lit(i)).cast("double"))
+        .alias(f"x{i}") for i in range(SLOTS)])
+
+    def cells(matrix, name):
+        return matrix.select(
+            F.substring("Columns", 2, 2).cast("int").alias("i"), F.posexplode(F.array(
+                *[F.round(f"x{j}", 9) for j in range(SLOTS)])).alias("j", name))
+    return cells(stats.corr_matrix(wide, wide.columns), "corr").join(
+        cells(stats.cov_matrix(wide, wide.columns), "cov"), ["i", "j"])
+
+
 @query("describe", """
 with d as (select o_totalprice as p, o_orderpriority as t from orders)
 select 'count' as summary, count(p)::double as price, count(t)::varchar as priority from d
@@ -172,7 +202,8 @@ r as (select "column", min(x) as lo, max(x) as hi from v group by 1)
 select "column", least(floor((x - lo) / (hi - lo) * 10), 9)::int as position, count(*) as y
 from v join r using ("column") group by 1, 2""")
 def profile_histogram(spark, folder):
-    bars = prof.profile_histogram(_profiled(spark, folder), ["quantity", "price"], exact=True)
+    bars = prof.profile_histogram(_profiled(spark, folder), ["quantity", "price"], exact=True,
+                                  numbers="by_count")
     return bars.select("column", "position", "y").where("y > 0")
 
 
@@ -185,7 +216,8 @@ select "column", (row_number() over (partition by "column" order by count(*) des
 from v group by "column", x
 qualify row_number() over (partition by "column" order by count(*) desc, x) <= 10""")
 def profile_topn(spark, folder):
-    return prof.profile_histogram(_profiled(spark, folder), ["number", "flag"], exact=True)
+    return prof.profile_histogram(_profiled(spark, folder), ["number", "flag"], exact=True,
+                                  numbers="values")
 
 
 @query("profile", """
@@ -194,7 +226,8 @@ select 'o_totalprice' as "column", 'o_totalprice' as name, 9 as n_stats, count(*
 union all select 'o_orderpriority', 'o_orderpriority', 4, count(*)::varchar,
   least(count(distinct o_orderpriority), 10)::int, count(*) from orders""")
 def profile(spark, folder):
-    report = prof.profile(table(spark, folder, "orders"), ["o_totalprice", "o_orderpriority"])
+    report = prof.profile(table(spark, folder, "orders"), ["o_totalprice", "o_orderpriority"],
+                          numbers="ranges")
     shape = ("name string, statistics array<struct<name:string,value:string>>, "
              "histogram struct<x:array<string>,y:array<bigint>>")
     read = report.select("column", F.from_json("vis", shape).alias("v"))
@@ -205,6 +238,75 @@ def profile(spark, folder):
         F.aggregate("v.histogram.y", F.lit(0).cast("bigint"), lambda s, y: s + y).alias("total"))
 
 
+@query("profile_default", """
+select 'o_totalprice' as "column", count(*) as count, 0::bigint as missing, true as distinct_close
+from orders
+union all select 'o_custkey', count(*), 0, true from orders
+union all select 'o_orderpriority', count(*), 0, true from orders""")
+def profile_default(spark, folder):
+    """Sketched distinct counts lie within four of the sketch's standard errors of 5 %."""
+    orders = table(spark, folder, "orders")
+    columns = ["o_totalprice", "o_custkey", "o_orderpriority"]
+    sketched = prof.profile_stats(orders, columns)
+    exact = prof.profile_stats(orders, columns, exact=True).select(
+        "column", F.col("countdistinct").alias("n"))
+    error = F.abs(F.col("countdistinct") - F.col("n"))
+    return sketched.join(exact, "column").select(
+        "column", "count", F.col("countmissing").alias("missing"),
+        (error <= 0.2 * F.col("n")).alias("distinct_close"))
+
+
+@query("profile_merged", f"""
+with p as ({PROFILED})
+{" union all ".join(f"""select '{c}' as "column", count({c}) as count, min({c})::double as min,
+  max({c})::double as max, round(avg({c}), 6) as mean, round(var_pop({c}) / 1000, 4) as variance,
+  count(*) - count({c}) as countmissing, true as distinct_close, true as median_close,
+  true as ranges_close from p""" for c in ("quantity", "number", "price"))}
+union all select 'flag', count(*), null, null, null, null,
+  count(*) filter (flag is null or flag = ''), true, null, null from p""")
+def profile_merged(spark, folder):
+    """The states of seven parts are kept, and merged without reading a row again."""
+    lines = _profiled(spark, folder)
+    parts = written(sketches.profile_state(lines, PROFILE_COLUMNS, by=["number"]), "states")
+    whole = written(sketches.merge_states(parts.drop("number")), "states")
+    found = sketches.state_stats(whole)
+    exact = prof.profile_stats(lines, PROFILE_COLUMNS, exact=True).select(
+        "column", F.col("countdistinct").alias("n"))
+    middles = {c: F.col(c) for c in ("quantity", "number", "price")}
+    medians = sketches.state_quantiles(whole, [0.5]).groupBy().pivot("column", list(middles)).agg(
+        F.first("value"))
+    counted = lines.withColumn("m", medians.select(F.struct(*middles)).scalar()).agg(*[
+        F.struct(F.count_if(c < F.col(f"m.{n}")) / F.count(c),
+                 F.count_if(c <= F.col(f"m.{n}")) / F.count(c)).alias(n) for n, c in middles.items()])
+    medians = counted.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column"), ((F.col(f"{n}.col1") <= 0.52) & (F.col(f"{n}.col2") >= 0.48))
+                 .alias("median_close")) for n in middles])))
+    bars = prof.profile_histogram(lines, list(middles), exact=True, numbers="ranges").select(
+        "column", "position", F.col("y").alias("bar"))
+    sizes = F.abs(F.col("y") - F.col("bar")) <= 0.03 * F.sum("bar").over(Window.partitionBy("column"))
+    bars = (bars.join(sketches.state_ranges(whole), ["column", "position"], "full")
+            .withColumn("close", sizes).groupBy("column").agg(F.bool_and(F.coalesce(
+                "close", F.lit(False))).alias("ranges_close")))
+    return found.join(exact, "column").join(medians, "column", "left").join(bars, "column", "left").select(
+        "column", "count", "min", "max", F.round("mean", 6).alias("mean"),
+        F.round(F.col("variance") / 1000, 4).alias("variance"), "countmissing",
+        (F.abs(F.col("countdistinct") - F.col("n")) <= 0.1 * F.col("n")).alias("distinct_close"),
+        "median_close", "ranges_close")
+
+
+@query("profile_infinite", """
+with v as (select case when l_linenumber = 1 then 'Infinity' when l_linenumber = 2 then '-Infinity'
+    else (l_linenumber::double)::varchar end as x from lineitem)
+select 'x' as "column", (row_number() over (order by count(*) desc, x) - 1)::int as position, x,
+  count(*) as y from v group by x""")
+def profile_infinite(spark, folder):
+    """Infinite values have no ranges, but they are values that can be counted."""
+    line = F.col("l_linenumber").cast("double")
+    odd = table(spark, folder, "lineitem").select(
+        F.when(line == 1, float("inf")).when(line == 2, float("-inf")).otherwise(line).alias("x"))
+    return prof.profile_histogram(odd, "x", numbers="values")
+
+
 @query("preview_page", """
 select o_orderkey::varchar as o_orderkey, o_orderstatus, o_totalprice::varchar as o_totalprice
 from (select * from orders order by o_totalprice desc, o_orderkey limit 20 offset 20)""")
@@ -217,9 +319,27 @@ def preview_page(spark, folder):
 select o_orderkey::varchar as o_orderkey, o_orderstatus from orders
 order by o_totalprice desc, o_orderkey limit 20 offset 220""")
 def preview_page_deep(spark, folder):
+    """A page from the directory of ranges: no task keeps the rows before it."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return prof.page(orders, [("o_totalprice", "desc"), "o_orderkey"], number=12, rows=20).drop(
-        "o_totalprice")
+    pages = PageDirectory(orders, [("o_totalprice", "desc"), "o_orderkey"])
+    return pages.page(number=12, rows=20).drop("o_totalprice")
+
+
+@query("preview_page_last", """
+with n as (select count(*) as n, count(*) % 70 as last from lineitem)
+select l_orderkey::varchar as l_orderkey, l_extendedprice::varchar as l_extendedprice,
+  ceil((select n from n) / 70)::int as pages
+from (select *, row_number() over (order by l_extendedprice, l_orderkey, l_partkey, l_suppkey,
+        l_linenumber) as r from lineitem), n where r > n - last""")
+def preview_page_last(spark, folder):
+    """The last page of all lines, with the number of pages."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")
+    pages = PageDirectory(lines, ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey",
+                                  "l_linenumber"])
+    count = pages.page_count(70)
+    return pages.page(count, 70).select("l_orderkey", "l_extendedprice",
+                                        F.lit(count).alias("pages"))
 
 
 @query("preview", """

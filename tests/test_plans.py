@@ -63,7 +63,8 @@ def test_joins_read_only_what_they_use(spark):
     lambda df: stats.cov_matrix(df, ["l_tax", "l_discount", "l_quantity"]),
     lambda df: stats.quantiles(df, ["l_tax", "l_discount", "l_quantity"], [0.5], 0.01),
     lambda df: prof.profile_stats(df, ["l_tax", "l_returnflag", "l_quantity"]),
-    lambda df: prof.profile_histogram(df, ["l_tax", "l_returnflag", "l_quantity"]),
+    lambda df: prof.profile_histogram(df, ["l_tax", "l_returnflag", "l_quantity"],
+                                      numbers="by_count"),
 ])
 def test_one_scan(spark, make):
     assert optimized(make(lines(spark))).count("Relation [") == 1
@@ -74,7 +75,8 @@ def test_hot_keys_are_reduced_before_the_shuffle(spark):
     assert physical(first).count("WindowGroupLimit") == 2
     grouped = rel.group_agg(lines(spark), "l_returnflag", [("l_tax", "sum")])
     assert "partial_sum" in physical(grouped)
-    bars = physical(prof.profile_histogram(lines(spark), ["l_returnflag", "l_tax"]))
+    bars = physical(prof.profile_histogram(lines(spark), ["l_returnflag", "l_tax"],
+                                           numbers="by_count"))
     assert "partial_count" in bars and bars.count("WindowGroupLimit") == 2
 
 
@@ -115,3 +117,16 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 def test_models_score_after_a_frame_was_observed(spark):
     QUERIES["observe_counts"](spark, FOLDER).collect()
     assert QUERIES["logreg"](spark, FOLDER).first()["n_bad_labels"] == 0
+
+
+def test_running_sums_need_no_shuffle_of_their_own(spark):
+    """The rows are ranged and written; afterwards only totals of ranges are exchanged."""
+    from millrace.operators.evaluate import roc_curve
+    scored = lines(spark).select(F.col("l_tax").alias("score"), (F.col("l_quantity") > 25).cast("int")
+                                 .alias("label"))
+    plan = physical(roc_curve(scored, "score", "label"))
+    assert "hashpartitioning(_part" in plan and "Window" in plan
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning(_part" in line:
+            assert "threshold" not in line
+    assert plan.count("Exchange hashpartitioning") == 1

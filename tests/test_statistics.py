@@ -86,7 +86,8 @@ def test_frequent_items(spark):
 
 
 def report(df, columns, **options):
-    return {r["column"]: json.loads(r["vis"]) for r in prof.profile(df, columns, **options).collect()}
+    reports = prof.profile(df, columns, numbers="by_count", **options)
+    return {r["column"]: json.loads(r["vis"]) for r in reports.collect()}
 
 
 def test_profile(spark):
@@ -120,7 +121,7 @@ def test_profile_of_nothing_and_of_constants(spark):
 
 def test_histogram_shows_empty_buckets(spark):
     df = frame(spark, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 100.0, float("nan")])
-    bars = prof.profile_histogram(df, ["x"]).orderBy("position").collect()
+    bars = prof.profile_histogram(df, ["x"], numbers="by_count").orderBy("position").collect()
     assert [r["y"] for r in bars] == [11, 0, 0, 0, 0, 0, 0, 0, 0, 1]
 
 
@@ -225,7 +226,7 @@ def test_multiclass_matches_spark(spark):
     from pyspark.mllib.evaluation import MulticlassMetrics
     data = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (7.0, 3.0), (7.0, 7.0), (7.0, 7.0), (9.0, 1.0)]
     df = spark.createDataFrame(data, "prediction double, label double")
-    row = ev.eval_multiclass(df, "prediction", "label").first()
+    row = ev.eval_multiclass(df, "prediction", "label", matrix=True).first()
     theirs = MulticlassMetrics(spark.sparkContext.parallelize(data))
     for ours, other in [("accuracy", theirs.accuracy),
                         ("weightedFalsePositiveRate", theirs.weightedFalsePositiveRate),
@@ -259,7 +260,7 @@ def test_regression_matches_spark(spark):
 def test_matrix_of_many_classes(spark):
     df = spark.range(1200).select(F.col("id").cast("double").alias("label"),
                                   (F.col("id") % 4).cast("double").alias("prediction"))
-    row = ev.eval_multiclass(df, "prediction", "label").first()
+    row = ev.eval_multiclass(df, "prediction", "label", matrix=True).first()
     assert row["accuracy"] == pytest.approx(4 / 1200)
     matrix = json.loads(row["evaluate_result"])["confusionMatrix"]["data"]
     assert len(matrix) == 1200 and all(line[i % 4] == sum(line) == 1 for i, line in enumerate(matrix))
@@ -271,7 +272,7 @@ def test_infinite_values_have_no_ranges(spark):
     df = spark.range(100).select(F.when(F.col("id") == 3, float("inf"))
                                  .otherwise(F.col("id")).alias("x"))
     with pytest.raises(ValueError):
-        prof.profile_histogram(df, "x")
+        prof.profile_histogram(df, "x", numbers="ranges")
     assert prof.profile_histogram(df, "x", numbers="values").count() == 10
     assert prof.profile_histogram(df.where("x < 5"), "x", numbers="ranges").count() == 10
 
@@ -280,3 +281,106 @@ def test_deep_pages(spark):
     df = spark.range(1000)
     assert [int(r["id"]) for r in prof.page(df, ["id"], 90, 11).collect()] == list(range(979, 990))
     assert prof.page_count(df, 11) == 91
+
+
+def test_page_directory(spark):
+    from millrace.operators.pages import PageDirectory
+    df = spark.createDataFrame([(i % 7, float(i)) for i in range(1000)], "k int, v double").repartition(4)
+    pages = PageDirectory(df, [("k", "desc"), "v"])
+    want = sorted(((i % 7, float(i)) for i in range(1000)), key=lambda r: (-r[0], r[1]))
+    assert len(pages) == 1000 and pages.page_count(11) == 91 and pages.page_count(11, within=30) == 3
+    for number in (1, 2, 45, 90, 91):
+        got = [(int(r["k"]), float(r["v"])) for r in pages.page(number, 11).collect()]
+        assert got == want[(number - 1) * 11:number * 11]
+    assert pages.page(3, 11, within=30).count() == 8
+    assert pages.page(92, 11).count() == 0 and pages.page(4, 11, within=30).count() == 0
+    assert [r["v"] for r in pages.page(1, 1000).collect()] == [str(v) for _, v in want]
+    plan = pages.page(91, 11)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "PartitionFilters: [isnotnull(_part" in plan
+    empty = PageDirectory(df.limit(0), ["v"])
+    assert len(empty) == 0 and empty.page(1, 5).count() == 0 and empty.page_count(5) == 0
+    same = PageDirectory(spark.createDataFrame([(1,)] * 50, "k int").repartition(4), ["k"])
+    assert same.page(2, 30).count() == 20
+
+
+def test_running_sums_are_carried(spark):
+    from millrace.operators.ordering import prefix_sums
+    rows_ = [(i, None if i % 5 == 0 else i - 40, None if i % 3 == 0 else i / 8) for i in range(300)]
+    df = spark.createDataFrame(rows_, "k int, n int, x double").repartition(5)
+    got = prefix_sums(df, [("k", "desc")], {"a": "n", "b": "x"}, totals=True)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    a = b = 0
+    total_a, total_b = (sum(r[i] or 0 for r in rows_) for i in (1, 2))
+    for row in sorted(got.collect(), key=lambda r: -r["k"]):
+        a, b = a + (row["n"] or 0), b + (row["x"] or 0)
+        assert (row["a"], row["b"], row["a_total"], row["b_total"]) == (a, b, total_a, total_b)
+    assert dict(got.dtypes)["a"] == "bigint" and dict(got.dtypes)["b"] == "double"
+    big = spark.createDataFrame([(1, 2**62), (2, 2**62), (3, 2**62)], "k int, n bigint")
+    with pytest.raises(Exception, match="too large|overflow"):
+        prefix_sums(big.coalesce(1), ["k"], {"a": "n"}).collect()
+
+
+@pytest.mark.parametrize("n_rows,null_every,zero", [(500, 6, False), (500, 4, True), (1, 9, False),
+                                                    (3, 2, False), (0, 2, False)])
+def test_wide_matrices_match_the_built_in(spark, monkeypatch, n_rows, null_every, zero):
+    monkeypatch.setattr(stats, "_WIDE", 0)
+    rng = np.random.default_rng(5)
+    data = [[None if (i * 3 + j * j) % null_every == 0 else float(1e6 + (j + 1) * rng.normal())
+             for j in range(6)] for i in range(n_rows)]
+    df = spark.createDataFrame(data, ", ".join(f"`x.{j}` double" for j in range(6))).repartition(4)
+    names = df.columns
+    filled = df.fillna(0.0) if zero else df
+    quoted = {c: F.col(f"`{c}`") for c in names}
+    for ours, theirs in ((stats.corr_matrix, F.corr), (stats.cov_matrix, F.covar_samp)):
+        got = {r["Columns"]: r for r in ours(df, names, null_as_zero=zero).collect()}
+        want = filled.agg(*[theirs(quoted[a], quoted[b]).alias(f"{a}|{b}")
+                            for a in names for b in names]).first()
+        for a in names:
+            for b in names:
+                value = want[f"{a}|{b}"]
+                if ours is stats.corr_matrix and a == b:
+                    value = 1.0
+                if value is None or np.isnan(value):
+                    assert got[a][b] is None or np.isnan(got[a][b])
+                else:
+                    assert got[a][b] == pytest.approx(value, rel=1e-7, abs=1e-7)
+
+
+def test_wide_matrices_have_a_small_plan(spark):
+    wide = spark.range(200).select([(F.col("id") * (i + 1) % 97).cast("double").alias(f"c{i}")
+                                    for i in range(500)])
+    found = stats.corr_matrix(wide, wide.columns)
+    assert len(found.columns) == 501 and found.count() == 500
+
+
+def test_states_merge_to_the_profile_of_the_whole(spark):
+    from millrace.operators import sketches
+    rng = np.random.default_rng(2)
+    data = [(i % 5, None if i % 11 == 0 else float(rng.normal()), "" if i % 7 == 0 else f"s{i % 40}",
+             [i]) for i in range(4000)] + [(9, float("nan"), None, None)]
+    df = spark.createDataFrame(data, "p int, x double, s string, v array<int>").repartition(3)
+    parts = sketches.profile_state(df, ["x", "s", "v"], by=["p"])
+    assert parts.count() == 12 and parts.columns[0] == "p"
+    twice = sketches.merge_states(parts.where("p < 2").drop("p").unionByName(sketches.merge_states(
+        parts.where("p >= 2").drop("p"))))
+    got = {r["column"]: r for r in sketches.state_stats(twice).collect()}
+    want = {r["column"]: r for r in prof.profile_stats(df, ["x", "s", "v"], exact=True).collect()}
+    assert set(got) == set(want) == {"x", "s"}
+    for c in got:
+        for field in ("kind", "count", "min", "max", "mean", "stddev", "variance", "countmissing"):
+            a, b = got[c][field], want[c][field]
+            assert a == b or a == pytest.approx(b, rel=1e-9), (c, field)
+        assert abs(got[c]["countdistinct"] - want[c]["countdistinct"]) <= 0.08 * want[c]["countdistinct"]
+    values = sorted(r[1] for r in data if r[1] is not None and r[1] == r[1])
+    for r in sketches.state_quantiles(twice, [0.0, 0.1, 0.5, 1.0]).collect():
+        rank = np.searchsorted(values, r["value"]) / len(values)
+        assert abs(rank - r["quantile"]) < 0.03
+    ranges = sorted(sketches.state_ranges(twice, 4).collect(), key=lambda r: r["position"])
+    edges = [r["low"] for r in ranges] + [ranges[-1]["high"]]
+    assert edges == pytest.approx(list(np.linspace(values[0], values[-1], 5)))
+    bars = np.histogram(values, edges)[0]
+    assert all(abs(r["y"] - b) < 0.04 * len(values) for r, b in zip(ranges, bars))
+    assert sum(r["y"] for r in ranges) == pytest.approx(len(values), abs=3)
+    empty = sketches.merge_states(sketches.profile_state(df.limit(0), ["x", "s"]))
+    assert {r["column"]: r["count"] for r in sketches.state_stats(empty).collect()} == {"x": 0, "s": 0}
+    assert sketches.state_quantiles(empty, [0.5]).count() == 0
