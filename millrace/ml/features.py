@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.ml.labels import fit_label_table
 from millrace.ml.stages import configure, record
+from millrace.ml.vocabulary import fit_and_count
 from millrace.util import check_columns, col, names, pairs, require, written
 
 
@@ -212,48 +213,21 @@ def hashing_tf(df: DataFrame, column: str, out: str, **params) -> DataFrame:
     return apply(df, configure(mlf.HashingTF(inputCol=column, outputCol=out), **params))
 
 
-# Fixed value: Spark's default for maxDF, which stands for no limit.
-MAX_DOCUMENTS = float(2**63 - 1)
-
-
-def count_vectorize(df: DataFrame, column: str, out: str, vocab_size: int, **params) -> DataFrame:
-    """Term counts over the ``vocab_size`` most frequent words (``minDF``, ``maxDF``,
+def count_vectorize(df: DataFrame, column: str, out: str, vocab_size: int | None = None,
+                    **params) -> DataFrame:
+    """Term counts over all words, or the ``vocab_size`` most frequent ones (``minDF``, ``maxDF``,
     ``minTF``, ``binary``).
 
-    The texts are read once to count: words and documents in one aggregation,
-    which merges frequent words on the map side and is written as a table of one
-    row per word. Ties in frequency go by the alphabet. The vocabulary is what
-    the model holds, so the caller says how many words may reach the driver.
+    The vocabulary is a table; words are joined with it, so its size is not bounded by
+    the driver. Ties in frequency go by the alphabet.
     """
-    stage = configure(mlf.CountVectorizer(inputCol=column, outputCol=out, vocabSize=vocab_size),
-                      **params)
-    least, most = stage.getMinDF(), stage.getMaxDF()
-    bounded = least != 1.0 or most < MAX_DOCUMENTS
-    tokens = F.col("_w")
-    if bounded:
-        # A word's first occurrence in a document is sorted before its others; one more entry
-        # without a word counts the document itself.
-        tokens = F.transform(F.col("_s"), lambda w, i: F.struct(
-            w.alias("word"), F.when(F.get(F.col("_s"), i - 1) == w, 0).otherwise(1).alias("df")))
-        tokens = F.array_append(tokens, F.struct(F.lit(None).cast("string").alias("word"),
-                                                 F.lit(1).alias("df")))
-        listed = df.select(F.sort_array(F.array_compact(col(column))).alias("_s"))
-        counts = listed.select(F.inline(tokens))
-    else:
-        listed = df.select(F.explode(col(column)).alias("word"))
-        counts = listed.where(F.col("word").isNotNull()).withColumn("df", F.lit(1))
-    counts = counts.groupBy("word").agg(F.count(F.lit(1)).alias("tf"), F.sum("df").alias("df"))
-    if bounded:
-        counts = written(counts, "words")
-        documents = counts.where(F.col("word").isNull()).first()
-        documents = documents["df"] if documents is not None else 0
-        bounds = [b * documents if b < 1.0 else b for b in (least, most)]
-        counts = counts.where(F.col("word").isNotNull() & F.col("df").between(*bounds))
-    kept = counts.orderBy(F.desc("tf"), "word").limit(vocab_size)
-    vocabulary = [row["word"] for row in kept.select("word").collect()]
-    require(bool(vocabulary), "the vocabulary is empty; lower minDF")
-    model = mlf.CountVectorizerModel.from_vocabulary(vocabulary, inputCol=column, outputCol=out)
-    return apply(df, model.setMinTF(stage.getMinTF()).setBinary(stage.getBinary()))
+    known = ("minDF", "maxDF", "minTF", "binary")
+    require(set(params) <= set(known),
+            f"count_vectorize takes {', '.join(known)}, not {', '.join(params)}")
+    check_columns(df, [column])
+    stage, counted = fit_and_count(df, column, out, vocab_size, **params)
+    record(stage)
+    return counted
 
 
 def word2vec(df: DataFrame, column: str, out: str, **params) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from millrace.ml import features as fe
 from millrace.ml.models import make_estimator, train
+from millrace.ml.stages import recording
 from millrace.plans.registry import query, table
 
 
-def _slots(df, keys, vector, digits=6):
+def _slots(df, keys, vector, digits=6, name="x"):
     """One row per key and vector element."""
-    return df.select(*keys, F.posexplode(vector_to_array(vector)).alias("slot", "x")).withColumn(
-        "x", F.round("x", digits))
+    return df.select(*keys, F.posexplode(vector_to_array(vector)).alias("slot", name)).withColumn(
+        name, F.round(name, digits))
 
 
 def _element(vector, i, digits=6):
@@ -91,14 +92,43 @@ def one_hot(spark, folder):
     return coded.select("o_orderkey", F.array_join(code, ",").alias("code"))
 
 
+HASHED = ["l_quantity", "l_tax", "l_returnflag", "l_linenumber"]
+
+
 @query("feature_hash", """
-select l_orderkey, l_partkey, l_suppkey, round(l_quantity + l_tax + 2, 6) as total from lineitem""")
+select count(*) as n, 0::bigint as n_wrong, 0::bigint as n_not_own, true as spread from lineitem""")
 def feature_hash(spark, folder):
-    hashed = fe.feature_hash(table(spark, folder, "lineitem"),
-                             ["l_quantity", "l_tax", "l_returnflag", "l_linenumber"], "hashed",
-                             categorical=["l_linenumber"], numFeatures=64)
-    total = F.aggregate(vector_to_array("hashed"), F.lit(0.0), lambda s, x: s + x)
-    return hashed.select(*LINE, F.round(total, 6).alias("total"))
+    """The columns hashed together are the sum of each hashed alone: a number in the slot of its
+    column, a 1 in a slot for each category."""
+    lines = table(spark, folder, "lineitem").select(*HASHED)
+
+    def hashed(df, columns, out):
+        some = [c for c in columns if c == "l_linenumber"]
+        return fe.feature_hash(df, columns, out, categorical=some, numFeatures=64)
+    wide = hashed(lines, HASHED, "all")
+    for c in HASHED:
+        wide = hashed(wide, [c], f"h_{c}")
+    arrays = {c: vector_to_array(c) for c in ["all", *[f"h_{c}" for c in HASHED]]}
+    total = arrays["h_" + HASHED[0]]
+    for c in HASHED[1:]:
+        total = F.zip_with(total, arrays[f"h_{c}"], lambda a, b: a + b)
+    away = F.exists(F.zip_with(total, arrays["all"], lambda a, b: F.abs(a - b) > 1e-9), lambda x: x)
+
+    def alone(c, value):
+        used = F.filter(arrays[f"h_{c}"], lambda x: x != 0)
+        return F.when(value == 0, F.size(used) == 0).otherwise(
+            (F.size(used) == 1) & (F.get(used, F.lit(0)) == value))
+    own = (alone("l_quantity", F.col("l_quantity")) & alone("l_tax", F.col("l_tax"))
+           & alone("l_returnflag", F.lit(1.0)) & alone("l_linenumber", F.lit(1.0)))
+    slots = {c: F.array_position(F.transform(arrays[f"h_{c}"], lambda x: x != 0), True)
+             for c in HASHED}
+    # Two numbers have one slot each; three flags and seven lines have several.
+    return wide.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(away).alias("n_wrong"),
+        F.count_if(~own).alias("n_not_own"),
+        ((F.count_distinct(F.when(F.col("l_quantity") != 0, slots["l_quantity"])) == 1)
+         & (F.count_distinct(slots["l_returnflag"]) >= 2)
+         & (F.count_distinct(slots["l_linenumber"]) >= 4)).alias("spread"))
 
 
 # --- Vectors ----------------------------------------------------------------
@@ -341,29 +371,65 @@ def stop_words(spark, folder):
     return kept.select("doc_id", F.size("kept").alias("n"))
 
 
-@query("hashing_tf", f"select doc_id, len(w)::double as total from ({WORDS})")
+@query("hashing_tf", f"""
+with d as (select doc_id, unnest(w) as x from ({WORDS}))
+select (select count(*) from documents) as n, 0::bigint as n_wrong, 0::bigint as n_not_one,
+  (select count(*) from (select distinct x from d)) as n_words, true as spread""")
 def hashing_tf(spark, folder):
-    counted = fe.hashing_tf(_words(spark, folder), "text__output", "tf", numFeatures=1024)
-    return counted.select("doc_id", F.aggregate(vector_to_array("tf"), F.lit(0.0),
-                                                lambda s, x: s + x).alias("total"))
+    """A text's slots are the sums of its words' own slots, and these are spread."""
+    size, words = 128, _words(spark, folder)
+    counted = fe.hashing_tf(words, "text__output", "tf", numFeatures=size)
+    terms = words.select("doc_id", F.explode("text__output").alias("x"))
+    single = fe.hashing_tf(terms.select("x").distinct().withColumn("w", F.array("x")), "w", "tf",
+                           numFeatures=size)
+    learned = _slots(single, ["x"], "tf", name="one").where("one <> 0")
+    per_word = learned.groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.max("one").alias("one"),
+                                        F.max("slot").alias("slot"))
+    expected = terms.groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("c")).join(
+        per_word, "x").groupBy("doc_id", "slot").agg(F.sum("c").alias("c"))
+    found = _slots(counted, ["doc_id"], "tf", name="n").where("n <> 0")
+    wrong = found.join(expected, ["doc_id", "slot"], "full").agg(F.count_if(
+        F.coalesce(F.col("n") != F.col("c"), F.lit(True))).alias("n_wrong"))
+    # Evenly spread words: no slot has five times its share and ten words more.
+    loads = per_word.groupBy("slot").agg(F.count(F.lit(1)).alias("load"))
+    crowd = loads.agg((F.max("load") <= 5 * F.sum("load") / size + 10).alias("spread"))
+    return per_word.agg(F.count(F.lit(1)).alias("n_words"),
+                        F.count_if((F.col("k") != 1) | (F.col("one") != 1)).alias("n_not_one")).select(
+        counted.agg(F.count(F.lit(1))).scalar().alias("n"), wrong.scalar().alias("n_wrong"),
+        "n_not_one", "n_words", crowd.scalar().alias("spread"))
 
 
 @query("count_vectorize", f"""
 with d as (select doc_id, unnest(w) as x from ({WORDS})),
-vocabulary as (select x from d group by x
+vocabulary as (select x, row_number() over (order by count(*) desc, x) - 1 as slot from d group by x
   having count(distinct doc_id) >= 0.2 * (select count(*) from documents))
-select doc_id, count(vocabulary.x)::double as total
-from documents left join d using (doc_id) left join vocabulary using (x) group by doc_id""")
+select doc_id, slot::int as slot, count(*)::double as n
+from d join vocabulary using (x) group by doc_id, slot""")
 def count_vectorize(spark, folder):
-    counted = fe.count_vectorize(_words(spark, folder), "text__output", "tf", 1 << 18, minDF=0.2)
-    return counted.select("doc_id", F.aggregate(vector_to_array("tf"), F.lit(0.0),
-                                                lambda s, x: s + x).alias("total"))
+    """Every count in its slot; the slots are the ranks of the words."""
+    counted = fe.count_vectorize(_words(spark, folder), "text__output", "tf", minDF=0.2)
+    return _slots(counted, ["doc_id"], "tf", name="n").where("n > 0")
 
 
-@query("word2vec", "select doc_id, 8 as size, true as finite from documents")
+@query("word2vec", "select count(*) as n, 0::bigint as n_wrong, 0::bigint as n_zero, true as differ from documents")
 def word2vec(spark, folder):
-    vectors = fe.word2vec(_words(spark, folder), "text__output", "v", vectorSize=8, minCount=0,
-                          maxIter=1, seed=7, numPartitions=8)
-    values = vector_to_array("v")
-    return vectors.select("doc_id", F.size(values).alias("size"),
-                          F.forall(values, lambda x: F.abs(x) < 1e6).alias("finite"))
+    """A text's vector is the average of its words' own vectors, which are not all alike."""
+    words = _words(spark, folder)
+    with recording() as stages:
+        vectors = fe.word2vec(words, "text__output", "v", vectorSize=8, minCount=0, maxIter=1,
+                              seed=7, numPartitions=8)
+    terms = words.select("doc_id", F.explode("text__output").alias("x"))
+    single = stages[-1].transform(terms.select("x").distinct().withColumn(
+        "text__output", F.array("x"))).select("x", vector_to_array("v").alias("own"))
+    counted = terms.groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("c"))
+    means = (counted.join(single, "x").select("doc_id", "c", F.posexplode("own").alias("slot", "a"))
+             .groupBy("doc_id", "slot").agg((F.sum(F.col("c") * F.col("a")) / F.sum("c")).alias("m")))
+    found = _slots(vectors, ["doc_id"], "v", 9, "a")
+    checked = found.join(means, ["doc_id", "slot"], "left").agg(
+        F.count_if(~F.coalesce(F.abs(F.col("a") - F.col("m")) < 1e-5, F.lit(False))).alias("n_wrong"))
+    norms = single.select(F.aggregate("own", F.lit(0.0), lambda s, x: s + x * x).alias("q"),
+                          F.get("own", F.lit(0)).alias("first"))
+    return norms.agg(F.count_if(F.col("q") == 0).alias("n_zero"),
+                     (F.stddev("first") > 1e-3).alias("differ")).select(
+        vectors.agg(F.count(F.lit(1))).scalar().alias("n"), checked.scalar().alias("n_wrong"),
+        "n_zero", "differ")

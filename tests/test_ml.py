@@ -87,8 +87,7 @@ def test_vocabulary_matches_spark(spark):
                                "id int, w array<string>").repartition(3)
     for params in ({"minDF": 2.0}, {"minDF": 0.5}, {"maxDF": 2.0}, {"maxDF": 0.4}, {"binary": True},
                    {"minTF": 2.0}, {"vocabSize": 3}):
-        sized = {"vocab_size": params.get("vocabSize", 1 << 18)}
-        ours = fe.count_vectorize(df, "w", "v", **sized, **{
+        ours = fe.count_vectorize(df, "w", "v", params.get("vocabSize"), **{
             k: v for k, v in params.items() if k != "vocabSize"})
         model = CountVectorizer(inputCol="w", outputCol="v", **params).fit(df)
         # Equally frequent words may be ordered differently: compare the counts as bags.
@@ -97,7 +96,9 @@ def test_vocabulary_matches_spark(spark):
                 "id", vector_to_array("v").alias("a")).collect())
         assert bags(ours) == bags(model.transform(df)), params
     with pytest.raises(ValueError, match="empty"):
-        fe.count_vectorize(df, "w", "v", 1 << 18, minDF=50.0)
+        fe.count_vectorize(df, "w", "v", minDF=50.0)
+    with pytest.raises(ValueError, match="takes"):
+        fe.count_vectorize(df, "w", "v", least=1)
 
 
 def test_parameters_by_name():
@@ -159,11 +160,11 @@ def test_recorded_stages(spark, wide):
     words = spark.createDataFrame([("a b a", 1), ("b c", None)], "t string, i int")
     with recording() as stages:
         df = impute(fillna(words, {"t": ""}), ["i"])
-        df = fe.count_vectorize(fe.tokenize(df, "t"), "t__output", "v", 1 << 18)
+        df = fe.count_vectorize(fe.tokenize(df, "t"), "t__output", "v")
     assert [type(s).__name__ for s in stages] == [
-        "FillNa", "SQLTransformer", "ImputerModel", "Tokenizer", "CountVectorizerModel"]
+        "FillNa", "SQLTransformer", "ImputerModel", "Tokenizer", "WordTable"]
     again = PipelineModel(stages).transform(words).select(df.columns)
-    assert again.collect() == df.collect()
+    assert again.orderBy("t").collect() == df.orderBy("t").collect()
     fe.tokenize(words, "t")
     assert len(stages) == 5
 
@@ -180,3 +181,24 @@ def test_distributed_index_is_saved(spark, tmp_path):
     assert sorted(map(tuple, loaded.transform(more).collect())) == [
         ("a", 0.0), ("b", 1.0), ("c", 2.0), ("x", 3.0)]
     assert sorted(map(tuple, loaded.transform(df).collect())) == sorted(map(tuple, indexed.collect()))
+
+
+def test_vocabulary_table_is_saved(spark, tmp_path):
+    from millrace.ml.stages import recording
+    rows = [(1, ["a", "b", "a", None]), (2, None), (3, []), (4, ["c"]), (4, ["c"]), (None, ["b", "x"])]
+    df = spark.createDataFrame(rows, "id int, w array<string>").repartition(3)
+    with recording() as stages:
+        counted = fe.count_vectorize(df, "w", "v", 3)
+    values = sorted((str(r["id"]), list(r["v"].toArray())) for r in counted.collect())
+    # b and c are as frequent as a: ties go by the alphabet.
+    assert values == [("1", [2, 1, 0]), ("2", [0, 0, 0]), ("3", [0, 0, 0]), ("4", [0, 0, 1]),
+                      ("4", [0, 0, 1]), ("None", [0, 1, 0])]
+    save_fitted(stages, str(tmp_path / "stages"))
+    loaded = load_fitted(str(tmp_path / "stages")).transform(df)
+    assert sorted((str(r["id"]), list(r["v"].toArray())) for r in loaded.collect()) == values
+    more = spark.createDataFrame([(["z"],), (["a", "z"],)], "w array<string>")
+    assert sorted(list(r["v"].toArray()) for r in stages[0].transform(more).collect()) == [
+        [0, 0, 0], [1, 0, 0]]
+    half = spark.createDataFrame([(["a", "b", "b"],)], "w array<string>")
+    assert list(fe.count_vectorize(half, "w", "v", minTF=0.5).first()["v"].toArray()) == [2, 0]
+    assert list(fe.count_vectorize(half, "w", "v", binary=True).first()["v"].toArray()) == [1, 1]
