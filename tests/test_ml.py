@@ -80,7 +80,9 @@ def test_text_stages(spark):
     assert fe.hashing_tf(words, "t__output", "h", numFeatures=8, binary=True).first()["h"].size == 8
 
 
-def test_vocabulary_matches_spark(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_vocabulary_matches_spark(spark, monkeypatch, few):
+    monkeypatch.setattr("millrace.ml.vocabulary._FEW_WORDS", few)
     from pyspark.ml.feature import CountVectorizer
     texts = ["a b b c", "b c d d d", "c c e", "f a b", "d"]
     df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)],
