@@ -1,5 +1,7 @@
 """Feature engineering. Vectors are compared element by element."""
 
+from statistics import NormalDist
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import functions as F
@@ -322,6 +324,36 @@ def chisq_select_fpr(spark, folder):
     return kept.select("doc_id", F.size(vector_to_array("best")).cast("bigint").alias("n_kept"))
 
 
+def _critical(p: float) -> float:
+    """The statistic with one degree of freedom whose p-value is ``p``."""
+    return NormalDist().inv_cdf(1 - p / 2) ** 2
+
+
+def _limits(share) -> str:
+    """A table (k, i, least): the least statistic of the i-th best of k features."""
+    cells = [f"({k}, {i}, {_critical(share(i, k))!r})" for k in range(1, 9) for i in range(1, k + 1)]
+    return "(values " + ", ".join(cells) + ") as limits(k, i, least)"
+
+
+RANKED = f"""{CHI}, ranked as (
+  select statistic, row_number() over (order by statistic desc) as i, count(*) over () as k from chi)
+select doc_id, (select coalesce(max(ranked.i), 0)::bigint from ranked join {{limits}}
+  on ranked.i = limits.i and ranked.k = limits.k where statistic >= least) as n_kept
+from d where slot = 0"""
+
+
+@query("chisq_select_fdr", RANKED.format(limits=_limits(lambda i, k: 0.05 * i / k)))
+def chisq_select_fdr(spark, folder):
+    kept = fe.chisq_select(_flags(spark, folder), "f", "quality", "best", "fdr", 0.05)
+    return kept.select("doc_id", F.size(vector_to_array("best")).cast("bigint").alias("n_kept"))
+
+
+@query("chisq_select_fwe", RANKED.format(limits=_limits(lambda i, k: 0.05 / k)))
+def chisq_select_fwe(spark, folder):
+    kept = fe.chisq_select(_flags(spark, folder), "f", "quality", "best", "fwe", 0.05)
+    return kept.select("doc_id", F.size(vector_to_array("best")).cast("bigint").alias("n_kept"))
+
+
 # --- Numbers ----------------------------------------------------------------
 
 @query("binarize", f"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +100,25 @@ def salt(df: DataFrame, buckets: int) -> Column:
 
 
 _TEMPORARY: dict[str, str] = {}
+_OWNED: ContextVar[list | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def scratch_freed(spark: SparkSession):
+    """Delete the scratch space of the operators used inside, at the end of the block.
+
+    Write the result inside: what was not written can no longer be read afterwards.
+    Blocks may be nested; each frees its own.
+    """
+    paths: list[str] = []
+    token = _OWNED.set(paths)
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -117,7 +138,10 @@ def scratch(spark: SparkSession, label: str) -> str:
         if application not in _TEMPORARY:
             _TEMPORARY[application] = tempfile.mkdtemp(prefix="millrace-")
         base = _TEMPORARY[application]
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _OWNED.get() is not None:
+        _OWNED.get().append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

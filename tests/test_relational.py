@@ -344,3 +344,23 @@ def test_keyed_draws_with_replacement(spark):
         sampling.sample(df, 1e4, seed=9, with_replacement=True, key="k")
     steps = sampling.poisson_steps(500.0)
     assert steps == sorted(steps) and steps[-1] > 1 - 1e-9
+
+
+def test_scratch_is_freed(spark, tmp_path):
+    import os
+
+    from millrace.util import scratch_freed
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base)) if os.path.exists(base) else set()
+    left, right = spark.range(50).toDF("a"), spark.range(60).toDF("b")
+    with scratch_freed(spark):
+        zip_columns(left, right, "a", [("b", "desc")]).write.parquet(str(tmp_path / "out"))
+        assert set(os.listdir(base)) > before
+        with scratch_freed(spark):
+            row_index(left, "a").count()
+    assert set(os.listdir(base)) == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    with pytest.raises(RuntimeError), scratch_freed(spark):
+        row_index(left, "a").count()
+        raise RuntimeError
+    assert set(os.listdir(base)) == before
