@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from millrace.ml import features as fe
+from millrace.ml.isotonic import isotonic_fitted
 from millrace.ml.models import make_estimator, score, train, tune
 from millrace.ml.persist import fitted_stages, load_fitted, save_fitted
 from millrace.ml.stages import recording
@@ -278,6 +279,28 @@ def isotonic(spark, folder):
             F.col("prior") <= F.col("low"), F.lit(True))).alias("rising"))
 
 
+@query("isotonic_ranges", """
+with d as (select l_partkey % 61 as x, l_extendedprice + 40 * (l_partkey % 61) as y from lineitem),
+p as (select x, sum(y) as s, count(*) as n from d group by x),
+c as (select x, sum(s) over (order by x) as s, sum(n) over (order by x) as n,
+  coalesce(sum(s) over (order by x rows between unbounded preceding and 1 preceding), 0) as s0,
+  coalesce(sum(n) over (order by x rows between unbounded preceding and 1 preceding), 0) as n0 from p),
+-- The fitted value is the largest, over all beginnings, of the least mean over all ends.
+ends as (select a.x as a, i.x as i, min((b.s - a.s0) / (b.n - a.n0)) as least
+  from c a join c i on a.x <= i.x join c b on b.x >= i.x group by 1, 2),
+fit as (select i as x, max(least) as fitted from ends group by 1)
+select d.x::bigint as x, count(*) as n, round(max(fitted), 4) as fitted from d join fit using (x)
+group by 1""")
+def isotonic_ranges(spark, folder):
+    """Fitted values of all lines, over ranges that are merged pair by pair."""
+    x = F.col("l_partkey") % 61
+    lines = table(spark, folder, "lineitem").select(
+        x.alias("x"), (F.col("l_extendedprice") + 40 * x).alias("y"))
+    fitted = isotonic_fitted(lines, "x", "y")
+    return fitted.groupBy("x").agg(F.count(F.lit(1)).alias("n"),
+                                   F.round(F.max("fitted"), 4).alias("fitted"))
+
+
 # --- Clustering -------------------------------------------------------------
 
 CLUSTERS = """select count(*) as n, true as within_k, 0::bigint as n_missing, true as at_optimum

@@ -204,3 +204,48 @@ def test_vocabulary_table_is_saved(spark, tmp_path):
     half = spark.createDataFrame([(["a", "b", "b"],)], "w array<string>")
     assert list(fe.count_vectorize(half, "w", "v", minTF=0.5).first()["v"].toArray()) == [2, 0]
     assert list(fe.count_vectorize(half, "w", "v", binary=True).first()["v"].toArray()) == [1, 1]
+
+
+@pytest.mark.parametrize("kind", ["noise", "falling", "rising", "steps", "one"])
+def test_isotonic_over_ranges(spark, kind):
+    import random
+
+    from pyspark.ml.regression import IsotonicRegression
+
+    from millrace.ml.isotonic import fit_ranges, isotonic_fitted
+    r = random.Random(4)
+    make = {"noise": lambda i: i / 40 + r.gauss(0, 2), "falling": lambda i: -i, "rising": lambda i: i,
+            "steps": lambda i: (i // 30) % 4 + r.random(), "one": lambda i: 3.0}[kind]
+    rows_ = [(float(i % (1 if kind == "one" else 300)), float(make(i % 300)), 1.0 + i % 3)
+             for i in range(600)]
+    df = spark.createDataFrame(rows_ + [(None, 1.0, 1.0), (1.0, None, 1.0), (2.0, 5.0, 0.0)],
+                               "x double, y double, w double").repartition(3)
+    for rising in (True, False):
+        model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", isotonic=rising).fit(
+            df.dropna().where("w > 0"))
+        want = {r["x"]: r["prediction"] for r in model.transform(df.dropna()).collect()}
+        got = isotonic_fitted(df, "x", "y", weight="w", rising=rising).collect()
+        assert len(got) == len(rows_) + 3 and [r["fitted"] for r in got if r["x"] is None] == [None]
+        for r in got:
+            if r["x"] is not None:
+                assert r["fitted"] == pytest.approx(want[r["x"]], abs=1e-9)
+    fit = fit_ranges(df, "x", "y", "w")
+    blocks = sorted(map(tuple, fit.blocks.collect()))
+    assert all(a[1] < b[0] and a[2] < b[2] for a, b in zip(blocks, blocks[1:]))
+    assert sum(b[3] for b in blocks) == pytest.approx(sum(r[2] for r in rows_))
+    assert fit_ranges(df.limit(0), "x", "y").points.count() == 0
+
+
+def test_junctions_read_no_further_than_they_pool():
+    from millrace.ml.isotonic import Block, junction, pool
+    import random
+    r = random.Random(1)
+    for _ in range(200):
+        points = [Block(i, i, float(r.randrange(10)), 1.0 + r.randrange(3)) for i in range(20)]
+        cut = r.randrange(1, 20)
+        left, right = ([b for b, _ in pool(p)] for p in (points[:cut], points[cut:]))
+        ends = [iter(left[::-1]), iter(right)]
+        found = junction(*ends)
+        kept = [b for b in left + right if found is None or b.high < found.low or b.low > found.high]
+        whole = sorted(kept + ([found] if found else []))
+        assert [(b.low, b.high) for b in whole] == [(b.low, b.high) for b, _ in pool(points)]
