@@ -260,7 +260,7 @@ def aft(spark, folder):
         F.count(F.lit(1)).alias("n"), F.count_if(F.isnan("prediction")).alias("n_missing"),
         F.count_if(F.col("prediction") <= 0).alias("n_not_positive"),
         F.count_if(F.array_sort(levels) != levels).alias("n_disordered"),
-        (likelihood(model.scale) > best + 100).alias("beats_constant"))
+        (likelihood(model.scale) > best + 1).alias("beats_constant"))
 
 
 @query("isotonic", """
