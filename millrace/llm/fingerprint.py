@@ -14,7 +14,8 @@ text without blanks has k-mers too.
 
 Defined results: null counts as an empty text; a text without words has no component, and two such
 texts are alike (1.0); a text of fewer than k tokens is one k-mer. Equal texts have equal
-fingerprints, and every row is treated by itself, so repeated rows get equal results.
+fingerprints, and every row is treated by itself, so repeated rows get equal results. Columns of the
+input are kept, whatever their names; only one with the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.text import partitions, rank_among, words
-from millrace.util import col, require
+from millrace.util import col, fresh, require
 
 LONG_WORD = 64
 _POSITION_BITS = 28  # an array cannot hold more elements than a row has bytes
@@ -64,7 +65,7 @@ def order_minhash(df: DataFrame, text: str, into: str, k: int = 5, bins: int = 6
     bin_bits = bins.bit_length() - 1
     require(bins == 1 << bin_bits and 1 <= bin_bits <= 6, "bins is a power of two, 2 to 64")
     require(keep >= 1 and k >= 1, "keep and k are at least 1")
-    names = {c: f"_{into}_{c}" for c in "htgpqr"}
+    names = {c: fresh(df, f"_{into}_{c}") for c in "htgpqr"}
     h, t, g, p, q, r = (col(names[c]) for c in "htgpqr")
     shift = _POSITION_BITS + 35 - bin_bits
 

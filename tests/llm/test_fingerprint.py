@@ -98,3 +98,16 @@ def test_no_shuffle_of_kmers(spark):
     plan = fingerprint.order_minhash(odd.documents(spark), "text", "f")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_columns_with_the_names_of_steps_are_kept(spark):
+    from millrace.llm import fingerprint
+    rows = [(1, "a b c d e f g h", *"123456"), (2, None, *"abcdef")]
+    names = [f"_f_{c}" for c in "htgpqr"]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = fingerprint.order_minhash(df, "text", "f")
+    assert got.columns == [*df.columns, "f"]
+    assert [tuple(r)[2:8] for r in got.orderBy("doc_id").collect()] == [tuple("123456"), tuple("abcdef")]
+    plain = fingerprint.order_minhash(df.select("doc_id", "text"), "text", "f")
+    assert ([r["f"] for r in got.orderBy("doc_id").collect()]
+            == [r["f"] for r in plain.orderBy("doc_id").collect()])
