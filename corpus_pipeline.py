@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; ``run`` writes it as Parquet to the
 shared folder and reads it again as the next stage's documents. All but the last return the columns
-of their input. Null texts count as empty, missing ids and repeated rows are allowed everywhere (the
-operators say what becomes of them), and an empty table gives an empty result.
+of their input, with extra columns of any name. Null texts count as empty, missing ids and repeated
+rows are allowed everywhere (the operators say what becomes of them), texts of any length go through
+whole, and an empty table gives an empty result. Ties do not depend on the order of rows: languages
+with one score go by the network's order, the smallest id of a group of similar documents stays, and
+the mix goes by a hash of the row.
 """
 
 from __future__ import annotations
