@@ -17,7 +17,8 @@ Scores are whole numbers (fixed point), so sums are exact and the result does no
 chunks are cut. Ties go to the longest last piece.
 
 Where no piece of the vocabulary has a blank after another character, words can be encoded one by
-one, which is the same result and lets a worker remember words.
+one, which is the same result and lets a worker remember words. The words of a batch that it does not
+know yet are segmented together, place by place, over a trie held in arrays.
 
 Defined results: a null text counts as empty and has no pieces; characters that no piece covers
 become byte pieces, or the unknown piece if the model has no bytes. Decoding restores the normalized
@@ -45,9 +46,64 @@ from millrace.util import col, fresh, require, written
 BLANK = "▁"
 _IMPOSSIBLE = -(1 << 60)
 _SCALE = 1 << 20  # scores that are not whole numbers are kept to a millionth
+_SHORT = 48  # words up to this length are segmented together
+_TOGETHER = 8192  # so many of them at once
 _WORD = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 
 
+class PieceTrie:
+    """The beginnings of all pieces as nodes; steps from node to node are one hash table of arrays."""
+
+    _EMPTY, _FACTOR = np.uint64((1 << 64) - 1), np.uint64(0x9E3779B97F4A7C15)  # fixed values
+
+    def __init__(self, beginnings: dict[str, int | None], ids: dict[str, int]):
+        prefixes = sorted(beginnings, key=len)
+        node = {"": 0} | {p: i for i, p in enumerate(prefixes, 1)}
+        characters = sorted({p[-1] for p in prefixes})
+        self.kinds = np.zeros(0x110000, np.uint64)  # 0: in no piece
+        self.kinds[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+        self.width = np.uint64(len(characters) + 1)
+        scores = (beginnings[p] for p in prefixes)
+        self.scores = np.array([_IMPOSSIBLE, *(_IMPOSSIBLE if s is None else s for s in scores)])
+        self.ids = np.array([-1, *(ids.get(p, -1) for p in prefixes)], np.int32)
+        steps = (np.array([node[p[:-1]] for p in prefixes], np.uint64) * self.width
+                 + self.kinds[[ord(p[-1]) for p in prefixes]])
+        bits = max(10, len(prefixes).bit_length() + 3)
+        self.shift = np.uint64(64 - bits)
+        self.steps = np.full((1 << bits) + len(prefixes), self._EMPTY)
+        self.nodes = np.zeros(len(self.steps), np.int32)
+        left, slot = np.arange(len(steps)), self._slots(steps)
+        while len(left):
+            free = self.steps[slot] == self._EMPTY
+            _, one = np.unique(slot[free], return_index=True)
+            chosen = np.flatnonzero(free)[one]
+            self.steps[slot[chosen]] = steps[left[chosen]]
+            self.nodes[slot[chosen]] = left[chosen] + 1
+            rest = np.ones(len(left), bool)
+            rest[chosen] = False
+            left, slot = left[rest], slot[rest] + 1
+
+    def _slots(self, steps: np.ndarray) -> np.ndarray:
+        return ((steps * self._FACTOR) >> self.shift).astype(np.int64)
+
+    def go(self, nodes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The node after each of ``nodes`` by a character of each kind; 0 where there is none."""
+        steps = nodes.astype(np.uint64) * self.width + kinds
+        slot = self._slots(steps)
+        seen = self.steps[slot]
+        out = np.where(seen == steps, self.nodes[slot], 0)
+        open_ = np.flatnonzero((seen != steps) & (seen != self._EMPTY))
+        slot = slot[open_]
+        while len(open_):
+            slot = slot + 1
+            seen, wanted = self.steps[slot], steps[open_]
+            hit = seen == wanted
+            out[open_[hit]] = self.nodes[slot[hit]]
+            on = ~hit & (seen != self._EMPTY)
+            open_, slot = open_[on], slot[on]
+        return out
+
+
 class Vocabulary:
     """The pieces of a model file and the best segmentations over them."""
 
@@ -69,6 +125,7 @@ class Vocabulary:
         self.beginnings = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.scores
         self.neighbours = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.longest = max(map(len, self.ids))
+        self.trie = PieceTrie(self.beginnings, self.ids)
         self.bytes = {int(names[i][1:-1], 16): i for i in range(n) if self.model.is_byte(i)}
         self.unknown = self.model.unk_id()
         self.surface = [bytes([int(names[i][1:-1], 16)]) if self.model.is_byte(i)
@@ -138,18 +195,91 @@ class Vocabulary:
 
     def encode(self, normal: str) -> bytes:
         """The ids of a normalized text, as little-endian 32-bit numbers."""
+        return self.encode_all([normal])[0]
+
+    def encode_all(self, normals: list[str]) -> list[bytes]:
         if not self.by_words:
-            return self._segment(normal)
+            return [self._segment(n) for n in normals]
         if len(self.words) > self.most_words:
             self.words, self.older = {}, self.words
-        known, older, parts = self.words, self.older, _WORD.findall(normal)
-        for word in parts:
-            if word not in known:
-                found = older.get(word)
-                if found is None:
-                    found = b"".join(map(self._unit, self._units(word)))
+        texts = [_WORD.findall(n) for n in normals]
+        self._learn(set().union(*texts))
+        known = self.words
+        return [b"".join(map(known.__getitem__, parts)) for parts in texts]
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Know these words: the short ones together, long ones by their units."""
+        known, older = self.words, self.older
+        short, long = [], []
+        for word in wanted.difference(known):
+            found = older.get(word)
+            if found is not None:
                 known[word] = found
-        return b"".join(map(known.__getitem__, parts))
+            else:
+                (short if len(word) <= _SHORT else long).append(word)
+        units = {word: self._units(word) for word in long}
+        parts = {u for us in units.values() for u in us if len(u) <= _SHORT}
+        short += parts.difference(known, short)
+        short.sort(key=len)
+        for at in range(0, len(short), _TOGETHER):
+            some = short[at:at + _TOGETHER]
+            known.update(zip(some, self.segment_all(some)))
+        for word, us in units.items():
+            known[word] = b"".join(known[u] if u in known else self._unit(u) for u in us)
+
+    def segment_all(self, words: list[str]) -> list[bytes]:
+        """``_segment`` of many words (none is empty), all of them place by place."""
+        sizes = np.array([len(w) for w in words])
+        n, count = int(sizes.max()), len(words)
+        column = np.repeat(np.arange(count), sizes)
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = np.zeros((n, count), np.uint64)
+        kinds[place, column] = self.trie.kinds[codes]
+        best = np.full((n + 1, count), _IMPOSSIBLE, np.int64)
+        best[0] = 0
+        back = np.zeros((n + 1, count), np.int16)
+        piece = np.full((n + 1, count), -1, np.int32)
+        for start in range(n):
+            at = np.flatnonzero(sizes > start)
+            alone, nodes = np.ones(count, bool), np.zeros(len(at), np.int32)
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                nodes = self.trie.go(nodes, kinds[end - 1, at])
+                goes_on = nodes > 0
+                at, nodes = at[goes_on], nodes[goes_on]
+                if not len(at):
+                    break
+                scores = self.trie.scores[nodes]
+                total = best[start, at] + scores
+                better = (scores > _IMPOSSIBLE) & (total > best[end, at])
+                gains = at[better]
+                best[end, gains], back[end, gains] = total[better], start
+                piece[end, gains] = self.trie.ids[nodes[better]]
+                if end == start + 1:
+                    alone[at[scores > _IMPOSSIBLE]] = False
+            total = best[start] + self.unknown_score
+            gains = np.flatnonzero(alone & (sizes > start) & (total > best[start + 1]))
+            best[start + 1, gains], back[start + 1, gains] = total[gains], start
+            piece[start + 1, gains] = -1
+        # From the ends on, one piece of every word at a time.
+        found, of, uncovered = [], [], np.zeros(count, bool)
+        at, ends = np.arange(count), sizes
+        while len(at):
+            last = piece[ends, at]
+            uncovered[at[last < 0]] = True
+            found.append(last)
+            of.append(at)
+            ends = back[ends, at].astype(np.int64)
+            at, ends = at[ends > 0], ends[ends > 0]
+        order = np.argsort(np.concatenate(of[::-1]), kind="stable")
+        ids = np.concatenate(found[::-1])[order].astype("<u4").tobytes()
+        stops = 4 * np.cumsum(np.bincount(np.concatenate(of), minlength=count))
+        out = [ids[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+        for i in np.flatnonzero(uncovered).tolist():
+            spelled = self.spell(words[i], self.trace(
+                [-1, *back[1:sizes[i] + 1, i].tolist()], int(sizes[i])))
+            out[i] = struct.pack(f"<{len(spelled)}I", *spelled)
+        return out
 
     def _units(self, word: str) -> list[str]:
         """The word cut where no piece has these two characters side by side."""
@@ -294,7 +424,7 @@ def _batches(frame: DataFrame, function, schema: T.StructType) -> DataFrame:
 
 def _add(frame: DataFrame, source: str, *made: tuple) -> DataFrame:
     """Add columns (name, type, function), the first made from ``source``, each other from the one
-    before it."""
+    before it. A function takes and returns a list of values."""
     schema = T.StructType([*frame.schema.fields, *[T.StructField(n, t) for n, t, _ in made]])
 
     def run(batches):
@@ -303,7 +433,7 @@ def _add(frame: DataFrame, source: str, *made: tuple) -> DataFrame:
                 batch = whole.slice(at, 1024)
                 columns, values = list(batch.columns), batch.column(source).to_pylist()
                 for _, kind, function in made:
-                    values = [function(v) for v in values]
+                    values = function(values)
                     columns.append(pa.array(values, pa.binary() if isinstance(kind, T.BinaryType)
                                             else pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -326,9 +456,9 @@ def encode(df: DataFrame, model_path: str, text: str = "text", into: str = "ids"
     kept = df.drop(*[c for c in added if c in df.columns])
     size = F.coalesce(F.length(col(text)), F.lit(0))
 
-    def whole(value: str | None) -> bytes:
+    def whole(values: list[str | None]) -> list[bytes]:
         v = vocabulary(model_path)
-        return v.encode(v.normalize(value or ""))
+        return v.encode_all([v.normalize(x or "") for x in values])
 
     made = [(into, T.BinaryType(), whole)] + ([_decoding(model_path, decoded)] if decoded else [])
     small = _add(kept.where(size <= giant), text, *made)
@@ -453,4 +583,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decode
 
 
 def _decoding(model_path: str, into: str) -> tuple:
-    return into, T.StringType(), lambda ids: vocabulary(model_path).decode(ids or b"")
+    def read(values: list[bytes | None]) -> list[str]:
+        v = vocabulary(model_path)
+        return [v.decode(ids or b"") for ids in values]
+    return into, T.StringType(), read

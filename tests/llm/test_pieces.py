@@ -44,6 +44,15 @@ def test_best_score_and_words(text):
     assert v.decode(v.encode(normal)) == text.replace("▁", " ")
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="theandofix▁.,é日😀\U0010ffff", min_size=1, max_size=70), min_size=1, max_size=30))
+def test_words_segmented_together(words):
+    v = pieces.vocabulary(PATH)
+    assert v.segment_all(words) == [v._segment(w) for w in words]
+    v.words, v.older = {}, {}
+    assert v.encode_all(words) == [v._segment(w) for w in words]
+
+
 def test_ids_of_the_library(tmp_path):
     """The library's lattice over the same pieces gives the same ids."""
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
