@@ -81,11 +81,14 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.astype(np.uint64).view(np.int64)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
+def _texts(batches: Iterator[pa.RecordBatch], k: int
+           ) -> Iterator[tuple[int | None, str | None, np.ndarray]]:
+    """(id, text, set of shingles)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            yield from zip(part.column("id").to_pylist(), part.column("text").to_pylist())
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = part.column("text").to_pylist()
+            yield from zip(part.column("id").to_pylist(), texts, shingles.shingle_sets(texts, k))
 
 
 def frequent_shingles(docs: DataFrame, k: int, least: int, most: int) -> np.ndarray:
@@ -99,8 +102,8 @@ def frequent_shingles(docs: DataFrame, k: int, least: int, most: int) -> np.ndar
             return pa.RecordBatch.from_arrays(
                 [pa.array(_signed(tokens[again])), pa.array(counts[again].astype(np.int64))],
                 names=["token", "n"])
-        for _, text in _texts(batches):
-            held.append(shingles.shingle_set(shingles.split_words(text), k))
+        for _, _, tokens in _texts(batches, k):
+            held.append(tokens)
             n += len(held[-1])
             if n >= _COUNT_AT:
                 yield counted()
@@ -146,9 +149,8 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
 
     def run(batches):
         rows = []
-        for identifier, text in _texts(batches):
+        for identifier, text, tokens in _texts(batches, k):
             words = shingles.split_words(text)
-            tokens = shingles.shingle_set(words, k)
             whole = xxhash.xxh3_128_intdigest(b" ".join(words))
             first = rare_first(tokens, shared.value, prefix_size(len(tokens), percent))
             rows.append((identifier, whole >> 64, whole & (1 << 64) - 1, len(tokens),
@@ -263,17 +265,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     def run(batches):
         known: dict[str, tuple] = {}
 
-        def prepared(text: str):
-            if text not in known:
-                if len(known) > 64:
-                    known.clear()
-                tokens = shingles.shingle_set(shingles.split_words(text), k)
+        def prepare(texts: set[str]) -> None:
+            if len(known) > 64:
+                for text in known.keys() - texts:
+                    del known[text]
+            new = list(texts - known.keys())
+            for text, tokens in zip(new, shingles.shingle_sets(new, k)):
                 n = prefix_size(len(tokens), percent)
                 known[text] = tokens, [prefix_under(tokens, s, n) for s in _SEEDS]
-            return known[text]
 
         def passes(left: str, right: str) -> bool:
-            (x, x_first), (y, y_first) = prepared(left), prepared(right)
+            (x, x_first), (y, y_first) = known[left], known[right]
             least = least_overlap(len(x), len(y), percent)
             a, b = len(x) - least + 1, len(y) - least + 1
             if not all(len(np.intersect1d(p[:a], q[:b], assume_unique=True))
@@ -283,9 +285,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             return similar(common, len(x), len(y), percent)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = zip(*(part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")))
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = list(zip(*(part.column(c).to_pylist()
+                                  for c in ("a", "b", "text_a", "text_b"))))
+                prepare({text for row in rows for text in row[2:]})
                 out = [(a, b) for a, b, left, right in rows if passes(left, right)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[], []])],

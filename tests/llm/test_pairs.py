@@ -3,12 +3,13 @@ import os
 import random
 from collections import defaultdict
 
+import numpy as np
 import odd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import chaining, components, ngramjoin
+from millrace.llm import chaining, components, ngramjoin, shingles
 
 
 def _sets(rows, k):
@@ -74,6 +75,29 @@ def test_components_of_hard_groups(spark, rounds, least):
     assert _found(odd.documents(spark, rows), star_rounds=rounds, frequent_least=least) == want
 
 
+_ODD_TEXTS = [None, "", " ", "a", "A b\tC", "a b c d", "\n\n", "a b c d e", "x" * 200 + " y z w",
+              "x" * 199 + "v y z w", "é日 " * 80, "q" * 300_000 + " r s t u", "\ud800 a b c d", " a b c d "]
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_shingles_of_many_texts_together(k):
+    """As many, and the same ones in common, as sets of words in a row give."""
+    def plain(text):
+        words = shingles.split_words(text)
+        size = min(k, len(words))
+        return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+    texts = _ODD_TEXTS + ["one two three four five six"] * 2
+    found = shingles.shingle_sets(texts, k)
+    wanted = [plain(t) for t in texts]
+    for i, a in enumerate(found):
+        assert (np.diff(a.astype(object)) > 0).all()
+        assert (shingles.shingle_sets([texts[i]], k)[0] == a).all()
+        for j, b in enumerate(found):
+            assert len(np.intersect1d(a, b)) == len(wanted[i] & wanted[j])
+    assert shingles.shingle_sets([], k) == []
+
+
 def test_missing_and_repeated_ids(spark):
     docs = odd.documents(spark)
     got = ngramjoin.jaccard_components(docs)
@@ -91,7 +115,6 @@ def test_missing_and_repeated_ids(spark):
 @given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1),
        st.integers(0, 5))
 def test_filters_never_lose_a_link(a, b, seed):
-    import numpy as np
     x, y = (np.sort(ngramjoin.shingles.mix(np.array(sorted(s), dtype=np.uint64))) for s in (a, b))
     if not ngramjoin.similar(len(a & b), len(a), len(b), 85):
         return
