@@ -104,6 +104,18 @@ def test_impute(spark):
         missing.impute(df, ["x"], "mode")
 
 
+def test_impute_takes_the_exact_median(spark):
+    n = 200_001
+    df = spark.range(n).select((F.col("id") * 7 % n).cast("float").alias("x"), F.col("id").alias("i"))
+    holes = df.unionByName(spark.createDataFrame([(None, None), (float("nan"), -1)],
+                                                 "x float, i long"))
+    filled = missing.impute(holes, ["x", "i"], "median").where("x is null or isnan(x)")
+    assert sorted((r["x_I"], r["i_I"]) for r in filled.collect()) == [(1e5, -1.0), (1e5, 99999.0)]
+    assert filled.schema["x_I"].dataType.simpleString() == "float"
+    with pytest.raises(ValueError, match="no values"):
+        missing.impute(holes.where("x is null"), ["x"], "median")
+
+
 def test_unknown_columns_fail_at_once(spark):
     df = spark.range(1)
     for call in (lambda: ops.merge_cols(df, ["x"], "m", ","), lambda: ops.split_col(df, "x", ","),
