@@ -138,16 +138,24 @@ with l as (select case when {left} then 0 else {left_key} end as a, {left_value}
 select a is null as no_line, b is null as no_order, x, count(*) as n,
   sum(y)::bigint as buyers from l full join r on a = b group by all""")
 def join_hot_both_sides(spark, folder):
-    """One key fills a tenth of the lines and an eighth of the orders."""
+    """One key fills a tenth of the lines and an eighth of the orders.
+
+    Its pairs are the product of both, so rows that count alike are counted before they meet: a
+    pair of groups stands for all its pairs of rows, and a group without a partner for its rows.
+    """
     lines = table(spark, folder, "lineitem").select(
         F.when(F.col("l_quantity") > 45, 0).otherwise(F.col("l_orderkey")).alias("a"),
         F.col("l_linenumber").alias("x"))
     orders = table(spark, folder, "orders").select(
         F.when(F.col("o_custkey") % 8 == 0, 0).otherwise(F.col("o_orderkey")).alias("b"),
         F.col("o_custkey").alias("y"))
+    lines = lines.groupBy("a", "x").agg(F.count(F.lit(1)).alias("n_lines"))
+    orders = orders.groupBy("b").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("y").alias("ys"))
     joined = rel.join(lines, orders, [("a", "b")], "full", spread_hot=True)
+    pairs = F.coalesce("n_lines", F.lit(1)) * F.coalesce("n_orders", F.lit(1))
     return joined.groupBy(F.col("a").isNull().alias("no_line"), F.col("b").isNull().alias("no_order"),
-                          "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("buyers"))
+                          "x").agg(F.sum(pairs).alias("n"),
+                                   F.sum(F.col("ys") * F.coalesce("n_lines", F.lit(1))).alias("buyers"))
 
 
 @query("join_salted_full_right", HOT_SQL.format(
