@@ -36,7 +36,7 @@ def test_beats_majority(spark, folder):
 
 
 def test_als_is_near_its_optimum(spark, tmp_path):
-    """Factors begin with random signs: the more customers, the more steps to agree on one."""
+    """Factors begin with random signs: without a mean, more customers need more steps."""
     def drawn(name, below, seed):
         return F.floor(F.rand(seed) * below).cast("bigint").alias(name)
     spark.range(600_000, numPartitions=8).select(
