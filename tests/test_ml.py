@@ -1,6 +1,7 @@
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from millrace.ml import features as fe
@@ -251,3 +252,13 @@ def test_junctions_read_no_further_than_they_pool():
         kept = [b for b in left + right if found is None or b.high < found.low or b.low > found.high]
         whole = sorted(kept + ([found] if found else []))
         assert [(b.low, b.high) for b in whole] == [(b.low, b.high) for b, _ in pool(points)]
+
+
+def test_pool_sums_sparse_vectors(spark):
+    """Rows with the same most frequent slot become one; rows without a value are in none."""
+    rows = [(1, Vectors.sparse(9, [1, 4], [2.0, 5.0])), (2, Vectors.sparse(9, [4, 8], [3.0, 3.0])),
+            (3, Vectors.sparse(9, [0, 7], [1.0, 2.0])), (4, Vectors.sparse(9, [], []))]
+    df = spark.createDataFrame(rows, ["id", "v"]).repartition(3)
+    pooled = {r["pool"]: r["v"] for r in fe.pool(df, "v", fe.top_slot("v")).collect()}
+    assert pooled == {4: Vectors.sparse(9, [1, 4, 8], [2.0, 8.0, 3.0]),
+                      7: Vectors.sparse(9, [0, 7], [1.0, 2.0])}
