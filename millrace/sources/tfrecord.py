@@ -5,8 +5,8 @@ features) or a ``SequenceExample`` (a map of features and a map of feature lists
 of bytes, floats or whole numbers. Blocks of records are coded as columns (``sources.wire``).
 
 Files cannot be split where one likes, so large ones are indexed first: a task walks from one length to
-the next and notes where stretches of whole records begin. The index is a table; each of its stretches
-is read by a task of its own. Files are written below a temporary name, listed in a manifest by the
+the next and notes where stretches of whole records begin. The index is a table; a task reads one of its
+stretches, or several small ones that follow each other. Files are written below a temporary name, listed in a manifest by the
 tasks that succeeded, and given their names by a second job.
 """
 
@@ -36,6 +36,7 @@ CRC_MASK_DELTA = 0xA282EAD8
 
 _BLOCK_BYTES = 8 << 20  # about what a task reads at a time
 _SPLIT_BYTES = 64 << 20  # the size of a stretch of a large file
+_TASKS = 32  # so many tasks are worth starting for small stretches, whatever the session plans
 _BLOCK = 4096  # bytes of a message that one step of the checksum passes over
 _HEAD, _TAIL = 12, 4  # length and checksum before a message, checksum behind it
 
@@ -322,20 +323,40 @@ def index_records(spark: SparkSession, path: str, split: int = _SPLIT_BYTES) ->
     return small.unionByName(written(listed.mapInArrow(walked, _STRETCHES), "record-index"))
 
 
+def _joined(stretches) -> Iterator[tuple[str, int, int]]:
+    """Stretches that follow each other in one file as one."""
+    held = None
+    for file, start, end in stretches:
+        if held is not None and held[0] == file and held[2] == start:
+            held = (file, held[1], end)
+        else:
+            if held is not None:
+                yield held
+            held = (file, start, end)
+    if held is not None:
+        yield held
+
+
 def _read(spark: SparkSession, path: str, split: int, schema: T.StructType, coded: Callable
           ) -> DataFrame:
-    """One task for each stretch; ``coded`` turns a block of records into columns."""
+    """One task for each stretch, or for neighbours where there are more of them than tasks that the
+    session plans for and than tasks of ``_SPLIT_BYTES``; ``coded`` turns a block of records into
+    columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     base, arrow = _qualified(spark, path), to_arrow_schema(schema)
     stretches = index_records(spark, path, split)
-    tasks = max(1, stretches.count())
-    numbered = stretches.coalesce(1).withColumn("_task", F.monotonically_increasing_id().cast("int"))
-    placed = numbered.repartitionById(tasks, F.col("_task")).drop("_task")
+    n, size = stretches.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("start")),
+                                                          F.lit(0))).first()
+    planned = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _TASKS, -(-size // _SPLIT_BYTES))
+    tasks = max(1, min(n, planned))
+    numbered = stretches.coalesce(1).withColumn("_row", F.monotonically_increasing_id())
+    placed = numbered.repartitionById(tasks, F.floor(F.col("_row") * tasks / max(1, n)).cast("int")
+                                      ).sortWithinPartitions("_row").drop("_row")
 
     def run(batches):
         system = _system(base)
         for batch in batches:
-            for file, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, start, end in _joined(zip(*(c.to_pylist() for c in batch.columns))):
                 with system.open_input_file(file) as stream:
                     for block in blocks(stream, start, end):
                         yield pa.RecordBatch.from_arrays(coded(*block), schema=arrow)

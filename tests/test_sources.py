@@ -248,6 +248,19 @@ def test_one_file_feeds_many_tasks(spark, tmp_path):
     assert dict(tfrecord.read_tfrecord(spark, path, split=20_000).dtypes) == dict(df.dtypes)
 
 
+def test_small_stretches_share_tasks(spark, tmp_path):
+    """The number of tasks does not grow with the number of stretches, nor their order change."""
+    path = str(tmp_path / "r")
+    df = spark.range(20_000, numPartitions=1).withColumn("t", F.repeat(F.lit("x"), 50))
+    tfrecord.write_tfrecord(df, path, "error")
+    assert tfrecord.index_records(spark, path, 2_000).count() > 500
+    back = tfrecord.read_tfrecord(spark, path, df.schema, split=2_000)
+    assert 8 <= back.rdd.getNumPartitions() <= 32
+    assert rows(back) == rows(df)
+    assert list(tfrecord._joined([("a", 0, 5), ("a", 5, 9), ("b", 9, 12), ("b", 14, 20)])) == [
+        ("a", 0, 9), ("b", 9, 12), ("b", 14, 20)]
+
+
 def test_a_lost_write_leaves_nothing(spark, tmp_path):
     path = str(tmp_path / "r")
     df = spark.range(10)
