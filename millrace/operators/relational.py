@@ -113,7 +113,8 @@ def _salted(left, right, left_keys, right_keys, how, salts, hint=None) -> DataFr
     else:
         left = left.withColumn("_ls", salt(left, salts))
         right = right.withColumn("_rs", copies)
-    return _plain(left, right, [*left_keys, "_ls"], [*right_keys, "_rs"], how, hint)
+    # Spark takes the copies for one row each, and would broadcast a side ``salts`` times too large.
+    return _plain(left, right, [*left_keys, "_ls"], [*right_keys, "_rs"], how, hint or "merge")
 
 
 def _salted_full(left, right, left_keys, right_keys, salts, hint=None) -> DataFrame:

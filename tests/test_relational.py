@@ -151,6 +151,18 @@ def test_salted_join_spreads_a_hot_key_and_copies(spark):
     assert rel.join(hot, right, [("k", "k")], salts=16).count() == 4000
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_salted_copies_are_not_broadcast(spark, how):
+    """Spark does not know that the copied side is larger than what it reads."""
+    left, right = spark.range(1000).withColumnRenamed("id", "a"), spark.range(1000)
+    joined = rel.join(left, right, [("a", "id")], how, salts=64)
+    joined.collect()
+    plan = joined._jdf.queryExecution().toString().splitlines()
+    assert any("SortMergeJoin" in line and "_rs" in line for line in plan)
+    assert not any("BroadcastHashJoin" in line and "_rs" in line for line in plan)
+    assert joined.count() == 1000
+
+
 def test_union_pads_by_position(left3, right5):
     both = rel.union_rows(left3, right5, right_cols={"k": "key", "t": "t", "y": "y", "n": "n"})
     assert both.columns == ["key", "t", "n", "y"]
