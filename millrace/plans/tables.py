@@ -335,7 +335,9 @@ def _split_facts(orders, parts):
 
 @query("random_split", "select count(*) as n, 0::bigint as n_not_once from orders")
 def random_split(spark, folder):
-    orders = table(spark, folder, "orders").repartition(6, "o_orderkey")
+    # Whole partitions are sorted: their number follows the session, so that a larger table has more.
+    tasks = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    orders = table(spark, folder, "orders").repartition(tasks, "o_orderkey")
     return _split_facts(orders, sampling.random_split(orders, 0.7, seed=17))
 
 

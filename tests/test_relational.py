@@ -376,3 +376,14 @@ def test_scratch_is_freed(spark, tmp_path):
         row_index(left, "a").count()
         raise RuntimeError
     assert set(os.listdir(base)) == before
+
+
+def test_random_split_query_sorts_by_partition_of_the_session(spark, tmp_path):
+    """The sorted partitions are as many as the session plans: a fixed number would grow with the table."""
+    from millrace.plans import QUERIES
+    spark.range(300, numPartitions=2).withColumnRenamed("id", "o_orderkey").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    split = QUERIES["random_split"](spark, str(tmp_path))
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    assert f", {tasks}), REPARTITION_BY_NUM" in split._jdf.queryExecution().toString()
+    assert tuple(split.first()) == (300, 0)
