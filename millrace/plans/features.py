@@ -110,7 +110,15 @@ def feature_hash(spark, folder):
     wide = hashed(lines, HASHED, "all")
     for c in HASHED:
         wide = hashed(wide, [c], f"h_{c}")
-    arrays = {c: vector_to_array(c) for c in ["all", *[f"h_{c}" for c in HASHED]]}
+    vectors = ["all", *[f"h_{c}" for c in HASHED]]
+    # Every row is hashed; rows that came out alike are counted, and checked once.
+    alike = wide.groupBy(*HASHED, *[F.unwrap_udt(c).alias(c) for c in vectors]).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+    def dense(c):
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.get(
+            F.col(c)["values"], F.array_position(F.col(c)["indices"], i).cast("int") - 1), F.lit(0.0)))
+    arrays = {c: dense(c) for c in vectors}
     total = arrays["h_" + HASHED[0]]
     for c in HASHED[1:]:
         total = F.zip_with(total, arrays[f"h_{c}"], lambda a, b: a + b)
@@ -125,9 +133,10 @@ def feature_hash(spark, folder):
     slots = {c: F.array_position(F.transform(arrays[f"h_{c}"], lambda x: x != 0), True)
              for c in HASHED}
     # Two numbers have one slot each; three flags and seven lines have several.
-    return wide.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(away).alias("n_wrong"),
-        F.count_if(~own).alias("n_not_own"),
+    def counted(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0).cast("bigint"))
+    return alike.agg(
+        counted(F.lit(True)).alias("n"), counted(away).alias("n_wrong"), counted(~own).alias("n_not_own"),
         ((F.count_distinct(F.when(F.col("l_quantity") != 0, slots["l_quantity"])) == 1)
          & (F.count_distinct(slots["l_returnflag"]) >= 2)
          & (F.count_distinct(slots["l_linenumber"]) >= 4)).alias("spread"))

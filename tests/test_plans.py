@@ -130,3 +130,16 @@ def test_running_sums_need_no_shuffle_of_their_own(spark):
         if "Exchange hashpartitioning(_part" in line:
             assert "threshold" not in line
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_feature_hash_checks_rows_that_came_out_alike_once(spark, tmp_path):
+    from millrace.plans import QUERIES
+    from pyspark.sql import functions as F
+    i = F.col("id")
+    spark.range(2000, numPartitions=2).select(
+        (i % 5).cast("double").alias("l_quantity"), (i % 2 / 10).alias("l_tax"),
+        F.element_at(F.array(*map(F.lit, "ANR")), (i % 3 + 1).cast("int")).alias("l_returnflag"),
+        (i % 7).cast("int").alias("l_linenumber")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    checked = QUERIES["feature_hash"](spark, str(tmp_path))
+    assert "rows" in checked._jdf.queryExecution().analyzed().toString()
+    assert tuple(checked.first())[:3] == (2000, 0, 0)
