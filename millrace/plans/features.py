@@ -10,6 +10,7 @@ from millrace.ml import features as fe
 from millrace.ml.models import make_estimator, train
 from millrace.ml.stages import recording
 from millrace.plans.registry import query, table
+from millrace.util import written
 
 
 def _slots(df, keys, vector, digits=6, name="x"):
@@ -18,6 +19,13 @@ def _slots(df, keys, vector, digits=6, name="x"):
         name, F.round(name, digits))
 
 
+def _stored(df, keys, vector, name):
+    """One row per key and element that a sparse vector holds and that is not 0."""
+    parts = F.unwrap_udt(vector)
+    return df.select(*keys, F.inline(F.arrays_zip(parts["indices"].alias("slot"), parts["values"].alias(
+        name)))).where(F.col(name) != 0)
+
+
 def _element(vector, i, digits=6):
     return F.round(F.get(vector_to_array(vector), F.lit(i)), digits)
 
@@ -423,12 +431,12 @@ def hashing_tf(spark, folder):
     terms = words.select("doc_id", F.explode("text__output").alias("x"))
     single = fe.hashing_tf(terms.select("x").distinct().withColumn("w", F.array("x")), "w", "tf",
                            numFeatures=size)
-    learned = _slots(single, ["x"], "tf", name="one").where("one <> 0")
-    per_word = learned.groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.max("one").alias("one"),
-                                        F.max("slot").alias("slot"))
+    learned = _stored(single, ["x"], "tf", "one")
+    per_word = written(learned.groupBy("x").agg(
+        F.count(F.lit(1)).alias("k"), F.max("one").alias("one"), F.max("slot").alias("slot")), "slots")
     expected = terms.groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("c")).join(
         per_word, "x").groupBy("doc_id", "slot").agg(F.sum("c").alias("c"))
-    found = _slots(counted, ["doc_id"], "tf", name="n").where("n <> 0")
+    found = _stored(counted, ["doc_id"], "tf", "n")
     wrong = found.join(expected, ["doc_id", "slot"], "full").agg(F.count_if(
         F.coalesce(F.col("n") != F.col("c"), F.lit(True))).alias("n_wrong"))
     # Evenly spread words: no slot has five times its share and ten words more.

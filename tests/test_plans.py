@@ -132,6 +132,16 @@ def test_running_sums_need_no_shuffle_of_their_own(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_hashing_checks_keep_vectors_sparse(spark, tmp_path):
+    """Only slots that a vector holds become rows: a dense one has as many for each word as slots."""
+    from millrace.plans import features
+    words = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["c"])], "doc_id int, w array<string>")
+    counted = features.fe.hashing_tf(words, "w", "tf", numFeatures=128)
+    stored = features._stored(counted, ["doc_id"], "tf", "n")
+    dense = features._slots(counted, ["doc_id"], "tf", name="n").where("n <> 0")
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, dense.collect()))
+
+
 def test_feature_hash_checks_rows_that_came_out_alike_once(spark, tmp_path):
     from millrace.plans import QUERIES
     from pyspark.sql import functions as F
