@@ -316,6 +316,38 @@ def test_links_go_on_over_batches(spark):
     assert len(got) == len(want) and set(got) == {w[1:] for w in want}
 
 
+def test_two_later_documents_are_linked(spark):
+    """Smaller documents hold all parts of what two later ones share, and so do those between."""
+    passage = _different(60, "p")
+    parts = [passage[:24], passage[18:42], passage[36:]]
+    first, second = passage[:], passage[:]
+    first[30], second[45] = "x", "y"
+    rows = [(at + n, part + _different(30, f"t{at + n}-"))
+            for at in (1, 11) for n, part in enumerate(parts)]
+    rows += [(10, first), (20, second), (30, second)]
+    got = _passages(spark, [(i, " ".join(w)) for i, w in rows])
+    assert {(r.id, r.other_id, r.start_word, r.end_word, r.matched_words) for r in got} == {
+        (20, 10, 0, 60, 58), (30, 20, 0, 60, 60)}
+
+
+def test_a_hot_seed_is_matched_in_shares(monkeypatch):
+    monkeypatch.setattr(chaining, "_ITEM", 50)
+    monkeypatch.setattr(chaining, "_PART", 6)
+    r = random.Random(5)
+    rows = sorted({(s, r.randint(0, 40), r.randint(0, 99)) for s in (1, 2, 3, 4, 5)
+                   for _ in range(1 if s == 5 else 40 * s - 35)})
+    seed, doc, place = (np.array(c, np.uint64 if n == 0 else np.int64) for n, c in enumerate(zip(*rows)))
+    packed = [chaining.unpack_seeds(b) for _, b in chaining.pack_seeds(seed << np.uint64(20), doc, place)]
+    for had, kept in zip((seed, doc, place), map(np.concatenate, zip(*packed))):
+        assert had.tolist() == kept.tolist()
+    got = []
+    for cut, part in chaining.items_of(seed, doc):
+        x, y = chaining.places_of_item(seed[part], doc[part], cut)
+        got += zip(part[x].tolist(), part[y].tolist())
+    want = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if a[0] == b[0] and b[1] < a[1]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 30), st.integers(0, 12), st.integers(0, 12)), min_size=1,
                 max_size=12))
