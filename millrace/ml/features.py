@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.ml.labels import fit_label_table
 from millrace.ml.stages import configure, record
 from millrace.ml.vocabulary import fit_and_count, sparse_vectors
+from millrace.ml.wordvectors import fit_word_vectors
 from millrace.util import check_columns, col, names, pairs, require, written
 
 
@@ -254,5 +255,15 @@ def pool(df: DataFrame, column: str, by: Column) -> DataFrame:
 
 
 def word2vec(df: DataFrame, column: str, out: str, **params) -> DataFrame:
-    """The average word vector of each word list."""
-    return apply(df, configure(mlf.Word2Vec(inputCol=column, outputCol=out), **params))
+    """The average word vector of each word list (``vectorSize``, ``minCount``, ``maxIter``, ``seed``,
+    ``numPartitions``, ``windowSize``, ``stepSize``, ``maxSentenceLength``, as Spark names them).
+
+    The vectors are a table that is joined; neither the driver nor a task holds the vocabulary.
+    """
+    known = ("vectorSize", "minCount", "maxIter", "seed", "numPartitions", "windowSize", "stepSize",
+             "maxSentenceLength")
+    require(set(params) <= set(known),
+            f"word2vec takes {', '.join(known)}, not {', '.join(params)}")
+    check_columns(df, [column])
+    return record(fit_word_vectors(df, column, out, **{
+        k: v for k, v in params.items() if v is not None})).transform(df)
