@@ -65,12 +65,17 @@ def present(df: DataFrame, name: str) -> Column:
 
 
 def profile_stats(df: DataFrame, columns, exact: bool = False) -> DataFrame:
-    """One row per column, from a single aggregation.
+    """One row per column, from a single aggregation; exact distinct counts are a second one.
 
     Numeric columns have count (without missing values), range, mean,
     population deviation and variance; other columns have a count that
     includes missing values. Distinct counts are sketched unless ``exact``.
     """
+    return _stats(df, columns, F.count_distinct if exact else F.approx_count_distinct)
+
+
+def _stats(df: DataFrame, columns, count_distinct=None) -> DataFrame:
+    """The statistics; without ``count_distinct`` their distinct counts are NULL."""
     columns = names(columns)
     check_columns(df, columns)
     profiled = [(i, c) for i, c in enumerate(columns) if kind_of(df.schema[c].dataType)]
@@ -78,13 +83,14 @@ def profile_stats(df: DataFrame, columns, exact: bool = False) -> DataFrame:
     inputs = df.select([present(df, c).alias(f"_x{i}") for i, c in profiled]
                        + [(col(c) if isinstance(df.schema[c].dataType, T.StringType)
                            else present(df, c)).alias(f"_v{i}") for i, c in profiled])
-    count_distinct = F.count_distinct if exact else F.approx_count_distinct
-    cells, rows = [F.count(F.lit(1)).alias("_rows")], []
+    cells, rows, sets = [F.count(F.lit(1)).alias("_rows")], [], []
     none = F.lit(None).cast("double")
     for i, name in profiled:
         kind = kind_of(df.schema[name].dataType)
         value = F.col(f"_x{i}")
-        cells += [F.count(value).alias(f"_n{i}"), count_distinct(F.col(f"_v{i}")).alias(f"_d{i}")]
+        distinct = count_distinct(F.col(f"_v{i}")) if count_distinct else F.max(F.lit(None).cast("bigint"))
+        cells.append(F.count(value).alias(f"_n{i}"))
+        sets.append(distinct.alias(f"_d{i}"))
         filled, missing = F.col(f"_n{i}"), F.col("_rows") - F.col(f"_n{i}")
         if kind == "numeric":
             number = value.cast("double")
@@ -100,11 +106,14 @@ def profile_stats(df: DataFrame, columns, exact: bool = False) -> DataFrame:
     if not rows:
         return df.sparkSession.createDataFrame([], STATS_SCHEMA)
     typed = [r.cast(STATS_SCHEMA) for r in rows]
-    return inputs.agg(*cells).select(F.inline(F.array(*typed)))
+    # Spark sends rows once for each exact distinct count: the other cells need not go with them.
+    found = (inputs.agg(*cells).crossJoin(inputs.agg(*sets)) if count_distinct is F.count_distinct
+             else inputs.agg(*cells, *sets))
+    return found.select(F.inline(F.array(*typed)))
 
 
 def profile_histogram(df: DataFrame, columns, buckets: int = 10, exact: bool = False,
-                      *, numbers: str) -> DataFrame:
+                      *, numbers: str, stats: DataFrame | None = None) -> DataFrame:
     """Bars per column: ``column``, ``position``, ``x`` (label) and ``y`` (count).
 
     ``ranges`` are that many buckets of even width, the last one closed; ``values``
@@ -112,12 +121,15 @@ def profile_histogram(df: DataFrame, columns, buckets: int = 10, exact: bool = F
     chooses ranges, values, or ``by_count``: ranges if there are more distinct
     values than buckets, as counted (a sketch decides unless ``exact``). Ranges over infinite
     values are an error. One job reads
-    the ranges, one counts all columns.
+    the ranges, one counts all columns. Where the rows of ``profile_stats`` are at hand as ``stats``, the
+    first job is saved; distinct values are counted only if the choice of chart needs them.
     """
     columns = names(columns)
     require(buckets > 0, "the number of buckets must be positive")
-    stats = {row["column"]: row for row in profile_stats(df, columns, exact).collect()}
-    return _bars(df, columns, stats, buckets, numbers)
+    if stats is None:
+        stats = profile_stats(df, columns, exact) if numbers == "by_count" else _stats(df, columns)
+    known = {row["column"]: row for row in stats.where(F.col("column").isin(columns)).collect()}
+    return _bars(df, columns, known, buckets, numbers)
 
 
 def _bars(df: DataFrame, columns, stats: dict, buckets: int, numbers: str) -> DataFrame:

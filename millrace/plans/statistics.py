@@ -270,8 +270,8 @@ def profile_merged(spark, folder):
     parts = written(sketches.profile_state(lines, PROFILE_COLUMNS, by=["number"]), "states")
     whole = written(sketches.merge_states(parts.drop("number")), "states")
     found = sketches.state_stats(whole)
-    exact = prof.profile_stats(lines, PROFILE_COLUMNS, exact=True).select(
-        "column", F.col("countdistinct").alias("n"))
+    stats = written(prof.profile_stats(lines, PROFILE_COLUMNS, exact=True), "stats")
+    exact = stats.select("column", F.col("countdistinct").alias("n"))
     middles = {c: F.col(c) for c in ("quantity", "number", "price")}
     medians = sketches.state_quantiles(whole, [0.5]).groupBy().pivot("column", list(middles)).agg(
         F.first("value"))
@@ -281,7 +281,7 @@ def profile_merged(spark, folder):
     medians = counted.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("column"), ((F.col(f"{n}.col1") <= 0.52) & (F.col(f"{n}.col2") >= 0.48))
                  .alias("median_close")) for n in middles])))
-    bars = prof.profile_histogram(lines, list(middles), exact=True, numbers="ranges").select(
+    bars = prof.profile_histogram(lines, list(middles), numbers="ranges", stats=stats).select(
         "column", "position", F.col("y").alias("bar"))
     sizes = F.abs(F.col("y") - F.col("bar")) <= 0.03 * F.sum("bar").over(Window.partitionBy("column"))
     bars = (bars.join(sketches.state_ranges(whole), ["column", "position"], "full")

@@ -384,3 +384,30 @@ def test_states_merge_to_the_profile_of_the_whole(spark):
     empty = sketches.merge_states(sketches.profile_state(df.limit(0), ["x", "s"]))
     assert {r["column"]: r["count"] for r in sketches.state_stats(empty).collect()} == {"x": 0, "s": 0}
     assert sketches.state_quantiles(empty, [0.5]).count() == 0
+
+
+def test_ranges_need_no_distinct_counts(spark, monkeypatch):
+    """Ranges follow from the least and the largest value, or from statistics at hand."""
+    df = spark.createDataFrame([(float(i % 50), i) for i in range(500)], "x double, k int")
+    want = sorted(map(tuple, prof.profile_histogram(df, ["x", "k"], exact=True, numbers="by_count").collect()))
+    stats = prof.profile_stats(df, ["k", "x"]).persist()
+
+    def counted(*_):
+        raise AssertionError("distinct values are counted")
+    for name in ("count_distinct", "approx_count_distinct"):
+        monkeypatch.setattr(prof.F, name, counted)
+    assert sorted(map(tuple, prof.profile_histogram(df, ["x", "k"], exact=True, numbers="ranges").collect())) == want
+    monkeypatch.setattr(prof, "_stats", counted)
+    assert sorted(map(tuple, prof.profile_histogram(df, ["x", "k"], numbers="ranges", stats=stats).collect())) == want
+
+
+def test_exact_statistics_expand_no_other_cell(spark):
+    """The rows that are made for distinct counts carry no sums; all counts are right."""
+    df = spark.createDataFrame([(float(i % 50), i % 7, "ab"[i % 2]) for i in range(500)], "x double, k int, s string")
+    found = prof.profile_stats(df, ["x", "k", "s"], exact=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1
+    lines = [line for line in plan.splitlines() if "Aggregate" in line and "stddev" in line]
+    assert lines and not any("gid" in line for line in lines)
+    assert {r["column"]: (r["count"], r["countdistinct"]) for r in found.collect()} == {
+        "x": (500, 50), "k": (500, 7), "s": (500, 2)}
