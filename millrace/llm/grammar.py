@@ -103,6 +103,8 @@ class Tokenizer:
             letters = self._letters(stem)
             if letters is not None and len(stem) < len(word):
                 return self.words[stem] + self.words[word[len(stem):]]
+            if letters is not None and letters != word and word.isascii():
+                return self.words[letters]
             if letters is not None:
                 return _packed([t.id for t in self.library.model.tokenize(letters)])
         return _packed(self.library.encode(word, add_special_tokens=False).ids)
@@ -128,16 +130,31 @@ def tokenizer(path: str) -> Tokenizer:
 
 # --- The grammar ------------------------------------------------------------
 
+_BLOCK = 1 << 15  # symbols hashed together, so that they stay in the cache
+
+
 def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A bin for each pair of symbols, by a hash of 32-bit arithmetic."""
-    mixed = (left * _MIX[0]) ^ (right * _MIX[1])
-    mixed ^= mixed >> np.uint32(15)
-    return (mixed * _MIX[2]) >> np.uint32(32 - _BIN_BITS)
+    out = np.empty(len(left), dtype=np.intp)
+    mixed, other = np.empty(_BLOCK, dtype=np.uint32), np.empty(_BLOCK, dtype=np.uint32)
+    for at in range(0, len(left), _BLOCK):
+        n = min(_BLOCK, len(left) - at)
+        m, o = mixed[:n], other[:n]
+        np.multiply(left[at:at + n], _MIX[0], out=m)
+        np.multiply(right[at:at + n], _MIX[1], out=o)
+        np.bitwise_xor(m, o, out=m)
+        np.right_shift(m, np.uint32(15), out=o)
+        np.bitwise_xor(m, o, out=m)
+        np.multiply(m, _MIX[2], out=m)
+        np.right_shift(m, np.uint32(32 - _BIN_BITS), out=m)
+        out[at:at + n] = m
+    return out
 
 
 def _frequent_pairs(symbols: np.ndarray, bins: np.ndarray, crossing: np.ndarray, least: int,
-                    most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent pairs, ascending, and the positions of pairs that share their bins.
+                    most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent pairs, ascending, the positions of pairs that share their bins, and the pairs
+    there.
 
     Frequent is what occurs as often as the ``most``-th fullest bin, and ``least`` times anyway.
     The counts of bins bound those of their pairs, so only pairs in the fullest bins are sorted. If
@@ -146,18 +163,23 @@ def _frequent_pairs(symbols: np.ndarray, bins: np.ndarray, crossing: np.ndarray,
     in_bin = np.bincount(bins, minlength=1 << _BIN_BITS)
     in_bin -= np.bincount(bins[crossing], minlength=1 << _BIN_BITS)
     for bar in (max(least, int(np.partition(in_bin, -most)[-most])), least):
-        inside = (in_bin >= bar)[bins]
+        inside = (in_bin >= bar).take(bins)
         inside[crossing] = False
         at = np.flatnonzero(inside)
-        pairs, counts = np.unique(_pair_keys(symbols, at), return_counts=True)
-        pairs = pairs[counts >= bar]
+        keys = _pair_keys(symbols, at)
+        ordered = np.sort(keys)
+        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(ordered)])
+        pairs = ordered[start[np.diff(start, append=len(ordered)) >= bar]]
         if len(pairs) or bar == least:
             break
-    return pairs, at
+    return pairs, at, keys
 
 
 def _pair_keys(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+    keys = np.empty((len(at), 2), dtype="<u4")
+    symbols.take(at + 1, out=keys[:, 0], mode="clip")
+    symbols.take(at, out=keys[:, 1], mode="clip")
+    return keys.view("<u8").reshape(-1)
 
 
 def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
@@ -172,7 +194,7 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
             break
         crossing = starts[(starts > 0) & (starts < len(symbols))] - 1
         bins = _bins(symbols[:-1], symbols[1:])
-        pairs, at = _frequent_pairs(symbols, bins, crossing, least, pairs_per_round)
+        pairs, at, keys = _frequent_pairs(symbols, bins, crossing, least, pairs_per_round)
         if not len(pairs):
             break
         # A bin names one pair; another pair of the same bin waits for the next round.
@@ -181,10 +203,10 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
         pairs, own = pairs[np.sort(one)], own[np.sort(one)]
         rule_of = np.full(1 << _BIN_BITS, -1, dtype=np.int32)
         rule_of[own] = np.arange(len(pairs))
-        rule = rule_of[bins[at]]
-        at, rule = at[rule >= 0], rule[rule >= 0]
-        hit = pairs[rule] == _pair_keys(symbols, at)
-        at, rule = at[hit], rule[hit]
+        rule = rule_of.take(bins.take(at))
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[pairs.take(rule.take(hit)) == keys.take(hit)]
+        at, rule = at.take(hit), rule.take(hit)
         # Overlapping occurrences stand next to each other: of each run take every second one.
         order = np.arange(len(at))
         fresh = np.ones(len(at), dtype=bool)
@@ -197,7 +219,9 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
         right.append((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         symbols[at] = (first + rule).astype(np.uint32)
         starts = starts - np.searchsorted(at + 1, starts, side="left")
-        symbols = np.delete(symbols, at + 1)
+        kept = np.ones(len(symbols), dtype=bool)
+        kept[at + 1] = False
+        symbols = symbols[kept]
     empty = np.zeros(0, dtype=np.uint32)
     return (symbols, starts, np.concatenate(left) if left else empty,
             np.concatenate(right) if right else empty)

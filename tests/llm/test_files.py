@@ -135,3 +135,11 @@ def test_shards_do_not_depend_on_the_layout(spark):
     df = spark.range(5000).withColumn("x", F.col("id") % 900)
     limits = [files.range_shards(d, "x", 7)[1] for d in (df, df.repartition(11))]
     assert limits[0] == limits[1] and len(limits[0]) == 6
+
+
+def test_capitals_take_the_ids_of_small_letters():
+    coder = grammar.Tokenizer(PATH)
+    small, = coder.encode(["housework"], 2)
+    coder.library = None  # nothing is tokenized again
+    large, = coder.encode(["Housework HOUSEWORK"], 2)
+    assert large.tolist() == [*small[:-1], *small[:-1], 2]
