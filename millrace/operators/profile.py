@@ -107,8 +107,11 @@ def _stats(df: DataFrame, columns, count_distinct=None) -> DataFrame:
         return df.sparkSession.createDataFrame([], STATS_SCHEMA)
     typed = [r.cast(STATS_SCHEMA) for r in rows]
     # Spark sends rows once for each exact distinct count: the other cells need not go with them.
-    found = (inputs.agg(*cells).crossJoin(inputs.agg(*sets)) if count_distinct is F.count_distinct
-             else inputs.agg(*cells, *sets))
+    if count_distinct is F.count_distinct:
+        counted = inputs.agg(*sets).select(F.struct("*")).scalar()
+        found = inputs.agg(*cells).withColumn("_sets", counted).select("*", "_sets.*")
+    else:
+        found = inputs.agg(*cells, *sets)
     return found.select(F.inline(F.array(*typed)))
 
 
