@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ from millrace.util import col, require
 _MAGIC = b"REPAIR01"
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))  # odd multipliers
 _BIN_BITS = 18
+_TEXTS = 4000  # encoded together
 
 
 # --- Tokens -----------------------------------------------------------------
@@ -109,13 +111,52 @@ class Tokenizer:
                 return _packed([t.id for t in self.library.model.tokenize(letters)])
         return _packed(self.library.encode(word, add_special_tokens=False).ids)
 
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def _found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, stop): the ids of all words one after the other, and where those of each stop.
+
+        Words of ASCII letters are asked for in small letters, and apart from the marks after them.
+        """
+        stem = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.and_(pc.ascii_is_alpha(stem), pc.and_(pc.string_is_ascii(stem), self.plain_ascii))
+        parts = [pc.if_else(plain, pc.ascii_lower(stem), words),
+                 pc.if_else(plain, pc.utf8_ltrim(words, characters=string.ascii_letters), "")]
+        asked = pa.concat_arrays(parts).dictionary_encode()
+        known = [*map(self.words.__getitem__, asked.dictionary.to_numpy(False))]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, stop = _one_after_another(
+            np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(size),
+            asked.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.reshape(-1))
+        return ids, stop[1::2]
+
+    def encode(self, texts: list[str | None] | pa.Array, end: int) -> list[np.ndarray]:
+        """The ids of every text, then ``end``. What many of the texts hold is asked for once."""
         if len(self.words) > self.most_words:
             self.words.older = {}
             self.words = _Words(self, self.words)
-        known, last = self.words.__getitem__, np.array([end], dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known, t.replace("\n", " ").split(" ")), last]),
-                              dtype="<u4") for t in texts]
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        ids, stop = self._found(words.dictionary)
+        # The last one, the end, follows the words of each text.
+        ids, stop = np.append(ids, np.uint32(end)), np.append(stop, len(ids) + 1)
+        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False) + 1) - 1
+        word = np.full(len(words) + len(last), len(stop) - 1, dtype=np.int64)
+        inside = np.ones(len(word), dtype=bool)
+        inside[last] = False
+        word[inside] = words.indices.to_numpy(zero_copy_only=False)
+        ids, stop = _one_after_another(ids, stop, word)
+        return np.split(ids, stop[last][:-1]) if len(last) else []
+
+
+def _one_after_another(ids: np.ndarray, stop: np.ndarray, wanted: np.ndarray
+                       ) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, stop) of the wanted ones of the runs of ids that end at ``stop``."""
+    size = np.diff(stop, prepend=0)
+    many, at = size.take(wanted), np.cumsum(size.take(wanted))
+    place = np.repeat(stop.take(wanted) - at, many)
+    place += np.arange(len(place))
+    return ids.take(place), at
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -131,9 +172,10 @@ def tokenizer(path: str) -> Tokenizer:
 # --- The grammar ------------------------------------------------------------
 
 _BLOCK = 1 << 15  # symbols hashed together, so that they stay in the cache
+_SIFT, _SIFT_BITS = 3, 21  # after so many rounds rare pairs are left out, by so many bits of a hash
 
 
-def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _bins(left: np.ndarray, right: np.ndarray, bits: int = _BIN_BITS) -> np.ndarray:
     """A bin for each pair of symbols, by a hash of 32-bit arithmetic."""
     out = np.empty(len(left), dtype=np.intp)
     mixed, other = np.empty(_BLOCK, dtype=np.uint32), np.empty(_BLOCK, dtype=np.uint32)
@@ -146,40 +188,28 @@ def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         np.right_shift(m, np.uint32(15), out=o)
         np.bitwise_xor(m, o, out=m)
         np.multiply(m, _MIX[2], out=m)
-        np.right_shift(m, np.uint32(32 - _BIN_BITS), out=m)
+        np.right_shift(m, np.uint32(32 - bits), out=m)
         out[at:at + n] = m
     return out
 
 
-def _frequent_pairs(symbols: np.ndarray, bins: np.ndarray, crossing: np.ndarray, least: int,
-                    most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The frequent pairs, ascending, the positions of pairs that share their bins, and the pairs
-    there.
+def _frequent_pairs(keys: np.ndarray, bins: np.ndarray, least: int, most: int
+                    ) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent pairs, ascending, and where among ``keys`` are pairs that share their bins.
 
     Frequent is what occurs as often as the ``most``-th fullest bin, and ``least`` times anyway.
     The counts of bins bound those of their pairs, so only pairs in the fullest bins are sorted. If
     full bins are made of rare pairs only, every pair that occurs ``least`` times is frequent.
     """
     in_bin = np.bincount(bins, minlength=1 << _BIN_BITS)
-    in_bin -= np.bincount(bins[crossing], minlength=1 << _BIN_BITS)
     for bar in (max(least, int(np.partition(in_bin, -most)[-most])), least):
-        inside = (in_bin >= bar).take(bins)
-        inside[crossing] = False
-        at = np.flatnonzero(inside)
-        keys = _pair_keys(symbols, at)
-        ordered = np.sort(keys)
+        inside = np.flatnonzero((in_bin >= bar).take(bins))
+        ordered = np.sort(keys.take(inside))
         start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(ordered)])
         pairs = ordered[start[np.diff(start, append=len(ordered)) >= bar]]
         if len(pairs) or bar == least:
             break
-    return pairs, at, keys
-
-
-def _pair_keys(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(at), 2), dtype="<u4")
-    symbols.take(at + 1, out=keys[:, 0], mode="clip")
-    symbols.take(at, out=keys[:, 1], mode="clip")
-    return keys.view("<u8").reshape(-1)
+    return pairs, inside
 
 
 def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
@@ -189,12 +219,25 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
     when no pair occurs ``least`` times."""
     symbols, starts = ids.astype(np.uint32), starts.astype(np.int64)
     left, right = [], []
-    for _ in itertools.count() if rounds is None else range(rounds):
-        if len(symbols) < 2:
-            break
-        crossing = starts[(starts > 0) & (starts < len(symbols))] - 1
-        bins = _bins(symbols[:-1], symbols[1:])
-        pairs, at, keys = _frequent_pairs(symbols, bins, crossing, least, pairs_per_round)
+    within = np.ones(len(symbols), dtype=bool)  # the next symbol is of the same document
+    within[starts[starts > 0] - 1] = False
+    within[-1:] = False
+    # A pair that occurs too rarely never gets frequent: only pairs with a new symbol are new.
+    live = within.copy()
+    for turn in itertools.count() if rounds is None else range(rounds):
+        at = np.flatnonzero(live)
+        before, after = symbols.take(at), symbols.take(at + 1)
+        if turn % _SIFT == 0:
+            bins = _bins(before, after, _SIFT_BITS)
+            held = np.flatnonzero((np.bincount(bins, minlength=1 << _SIFT_BITS) >= least).take(bins))
+            live[:] = False
+            at, before, after = at.take(held), before.take(held), after.take(held)
+            live[at] = True
+        bins = _bins(before, after)
+        keys = np.empty((len(at), 2), dtype="<u4")
+        keys[:, 0], keys[:, 1] = after, before
+        keys = keys.view("<u8").reshape(-1)
+        pairs, inside = _frequent_pairs(keys, bins, least, pairs_per_round)
         if not len(pairs):
             break
         # A bin names one pair; another pair of the same bin waits for the next round.
@@ -203,10 +246,11 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
         pairs, own = pairs[np.sort(one)], own[np.sort(one)]
         rule_of = np.full(1 << _BIN_BITS, -1, dtype=np.int32)
         rule_of[own] = np.arange(len(pairs))
-        rule = rule_of.take(bins.take(at))
+        rule = rule_of.take(bins.take(inside))
         hit = np.flatnonzero(rule >= 0)
-        hit = hit[pairs.take(rule.take(hit)) == keys.take(hit)]
-        at, rule = at.take(hit), rule.take(hit)
+        rule, inside = rule.take(hit), inside.take(hit)
+        hit = np.flatnonzero(pairs.take(rule) == keys.take(inside))
+        at, rule = at.take(inside.take(hit)), rule.take(hit)
         # Overlapping occurrences stand next to each other: of each run take every second one.
         order = np.arange(len(at))
         fresh = np.ones(len(at), dtype=bool)
@@ -218,10 +262,14 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
         left.append((pairs >> np.uint64(32)).astype(np.uint32))
         right.append((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         symbols[at] = (first + rule).astype(np.uint32)
+        within[at] = within[at + 1]
+        live[at] = within[at]
+        ahead = at[at > 0] - 1
+        live[ahead] = within[ahead]
         starts = starts - np.searchsorted(at + 1, starts, side="left")
         kept = np.ones(len(symbols), dtype=bool)
         kept[at + 1] = False
-        symbols = symbols[kept]
+        symbols, within, live = symbols[kept], within[kept], live[kept]
     empty = np.zeros(0, dtype=np.uint32)
     return (symbols, starts, np.concatenate(left) if left else empty,
             np.concatenate(right) if right else empty)
@@ -389,9 +437,9 @@ def _writer(path: str, end: int, file_tokens: int, options: dict) -> Callable:
             for batch in batches:
                 shards = batch.column("_shard").to_pylist()
                 known = batch.column("id").to_pylist()
-                for lo in range(0, len(known), 1000):
-                    texts = batch.column("text").slice(lo, 1000).to_pylist()
-                    for i, found in enumerate(coder.encode([t or "" for t in texts], end), lo):
+                for lo in range(0, len(known), _TEXTS):
+                    texts = batch.column("text").slice(lo, _TEXTS)
+                    for i, found in enumerate(coder.encode(texts, end), lo):
                         if shards[i] != shard:
                             flush()
                             shard, part = shards[i], 0

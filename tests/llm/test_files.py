@@ -143,3 +143,36 @@ def test_capitals_take_the_ids_of_small_letters():
     coder.library = None  # nothing is tokenized again
     large, = coder.encode(["Housework HOUSEWORK"], 2)
     assert large.tolist() == [*small[:-1], *small[:-1], 2]
+
+
+def test_words_of_many_texts_are_asked_for_once():
+    coder, asked = grammar.Tokenizer(PATH), []
+
+    class Counted(type(coder.words)):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    coder.words = Counted(coder, {})
+    texts = [None, "", "House house\nHOUSE, house. house!! été été, 12. 12."] * 50
+    ids = coder.encode(texts, 2)
+    library = Tokenizer.from_file(PATH)
+    wanted = library.encode(texts[2], add_special_tokens=False).ids + [2]
+    assert [x.tolist() for x in ids] == [[2], [2], wanted] * 50
+    assert len(asked) < 20
+
+
+def test_pairs_that_are_rare_are_not_counted_again(monkeypatch):
+    rng, counted, bins = np.random.default_rng(1), [], grammar._bins
+    repeated = rng.integers(0, 1000, 2000).astype(np.uint32)
+    documents = [np.concatenate([repeated, rng.integers(0, 1 << 20, 2000).astype(np.uint32)]) for _ in range(32)]
+
+    def seen(left, *more):
+        counted.append(len(left))
+        return bins(left, *more)
+    monkeypatch.setattr(grammar, "_bins", seen)
+    file = grammar.GrammarFile(grammar.pack(list(range(32)), documents, 1 << 20))
+    assert all((x == documents[i]).all() for i, x in file.documents())
+    # The words of one document only, half of all, are counted in the first round at most.
+    rounds = counted[2:]
+    assert len(rounds) > 8 and max(rounds) < 32 * 2000 + 2000
