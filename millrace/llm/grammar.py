@@ -36,7 +36,7 @@ from millrace.util import col, require
 _MAGIC = b"REPAIR01"
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))  # odd multipliers
 _BIN_BITS = 18
-_TEXTS = 4000  # encoded together
+_TEXTS, _TOGETHER = 4000, 256  # texts of which words are found, and ids put together, at a time
 
 
 # --- Tokens -----------------------------------------------------------------
@@ -59,8 +59,11 @@ class _Words(dict):
         return found
 
 
+_FORMATS = [f"<{n}I" for n in range(32)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return struct.pack(_FORMATS[len(ids)] if len(ids) < len(_FORMATS) else f"<{len(ids)}I", *ids)
 
 
 class Tokenizer:
@@ -100,6 +103,8 @@ class Tokenizer:
         return None if None in seen else "".join(seen)
 
     def ids_of(self, word: str) -> bytes:
+        if self.plain_ascii and word.isascii() and word.isalpha() and word.islower():
+            return _packed([t.id for t in self.library.model.tokenize(word)])
         stem = word.rstrip(_MARKS)
         if stem:
             letters = self._letters(stem)
@@ -140,13 +145,14 @@ class Tokenizer:
         ids, stop = self._found(words.dictionary)
         # The last one, the end, follows the words of each text.
         ids, stop = np.append(ids, np.uint32(end)), np.append(stop, len(ids) + 1)
-        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False) + 1) - 1
-        word = np.full(len(words) + len(last), len(stop) - 1, dtype=np.int64)
-        inside = np.ones(len(word), dtype=bool)
-        inside[last] = False
-        word[inside] = words.indices.to_numpy(zero_copy_only=False)
-        ids, stop = _one_after_another(ids, stop, word)
-        return np.split(ids, stop[last][:-1]) if len(last) else []
+        word, at = words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        out = []
+        for lo in range(0, len(texts), _TOGETHER):
+            ends = at[lo + 1:lo + 1 + _TOGETHER] - at[lo]
+            found, past = _one_after_another(
+                ids, stop, np.insert(word[at[lo]:at[lo] + ends[-1]], ends, len(stop) - 1))
+            out += np.split(found, past[ends + np.arange(len(ends))][:-1])
+        return out
 
 
 def _one_after_another(ids: np.ndarray, stop: np.ndarray, wanted: np.ndarray
@@ -193,9 +199,9 @@ def _bins(left: np.ndarray, right: np.ndarray, bits: int = _BIN_BITS) -> np.ndar
     return out
 
 
-def _frequent_pairs(keys: np.ndarray, bins: np.ndarray, least: int, most: int
-                    ) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent pairs, ascending, and where among ``keys`` are pairs that share their bins.
+def _frequent_pairs(before: np.ndarray, after: np.ndarray, bins: np.ndarray, least: int, most: int
+                    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent pairs, ascending, where pairs are that share their bins, and the pairs there.
 
     Frequent is what occurs as often as the ``most``-th fullest bin, and ``least`` times anyway.
     The counts of bins bound those of their pairs, so only pairs in the fullest bins are sorted. If
@@ -204,12 +210,15 @@ def _frequent_pairs(keys: np.ndarray, bins: np.ndarray, least: int, most: int
     in_bin = np.bincount(bins, minlength=1 << _BIN_BITS)
     for bar in (max(least, int(np.partition(in_bin, -most)[-most])), least):
         inside = np.flatnonzero((in_bin >= bar).take(bins))
-        ordered = np.sort(keys.take(inside))
+        keys = np.empty((len(inside), 2), dtype="<u4")
+        keys[:, 0], keys[:, 1] = after.take(inside), before.take(inside)
+        keys = keys.view("<u8").reshape(-1)
+        ordered = np.sort(keys)
         start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(ordered)])
         pairs = ordered[start[np.diff(start, append=len(ordered)) >= bar]]
         if len(pairs) or bar == least:
             break
-    return pairs, inside
+    return pairs, inside, keys
 
 
 def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
@@ -234,10 +243,7 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
             at, before, after = at.take(held), before.take(held), after.take(held)
             live[at] = True
         bins = _bins(before, after)
-        keys = np.empty((len(at), 2), dtype="<u4")
-        keys[:, 0], keys[:, 1] = after, before
-        keys = keys.view("<u8").reshape(-1)
-        pairs, inside = _frequent_pairs(keys, bins, least, pairs_per_round)
+        pairs, inside, keys = _frequent_pairs(before, after, bins, least, pairs_per_round)
         if not len(pairs):
             break
         # A bin names one pair; another pair of the same bin waits for the next round.
@@ -248,8 +254,7 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, terminals: int,
         rule_of[own] = np.arange(len(pairs))
         rule = rule_of.take(bins.take(inside))
         hit = np.flatnonzero(rule >= 0)
-        rule, inside = rule.take(hit), inside.take(hit)
-        hit = np.flatnonzero(pairs.take(rule) == keys.take(inside))
+        hit = hit[pairs.take(rule.take(hit)) == keys.take(hit)]
         at, rule = at.take(inside.take(hit)), rule.take(hit)
         # Overlapping occurrences stand next to each other: of each run take every second one.
         order = np.arange(len(at))
