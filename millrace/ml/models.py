@@ -56,7 +56,17 @@ def make_estimator(name: str, **params) -> Estimator:
     return configure(estimator, **{k: None if v == "" else v for k, v in params.items()})
 
 
+# Ratings that a block of ALS holds; a task holds one block.
+_BLOCK = 1 << 21
+
+
 def train(estimator: Estimator, df: DataFrame) -> Model:
+    """The fitted model. ALS gets so many blocks that each is of a bounded size, where the caller has
+    not said how many; the rows are counted first."""
+    if isinstance(estimator, recommendation.ALS):
+        sides = [p for p in (estimator.numUserBlocks, estimator.numItemBlocks) if not estimator.isSet(p)]
+        blocks = -(-df.count() // _BLOCK) if sides else 0
+        estimator = estimator.copy({p: max(estimator.getOrDefault(p), blocks) for p in sides})
     return estimator.fit(df)
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.ml import models
 from millrace.plans import QUERIES
 
 
@@ -48,3 +49,18 @@ def test_als_is_near_its_optimum(spark, tmp_path):
         str(tmp_path / "orders.parquet"))
     row = QUERIES["als"](spark, str(tmp_path)).first()
     assert row["beats_mean"] and row["n_unsolved"] == 0
+
+
+def test_als_blocks_hold_a_bounded_number_of_ratings(spark, monkeypatch):
+    monkeypatch.setattr(models, "_BLOCK", 100)
+    ratings = spark.range(1250).select(
+        (F.col("id") % 90).cast("int").alias("user"), (F.col("id") % 70).cast("int").alias("item"),
+        (F.col("id") % 5).cast("double").alias("rating"))
+
+    def blocks(**params):
+        model = models.train(models.make_estimator("als", rank=2, maxIter=1, seed=1, **params), ratings)
+        return [f.rdd.getNumPartitions() for f in (model.userFactors, model.itemFactors)]
+    assert blocks() == [13, 13]
+    assert blocks(numUserBlocks=3) == [3, 13]
+    monkeypatch.setattr(models, "_BLOCK", 1000)
+    assert blocks() == [10, 10]
