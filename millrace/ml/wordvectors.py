@@ -1,9 +1,9 @@
 """Word vectors that stay a table, as a stage that can be saved.
 
-Skip-gram with negative samples. The rows are dealt to shards of a bounded number of words. A learner
-for each shard holds the vectors of that shard's words only; after each pass a word's vectors are
-averaged over the shards that have it, weighted by how often. So no vocabulary is whole anywhere, not
-on the driver either. A word's first vector is drawn from a hash of the word, and thus the same in all
+Skip-gram with negative samples. Neighbouring rows make shards of a bounded number of words; the texts
+of a single pass are learned where they are read, and sent nowhere. A learner for each shard holds the
+vectors of that shard's words only; after each pass a word's vectors are averaged over the shards that
+have it, weighted by how often. So no vocabulary is whole anywhere, not on the driver either. A word's first vector is drawn from a hash of the word, and thus the same in all
 shards. Spark's own fit predicts along a Huffman tree of all words, which its driver must hold.
 """
 
@@ -21,18 +21,19 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import (
     DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter)
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.ml.vocabulary import _numbered, _pairs
-from millrace.util import col, require, written
+from millrace.ml.vocabulary import _numbered
+from millrace.util import col, fresh, require, written
 
-VECTORS = "word string, vector array<float>"
+VECTORS = "word string, vector array<float>, n long"
 _SHARD = 1 << 19     # words of a shard
 _BATCH = 1 << 11     # places whose pairs are learned together
 _DRAWN = 64          # negative samples of a batch
 _NEGATIVES = 5       # for how many negative samples of a pair they count
 _MOST = 16           # a word's step in a batch is at most that of so many pairs
+_COMMON = 1 << 24    # bytes of the vectors of frequent words that are broadcast
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -92,32 +93,26 @@ def learn(codes: np.ndarray, sentence: np.ndarray, inner: np.ndarray, outer: np.
 _ROWS = "shard long, words array<string>, word string, inner array<float>, outer array<float>"
 
 
-def _sharded(sentences: DataFrame, shards: int, longest: int) -> DataFrame:
-    """(shard, words): sentences of at most ``longest`` words; written, so that they stay where
-    they are."""
-    most = _SHARD
+def _dealt(batches, most: int):
+    """(shard, words): neighbouring rows, up to ``most`` words together."""
+    from pyspark import TaskContext
+    shard, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        sizes = batch.column("words").value_lengths().to_numpy(zero_copy_only=False)
+        numbers = np.empty(len(sizes), np.int64)
+        for i, n in enumerate(sizes.tolist()):
+            if held and held + n > most:
+                shard, held = shard + 1, 0
+            numbers[i], held = shard, held + n
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column("words")],
+                                         names=["shard", "words"])
 
-    def run(batches):
-        from pyspark import TaskContext
-        shard, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            sizes = batch.column("words").value_lengths().to_numpy(zero_copy_only=False)
-            numbers = np.empty(len(sizes), np.int64)
-            for i, n in enumerate(sizes.tolist()):
-                if held and held + n > most:
-                    shard, held = shard + 1, 0
-                numbers[i], held = shard, held + n
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column("words")],
-                                             names=["shard", "words"])
-    words = F.col("words")
-    cut = sentences.select(F.explode(F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(words) - 1) / longest).cast("int")),
-        lambda i: F.slice(words, i * longest + 1, longest))).alias("words"))
-    return written(cut.repartition(shards).mapInArrow(run, "shard long, words array<string>"), "shards")
 
+def _learned(rows: DataFrame, size: int, window: int, step: float, seed: int, most: int = 0) -> DataFrame:
+    """(shard, word, n, inner, outer): each shard's words with their vectors after a pass.
 
-def _learned(rows: DataFrame, shards: int, size: int, window: int, step: float, seed: int) -> DataFrame:
-    """(shard, word, n, inner, outer): each shard's words with their vectors after a pass."""
+    The rows of a shard stand together, or are dealt here, ``most`` words to a shard.
+    """
     out = pa.schema([("shard", pa.int64()), ("word", pa.string()), ("n", pa.int64()),
                      ("inner", pa.list_(pa.float32())), ("outer", pa.list_(pa.float32()))])
 
@@ -131,11 +126,12 @@ def _learned(rows: DataFrame, shards: int, size: int, window: int, step: float,
         codes, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
         inner = first_vectors(names, size, seed)
         outer = np.zeros_like(inner)
-        known = table.filter(pa.compute.is_valid(table["word"]))
-        if known.num_rows:
-            at = pa.compute.index_in(known["word"], words.dictionary).to_numpy()
-            for mine, name in ((inner, "inner"), (outer, "outer")):
-                mine[at] = pa.compute.list_flatten(known[name]).to_numpy().reshape(-1, size)
+        if not most:
+            known = table.filter(pa.compute.is_valid(table["word"]))
+            if known.num_rows:
+                at = pa.compute.index_in(known["word"], words.dictionary).to_numpy()
+                for mine, name in ((inner, "inner"), (outer, "outer")):
+                    mine[at] = pa.compute.list_flatten(known[name]).to_numpy().reshape(-1, size)
         learn(codes, np.repeat(np.arange(len(sizes)), sizes), inner, outer, window, step,
               np.random.default_rng([seed & 0xFFFFFFFF, shard]))
         offsets = np.arange(0, inner.size + 1, size, dtype=np.int32)
@@ -147,7 +143,7 @@ def _learned(rows: DataFrame, shards: int, size: int, window: int, step: float,
 
     def run(batches):
         shard, held = None, []
-        for batch in batches:
+        for batch in _dealt(batches, most) if most else batches:
             numbers = batch.column("shard").to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.diff(numbers, prepend=-1)).tolist() + [len(numbers)]
             for a, b in zip(edges, edges[1:]):
@@ -158,18 +154,57 @@ def _learned(rows: DataFrame, shards: int, size: int, window: int, step: float,
                 held.append(batch.slice(a, b - a))
         if held:
             yield vectors_of(shard, held)
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
+    return rows.mapInArrow(
         run, "shard long, word string, n long, inner array<float>, outer array<float>")
 
 
-def _averaged(learned: DataFrame, size: int) -> DataFrame:
-    """(word, inner, outer), averaged over shards."""
-    sums = learned.groupBy("word").agg(F.sum("n").alias("n"), *[
+def _averaged(learned: DataFrame, size: int, sides: tuple[str, ...]) -> DataFrame:
+    """(word, n, inner, outer), averaged over shards; vectors are sent as they are, once."""
+    sent = learned.select("word", "n", *sides).repartition("word")
+    sums = sent.groupBy("word").agg(F.sum("n").alias("n"), *[
         F.sum(F.col("n") * F.get(side, F.lit(i))).alias(f"{side}{i}")
-        for side in ("inner", "outer") for i in range(size)])
-    return sums.select("word", *[
+        for side in sides for i in range(size)])
+    return sums.select("word", "n", *[
         F.array(*[(F.col(f"{side}{i}") / F.col("n")).cast("float") for i in range(size)]).alias(side)
-        for side in ("inner", "outer")])
+        for side in sides])
+
+
+def with_words(terms: DataFrame, table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The terms with the row of their ``word`` in a table of (word, n, vectors of ``size`` floats), in
+    two parts: those of the words with the largest n, which are broadcast, and the others.
+
+    Most of a text's terms are in the first part and sent nowhere. Words that the table does not have
+    are in the second, without a vector.
+    """
+    step = F.floor(F.log2("n") * 8).alias("step")
+    few, least = _COMMON // (4 * size + 48), None
+    for r in sorted(table.where("n > 0").groupBy(step).agg(
+            F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r.step):
+        few -= r.words
+        if few < 0:
+            break
+        least = r.least
+    often = F.lit(False) if least is None else F.coalesce(F.col("n") >= least, F.lit(False))
+    common, rare = table.where(often), table.where(~often)
+    return (terms.join(F.broadcast(common), "word"),
+            terms.join(F.broadcast(common.select("word")), "word", "left_anti").join(rare, "word", "left"))
+
+
+def summed(terms: tuple[DataFrame, DataFrame], keys: list[str], vector: str, size: int, stem: str
+           ) -> list[DataFrame]:
+    """(keys, number of terms, sums of their vectors) of both parts: ``stem`` with the part's number,
+    and that with the slot."""
+    common, rare = terms
+    return [part.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{stem}{k}"), *[
+        F.sum(F.get(vector, F.lit(i)).cast("double")).alias(f"{stem}{k}_{i}") for i in range(size)])
+        for k, part in enumerate((common, rare.select(*keys, vector).repartition(*keys)))]
+
+
+def average(stem: str, size: int) -> Column:
+    """What the sums of both parts give together, or NULL without a term."""
+    def both(tail):
+        return sum(F.coalesce(F.col(f"{stem}{k}{tail}"), F.lit(0)) for k in (0, 1))
+    return F.when(both("") > 0, F.array(*[both(f"_{i}") / both("") for i in range(size)]))
 
 
 def fit_word_vectors(df: DataFrame, column: str, out: str, vectorSize: int = 100, minCount: int = 5,
@@ -190,25 +225,41 @@ def fit_word_vectors(df: DataFrame, column: str, out: str, vectorSize: int = 100
         kept = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= minCount)
         sentences = each.join(kept, "word").groupBy("row").agg(F.sort_array(F.collect_list(
             F.struct("at", "word"))).alias("found")).select(F.col("found.word").alias("words"))
+        sentences = written(sentences, "sentences")
     else:
         sentences = df.select(words.alias("words"))
     sentences = sentences.where(F.size("words") > 0)
+    total = sentences.agg(F.sum(F.size("words"))).first()[0] or 0
+    most = min(_SHARD, -(-total // numPartitions) or 1)
+    words = F.col("words")
+    # Small inputs are read by few tasks, so that their shards are of full size.
+    cut = sentences.coalesce(max(numPartitions, -(-total // _SHARD))).select(F.explode(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(words) - 1) / maxSentenceLength).cast("int")),
+        lambda i: F.slice(words, i * maxSentenceLength + 1, maxSentenceLength))).alias("words"))
     shards = max(numPartitions, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sharded = _sharded(sentences, numPartitions, maxSentenceLength)
+    if maxIter > 1:  # the shards must stay what they are
+        cut = written(cut.mapInArrow(lambda batches: _dealt(batches, most),
+                                     "shard long, words array<string>"), "shards")
     vectors = None
     for i in range(maxIter):
-        rows = sharded.selectExpr("*", "null word", "null inner", "null outer")
-        if vectors is not None:
-            rows = rows.unionByName(holders.join(vectors, "word").selectExpr(
-                "shard", "null words", "word", "inner", "outer"))
-        rows = rows.select(*[F.col(n).cast(kind).alias(n) for n, kind in (
-            f.split(" ", 1) for f in _ROWS.split(", "))])
-        learned = written(_learned(rows, shards, vectorSize, windowSize,
-                                   float(stepSize) * (1 - i / maxIter), seed + i), "learned")
-        holders = learned.select("shard", "word")
-        vectors = written(_averaged(learned, vectorSize), "word-vectors")
+        last, at = i + 1 == maxIter, (vectorSize, windowSize, float(stepSize) * (1 - i / maxIter), seed + i)
+        if maxIter == 1:
+            learned = _learned(cut, *at, most=most)
+        else:
+            rows = cut.selectExpr("*", "null word", "null inner", "null outer")
+            if vectors is not None:
+                rows = rows.unionByName(holders.join(vectors, "word").selectExpr(
+                    "shard", "null words", "word", "inner", "outer"))
+            rows = rows.select(*[F.col(n).cast(kind).alias(n) for n, kind in (
+                f.split(" ", 1) for f in _ROWS.split(", "))])
+            learned = _learned(rows.repartition(shards, "shard").sortWithinPartitions("shard"), *at)
+        if not last:
+            learned = written(learned, "learned")
+            holders = learned.select("shard", "word")
+        vectors = written(_averaged(learned, vectorSize, ("inner",) if last else ("inner", "outer")),
+                          "word-vectors")
     stage = WordVectors(inputCol=column, outputCol=out, vectorSize=vectorSize)
-    stage.vectors = vectors.select("word", F.col("inner").alias("vector"))
+    stage.vectors = vectors.select("word", F.col("inner").alias("vector"), "n")
     return stage
 
 
@@ -224,18 +275,22 @@ class WordVectors(Transformer, HasInputCol, HasOutputCol, MLReadable, MLWritable
         self.vectors: DataFrame | None = None
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        """The rows are read where they are needed, and known by hashes of their words; an error says
+        so if a second reading gives other words."""
         require(self.vectors is not None, "the stage has no vectors")
-        rows, row = _numbered(dataset)
         column, out, size = self.getInputCol(), self.getOutputCol(), self.getOrDefault(self.vectorSize)
-        found = _pairs(rows, row, column).join(self.vectors, "word")
-        sums = found.groupBy(F.col("row").alias(f"{row}_")).agg(*[
-            F.sum(F.col("n") * F.get("vector", F.lit(i)).cast("double")).alias(f"{row}_{i}")
-            for i in range(size)])
-        joined = rows.join(sums, F.col(row) == F.col(f"{row}_"), "left")
-        average = F.array(*[F.coalesce(F.try_divide(F.col(f"{row}_{i}"), F.size(col(column))), F.lit(0.0))
-                            for i in range(size)])
-        return joined.select(*[col(c) for c in rows.columns if c not in (row, out)],
-                             array_to_vector(average).alias(out))
+        a, b, some, stem = (fresh(dataset, n) for n in ("_a", "_b", "_some", "_sum"))
+        words = col(column)
+        keyed = dataset.withColumns({a: F.xxhash64(words), b: F.xxhash64(F.lit(1), words),
+                                     some: F.coalesce(F.size(words), F.lit(0)) > 0})
+        terms = keyed.select(a, b, F.explode(words).alias("word"))
+        joined = keyed
+        for part in summed(with_words(terms, self.vectors, size), [a, b], "vector", size, stem):
+            joined = joined.join(part, [a, b], "left")
+        other = F.when(F.col(some), F.raise_error(F.lit("the rows differ between two readings")).cast(
+            "array<double>")).otherwise(F.array(*[F.lit(0.0)] * size))
+        return joined.select(*[col(c) for c in dataset.columns if c != out],
+                             array_to_vector(F.coalesce(average(stem, size), other)).alias(out))
 
     def write(self) -> MLWriter:
         return _Writer(self)

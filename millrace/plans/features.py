@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.ml import features as fe
 from millrace.ml.models import make_estimator, train
 from millrace.ml.stages import recording
+from millrace.ml.wordvectors import average, summed, with_words
 from millrace.plans.registry import query, table
 from millrace.util import written
 
@@ -467,18 +468,18 @@ def word2vec(spark, folder):
     with recording() as stages:
         vectors = fe.word2vec(words, "text__output", "v", vectorSize=8, minCount=0, maxIter=1,
                               seed=7, numPartitions=8)
-    terms = words.select("doc_id", F.explode("text__output").alias("x"))
-    single = stages[-1].transform(terms.select("x").distinct().withColumn(
-        "text__output", F.array("x"))).select("x", vector_to_array("v").alias("own"))
-    counted = terms.groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("c"))
-    means = (counted.join(single, "x").select("doc_id", "c", F.posexplode("own").alias("slot", "a"))
-             .groupBy("doc_id", "slot").agg((F.sum(F.col("c") * F.col("a")) / F.sum("c")).alias("m")))
-    found = _slots(vectors, ["doc_id"], "v", 9, "a")
-    checked = found.join(means, ["doc_id", "slot"], "left").agg(
-        F.count_if(~F.coalesce(F.abs(F.col("a") - F.col("m")) < 1e-5, F.lit(False))).alias("n_wrong"))
+    terms = words.select("doc_id", F.explode("text__output").alias("word"))
+    counts = terms.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("text__output", F.array("word"))
+    own = vector_to_array("v").cast("array<float>").alias("own")
+    single = written(stages[-1].transform(counts).select("word", "n", own), "own-vectors")
+    checked = vectors.select("doc_id", vector_to_array("v").alias("v"))
+    for part in summed(with_words(terms, single, 8), ["doc_id"], "own", 8, "sum"):
+        checked = checked.join(part, "doc_id", "left")
+    near = F.zip_with("v", average("sum", 8), lambda a, m: F.coalesce(
+        F.abs(F.round(a, 9) - m) < 1e-5, F.lit(False)))
+    wrong = F.coalesce(F.size(F.filter(near, lambda x: ~x)), F.size("v"))
     norms = single.select(F.aggregate("own", F.lit(0.0), lambda s, x: s + x * x).alias("q"),
                           F.get("own", F.lit(0)).alias("first"))
-    return norms.agg(F.count_if(F.col("q") == 0).alias("n_zero"),
-                     (F.stddev("first") > 1e-3).alias("differ")).select(
-        vectors.agg(F.count(F.lit(1))).scalar().alias("n"), checked.scalar().alias("n_wrong"),
-        "n_zero", "differ")
+    return checked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(wrong), F.lit(0)).alias("n_wrong")).select(
+        "n", "n_wrong", norms.agg(F.count_if(F.col("q") == 0)).scalar().alias("n_zero"),
+        norms.agg(F.stddev("first") > 1e-3).scalar().alias("differ"))

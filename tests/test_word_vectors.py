@@ -8,8 +8,9 @@ from pyspark.ml import feature as mlf
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from millrace import util
 from millrace.ml import features as fe
-from millrace.ml import wordvectors
+from millrace.ml import vocabulary, wordvectors
 from millrace.ml.persist import load_fitted, save_fitted
 from millrace.ml.stages import recording
 
@@ -48,3 +49,22 @@ def test_unknown_choices_are_named(spark):
     df = spark.createDataFrame([(["a"],)], "w array<string>")
     with pytest.raises(ValueError, match="depth"):
         fe.word2vec(df, "w", "v", depth=1)
+
+
+def test_a_single_pass_keeps_and_sends_no_texts(spark, monkeypatch):
+    kept = []
+    for module in (wordvectors, vocabulary):
+        monkeypatch.setattr(module, "written", lambda df, label: (kept.append(label), util.written(df, label))[1])
+    monkeypatch.setattr(wordvectors, "_COMMON", 160)  # two words of eight numbers
+    rows = [(1, ["a", "b", "a"]), (2, ["a", "b", "a"]), (3, None), (4, []), (5, ["c", None, "d"]),
+            (6, ["a"]), (7, ["e", "b", "d"]), (8, [None])]
+    df = spark.createDataFrame(rows, "k long, w array<string>")
+    with recording() as stages:
+        found = fe.word2vec(df, "w", "v", vectorSize=8, minCount=0, seed=3, numPartitions=2)
+    got = {r.k: r.v for r in found.select("k", vector_to_array("v").alias("v")).collect()}
+    assert kept == ["word-vectors"]
+    vectors = {r.word: (r.n, np.array(r.vector)) for r in stages[-1].vectors.collect()}
+    assert {w: n for w, (n, _) in vectors.items()} == {"a": 5, "b": 3, "c": 1, "d": 2, "e": 1}
+    for k, words in rows:
+        known = [vectors[w][1] for w in words or [] if w]
+        assert np.allclose(got[k], sum(known, np.zeros(8)) / max(1, len(words or [])), atol=1e-9), k
