@@ -262,3 +262,15 @@ def test_pool_sums_sparse_vectors(spark):
     pooled = {r["pool"]: r["v"] for r in fe.pool(df, "v", fe.top_slot("v")).collect()}
     assert pooled == {4: Vectors.sparse(9, [1, 4, 8], [2.0, 8.0, 3.0]),
                       7: Vectors.sparse(9, [0, 7], [1.0, 2.0])}
+
+
+def test_a_large_pool_is_dealt_to_several(spark, monkeypatch):
+    rows = [(i, i % 2, Vectors.sparse(50, [0, 1 + i % 2, 3 + i], [5.0, 2.0, 1.0])) for i in range(40)]
+    df = spark.createDataFrame(rows + [(99, 7, Vectors.sparse(50, [2], [1.0]))], ["id", "p", "v"]).repartition(3)
+    monkeypatch.setattr(fe, "_POOLED", 20)
+    pooled = fe.pool(df, "v", F.col("p")).collect()
+    assert [r["v"] for r in pooled if r["pool"] == 7] == [Vectors.sparse(50, [2], [1.0])]
+    for p in (0, 1):
+        parts = [r["v"].toArray() for r in pooled if r["pool"] == p]
+        assert 2 <= len(parts) <= 3 and all(x[0] > 0 for x in parts)
+        assert sum(parts).tolist() == sum(v.toArray() for _, q, v in rows if q == p).tolist()
