@@ -274,3 +274,14 @@ def test_a_large_pool_is_dealt_to_several(spark, monkeypatch):
         parts = [r["v"].toArray() for r in pooled if r["pool"] == p]
         assert 2 <= len(parts) <= 3 and all(x[0] > 0 for x in parts)
         assert sum(parts).tolist() == sum(v.toArray() for _, q, v in rows if q == p).tolist()
+
+
+def test_giant_vectors_are_read_by_themselves(spark):
+    from pyarrow import parquet
+    from millrace.ml.vocabulary import sparse_vectors
+    many = F.sequence(F.lit(0), F.lit(1_499_999))
+    df = spark.range(3, numPartitions=1).select("id", many.alias("i"), F.transform(
+        many, lambda i: F.xxhash64(i, "id").cast("double")).alias("x"))
+    found = sparse_vectors(df, "id", F.lit(1_500_000), F.col("i"), F.col("x"), "v", giant=True)
+    files = [parquet.ParquetFile(f.removeprefix("file:")) for f in found.inputFiles()]
+    assert [f.metadata.num_row_groups for f in files] == [3]
